@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import bpe, langid, minhash, packing, quality
 from .common import crc_mod
 
 
@@ -50,5 +50,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM g
 """
 
-QUERIES = {"op6_language_id": op6_language_id, "op10_quality_rules": op10_quality_rules}
-SQL = {"op10_quality_rules": OP10_SQL}
+def _tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(_tokenizer_path(), encoding="utf-8") as f:
+        spec = f.read()
+    return packing.pack(_table(spark, sf_dir, "documents"), spec)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_decode(docs, _tokenizer_path(), digests=True).drop("text")
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.near_duplicates(_table(spark, sf_dir, "documents"), k=2, percent=80)
+    return out.withColumnRenamed("id", "doc_id")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM w),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS MATERIALIZED (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+u AS MATERIALIZED (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(node, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node AND r.root < u.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
+"""
+
+QUERIES = {"op5_best_fit_packing": op5_best_fit_packing, "op7_bpe": op7_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op6_language_id": op6_language_id, "op10_quality_rules": op10_quality_rules}
+SQL = {"op9_minhash_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
