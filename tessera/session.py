@@ -1,27 +1,59 @@
-"""Session helpers."""
+"""Session helpers: the shared folder, and code for the executors."""
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
+#: Bytes of one Arrow batch to or from a Python worker: bounds its memory for texts of any length
+BATCH_BYTES = 8 << 20
 _SHIPPED: set[str] = set()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset (tests, one
+    machine) a temporary one, which is then also set on the context."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        named = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def share_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Writes small ``data`` into the shared folder under a name made unique by its digest, and
+    returns the full path; the same data are written once."""
+    path = f"{shared_dir(spark)}/{hashlib.sha256(data).hexdigest()[:16]}/{name}"
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        out = fs.create(at, True)
+        out.write(data)
+        out.close()
+    return fs.makeQualified(at).toString()
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for each application."""
+    """Sends this package to the executors' Python workers, once for each application, and bounds
+    the Arrow batches to ``BATCH_BYTES``."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
-    root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera_package.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for d, _, names in os.walk(root):
-            for n in names:
+    root, buffer = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        for d, _, names in sorted(os.walk(root)):
+            for n in sorted(names):
                 if n.endswith(".py"):
-                    z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(root)))
-    spark.sparkContext.addPyFile(path)
+                    with open(os.path.join(d, n)) as f:
+                        z.writestr(zipfile.ZipInfo(os.path.relpath(os.path.join(d, n), os.path.dirname(root))), f.read())
+    spark.sparkContext.addPyFile(share_file(spark, "tessera_package.zip", buffer.getvalue()))
     _SHIPPED.add(app)
