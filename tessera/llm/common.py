@@ -2,21 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary one, which is then also set on the context."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+from tessera.session import shared_dir
 
 
 class Scratch:

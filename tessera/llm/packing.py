@@ -16,9 +16,10 @@ are packed row by row; an empty table gives an empty result; further columns are
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .pretoken import Memo, Splitter, added_tokens
+from .pretoken import PATTERN, added_tokens, byte_chars
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -85,32 +86,59 @@ def places(steps: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     return {n: np.array(r, np.int64) for n, r in rows.items()}
 
 
-_splitters: dict[int, Splitter] = {}
+_encoders: dict[int, Callable[[str], bytes]] = {}
 
 
-def _splitter(spec: str) -> Splitter:
-    """Of this worker. Pre-tokens that the memo lacks are encoded by the tokenizers library."""
-    key = hash(spec)
-    if key not in _splitters:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+def ranked(spec: str) -> dict[bytes, int] | None:
+    """Byte strings by id of a byte-level BPE file whose ids follow the order of its merges; None
+    of any other file."""
+    data = json.loads(spec)
+    model, chars, added = data["model"], byte_chars(), added_tokens(spec)
+    pre = data.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or data.get("normalizer"):
+        return None
+    vocab, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [vocab[a + b] for a, b in merges]
+    plain = {s: i for s, i in vocab.items() if s not in added}
+    if order != sorted(order) or len(set(order)) != len(order) or len(plain) != 256 + len(order):
+        return None
+    return {bytes(chars[c] for c in s): i for s, i in plain.items()}
+
+
+def encoder(spec: str) -> Callable[[str], bytes]:
+    """Text to the ids that the tokenizers library gives (without special tokens around the text),
+    as little-endian unsigned 32-bit integers. A byte-level file in merge order is run by
+    tiktoken's merger, which gives the same ids in a quarter of the time; any other by tokenizers."""
+    ranks = ranked(spec)
+    if ranks is not None:
+        import tiktoken
+
+        enc = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=added_tokens(spec))
+        return lambda text: enc.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False).tobytes()
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        tok = Tokenizer.from_str(spec)
-        tok.no_truncation()
-        tok.no_padding()
-        one = lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-        _splitters.clear()
-        _splitters[key] = Splitter(added_tokens(spec), Memo(one))
-    return _splitters[key]
+    tok = Tokenizer.from_str(spec)
+    tok.no_truncation()
+    tok.no_padding()
+    return lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _encoder(spec: str) -> Callable[[str], bytes]:
+    key = hash(spec)
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = encoder(spec)
+    return _encoders[key]
 
 
 def _pieces(batches: Iterator[pd.DataFrame], spec, capacity: int, end: int, with_ids: bool) -> Iterator[pd.DataFrame]:
-    split, tail, part = _splitter(spec.value), np.uint32(end).tobytes(), TaskContext.get().partitionId()
+    encode, tail, part = _encoder(spec.value), np.uint32(end).tobytes(), TaskContext.get().partitionId()
     seen: dict[int, int] = {}
     for pdf in batches:
         rows = []
         for doc, text in zip(pdf["id"].tolist(), pdf["t"].tolist(), strict=True):
-            ids = (split.encode(text) if text else b"") + tail
+            ids = (encode(text) if text else b"") + tail
             n = len(ids) // 4
             s, p = 0, 0
             while s < n:

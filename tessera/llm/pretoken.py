@@ -10,7 +10,7 @@ import regex
 
 #: The published split pattern of the byte-level BPE vocabularies (fixed value)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LIMIT, LONGEST = 300_000, 200
+LIMIT, LONGEST = 400_000, 200
 
 
 def byte_chars() -> dict[str, int]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, minhash, packing, quality
+from . import bpe, covertree, langid, licenses, minhash, packing, pii, quality, toxicity, urlfilter
 from .common import crc_mod
 
 
@@ -85,5 +85,63 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id,
 FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.node = d.doc_id
 """
 
-QUERIES = {"op5_best_fit_packing": op5_best_fit_packing, "op7_bpe": op7_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op6_language_id": op6_language_id, "op10_quality_rules": op10_quality_rules}
-SQL = {"op9_minhash_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("licences")
+    out = licenses.scan(docs, licenses.train(docs))
+    return out.select("doc_id", F.size(found).cast("long").alias("n_licences"), F.concat_ws(",", found["family"]).alias("licences"), F.coalesce(F.array_max(found["probability"]), F.lit(0.0)).alias("score"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    p = F.col("pii")
+    out = pii.find(docs, pii.train(docs))
+    return out.select("doc_id", p["n_email"].alias("n_email"), p["n_ip"].alias("n_ip"), p["n_card"].alias("n_card"), p["n_phone"].alias("n_phone"), F.sha2(p["base"].cast("binary"), 256).alias("base_sha256"), p["spans"].alias("spans"))
+
+
+def op3_cover_tree_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.similar_vectors(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings),
+u AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r(node, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node AND r.root < u.b),
+c AS (SELECT node, min(root) AS root FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM u GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.root AS component_id, vec_id = c.root AS kept
+FROM v JOIN c ON c.node = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = urlfilter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", *[F.col("judged")[n].alias(n) for n in ("host", "path", "rule", "verdict")])
+
+
+OP4_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(verdict, h, q) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+m AS (SELECT page_id, h || q AS rule, verdict FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q)
+      QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC) = 1)
+SELECT page_id, host, path, m.rule, coalesce(m.verdict, CASE WHEN host = '' THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held)
+    out = toxicity.score(docs.select("doc_id", "text", held.alias("held_out")), toxicity.train(docs, labels))
+    return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op2_pii": op2_pii,
+    "op3_cover_tree_links": op3_cover_tree_links,
+    "op4_url_filter": op4_url_filter,
+    "op8_toxicity": op8_toxicity,
+    "op5_best_fit_packing": op5_best_fit_packing, "op7_bpe": op7_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op6_language_id": op6_language_id, "op10_quality_rules": op10_quality_rules}
+SQL = {"op3_cover_tree_links": OP3_SQL, "op4_url_filter": OP4_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
