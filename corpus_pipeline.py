@@ -1,10 +1,99 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""From ``documents`` to packed training sequences.
+
+Five stages; each gets the rows that the one before kept, read again from its written table:
+
+1. language_id: documents without letters (language ``und``) or of undecided language go.
+2. quality_rules: documents that fail the base rule or a rule of the cascade go.
+3. minhash_near_dedup: of each group of near duplicates (five-word shingles, similarity 0.8) the
+   smallest id stays, and of rows with equal ids one; rows without an id stay.
+4. pii: spans of personal data are replaced by their kind; n_chars follows the text.
+5. best_fit_packing: the pieces of all documents with their places in sequences of 1024 tokens.
+
+All but the last return the columns that they get, whatever their names. Null texts go in the
+first stage. Empty tables pass through all stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm import langid, minhash, packing, pii, quality
+from tessera.llm.common import Scratch
+from tessera.session import ship
+
+
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """The whole row as one column beside what operators read, so that no names can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = langid.identify(_wrapped(docs), langid.train(docs))
+    return out.where((F.col("language.lang") != "und") & ~F.col("language.ambiguous")).select("row.*")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.judge(_wrapped(docs)).where("kept").select("row.*")
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(docs).where("kept").groupBy("id").agg(F.count("*").alias("n"))
+    found = Scratch(spark).save(found)
+    wrapped = _wrapped(docs)
+    out = wrapped.join(found, wrapped["doc_id"].eqNullSafe(found["id"]), "left_semi")
+    if not found.where("id is not null and n > 1").isEmpty():  # rows of equal id
+        turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+        once = out.where("doc_id is not null").withColumn("turn", turn).where("turn = 1").drop("turn")
+        out = once.union(out.where("doc_id is null"))
+    return out.select("row.*")
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pii.find(_wrapped(docs), pii.train(docs))
+    new = F.col("pii.redacted")
+    cols = []
+    for c in docs.columns:
+        old = F.col("row")[c]
+        if c == "text":
+            old = new
+        elif c == "n_chars":
+            old = F.when(new.isNull(), old).otherwise(F.length(new)).cast(docs.schema[c].dataType)
+        cols.append(old.alias(c))
+    return out.select(*cols)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return packing.pack(docs, f.read())
+
+
+def _ready(stage):
+    """The stage, with this package on the executors and Arrow batches bounded."""
+
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return call
+
+
+STAGES = [
+    ("language_id", _ready(language_id)),
+    ("quality_rules", _ready(quality_rules)),
+    ("minhash_near_dedup", _ready(minhash_near_dedup)),
+    ("pii", _ready(redact_pii)),
+    ("best_fit_packing", _ready(best_fit_packing)),
+]
+#: The stages learn from data, so SQL can't express them; tests hold them against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,7 +26,7 @@ from .common import bounded_sample
 
 WIDTH, STRIDE, HIDDEN, DIM, SLOTS, GRAMS = 48, 32, 12, 8, 4096, 10
 INPUT = 2 * DIM + 1
-_EDGES = ".,;:!?\"'()[]{}<>*#-_/\\"
+_EDGES = ".,;:!?\"'()[]{}<>*#-_/\\&%$|"
 
 
 def words_of(text: str) -> list[str]:
