@@ -5,14 +5,18 @@ hash evaluations give as many signature values; ``bands`` of three permutations
 the bucket keys. With 30 bands a pair at similarity 0.8 shares a bucket with probability 0.9999.
 
 1. Documents of equal shingle sets collapse to their smallest id (sets agree by 128-bit digest).
-2. In each bucket the member with most bucket mates is the hub; each document is checked against
-   the hub that it meets most often. Hubs come from grouped maxima, never from gathered groups.
-3. Buckets that still hold several components are compared in blocks of bounded size on the one-byte
+2. The sets, and longer one-byte signatures, of documents that share a bucket are made in a second
+   pass over the texts, which a Bloom filter of at most ``FILTER_BITS`` bits restricts to them.
+3. In each bucket one member is the hub (first the one with most bucket mates, then by salted
+   hashes); documents of other components are checked against the hubs that they meet most often.
+   Hubs come from grouped maxima, never from gathered groups. Rounds go on while more pairs of
+   different components share buckets than a multiple of the documents concerned.
+4. Buckets that still hold several components are compared in blocks of bounded size on the long
    signatures; pairs of different components that can reach the threshold go to the check.
-4. A pair links if 100 * |A & B| >= percent * |A | B| on the full sets. Components follow.
+5. A pair links if 100 * |A & B| >= percent * |A | B| on the full sets. Components follow.
 
-Steps 2 and 3 lose no link that meets in a bucket except where it would join what is joined already,
-or where a signature of 180 values lies over four deviations too low.
+Steps 3 and 4 lose no link that meets in a bucket except where it would join what is joined already,
+or where a signature of 512 values lies over four deviations too low.
 
 Defined cases: null and empty texts and texts without words have empty sets and link with nothing;
 a text of fewer than k words is one shingle of all its words; rows of equal id are one document;
@@ -33,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 PERMS, PER_BAND, BLOCK, CHUNK = 90, 3, 2048, 1 << 21
+LONG, FILTER_BITS, ROUNDS = 256, 1 << 27, 6
 U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -122,24 +127,30 @@ def _signed(batches: Iterator[pd.DataFrame], k: int, perms: int) -> Iterator[pd.
             part = ids[lo : lo + 500]
             for i, v in zip(part, shingle_sets(pdf["t"].iloc[lo : lo + 500].tolist(), k), strict=True):
                 if not len(v):
-                    rows.append((i, 0, None, None, None, None))
+                    rows.append((i, 0, None, None, None))
                     continue
                 low, high = min_max(v, a, b)
                 both = np.stack([low, high], 1)
                 keys = _mix((both.reshape(-1, 2 * PER_BAND) * w).sum(1) + salt)
                 d = np.frombuffer(xxhash.xxh3_128_digest(v.tobytes()), np.int64)
-                rows.append((i, len(v), int(d[0]), int(d[1]), _as_long(keys), (_mix(both.ravel()) >> U(56)).astype(np.uint8).tobytes()))
-            out = pd.DataFrame(rows, columns=["id", "n", "f1", "f2", "keys", "sig"])
+                rows.append((i, len(v), int(d[0]), int(d[1]), _as_long(keys)))
+            out = pd.DataFrame(rows, columns=["id", "n", "f1", "f2", "keys"])
             for c in ("id", "f1", "f2"):
                 out[c] = out[c].astype("Int64")
             yield out
 
 
 def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
+    """The set of each text, and a signature of 2 * ``LONG`` bytes."""
+    a, b = _perms(LONG, 31)
     for pdf in batches:
         for lo in range(0, len(pdf), 500):
-            part = pdf.iloc[lo : lo + 500]
-            yield pd.DataFrame({"id": part["id"].to_numpy(), "s": [_as_long(v) for v in shingle_sets(part["t"].tolist(), k)]})
+            part, rows = pdf.iloc[lo : lo + 500], []
+            for i, v in zip(part["id"].tolist(), shingle_sets(part["t"].tolist(), k), strict=True):
+                if len(v):
+                    both = np.stack(min_max(v, a, b), 1).ravel()
+                    rows.append((i, len(v), _as_long(v), (_mix(both) >> U(56)).astype(np.uint8).tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "n", "s", "sig"])
 
 
 def _block_pairs(batches: Iterator[pd.DataFrame], percent: int, floor: float) -> Iterator[pd.DataFrame]:
@@ -188,62 +199,102 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         yield pd.concat(carry, ignore_index=True)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose id may be in ``ids``, by a Bloom filter of bounded size: no text is
+    shuffled to find the few that are needed. Others that pass are harmless."""
+    n = ids.count()
+    bits = 1 << 16
+    while bits < min(16 * n, FILTER_BITS):
+        bits *= 2
+    places = F.array(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(bits)) for j in range(4)])
+    at = ids.select(F.explode(places).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    table = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        table[r.w] = r.b
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def passes(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        ok = np.ones(len(a), bool)
+        for x in (a, b, c, d):
+            p = x.to_numpy(np.int64)
+            ok &= (sent.value[p >> 6] >> (p & 63)) & 1 == 1
+        return pd.Series(ok)
+
+    rows = docs.where("id is not null")
+    return rows.where(passes(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(bits)) for j in range(4)]))
+
+
+def confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that reach the threshold on the full sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(ids, "id").mapInPandas(lambda it: _sets(it, k), "id long, s array<long>")
-    both = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b").join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+    right, left = sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     inter = F.size(F.array_intersect("sa", "sb"))
     sized = both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("u"))
     return sized.where((F.col("i") > 0) & (100 * F.col("i").cast("long") >= percent * (F.col("u") - F.col("i")).cast("long"))).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, perms: int = PERMS, floor: float = 0.66) -> DataFrame:
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, perms: int = PERMS, floor: float = 0.725) -> DataFrame:
     """id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
     ``floor`` is the share of equal signature values from which a pair of step 3 is checked; it is
     for ``percent`` 80 and must fall with it."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    signed = scratch.save(docs.mapInPandas(lambda it: _signed(it, k, perms), "id long, n long, f1 long, f2 long, keys array<long>, sig binary"))
+    signed = scratch.save(docs.mapInPandas(lambda it: _signed(it, k, perms), "id long, n long, f1 long, f2 long, keys array<long>"))
     full = signed.where("n > 0 and id is not null")
-    reps = full.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    heads = full.select("id", "n", "f1", "f2", "keys", "sig").join(reps.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi").dropDuplicates(["id"])
-    heads = scratch.save(heads.select("id", "n", "keys", "sig"))
-    rows = heads.select(F.explode("keys").alias("key"), "id")
+    heads = full.groupBy("f1", "f2").agg(F.min(F.struct("id", "keys")).alias("h")).select("f1", "f2", F.col("h.id").alias("rep"), F.col("h.keys").alias("keys"))
+    heads = scratch.save(heads)
+    rows = heads.select(F.explode("keys").alias("key"), F.col("rep").alias("id")).distinct()
     many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = scratch.save(rows.join(many, "key"))
+    sets = scratch.save(_filtered(docs, met.select("id").distinct()).mapInPandas(lambda it: _sets(it, k), "id long, n long, s array<long>, sig binary"))
     mates = met.groupBy("id").agg(F.sum("c").alias("p"))
-    hubs = met.join(mates, "id").groupBy("key").agg(F.max(F.struct("p", (-F.col("id")).alias("i"))).alias("h")).select("key", (-F.col("h.i")).alias("hub"))
-    best = met.join(hubs, "key").where("id != hub").groupBy("id", "hub").agg(F.count("*").alias("c")).groupBy("id").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("m"))
-    first = scratch.save(best.select(F.col("id").alias("b"), (-F.col("m.h")).alias("a")))
-    links = scratch.save(confirm(docs, first, k, percent))
-    joined = components(scratch, links)
+    links = seen = joined = None
+    for turn in range(ROUNDS):
+        if joined is None:
+            here = met.withColumn("comp", F.col("id"))
+        else:
+            here = met.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("comp"))
+        open_ = here.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
+        if turn:
+            load = open_.agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
+            if not load["rows"] or load["pairs"] <= 16 * load["rows"]:
+                break
+        here = here.join(open_.select("key"), "key")
+        scored = here.join(mates, "id") if turn == 0 else here.withColumn("p", F.xxhash64("id", F.lit(turn)))
+        hubs = scored.groupBy("key").agg(F.max(F.struct("p", "id", "comp")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
+        shared = here.join(hubs, "key").where("comp != hub_comp").groupBy("id", "hub").agg(F.count("*").alias("c"))
+        best = shared.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "hub")), False), 1, 1 if turn == 0 else 3).alias("m"))  # at most one hub a band
+        pairs = _ordered(best.select(F.explode("m").alias("h"), "id").select(F.col("h.hub").alias("a"), F.col("id").alias("b")))
+        pairs = scratch.save(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
+        found = scratch.save(confirm(sets, pairs, percent))
+        links, seen = (found, pairs) if links is None else (links.union(found), seen.union(pairs))
+        joined = components(scratch, links)
 
     here = met.join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("comp"))
     open_ = here.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
     blocks = F.ceil(F.col("c") / BLOCK).cast("long")
     split = (
         here.join(open_, "key")
-        .join(heads.select("id", "n", "sig"), "id")
+        .join(sets.select("id", "n", "sig").hint("merge"), "id")
         .withColumn("blk", F.pmod(F.xxhash64("id"), blocks))
         .select("key", "id", "comp", "n", "sig", "blk", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
         .select("key", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "id", "comp", "n", "sig", "blk")
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi")
     )
-    more = split.mapInPandas(lambda it: _block_pairs(it, percent, floor), "a long, b long")
-    more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    seen = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = _ordered(split.mapInPandas(lambda it: _block_pairs(it, percent, floor), "a long, b long"))
     more = scratch.save(more.join(seen, ["a", "b"], "left_anti"))
-    extra = scratch.save(confirm(docs, more, k, percent))
-    scratch.drop(met, first, more)
-    if extra.isEmpty():
-        final = joined
-    else:
-        final = components(scratch, links.union(extra))
-    labels = reps.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("label"))
+    extra = scratch.save(confirm(sets, more, percent))
+    scratch.drop(met, more, sets)
+    final = joined if extra.isEmpty() else components(scratch, links.union(extra))
+    labels = heads.select("f1", "f2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("label"))
     out = signed.select("id", "n", "f1", "f2").join(labels, ["f1", "f2"], "left")
     comp = F.when(F.col("id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("label", "id"))
     return out.select("id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(True)).alias("kept"))
