@@ -15,7 +15,7 @@ first stage. Empty tables pass through all stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, minhash, packing, pii, quality
@@ -23,44 +23,43 @@ from tessera.llm.common import Scratch
 from tessera.session import ship
 
 
-def _wrapped(docs: DataFrame) -> DataFrame:
-    """The whole row as one column beside what operators read, so that no names can clash."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("text"))
+def _named(docs: DataFrame) -> DataFrame:
+    """All columns but those that operators read under names of their own, so that none can clash."""
+    return docs.select(*[F.col(f"`{c}`").alias(c if c in ("doc_id", "text") else f"__column{i}") for i, c in enumerate(docs.columns)])
+
+
+def _restored(df: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    return df.select(*[changed.get(c, F.col(c if c in ("doc_id", "text") else f"__column{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = langid.identify(_wrapped(docs), langid.train(docs))
-    return out.where((F.col("language.lang") != "und") & ~F.col("language.ambiguous")).select("row.*")
+    out = langid.identify(_named(docs), langid.train(docs))
+    return _restored(out.where((F.col("language.lang") != "und") & ~F.col("language.ambiguous")), docs)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(_wrapped(docs)).where("kept").select("row.*")
+    return _restored(quality.judge(_named(docs)).where("kept"), docs)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs).where("kept").groupBy("id").agg(F.count("*").alias("n"))
     found = Scratch(spark).save(found)
-    wrapped = _wrapped(docs)
-    out = wrapped.join(found, wrapped["doc_id"].eqNullSafe(found["id"]), "left_semi")
+    named = _named(docs)
+    out = named.join(found, named["doc_id"].eqNullSafe(found["id"]), "left_semi")
     if not found.where("id is not null and n > 1").isEmpty():  # rows of equal id
         turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
         once = out.where("doc_id is not null").withColumn("turn", turn).where("turn = 1").drop("turn")
         out = once.union(out.where("doc_id is null"))
-    return out.select("row.*")
+    return _restored(out, docs)
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.find(_wrapped(docs), pii.train(docs))
-    new = F.col("pii.redacted")
-    cols = []
-    for c in docs.columns:
-        old = F.col("row")[c]
-        if c == "text":
-            old = new
-        elif c == "n_chars":
-            old = F.when(new.isNull(), old).otherwise(F.length(new)).cast(docs.schema[c].dataType)
-        cols.append(old.alias(c))
-    return out.select(*cols)
+    out = pii.find(_named(docs), pii.train(docs))
+    new, changed = F.col("pii.redacted"), {"text": F.col("pii.redacted")}
+    if "n_chars" in docs.columns:
+        old = F.col(f"__column{docs.columns.index('n_chars')}")
+        changed["n_chars"] = F.when(new.isNull(), old).otherwise(F.length(new)).cast(docs.schema["n_chars"].dataType)
+    return _restored(out, docs, **changed)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from .common import bounded_sample
 BITS = 16
 SIZES = (2, 3, 4)
 #: texts are scored in slices of so many bytes
-SLICE = 1 << 20
+SLICE = 1 << 18
 _LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint32(2654435761)
 
