@@ -1,9 +1,8 @@
-"""The registered queries and their SQL twins."""
+"""All registered queries and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_axis, queries_functions, queries_geometry, queries_grid, queries_period  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
 
-QUERIES: dict[str, Callable] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "binning2d"
