@@ -59,7 +59,9 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     pairs = scratch.save(pairs)
-    while True:
+    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = total(pairs)
+    while before[0]:
         # large star: every neighbour above u points to the least of u and its neighbours
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -74,11 +76,11 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             .distinct()
         )
         new = scratch.save(small)
-        stats = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = total(new)
         scratch.drop(pairs)
         pairs = new
-        if stats == done:
+        if now == before:
             break
+        before = now
     roots = pairs.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

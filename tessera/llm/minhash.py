@@ -10,8 +10,8 @@ bucket keys. With 50 bands a pair at similarity 0.8 shares a bucket with probabi
    pass over the texts, which a Bloom filter of at most ``FILTER_BITS`` bits restricts to them.
 3. In each bucket one member is the hub (first the one with most bucket mates, then by salted
    hashes); documents of other components are checked against the hubs that they meet most often.
-   Hubs come from grouped maxima, never from gathered groups. Rounds go on while more pairs of
-   different components share buckets than a multiple of the documents concerned.
+   Hubs come from grouped maxima, never from gathered groups. Rounds go on while they find links
+   and more pairs of different components share buckets than a multiple of the documents concerned.
 4. Buckets that still hold several components are compared in blocks of bounded size on the long
    signatures; pairs of different components that can reach the threshold go to the check.
 5. A pair links if 100 * |A & B| >= percent * |A | B| on the full sets. Components follow.
@@ -251,17 +251,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     full = signed.where("n > 0 and id is not null")
     heads = full.groupBy("f1", "f2").agg(F.min(F.struct("id", "keys")).alias("h")).select("f1", "f2", F.col("h.id").alias("rep"), F.col("h.keys").alias("keys"))
     heads = scratch.save(heads)
-    rows = heads.select(F.explode("keys").alias("key"), F.col("rep").alias("id")).distinct()
+    rows = heads.select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
     many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = scratch.save(rows.join(many, "key"))
     sets = scratch.save(_filtered(docs, met.select("id").distinct()).mapInPandas(lambda it: _sets(it, k), "id long, n long, s array<long>, sig binary"))
     mates = met.groupBy("id").agg(F.sum("c").alias("p"))
     links = seen = joined = None
     here = met.withColumn("comp", F.col("id"))  # rows of buckets that hold several components
+    gained = 1.0
     for turn in range(ROUNDS):
         if turn:
             load = here.groupBy("key").agg(F.count("*").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"), F.sum("m").alias("rows")).first()
-            if not load["rows"] or load["pairs"] <= 16 * load["rows"]:
+            if not load["rows"] or load["pairs"] <= 16 * load["rows"] or gained < 0.05:
                 break
         scored = here.join(mates, "id") if turn == 0 else here.withColumn("p", F.xxhash64("id", F.lit(turn)))
         hubs = scored.groupBy("key").agg(F.max(F.struct("p", "id", "comp")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
@@ -270,6 +271,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         pairs = _ordered(best.select(F.explode("m").alias("h"), "id").select(F.col("h.hub").alias("a"), F.col("id").alias("b")))
         pairs = scratch.save(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         found = scratch.save(confirm(sets, pairs, percent))
+        gained = found.count() / max(pairs.count(), 1)
         links, seen = (found, pairs) if links is None else (links.union(found), seen.union(pairs))
         joined = components(scratch, links)
         now = here.drop("comp").join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("comp"))
