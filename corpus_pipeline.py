@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, minhash, packing, pii, quality
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, maybe_in
 from tessera.session import ship
 
 
@@ -42,14 +42,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = minhash.near_duplicates(docs).where("kept").groupBy("id").agg(F.count("*").alias("n"))
-    found = Scratch(spark).save(found)
-    named = _named(docs)
-    out = named.join(found, named["doc_id"].eqNullSafe(found["id"]), "left_semi")
-    if not found.where("id is not null and n > 1").isEmpty():  # rows of equal id
+    found = Scratch(spark).save(minhash.near_duplicates(docs).select("id", "kept"))
+    drop = found.where("not kept").select("id").distinct()
+    hit, named = maybe_in(drop), _named(docs)
+    # texts that surely stay are not shuffled; the others are held against the exact list
+    rest = named.where(hit("doc_id"))
+    out = named.where(~hit("doc_id")).union(rest.join(drop, rest["doc_id"] == drop["id"], "left_anti"))
+    twice = Scratch(spark).save(found.where("kept and id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if not twice.isEmpty():  # rows of equal id: one stays
         turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-        once = out.where("doc_id is not null").withColumn("turn", turn).where("turn = 1").drop("turn")
-        out = once.union(out.where("doc_id is null"))
+        many = out.join(twice, out["doc_id"] == twice["id"], "left_semi")
+        out = out.join(twice, out["doc_id"] == twice["id"], "left_anti").union(many.withColumn("turn", turn).where("turn = 1").drop("turn"))
     return _restored(out, docs)
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,36 @@ def crc_mod(key: str | Column, mod: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % mod
 
 
+#: Most bits of a Bloom filter: 16 MB, whatever it is made from
+FILTER_BITS = 1 << 27
+
+
+def maybe_in(ids: DataFrame, most: int = FILTER_BITS):
+    """A function of a column name that gives true for every id in ``ids`` (one column) and for few
+    others: a Bloom filter of bounded size. It lets rows be told apart where they are read, so that
+    only those that need an exact join are shuffled. Nulls give false."""
+    name, n, bits = ids.columns[0], ids.count(), 1 << 16
+    while bits < min(16 * n, most):
+        bits *= 2
+    places = lambda c: [F.pmod(F.xxhash64(F.col(c), F.lit(j)), F.lit(bits)) for j in range(4)]
+    at = ids.select(F.explode(F.array(*places(name))).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+    table = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():  # at most most / 64 rows
+        table[r.w] = r.b
+    sent = ids.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def passes(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        ok = np.ones(len(a), bool)
+        for x in (a, b, c, d):
+            p = x.to_numpy(np.int64)
+            ok &= (sent.value[p >> 6] >> (p & 63)) & 1 == 1
+        return pd.Series(ok)
+
+    return lambda c: F.coalesce(F.when(F.col(c).isNotNull(), passes(*places(c))), F.lit(False))
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable.
 
@@ -59,9 +91,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     pairs = scratch.save(pairs)
-    total = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = total(pairs)
-    while before[0]:
+    while not pairs.isEmpty():
         # large star: every neighbour above u points to the least of u and its neighbours
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -76,11 +106,11 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             .distinct()
         )
         new = scratch.save(small)
-        now = total(new)
         scratch.drop(pairs)
         pairs = new
-        if now == before:
+        # done when every node has one root and no root has one
+        nodes = pairs.groupBy("u").agg(F.count("*").alias("n"))
+        if nodes.where("n > 1").isEmpty() and nodes.join(pairs.select(F.col("v").alias("u")), "u", "left_semi").isEmpty():
             break
-        before = now
     roots = pairs.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)

@@ -17,7 +17,7 @@ bucket keys. With 50 bands a pair at similarity 0.8 shares a bucket with probabi
 5. A pair links if 100 * |A & B| >= percent * |A | B| on the full sets. Components follow.
 
 Steps 3 and 4 lose no link that meets in a bucket except where it would join what is joined already,
-or where a signature of 512 values lies over four deviations too low.
+or where a signature of 1024 values lies over four deviations too low.
 
 Defined cases: null and empty texts and texts without words have empty sets and link with nothing;
 a text of fewer than k words is one shingle of all its words; rows of equal id are one document;
@@ -35,10 +35,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import FILTER_BITS, Scratch, components, maybe_in
 
 PERMS, PER_BAND, BLOCK, CHUNK = 200, 4, 2048, 1 << 19
-LONG, FILTER_BITS, ROUNDS = 256, 1 << 27, 6
+LONG, ROUNDS = 512, 6
 U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -200,33 +200,6 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
         yield pd.concat(carry, ignore_index=True)
 
 
-def _filtered(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id may be in ``ids``, by a Bloom filter of bounded size: no text is
-    shuffled to find the few that are needed. Others that pass are harmless."""
-    n = ids.count()
-    bits = 1 << 16
-    while bits < min(16 * n, FILTER_BITS):
-        bits *= 2
-    places = F.array(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(bits)) for j in range(4)])
-    at = ids.select(F.explode(places).alias("p"))
-    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    table = np.zeros(bits // 64, np.int64)
-    for r in words.toLocalIterator():
-        table[r.w] = r.b
-    sent = docs.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def passes(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        ok = np.ones(len(a), bool)
-        for x in (a, b, c, d):
-            p = x.to_numpy(np.int64)
-            ok &= (sent.value[p >> 6] >> (p & 63)) & 1 == 1
-        return pd.Series(ok)
-
-    rows = docs.where("id is not null")
-    return rows.where(passes(*[F.pmod(F.xxhash64("id", F.lit(j)), F.lit(bits)) for j in range(4)]))
-
-
 def confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that reach the threshold on the full sets."""
     right, left = sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
@@ -240,7 +213,7 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, perms: int = PERMS, floor: float = 0.725) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, perms: int = PERMS, floor: float = 0.745) -> DataFrame:
     """id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
     ``floor`` is the share of equal signature values from which a pair of step 3 is checked; it is
@@ -254,7 +227,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     rows = heads.select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
     many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = scratch.save(rows.join(many, "key"))
-    sets = scratch.save(_filtered(docs, met.select("id").distinct()).mapInPandas(lambda it: _sets(it, k), "id long, n long, s array<long>, sig binary"))
+    sets = scratch.save(docs.where("id is not null").where(maybe_in(met.select("id").distinct(), FILTER_BITS)("id")).mapInPandas(lambda it: _sets(it, k), "id long, n long, s array<long>, sig binary"))
     mates = met.groupBy("id").agg(F.sum("c").alias("p"))
     links = seen = joined = None
     here = met.withColumn("comp", F.col("id"))  # rows of buckets that hold several components
