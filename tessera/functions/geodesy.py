@@ -125,6 +125,31 @@ class Spheroid:
         d = 2 * w * self.a * (1 + self.f * h1 * sf * sf * cg * cg - self.f * h2 * cf * cf * sg * sg)
         return F.when(s == 0, F.lit(0.0)).when(c == 0, F.lit(math.pi * self.a)).otherwise(d)
 
+    def thomas(self, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+        """Second-order correction of the great circle (Thomas 1970), on reduced latitudes."""
+        f = self.f
+
+        def first(i: Column) -> Column:
+            t1, t2 = F.atan((1 - f) * F.tan(F.radians(i["a"]))), F.atan((1 - f) * F.tan(F.radians(i["b"])))
+            m, d, half = F.sin((t1 + t2) / 2), F.sin((t2 - t1) / 2), F.sin(F.radians(i["l"]) / 2)
+            s, c, k = m * m, d * d, half * half
+            return F.struct(s.alias("s"), c.alias("c"), (c + (1 - s - c) * k).alias("L"))
+
+        def second(i: Column) -> Column:
+            big, s, c = i["L"], i["s"], i["c"]
+            u, v = 2 * s * (1 - c) / (1 - big), 2 * c * (1 - s) / big
+            d = F.acos(1 - 2 * big)
+            return F.struct((u + v).alias("x"), (u - v).alias("y"), (d / F.sin(d)).alias("t"), (2 - 4 * big).alias("e"), F.sin(d).alias("sd"))
+
+        def third(i: Column) -> Column:
+            x, y, t, e = i["x"], i["y"], i["t"], i["e"]
+            d4 = 4 * t * t
+            n = x * (d4 * e + (t - (d4 * e - e) / 2) * x) - y * (2 * d4 + e * y) + d4 * x * y
+            return self.a * i["sd"] * (t - f * (t * x - y) / 4 + f * f * n / 64)
+
+        start = F.struct(lat1.cast("double").alias("a"), lat2.cast("double").alias("b"), (lon2 - lon1).cast("double").alias("l"))
+        return let(let(start, first), lambda i: F.when(i["L"] <= 1e-24, F.lit(0.0)).otherwise(let(let(i, second), third)))
+
     def vincenty(self, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
         """Iterated inverse problem, to about a millimetre; near-antipodal points that do not
         converge get the great-circle distance of the mean radius."""

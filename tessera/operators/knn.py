@@ -102,3 +102,49 @@ def _covers(queries: DataFrame, stats, dims: list[str], reach: float) -> bool:
     if q[f"lo{dims[0]}"] is None:
         return True
     return all(max(stats[f"hi{d}"], q[f"hi{d}"]) - min(stats[f"lo{d}"], q[f"lo{d}"]) <= reach for d in dims)
+
+
+def geographic_knn(queries: DataFrame, obs: DataFrame, k: int = 8, lon: str = "lon", lat: str = "lat", radius: float | None = None, sphere: float = WGS84.mean_radius, **how) -> DataFrame:
+    """The k nearest by great-circle distance in metres: chords on the sphere have the same order."""
+    import math
+
+    ball = Spheroid(sphere, 0.0)
+    chord = None if radius is None else 2 * sphere * math.sin(min(radius / (2 * sphere), math.pi / 2))
+    out = knn_join(to_ecef(queries, lon, lat, None, ball), to_ecef(obs, lon, lat, None, ball), ["x", "y", "z"], k, chord, **how)
+    return out.withColumn("distance", 2 * sphere * F.asin(F.least(F.col("distance") / (2 * sphere), F.lit(1.0))))
+
+
+class PointIndex:
+    """Observations kept as a table, with the operations of an index. Points are (x, y, z[, t, ...])
+    or, with a spheroid, longitude, latitude and height."""
+
+    def __init__(self, dims: list[str], oid: str = "oid", carry: list[str] = ("value",)):
+        self.dims, self.oid, self.carry, self.table = dims, oid, list(carry), None
+
+    def packing(self, df: DataFrame) -> PointIndex:
+        """Replaces all observations."""
+        self.table = df.select(self.oid, *self.dims, *self.carry)
+        return self
+
+    def insert(self, df: DataFrame) -> PointIndex:
+        more = df.select(self.oid, *self.dims, *self.carry)
+        self.table = more if self.table is None else self.table.unionByName(more)
+        return self
+
+    def clear(self) -> None:
+        self.table = None
+
+    def size(self) -> int:
+        return 0 if self.table is None else self.table.count()
+
+    def empty(self) -> bool:
+        return self.table is None or self.table.isEmpty()
+
+    def bounds(self):
+        return None if self.table is None else self.table.agg(*[F.min(d).alias(f"{d}_min") for d in self.dims], *[F.max(d).alias(f"{d}_max") for d in self.dims]).first()
+
+    def query(self, queries: DataFrame, k: int = 8, radius: float | None = None, boundary: str = "none", qid: str = "qid") -> DataFrame:
+        return knn_join(queries, self.table, self.dims, k, radius, qid, self.oid, self.carry, boundary)
+
+    def query_ball(self, queries: DataFrame, radius: float, qid: str = "qid") -> DataFrame:
+        return radius_join(queries, self.table, self.dims, radius, qid, self.oid)

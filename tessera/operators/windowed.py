@@ -96,6 +96,28 @@ def interpolate(grid: Grid, points: DataFrame, id_: str, columns: list[str], met
     return out.select(*cols, *([F.col("v.slope").alias("derivative")] if derivative else []))
 
 
+class RegularGridInterpolator:
+    """One call for all methods: bilinear, idw and nearest from corners, the others from windows.
+    Options of the one kind are refused with the other."""
+
+    CORNERS = ("bilinear", "idw", "nearest")
+
+    def __init__(self, grid: Grid):
+        self.grid = grid
+
+    def __call__(self, points: DataFrame, id_: str, columns: list[str], method: str = "bilinear", **options) -> DataFrame:
+        from .grid import interpolate as corners
+
+        windowed_only = {"half", "boundary", "derivative"} & set(options)
+        if method in self.CORNERS and len(self.grid.axes) > 1:
+            if windowed_only:
+                raise TypeError(f"{method} takes no {', '.join(sorted(windowed_only))}")
+            return corners(self.grid, points, id_, columns, method, **options)
+        if "exponent" in options:
+            raise TypeError(f"{method} takes no exponent")
+        return interpolate(self.grid, points, id_, columns, method, **options)
+
+
 def _unwrapped(c: np.ndarray, x: np.ndarray, period: float) -> np.ndarray:
     """Coordinates of a window across the seam, increasing from its first node, moved next to x."""
     d = np.diff(c, axis=1)

@@ -270,3 +270,39 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["ix"], r["count"], r["mean"]) for r in spark.table("bins").collect()) == [(h, 5, 2.0) for h in range(4)]
+
+
+def test_index_and_geographic_neighbours(spark):
+    rng = np.random.default_rng(7)
+    o = [(i, float(x), float(y), float(i)) for i, (x, y) in enumerate(zip(rng.uniform(-180, 180, 120), rng.uniform(-89, 89, 120), strict=True))]
+    q = [(0, 179.9, 10.0), (1, 0.0, 89.0), (2, -33.0, -20.0)]
+    od, qd = spark.createDataFrame(o, "oid int, lon double, lat double, value double"), spark.createDataFrame(q, "qid int, lon double, lat double")
+    r = geodesy.WGS84.mean_radius
+    for row in knn.geographic_knn(qd, od, 3).collect():
+        a, b = q[row.qid], o[row.oid]
+        h = math.sin(math.radians(b[2] - a[2]) / 2) ** 2 + math.cos(math.radians(a[2])) * math.cos(math.radians(b[2])) * math.sin(math.radians(b[1] - a[1]) / 2) ** 2
+        assert row.distance == pytest.approx(2 * r * math.asin(math.sqrt(h)), rel=1e-9)
+    index = knn.PointIndex(["lon", "lat"]).packing(od.limit(100)).insert(od.where("oid >= 100"))
+    assert index.size() == 120 and index.query(qd, 4).count() == 12 and index.query_ball(qd, 1000.0).count() == 360
+    index.clear()
+    assert index.empty()
+
+
+def test_thomas_agrees_with_vincenty(spark):
+    w = geodesy.WGS84
+    for x, y in ((10.0, 50.0), (-70.0, 5.0), (2.0, 48.0)):
+        t = spark.range(1).select(w.thomas(F.lit(2.0), F.lit(48.0), F.lit(x), F.lit(y))).first()[0]
+        v = geodesy.vincenty_inverse(np.array([2.0]), np.array([48.0]), np.array([x]), np.array([y]), w.a, w.f, w.b, w.mean_radius)[0][0]
+        assert t == pytest.approx(v, abs=0.5)
+
+
+def test_interpolator_checks_options(spark):
+    ax = Axis.linspace(0, 1, 8)
+    cells = spark.range(64).selectExpr("id div 8 as i", "id % 8 as j", "cast(id as double) as v")
+    f = windowed.RegularGridInterpolator(grid.Grid.from_cells([ax, ax], cells, ["i", "j"], "v"))
+    p = spark.createDataFrame([(0, 3.5, 3.5)], "id int, x double, y double")
+    assert f(p, "id", ["x", "y"]).first().value == pytest.approx(31.5) and f(p, "id", ["x", "y"], "bicubic").first().value == pytest.approx(31.5)
+    with pytest.raises(TypeError):
+        f(p, "id", ["x", "y"], "idw", half=2)
+    with pytest.raises(TypeError):
+        f(p, "id", ["x", "y"], "akima", exponent=2)
