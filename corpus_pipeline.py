@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import langid, minhash, packing, pii, quality
-from tessera.llm.common import Scratch, maybe_in
+from tessera.llm.common import Bloom, Scratch
 from tessera.session import ship
 
 
@@ -44,10 +44,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = Scratch(spark).save(minhash.near_duplicates(docs).select("id", "kept"))
     drop = found.where("not kept").select("id").distinct()
-    hit, named = maybe_in(drop), _named(docs)
+    bloom, named = Bloom(drop), _named(docs)
     # texts that surely stay are not shuffled; the others are held against the exact list
-    rest = named.where(hit("doc_id"))
-    out = named.where(~hit("doc_id")).union(rest.join(drop, rest["doc_id"] == drop["id"], "left_anti"))
+    rest = named.where(bloom.maybe("doc_id"))
+    out = named.where(~bloom.maybe("doc_id")).union(rest.join(drop, rest["doc_id"] == drop["id"], "left_anti"))
     twice = Scratch(spark).save(found.where("kept and id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
     if not twice.isEmpty():  # rows of equal id: one stays
         turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))

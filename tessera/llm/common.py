@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,34 +56,59 @@ def crc_mod(key: str | Column, mod: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % mod
 
 
+def tidy() -> None:
+    """Gives memory that a worker has freed back to the machine, at the end of a task: workers stay
+    alive for the next stage, and several of them share an executor's limit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 #: Most bits of a Bloom filter: 16 MB, whatever it is made from
 FILTER_BITS = 1 << 27
 
 
-def maybe_in(ids: DataFrame, most: int = FILTER_BITS):
-    """A function of a column name that gives true for every id in ``ids`` (one column) and for few
-    others: a Bloom filter of bounded size. It lets rows be told apart where they are read, so that
-    only those that need an exact join are shuffled. Nulls give false."""
-    name, n, bits = ids.columns[0], ids.count(), 1 << 16
-    while bits < min(16 * n, most):
-        bits *= 2
-    places = lambda c: [F.pmod(F.xxhash64(F.col(c), F.lit(j)), F.lit(bits)) for j in range(4)]
-    at = ids.select(F.explode(F.array(*places(name))).alias("p"))
-    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
-    table = np.zeros(bits // 64, np.int64)
-    for r in words.toLocalIterator():  # at most most / 64 rows
-        table[r.w] = r.b
-    sent = ids.sparkSession.sparkContext.broadcast(table)
-
-    @F.pandas_udf("boolean")
-    def passes(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-        ok = np.ones(len(a), bool)
-        for x in (a, b, c, d):
-            p = x.to_numpy(np.int64)
-            ok &= (sent.value[p >> 6] >> (p & 63)) & 1 == 1
-        return pd.Series(ok)
-
-    return lambda c: F.coalesce(F.when(F.col(c).isNotNull(), passes(*places(c))), F.lit(False))
+class Bloom:
+    """A Bloom filter of the ids in a one-column frame, of at most ``most`` bits. It lets rows be
+    told apart where they are read, so that only those that need an exact join are shuffled."""
+
+    def __init__(self, ids: DataFrame, most: int = FILTER_BITS):
+        n, bits = ids.count(), 1 << 16
+        while bits < min(16 * n, most):
+            bits *= 2
+        self.bits = bits
+        at = ids.select(F.explode(self.places(ids.columns[0])).alias("p"))
+        words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b"))
+        table = np.zeros(bits // 64, np.int64)
+        for r in words.toLocalIterator():  # at most most / 64 rows
+            table[r.w] = r.b
+        self.sent = ids.sparkSession.sparkContext.broadcast(table)
+
+    def places(self, column: str) -> Column:
+        """Bit places of a row's id, an array; NULL for a null id."""
+        return F.when(F.col(column).isNotNull(), F.array(*[F.pmod(F.xxhash64(F.col(column), F.lit(j)), F.lit(self.bits)) for j in range(4)]))
+
+    def maybe(self, column: str) -> Column:
+        """True for every id of the filter and for few others; false for a null."""
+        sent = self.sent
+
+        @F.pandas_udf("boolean")
+        def passes(places: pd.Series) -> pd.Series:
+            return pd.Series(hits(sent.value, places))
+
+        return passes(self.places(column))
+
+
+def hits(table: np.ndarray, places: pd.Series) -> np.ndarray:
+    """Which rows' bits are all set."""
+    known = places.notna().to_numpy()
+    out = np.zeros(len(places), bool)
+    if known.any():
+        p = np.stack(places[known].to_list()).astype(np.int64)
+        out[known] = ((table[p >> 6] >> (p & 63)) & 1 == 1).all(1)
+    return out
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ predicted; equal texts get equal results; texts of any length are read whole, in
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, tidy
 
 BITS = 16
 SIZES = (2, 3, 4)
@@ -162,7 +163,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "lang
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double, ambiguous boolean")
-    def predict(col: pd.Series) -> pd.DataFrame:
-        return sent.value.predict([t if isinstance(t, str) else None for t in col])
+    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for col in parts:
+                yield sent.value.predict([t if isinstance(t, str) else None for t in col])
+        finally:
+            tidy()
 
     return docs.withColumn(out, predict(F.col(f"`{text}`")))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, Scratch, components, maybe_in
+from .common import FILTER_BITS, Bloom, Scratch, components, hits, tidy
 
 PERMS, PER_BAND, BLOCK, CHUNK = 200, 4, 2048, 1 << 19
 LONG, ROUNDS = 512, 6
@@ -141,10 +141,11 @@ def _signed(batches: Iterator[pd.DataFrame], k: int, perms: int) -> Iterator[pd.
             yield out
 
 
-def _sets(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """The set of each text, and a signature of 2 * ``LONG`` bytes."""
+def _sets(batches: Iterator[pd.DataFrame], k: int, wanted) -> Iterator[pd.DataFrame]:
+    """The set of each text whose id passes the Bloom filter, and a signature of 2 * ``LONG`` bytes."""
     a, b = _perms(LONG, 31)
     for pdf in batches:
+        pdf = pdf[hits(wanted.value, pdf["places"])]
         for lo in range(0, len(pdf), 500):
             part, rows = pdf.iloc[lo : lo + 500], []
             for i, v in zip(part["id"].tolist(), shingle_sets(part["t"].tolist(), k), strict=True):
@@ -162,6 +163,8 @@ def _block_pairs(batches: Iterator[pd.DataFrame], percent: int, floor: float) ->
             return None
         sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
         ids, comp, n, blk = (g[c].to_numpy() for c in ("id", "comp", "n", "blk"))
+        keys = np.stack(g["keys"].to_list())
+        band = int((keys == g["key"].iloc[0]).any(0).argmax())
         found = []
         left = np.flatnonzero(blk == g["lo"].iloc[0])
         right = np.flatnonzero(blk == g["hi"].iloc[0])
@@ -170,6 +173,8 @@ def _block_pairs(batches: Iterator[pd.DataFrame], percent: int, floor: float) ->
             if g["lo"].iloc[0] == g["hi"].iloc[0]:
                 r = r[r > i]
             if len(r):
+                # a pair that shares several buckets is taken in that of its first common band
+                r = r[(keys[r] == keys[i]).argmax(1) == band]
                 r = r[(sig[r] == sig[i]).mean(1) >= floor]
                 found += [(ids[i], ids[j]) for j in r]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else None
@@ -179,6 +184,14 @@ def _block_pairs(batches: Iterator[pd.DataFrame], percent: int, floor: float) ->
             yield out
 
 
+def _tidied(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    try:
+        yield from frames
+    finally:
+        _powers.clear()
+        tidy()
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """The groups of a partition that is sorted by ``keys``; one group is held at a time."""
     carry: list[pd.DataFrame] = []
@@ -213,21 +226,23 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, perms: int = PERMS, floor: float = 0.745) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, perms: int = PERMS, floor: float = 0.752) -> DataFrame:
     """id, n_shingles, component_id, kept: one row for each row of ``docs``.
 
     ``floor`` is the share of equal signature values from which a pair of step 3 is checked; it is
     for ``percent`` 80 and must fall with it."""
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
-    signed = scratch.save(docs.mapInPandas(lambda it: _signed(it, k, perms), "id long, n long, f1 long, f2 long, keys array<long>"))
+    signed = scratch.save(docs.mapInPandas(lambda it: _tidied(_signed(it, k, perms)), "id long, n long, f1 long, f2 long, keys array<long>"))
     full = signed.where("n > 0 and id is not null")
     heads = full.groupBy("f1", "f2").agg(F.min(F.struct("id", "keys")).alias("h")).select("f1", "f2", F.col("h.id").alias("rep"), F.col("h.keys").alias("keys"))
     heads = scratch.save(heads)
     rows = heads.select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
     many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     met = scratch.save(rows.join(many, "key"))
-    sets = scratch.save(docs.where("id is not null").where(maybe_in(met.select("id").distinct(), FILTER_BITS)("id")).mapInPandas(lambda it: _sets(it, k), "id long, n long, s array<long>, sig binary"))
+    bloom = Bloom(met.select("id").distinct(), FILTER_BITS)
+    wanted = bloom.sent
+    sets = scratch.save(docs.where("id is not null").select("id", "t", bloom.places("id").alias("places")).mapInPandas(lambda it: _tidied(_sets(it, k, wanted)), "id long, n long, s array<long>, sig binary"))
     mates = met.groupBy("id").agg(F.sum("c").alias("p"))
     links = seen = joined = None
     here = met.withColumn("comp", F.col("id"))  # rows of buckets that hold several components
@@ -256,13 +271,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     blocks = F.ceil(F.col("c") / BLOCK).cast("long")
     split = (
         here.join(sets.select("id", "n", "sig").hint("merge"), "id")
+        .join(heads.select(F.col("rep").alias("id"), "keys"), "id")
         .withColumn("blk", F.pmod(F.xxhash64("id"), blocks))
-        .select("key", "id", "comp", "n", "sig", "blk", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
-        .select("key", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "id", "comp", "n", "sig", "blk")
+        .select("key", "id", "comp", "n", "sig", "keys", "blk", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("o"))
+        .select("key", F.least("blk", "o").alias("lo"), F.greatest("blk", "o").alias("hi"), "id", "comp", "n", "sig", "keys", "blk")
         .repartition("key", "lo", "hi")
         .sortWithinPartitions("key", "lo", "hi")
     )
-    more = _ordered(split.mapInPandas(lambda it: _block_pairs(it, percent, floor), "a long, b long"))
+    more = _ordered(split.mapInPandas(lambda it: _tidied(_block_pairs(it, percent, floor)), "a long, b long"))
     more = scratch.save(more.join(seen, ["a", "b"], "left_anti"))
     extra = scratch.save(confirm(sets, more, percent))
     scratch.drop(met, more, sets)

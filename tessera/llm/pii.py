@@ -19,6 +19,7 @@ a network trained on generated text alone.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 TAGS = 1 + 2 * len(KINDS)  # O, then B and I of each kind
@@ -404,10 +405,14 @@ def find(docs: DataFrame, net: Network, text: str = "text", out: str = "pii") ->
     counts = [f"n_{k}" for k in KINDS]
 
     @F.pandas_udf("base string, spans string, " + ", ".join(f"{c} long" for c in counts) + ", redacted string")
-    def run(col: pd.Series) -> pd.DataFrame:
-        texts = [t if isinstance(t, str) else None for t in col]
-        base, whole = Finder(sent.value).spans(texts)
-        rows = [(joined(b), joined(w), *[sum(k == j for _, k, _ in b) for j in range(4)], None if t is None else redact(t, w)) for t, b, w in zip(texts, base, whole, strict=True)]
-        return pd.DataFrame(rows, columns=["base", "spans", *counts, "redacted"])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        try:
+            for col in parts:
+                texts = [t if isinstance(t, str) else None for t in col]
+                base, whole = Finder(sent.value).spans(texts)
+                rows = [(joined(b), joined(w), *[sum(k == j for _, k, _ in b) for j in range(4)], None if t is None else redact(t, w)) for t, b, w in zip(texts, base, whole, strict=True)]
+                yield pd.DataFrame(rows, columns=["base", "spans", *counts, "redacted"])
+        finally:
+            tidy()
 
     return docs.withColumn(out, run(F.col(f"`{text}`")))
