@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.let import let
+
 SMALL = 64
 
 
@@ -204,26 +206,27 @@ class Axis:
         mirrored points, ``wrap`` the other end; a periodic axis always wraps."""
         if half < 1:
             raise ValueError("half must be 1 or more")
-        n, pair = len(self), self.find_indexes(c)
-        base = F.when(pair["i1"] == 0, F.lit(n - 1)).otherwise(pair["i0"])
-        ids = F.transform(F.sequence(F.lit(1 - half), F.lit(half)), lambda o: base + o)
-        if self.periodic or boundary == "wrap":
-            out = F.transform(ids, lambda i: F.pmod(i, F.lit(n)))
-        elif boundary == "expand":
-            out = F.transform(ids, lambda i: F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)))
-        elif boundary == "sym":
-            def mirror(i):
-                m = F.pmod(i, F.lit(max(2 * n - 2, 1)))
-                return F.least(m, F.lit(2 * n - 2) - m)
-
-            out = F.transform(ids, mirror)
-        elif boundary == "shrink":
-            out = F.filter(ids, lambda i: (i >= 0) & (i < n))
-        elif boundary == "undef":
-            out = F.when(F.forall(ids, lambda i: (i >= 0) & (i < n)), ids)
-        else:
+        if boundary not in ("undef", "shrink", "expand", "sym", "wrap"):
             raise ValueError(f"no boundary {boundary!r}")
-        return F.when(pair.isNotNull(), out)
+        n = len(self)
+
+        def bounded(ids: Column) -> Column:
+            if self.periodic or boundary == "wrap":
+                return F.transform(ids, lambda i: F.pmod(i, F.lit(n)))
+            if boundary == "expand":
+                return F.transform(ids, lambda i: F.least(F.greatest(i, F.lit(0)), F.lit(n - 1)))
+            if boundary == "sym":
+                around = max(2 * n - 2, 1)
+                return F.transform(ids, lambda i: F.least(F.pmod(i, F.lit(around)), F.lit(2 * n - 2) - F.pmod(i, F.lit(around))))
+            inside = lambda i: (i >= 0) & (i < n)
+            return F.filter(ids, inside) if boundary == "shrink" else F.when(F.forall(ids, inside), ids)
+
+        def around(pair: Column) -> Column:
+            base = F.when(pair["i1"] == 0, F.lit(n - 1)).otherwise(pair["i0"])
+            ids = F.transform(F.sequence(F.lit(1 - half), F.lit(half)), lambda o: base + o)
+            return F.when(pair.isNotNull(), let(ids, bounded))
+
+        return let(self.find_indexes(c), around)
 
 
 class TemporalAxis(Axis):

@@ -93,11 +93,11 @@ COVARIANCE = {
 }
 
 
-def _solved(neighbours: DataFrame, queries: DataFrame, dims: list[str], qid: str, solve, extra: list[str] = (), schema: str = "value double") -> DataFrame:
+def _solved(neighbours: DataFrame, queries: DataFrame, dims: list[str], qid: str, solve, extra: list[str] = (), schema: str = "value double", own: list[str] = ()) -> DataFrame:
     """Collects the bounded neighbours of a query and runs ``solve(p (n,k,d), v (n,k), e, q (n,d))``
     on all queries of a batch that have the same number."""
     lists = neighbours.groupBy(qid).agg(F.sort_array(F.collect_list(F.struct("distance", *[F.col(d) for d in dims], "value", *extra))).alias("s"))
-    rows = queries.select(qid, *dims).join(lists, qid, "left")
+    rows = queries.select(qid, *dims, *own).join(lists, qid, "left")
     names = [x.split()[0] for x in schema.split(", ")]
 
     @F.pandas_udf(schema)
@@ -109,13 +109,13 @@ def _solved(neighbours: DataFrame, queries: DataFrame, dims: list[str], qid: str
             at = np.flatnonzero(sizes == k)
             a = np.array([np.asarray(s.iloc[i], float) for i in at]).reshape(len(at), k, -1)
             nd = len(dims)
-            got = solve(a[:, :, :nd], a[:, :, nd], a[:, :, nd + 1 :], at_q[at])
+            got = solve(a[:, :, :nd], a[:, :, nd], a[:, :, nd + 1 :], at_q[at, :nd], *at_q[at, nd:].T)
             out[at] = np.stack(got, 1) if isinstance(got, tuple) else np.asarray(got)[:, None]
         return pd.DataFrame({n: pd.Series(out[:, j]).astype(object).where(np.isfinite(out[:, j]), None) for j, n in enumerate(names)})
 
     flat = F.transform("s", lambda x: F.array(*[x[d].cast("double") for d in dims], x["value"].cast("double"), *[x[e].cast("double") for e in extra]))
-    rows = rows.select(qid, *dims, F.size("s").alias("k"), F.flatten(flat).alias("f"))
-    out = rows.withColumn("r", F.when(F.col("f").isNotNull(), run(F.col("k"), F.col("f"), *dims)))
+    rows = rows.select(qid, *dims, *own, F.size("s").alias("k"), F.flatten(flat).alias("f"))
+    out = rows.withColumn("r", F.when(F.col("f").isNotNull(), run(F.col("k"), F.col("f"), *dims, *own)))
     return out.select(qid, *[F.col(f"r.{n}").alias(n) for n in names], F.when(F.col("f").isNotNull(), F.col("k")).otherwise(0).cast("long").alias("neighbours"))
 
 
@@ -184,18 +184,23 @@ def kriging(neighbours: DataFrame, queries: DataFrame, dims: list[str], covarian
     return _solved(neighbours, queries, dims, qid, solve)
 
 
-def optimal_interpolation(neighbours: DataFrame, queries: DataFrame, dims: list[str], scales: list[float], sigma: float = 1.0, covariance: str = "gaussian", error: str = "sigma2", qid: str = "qid") -> DataFrame:
+def optimal_interpolation(neighbours: DataFrame, queries: DataFrame, dims: list[str], scales: list[float | str], sigma: float = 1.0, covariance: str = "gaussian", error: str = "sigma2", qid: str = "qid") -> DataFrame:
     """(qid, value, std, neighbours): simple kriging with one length scale for each coordinate and
-    an error variance for each observation (column ``error``)."""
-    if not (sigma > 0 and all(s > 0 and math.isfinite(s) for s in scales)):
+    an error variance for each observation (column ``error``). A scale is a number, or the name of
+    a column of ``queries`` (for instance sampled from a grid by ``grid.interpolate``)."""
+    if not (sigma > 0 and all(isinstance(s, str) or (s > 0 and math.isfinite(s)) for s in scales)):
         raise ValueError("scales and sigma are positive and finite")
-    s, cov = np.array(scales, float), COVARIANCE[covariance]
-
-    def solve(p, v, e, q):
-        k = p.shape[1]
+    cov, named = COVARIANCE[covariance], [s for s in scales if isinstance(s, str)]
+    for c in named:
+        bad = F.col(c).isNull() | F.isnan(c) | (F.col(c) <= 0)
+        queries = queries.withColumn(c, F.when(bad, F.raise_error(F.lit(f"{c} must be positive and finite"))).otherwise(F.col(c)).cast("double"))
+
+    def solve(p, v, e, q, *own):
+        k, own = p.shape[1], list(own)
+        s = np.stack([own.pop(0) if isinstance(x, str) else np.full(len(p), float(x)) for x in scales], 1)[:, None]
         c = sigma * sigma * cov(_between(p / s)) + e[:, :, 0, None] * np.eye(k)
         c0 = sigma * sigma * cov(np.sqrt((((p - q[:, None]) / s) ** 2).sum(2)))
         w = _safe(c, c0)
         return (w * v).sum(1), np.sqrt(np.maximum(sigma * sigma - (w * c0).sum(1), 0))
 
-    return _solved(neighbours, queries, dims, qid, solve, [error], "value double, std double")
+    return _solved(neighbours, queries, dims, qid, solve, [error], "value double, std double", named)

@@ -128,6 +128,9 @@ def test_solvers_reproduce_observations(spark):
     want = {i: float(o[i].sum()) for i in range(6)}
     for out in (scattered.radial_basis(n, qd, ["x", "y", "z"]), scattered.kriging(n, qd, ["x", "y", "z"]), scattered.kriging(n, qd, ["x", "y", "z"], "matern_52", drift="linear"), scattered.optimal_interpolation(n, qd, ["x", "y", "z"], [1.0, 1.0, 1.0], covariance="matern_12"), scattered.inverse_distance(n)):
         assert all(r.value == pytest.approx(want[r.qid], abs=1e-4) for r in out.collect())
+    wide = qd.withColumn("lx", F.lit(1.0))
+    a = scattered.optimal_interpolation(n, wide, ["x", "y", "z"], ["lx", 1.0, 1.0], covariance="matern_12").orderBy("qid").collect()
+    assert a == scattered.optimal_interpolation(n, qd, ["x", "y", "z"], [1.0, 1.0, 1.0], covariance="matern_12").orderBy("qid").collect()
     plane = spark.createDataFrame([(99, 0.4, 0.5, 0.6)], "qid int, x double, y double, z double")
     m = knn.knn_join(plane, od, ["x", "y", "z"], 12, carry=["value"]).join(od.select("oid", "x", "y", "z"), "oid")
     assert scattered.kriging(m, plane, ["x", "y", "z"], drift="linear").first().value == pytest.approx(1.5, abs=1e-6)
