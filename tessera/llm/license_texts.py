@@ -43,18 +43,22 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
     "CC-BY": (
+        "CC BY 4.0",
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     ),
     "CC-BY-SA": (
+        "CC BY-SA 4.0",
         "Licensed under CC BY-SA 4.0.",
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
     "CC-BY-NC": (
+        "CC BY-NC 4.0",
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
     "CC-BY-ND": (
+        "CC BY-ND 4.0",
         "Licensed under CC BY-ND 4.0.",
         "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
     ),
@@ -67,13 +71,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. Released under the Unlicense license.",
     ),
     "proprietary": (
+        "All rights reserved.",
         "All rights reserved. No license is granted to copy or distribute this work.",
         "This software is proprietary and confidential. Unauthorized copying of this file, via any medium, is strictly prohibited. All copyright reserved.",
     ),
 }
 
-# A paragraph without one of these is no licence notice.
-ANCHORS = ("licen", "copyright", "permission", "permitted", "redistribut", "gpl", "warrant", "public domain", "creative commons", "proprietary", "cc0", "cc by")
+# Neighbouring lines that hold one of these are also read together.
+HINTS = ("licen", "copyright", "permission", "permitted", "redistribut", "gpl", "warrant", "public domain", "creative commons", "proprietary", "cc0", "cc by")
 
 # Sentences with such words that are no notices.
 OTHERS = (

@@ -1,6 +1,6 @@
 """Licence notices by a trained paragraph classifier.
 
-A paragraph is a line, or a run of neighbouring lines that hold words of notices. Its features are
+A paragraph is a line, or a run of neighbouring lines made up of words of notices. Its features are
 sparse word 1- to 3-grams; multinomial logistic regression, trained in numpy on the templates with
 random cuts and insertions against the class of other paragraphs (text of a bounded sample and
 sentences that use such words otherwise), predicts the family. A threshold on the probability,
@@ -8,7 +8,8 @@ set on held-out examples so that at most ``accept`` of the others pass, makes th
 A prediction stands only if a template of that family confirms it: enough of the template's
 2-grams, or of the paragraph's where it quotes a part, are shared.
 
-Paragraphs without an anchor word are no notices by definition and are not scored.
+Every paragraph that shares a word with a template is scored; one that shares none has no 2-gram
+in common with any and so cannot be confirmed.
 
 Defined cases: null and empty texts have no notice; a document may have several families, each is
 listed once, in order; equal texts get equal results; whole texts are read; an empty table gives
@@ -26,8 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample
-from .license_texts import ANCHORS, OTHERS, TEMPLATES
+from .license_texts import HINTS, OTHERS, TEMPLATES
 
+CONFIRMED = 0.6
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -41,6 +43,14 @@ def pairs(text: str) -> set[str]:
     return set(map(" ".join, zip(w, w[1:], strict=False)))
 
 
+def shared(own: set[str], templates: list[set[str]]) -> float:
+    best = 0.0
+    for t in templates:
+        common = len(own & t)
+        best = max(best, common / len(t), common / len(own) if common >= 6 and own else 0.0)
+    return best
+
+
 @dataclass
 class Model:
     families: list[str]  # the last is the unknown class
@@ -51,7 +61,21 @@ class Model:
     threshold: float = 0.5
 
     def features(self, text: str) -> list[int]:
-        return sorted({self.vocabulary[g] for g in grams(text) if g in self.vocabulary})
+        """Those of ``grams``; a gram can only be known if each of its words is."""
+        known, out, before, last = self.vocabulary, set(), "", ""
+        for w in _WORD.findall(text.lower()):
+            if w not in known:
+                before = last = ""
+                continue
+            out.add(known[w])
+            if last:
+                two = f"{last} {w}"
+                if two in known:
+                    out.add(known[two])
+                    if before and (three := f"{before} {two}") in known:
+                        out.add(known[three])
+            before, last = last, w
+        return sorted(out)
 
     def probabilities(self, rows: list[list[int]]) -> np.ndarray:
         z = np.stack([self.weights[r].sum(0) / np.sqrt(max(len(r), 1)) for r in rows]) + self.bias
@@ -60,38 +84,40 @@ class Model:
 
     def confirmed(self, family: str, text: str) -> float:
         """The greatest share of 2-grams common to the paragraph and a template of the family."""
-        own = pairs(text)
-        best = 0.0
-        for t in self.templates[family]:
-            common = len(own & t)
-            best = max(best, common / len(t), common / len(own) if common >= 6 and own else 0.0)
-        return best
-
-    def paragraphs(self, text: str) -> list[str]:
-        out, run = [], []
+        return shared(pairs(text), self.templates[family])
+
+    def paragraphs(self, text: str) -> list[tuple[str, list[int]]]:
+        """Each line, and each run of lines that hold a hint or mostly known grams, from its first
+        line and from its first hint; with features, and only those that have some."""
+        out, run, hint = [], [], None
         for line in [*text.split("\n"), ""]:
+            f = self.features(line)
+            if f:
+                out.append((line, f))
             low = line.lower()
-            if line and (any(a in low for a in ANCHORS) or (run and len(self.features(line)) * 2 > len(low.split()))):
+            hinted = any(a in low for a in HINTS)
+            if line and (hinted or len(f) * 2 > len(low.split())):
+                if hinted and hint is None:
+                    hint = len(run)
                 run.append(line)
-            elif run:
-                out += [*run, " ".join(run)] if len(run) > 1 else run
-                run = []
+            else:
+                for joined in {" ".join(run[k:]) for k in (0, hint) if k is not None and len(run) - k > 1}:
+                    if f := self.features(joined):
+                        out.append((joined, f))
+                run, hint = [], None
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, float]]:
         """(family, probability, share confirmed) of each family found, in order of name."""
-        low = (text or "").lower()
-        if not any(a in low for a in ANCHORS):
-            return []
-        found: dict[str, tuple[float, float]] = {}
-        parts = [(p, f) for p in self.paragraphs(text) if (f := self.features(p))]
+        parts = self.paragraphs(text or "")
         if not parts:
             return []
+        found: dict[str, tuple[float, float]] = {}
         for (p, _), prob in zip(parts, self.probabilities([f for _, f in parts]), strict=True):
             k = int(prob.argmax())
             if k < len(self.families) - 1 and prob[k] >= self.threshold:
                 share = self.confirmed(self.families[k], p)
-                if share >= 0.6:
+                if share >= CONFIRMED:
                     found[self.families[k]] = max(found.get(self.families[k], (0.0, 0.0)), (float(prob[k]), share))
         return [(k, *v) for k, v in sorted(found.items())]
 
@@ -161,10 +187,11 @@ def fit(others: list[str], n: int = 2400, steps: int = 120, accept: float = 0.00
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 400, longest: int = 20_000) -> Model:
-    """Fits on the templates and on paragraphs without anchors of about ``rows`` documents."""
+    """Fits on the templates and on lines that confirm no template of about ``rows`` documents."""
     use = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("length(t) between 1 and %d" % longest)
     lines = [x for r in bounded_sample(use, "k", rows).orderBy("k").collect() for x in r.t.split("\n")]
-    return fit([x for x in lines if x.strip() and not any(a in x.lower() for a in ANCHORS)])
+    templates = [pairs(t) for f in TEMPLATES.values() for t in f]
+    return fit([x for x in lines if x.strip() and shared(pairs(x), templates) < CONFIRMED])
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", out: str = "licences") -> DataFrame:

@@ -446,6 +446,43 @@ def test_licences_held_out(model):
     assert not any(model.scan(t) for t in (*licenses.OTHERS, None, "", "His license plate was lost. All rights to appeal were denied.", sentence("de", rng, 500)))
 
 
+PLANTED = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL",
+    "All rights reserved.": "proprietary",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+    "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+}
+
+
+def test_notices_without_hints_are_found(model):
+    rng = random.Random(16)
+    free = "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    cut = free.split()
+    wrapped = "\n".join(" ".join(cut[i : i + 9]) for i in range(0, len(cut), 9))
+    for line, family in {**PLANTED, free: "Unlicense", wrapped: "Unlicense", "CC-BY-SA 4.0": "CC-BY-SA", "CC-BY 4.0": "CC-BY"}.items():
+        for text in (line, sentence("en", rng, 300) + "\n" + line + "\n\n" + sentence("de", rng, 300)):
+            assert [f for f, _, _ in model.scan(text)] == [family]
+    for plain in ("All the rights of the crew were reserved.", "He is free to copy it by any means.", "The report of the year is in the file."):
+        assert model.scan(plain) == []
+
+
+def test_planted_licences_are_found_by_the_trained_model(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    m = licenses.train(d)
+    planted = [(r.text, PLANTED[x]) for r in d.collect() for x in (r.text or "").split("\n") if x in PLANTED]
+    assert planted and all(family in [f for f, _, _ in m.scan(t)] for t, family in planted)
+    assert all([f for f, _, _ in m.scan(x)] == [family] for x, family in PLANTED.items())
+
+
+def test_known_grams_are_all_grams(model):
+    rng = random.Random(17)
+    words = [w for t in licenses.OTHERS for w in t.split()] + ["zzz", "the", "of"]
+    for _ in range(200):
+        t = " ".join(rng.choice(words) for _ in range(rng.randint(0, 30))) + " the license plate of"
+        assert model.features(t) == sorted({model.vocabulary[g] for g in licenses.grams(t) if g in model.vocabulary})
+
+
 def test_licence_rows(spark, model):
     d = odd(spark).withColumn("text", F.when(F.col("doc_id") == 3, F.concat("text", F.lit("\nReleased under the MIT License."))).otherwise(F.col("text")))
     got = {r.doc_id: [x.family for x in r.licences] for r in licenses.scan(d, model).collect()}
