@@ -3,10 +3,10 @@
 The base patterns (email, ip, card, phone) find spans as stated in ``base_spans``. The network reads
 overlapping windows of the whole text, is decoded by Viterbi and adds spans that the patterns miss
 (cards with dots, phones without a plus sign, addresses with blanks, ...). Spans of all windows are
-reconciled over the text: those cut by a window's edge give way to whole ones, longer ones go
-first, overlapping ones and those that touch a base span are dropped, and each must pass its kind's
-check (digits, checksum, parts). A span holds a digit or an @ by definition, so a window with
-neither has no span and needs no network; this skips work, never a case.
+reconciled over the text: an address gets its own first and last character as edges, those cut by a
+window's edge give way to whole ones, longer ones go first, overlapping ones and those that touch a
+base span are dropped, and each must pass its kind's check (digits, checksum, parts). No span passes a check without a digit, an @, (at) or [at], so a
+window with none of these needs no network.
 
 The network is trained in numpy from labelled spans: base matches in a bounded sample of documents,
 and written variants of such data set into text of the sample.
@@ -38,7 +38,8 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]|\(dot\)|\[dot\]")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?P<at>@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| \. | ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -294,9 +295,18 @@ def _runs(path: np.ndarray, n: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def _edges(text: str, found: tuple) -> list[tuple]:
+    """A found address from its first to its last character, where the network began or ended it
+    among the words around it; other spans as they are."""
+    cut, _, s, k, e = found
+    lo = max(0, s - STRIDE)
+    whole = [m.span() for m in _ADDRESS.finditer(text, lo, e + STRIDE) if s < m.end("at") and m.start("at") < e] if k == 0 else []
+    return [(cut, a - b, a, k, b) for a, b in whole] or [found]
+
+
 def _reconcile(text: str, found: list, base: list) -> list[tuple[int, int, int]]:
     taken, out = [(s, e) for s, _, e in base], []
-    for _, _, s, k, e in sorted(set(found)):
+    for _, _, s, k, e in sorted({y for x in set(found) for y in _edges(text, x)}):
         while s < e and text[s] in " \t\n,;:":
             s += 1
         while e > s and text[e - 1] in " \t\n,;:.":
@@ -314,8 +324,10 @@ def _variants(rng: np.random.Generator) -> tuple[int, str]:
     word = lambda a, b: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(a, b))))
     kind = int(rng.integers(0, 4))
     if kind == 0:
-        at, dot = [("@", "."), (" @ ", "."), ("(at)", "."), ("[at]", "[dot]"), (" @ ", " . "), ("@", ".")][rng.integers(0, 6)]
-        return 0, f"{word(3, 9)}{'.' + digits(2) if rng.random() < 0.6 else ''}{at}{word(3, 8)}{digits(1)}{dot}{word(2, 8)}" + (f"{dot}com" if rng.random() < 0.5 else "")
+        ways = [("@", "."), (" @ ", "."), (" @ ", " . "), ("(at)", "."), ("[at]", "."), ("(at)", "(dot)"), ("[at]", "[dot]"), (" (at) ", "."), (" [at] ", "."), (" (at) ", " (dot) "), (" [at] ", " [dot] ")]
+        at, dot = ways[rng.integers(0, len(ways))]
+        local = word(3, 9) + ("", "." + digits(2), "." + word(2, 8))[rng.integers(0, 3)]
+        return 0, f"{local}{at}{word(3, 8)}{digits(1) if rng.random() < 0.5 else ''}{dot}{word(2, 8)}" + (f"{dot}com" if rng.random() < 0.5 else "")
     if kind == 1:
         return 1, [".", " . ", "[.]", "."][rng.integers(0, 4)].join(str(x) for x in rng.integers(0, 256, 4))
     if kind == 2:
@@ -328,12 +340,12 @@ def _variants(rng: np.random.Generator) -> tuple[int, str]:
 
 def _examples(texts: list[str], n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows of 64 characters and their tags: half around data of the sample (or any place that
-    has a digit), half with a variant set into text."""
+    has a digit or an address written with at), half with a variant set into text."""
     rng, size = np.random.default_rng(seed), 64
     ids, tags = np.zeros((n, size), np.int16), np.zeros((n, size), np.int8)
     letters = list("eetaoinshrdlu     ")
     plain = [t for t in texts if len(t) > 80] or ["".join(rng.choice(letters, 400)) for _ in range(40)]
-    marked = [(t, base_spans(t)) for t in plain if _TRIGGER.search(t)]
+    marked = [(t, base_spans(t) + [(m.start(), 0, m.end()) for m in _ADDRESS.finditer(t) if m["at"] != "@"]) for t in plain if _TRIGGER.search(t)]
     for r in range(n):
         mark = []
         if r % 2 and marked:
@@ -379,8 +391,8 @@ def fit(texts: list[str], steps: int = 350, batch: int = 64, seed: int = 3) -> N
 
 
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 800, longest: int = 20_000) -> Network:
-    """Fits on about ``rows`` documents of at most ``longest`` characters that hold a digit or @."""
-    use = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("length(t) between 1 and %d" % longest).where(F.col("t").rlike("[0-9@]"))
+    """Fits on about ``rows`` documents of at most ``longest`` characters that hold what a span must hold."""
+    use = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("length(t) between 1 and %d" % longest).where(F.col("t").rlike(_TRIGGER.pattern))
     return fit([r.t for r in bounded_sample(use, "k", rows).select("t").collect()])
 
 

@@ -335,6 +335,27 @@ def test_network_finds_variants(net):
     assert not any(pii.Finder(net).spans(clean)[1])
 
 
+def test_addresses_without_digits_are_found(net):
+    gen, hits = random.Random(18), []
+    word = lambda: "".join(gen.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(gen.randint(3, 7)))
+    for at, dot in [("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", "."), (" (at) ", " (dot) "), ("(at)", ".")] * 12:
+        left, s = sentence("fr", gen, 40), f"{word()}.{word()}{at}{word()}{dot}org"
+        text = f"{left} {s} {sentence('en', gen, 40)}"
+        assert not re.search("[0-9@]", text)
+        base, whole = pii.Finder(net).spans([text])
+        hits.append(base == [[]] and any(k == 0 and a <= len(left) + 3 and e >= len(left) + len(s) - 2 for a, k, e in whole[0]))
+        if hits[-1]:
+            assert "<EMAIL>" in pii.redact(text, whole[0])
+    assert np.mean(hits) > 0.8
+
+
+def test_every_plausible_span_passes_the_window_test():
+    rng = random.Random(19)
+    for _ in range(20_000):
+        s = "".join(rng.choice(["a", "@", ".", "(at)", "[at]", "(dot)", "[dot]", " ", "1", "23", "+", "-", "("]) for _ in range(rng.randint(1, 9)))
+        assert pii._TRIGGER.search(s) or not any(pii.plausible(k, s) for k in range(4))
+
+
 def test_spans_across_windows(net):
     gen = random.Random(12)
     for pad in range(100, 180, 7):
