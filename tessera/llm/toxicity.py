@@ -1,7 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-A word's input is the mean of trained embeddings of its character 3-grams, a trained embedding of
-the word's slot, and the word's log-odds between labelled toxic and other texts. The network reads
+A word's input is the mean of trained embeddings of all its character 3-grams, a trained embedding
+of the word's slot, and the word's log-odds between labelled toxic and other texts. Words end at
+white space; a longer run than ``LONGEST`` is split at marks too, and what is still longer, or is
+written in a script without blanks, is read as overlapping pieces. The network reads
 windows of ``WIDTH`` words, half of each overlapping the next, over the whole text; attention pools
 a window's states into one logit; a document's score is that of its highest window. Training in
 numpy follows this: in every step each document's gradient goes through its highest window. The
@@ -14,7 +16,9 @@ texts of any length are scored whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,30 +28,54 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample
 
-WIDTH, STRIDE, HIDDEN, DIM, SLOTS, GRAMS = 48, 32, 12, 8, 4096, 10
+WIDTH, STRIDE, HIDDEN, DIM, SLOTS, LONGEST, PIECE = 48, 32, 12, 8, 4096, 32, 2
 INPUT = 2 * DIM + 1
 _EDGES = ".,;:!?\"'()[]{}<>*#-_/\\&%$|"
 
 
+_MARKS = re.compile(f"[{re.escape(_EDGES)}]+")
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+)")
+
+
+def _cut(run: str, size: int) -> list[str]:
+    """Pieces of ``size`` characters, half of each overlapping the next."""
+    return [run[i : i + size] for i in range(0, max(len(run) - size // 2, 1), size // 2)]
+
+
 def words_of(text: str) -> list[str]:
-    return [w.strip(_EDGES) or w for w in text.lower().split()]
+    words = [w.strip(_EDGES) or w for w in text.lower().split()]
+    if any(len(w) > LONGEST for w in words):
+        words = [p for w in words for p in ([w] if len(w) <= LONGEST else [q for q in _MARKS.split(w) if q] or [w])]
+    if not text.isascii() and _UNSPACED.search(text):
+        parts = [p for w in words for p in _UNSPACED.split(w) if p]
+        words = [q for p in parts for q in (_cut(p, PIECE) if _UNSPACED.match(p) else [p])]
+    if any(len(w) > LONGEST for w in words):
+        words = [q for w in words for q in _cut(w, LONGEST)]
+    return words
 
 
 def _slots(word: str) -> tuple[int, list[int]]:
-    """The word's slot, and those of its character 3-grams (of a long word evenly spread ones)."""
-    b = f"^{word}$".encode()
-    grams = [b[i : i + 3] for i in range(max(len(b) - 2, 1))]
-    if len(grams) > GRAMS:
-        grams = [grams[i * len(grams) // GRAMS] for i in range(GRAMS)]
-    return zlib.crc32(b) % SLOTS, [zlib.crc32(g) % SLOTS for g in grams]
+    """The word's slot, and those of its character 3-grams."""
+    b = f"^{word}$".encode("utf-8", "surrogatepass")
+    return zlib.crc32(b) % SLOTS, [zlib.crc32(b[i : i + 3]) % SLOTS for i in range(max(len(b) - 2, 1))]
+
+
+def taken(words: tuple, at: np.ndarray) -> tuple:
+    """The rows ``at`` of a lexicon's arrays."""
+    slot, grams, count, value = words
+    n = count[at].astype(np.int64)
+    first = np.cumsum(count, dtype=np.int64)[at] - n
+    places = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+    return slot[at], grams[places], count[at], value[at]
 
 
 class Lexicon:
-    """Rows of a table of words: slot, 3-gram slots and log-odds."""
+    """Rows of a table of words: slot, 3-gram slots (of all words in one list), their numbers and
+    log-odds."""
 
     def __init__(self, odds: dict[str, float]):
         self.odds, self.row = odds, {}
-        self.slot, self.grams, self.count, self.value = [], [], [], []
+        self.slot, self.grams, self.count, self.value = array("i"), array("i"), array("f"), array("f")
 
     def add(self, words) -> None:
         for w in words:
@@ -55,12 +83,13 @@ class Lexicon:
                 self.row[w] = len(self.slot)
                 s, g = _slots(w)
                 self.slot.append(s)
-                self.grams.append(g + [SLOTS] * (GRAMS - len(g)))
+                self.grams.extend(g)
                 self.count.append(len(g))
                 self.value.append(self.odds.get(w, 0.0))
 
-    def arrays(self, start: int = 0):
-        return np.array(self.slot[start:], np.int32), np.array(self.grams[start:], np.int32).reshape(-1, GRAMS), np.array(self.count[start:], np.float32), np.array(self.value[start:], np.float32)
+    def arrays(self, start: int = 0, grams: int = 0):
+        """From row ``start`` on, whose first 3-gram is at ``grams``."""
+        return np.array(self.slot[start:], np.int32), np.array(self.grams[grams:], np.int32), np.array(self.count[start:], np.float32), np.array(self.value[start:], np.float32)
 
 
 def log_odds(bags: list[set[str]], y: np.ndarray) -> dict[str, float]:
@@ -94,15 +123,16 @@ class Network:
     def new(cls, seed: int = 5) -> Network:
         rng = np.random.default_rng(seed)
         make = lambda *s, k=0.2: (rng.standard_normal(s) * k).astype(np.float32)
-        p = {"ew": make(SLOTS, DIM, k=0.05), "ec": make(SLOTS + 1, DIM, k=0.1), "wa": make(2 * HIDDEN, DIM), "va": make(DIM), "wo": make(2 * HIDDEN, k=0.5), "bo": np.zeros(1, np.float32)}
-        p["ec"][SLOTS] = 0
+        p = {"ew": make(SLOTS, DIM, k=0.05), "ec": make(SLOTS, DIM, k=0.1), "wa": make(2 * HIDDEN, DIM), "va": make(DIM), "wo": make(2 * HIDDEN, k=0.5), "bo": np.zeros(1, np.float32)}
         for d in "fb":
             p |= {f"x{d}": make(INPUT, 3 * HIDDEN), f"b{d}": np.zeros(3 * HIDDEN, np.float32), f"u{d}": make(HIDDEN, 3 * HIDDEN)}
             p[f"x{d}"][-1] *= 5
         return cls(p)
 
     def inputs(self, slot, grams, count, value) -> np.ndarray:
-        return np.concatenate([self.p["ew"][slot], self.p["ec"][grams].sum(1) / count[:, None], value[:, None]], 1).astype(np.float32)
+        first = np.cumsum(count, dtype=np.int64) - count.astype(np.int64)
+        total = np.add.reduceat(self.p["ec"][grams], first, axis=0)
+        return np.concatenate([self.p["ew"][slot], total / count[:, None], value[:, None]], 1).astype(np.float32)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """Per word, what it adds to the gates of both directions."""
@@ -170,8 +200,7 @@ class Network:
             dx += dg @ p[f"x{d}"].T
         out["ew"], out["ec"] = np.zeros_like(p["ew"]), np.zeros_like(p["ec"])
         np.add.at(out["ew"], slot, dx[:, :DIM])
-        np.add.at(out["ec"], grams, (dx[:, DIM : 2 * DIM] / count[:, None])[:, None])
-        out["ec"][SLOTS] = 0
+        np.add.at(out["ec"], grams, np.repeat(dx[:, DIM : 2 * DIM] / count[:, None], count.astype(np.int64), axis=0))
         return out
 
 
@@ -205,10 +234,12 @@ class Scorer:
             self._reset()
             new = set(words)
         if new:
-            start = len(self.lex.slot)
-            self.lex.add(sorted(new))
-            g = self.net.gates(self.net.inputs(*self.lex.arrays(start)))
-            self.table = np.concatenate([self.table, g])
+            names, tables = sorted(new), [self.table]
+            for lo in range(0, len(names), 20_000):
+                start, grams = len(self.lex.slot), len(self.lex.grams)
+                self.lex.add(names[lo : lo + 20_000])
+                tables.append(self.net.gates(self.net.inputs(*self.lex.arrays(start, grams))))
+            self.table = np.concatenate(tables)
         return np.fromiter(map(self.lex.row.__getitem__, words), np.int64, len(words))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -274,13 +305,13 @@ def fit(texts: list[str], labels: list[int], steps: int = 320, docs: int = 36, s
         flat = np.concatenate([rows[i] for i in pick])
         used, local = np.unique(flat, return_inverse=True)
         idx, mask, owner = laid_out([len(rows[i]) for i in pick], np.cumsum([0, *(len(rows[i]) for i in pick)])[:-1])
-        words = (slot[used], grams[used], count[used], values[k][used])
+        words = taken((slot, grams, count, values[k]), used)
         idx = local[idx]
         logit, _ = net.run(net.gates(net.inputs(*words)), idx, mask)
         order = np.lexsort((-logit, owner))
         top = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
         some, again = np.unique(idx[top], return_inverse=True)
-        grads = net.gradients(tuple(w[some] for w in words), again.reshape(idx[top].shape), mask[top], y[pick[owner[top]]])
+        grads = net.gradients(taken(words, some), again.reshape(idx[top].shape), mask[top], y[pick[owner[top]]])
         rate = 0.015 * (1 - step / (steps + 1)) + 1e-3
         for name, g in grads.items():
             g = np.clip(g, -1, 1)

@@ -411,6 +411,59 @@ def test_toxicity_held_out():
     assert far[0] >= 0.7 and far[1] == far[2] == net.rate
 
 
+def test_all_grams_of_a_word_are_read():
+    net = toxicity.Network.new(4)
+    word = "abcdefghijklmnopqrstuvwxyzäöü"
+    lex = toxicity.Lexicon({})
+    others = [word[:i] + "Q" + word[i + 1 :] for i in range(len(word))]
+    lex.add([word, "a", *others])
+    x = net.inputs(*lex.arrays())[:, toxicity.DIM : 2 * toxicity.DIM]
+    assert all(np.abs(x[2 + i] - x[0]).max() > 0 for i in range(len(others)))
+    for w, row in zip([word, "a", *others], x, strict=True):
+        b = f"^{w}$".encode()
+        want = np.mean([net.p["ec"][toxicity.zlib.crc32(b[i : i + 3]) % toxicity.SLOTS] for i in range(len(b) - 2)], 0)
+        assert row == pytest.approx(want, abs=1e-5)
+    at = np.array([3, 1, 0])
+    assert net.inputs(*toxicity.taken(lex.arrays(), at)) == pytest.approx(net.inputs(*lex.arrays())[at], abs=1e-6)
+
+
+def test_runs_without_blanks_are_cut_into_words():
+    rng = random.Random(20)
+    chinese = "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(999))
+    letters = "".join(chr(rng.randint(0x430, 0x44F)) for _ in range(999))
+    marked = "".join(c + "_" * (i % 5 == 0) for i, c in enumerate(letters))
+    for text in (chinese, letters, marked, letters[:32] + chinese[:9] + letters[32:80]):
+        words = toxicity.words_of(text)
+        assert len(words) > 1 and max(map(len, words)) <= toxicity.LONGEST
+        at = 0  # the pieces, in order, leave out no character but marks
+        for w in words:
+            i = text.find(w, max(at - len(w), 0))
+            assert i >= 0 and not text[at:i].strip("_-")
+            at = max(at, i + len(w))
+        assert not text[at:].strip("_-")
+    assert max(map(len, toxicity.words_of("-" * 100))) <= toxicity.LONGEST
+    assert toxicity.words_of("Don't stop, a_b (über)!") == ["don't", "stop", "a_b", "über"]
+
+
+@pytest.mark.parametrize("script", ["chinese", "marks"])
+def test_toxicity_without_blanks(script):
+    rng = random.Random(21)
+    plain = [chr(c) for c in range(0x4E00, 0x4E80)] if script == "chinese" else ["so", "la", "tem", "ori", "ban", "kel", "mu"]
+    bad, gap = ("\u9f8d\u9f9c", "") if script == "chinese" else ("vexor", "_")
+
+    def make(toxic, n):
+        w = [rng.choice(plain) for _ in range(n)]
+        if toxic:
+            w.insert(rng.randrange(len(w)), bad)
+        return gap.join(w)
+
+    data = [(make(i % 4 == 0, rng.randint(60, 200)), int(i % 4 == 0)) for i in range(400)]
+    net = toxicity.fit(*map(list, zip(*data, strict=True)), steps=150)
+    test = [(make(i % 2 == 0, 2000), i % 2 == 0) for i in range(60)]
+    s = toxicity.Scorer(net).score([t for t, _ in test])
+    assert np.mean((s >= 0.7) == [y for _, y in test]) > 0.9
+
+
 def test_toxicity_gradients():
     net = toxicity.Network.new(2)
     rng = np.random.default_rng(1)
