@@ -9,8 +9,8 @@ a window's states into one logit; a document's score is that of its highest wind
 numpy follows this: in every step each document's gradient goes through its highest window. The
 log-odds that a document is trained with come from the other folds.
 
-Defined cases: null and empty texts, and all texts where one class has no label, get the share of
-toxic training texts as score; equal texts get equal scores; repeated training texts count once;
+Defined cases: null and empty texts, and all texts where there are fewer than 8 labelled texts or
+fewer than 2 of a class, get the share of toxic labelled texts as score; equal texts get equal scores; repeated training texts count once;
 texts of any length are scored whole; an empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import Scratch, bounded_sample
 
 WIDTH, STRIDE, HIDDEN, DIM, SLOTS, LONGEST, PIECE = 48, 32, 12, 8, 4096, 32, 2
 INPUT = 2 * DIM + 1
@@ -273,14 +273,16 @@ class Scorer:
         return _sig(best)
 
 
-def fit(texts: list[str], labels: list[int], steps: int = 320, docs: int = 36, seed: int = 5) -> Network:
+def fit(texts: list[str], labels: list[int], steps: int = 320, docs: int = 36, seed: int = 5, rate: float | None = None) -> Network:
+    """``rate`` is the share of toxic texts where the given ones are chosen by class. A step draws
+    a third of its texts from the toxic ones, whatever the share."""
     pairs = dict(zip(texts, labels, strict=True))
     bags = [words_of(t) for t in pairs]
     y = np.array(list(pairs.values()), int)
     keep = [i for i, b in enumerate(bags) if b]
     bags, y = [bags[i] for i in keep], y[keep]
     net = Network.new(seed)
-    net.rate = float(y.mean()) if len(y) else 0.0
+    net.rate = rate if rate is not None else float(y.mean()) if len(y) else 0.0
     if len(y) < 8 or y.sum() < 2 or y.sum() > len(y) - 2:
         net.constant = True
         return net
@@ -322,14 +324,21 @@ def fit(texts: list[str], labels: list[int], steps: int = 320, docs: int = 36, s
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = 4000, longest: int = 20_000) -> Network:
-    """Fits on about ``rows`` labelled texts of at most ``longest`` characters. The sample of labels
-    is taken first; only its documents are read. A key with several labels counts as its highest."""
+    """Fits on about ``rows`` labelled texts of at most ``longest`` characters, half of each class
+    or all of a rarer one. A key with several labels counts as its highest."""
+    scratch = Scratch(docs.sparkSession)
     own = labels.select(F.col(key).alias("k"), F.col(label).alias("y")).where("y in (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
-    picked = bounded_sample(own, "k", rows)
     use = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("length(t) between 1 and %d" % longest)
+    known = scratch.save(own.join(use.select("k"), "k", "left_semi"))
+    n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    other, toxic = n.get(0, 0), n.get(1, 0)
+    quota = {0: max(rows // 2, rows - toxic), 1: max(rows // 2, rows - other)}
+    picked = bounded_sample(known.where("y = 0"), "k", quota[0]).union(bounded_sample(known.where("y = 1"), "k", quota[1]))
     got = use.join(F.broadcast(picked), "k").select("k", "t", "y").collect()  # at most 2 * rows of these
+    scratch.drop(known)
     got = sorted({(r.k, r.t, r.y) for r in got})
-    return fit([t for _, t, _ in got], [int(y) for _, _, y in got])
+    rate = toxic / (other + toxic) if other + toxic > rows else None
+    return fit([t for _, t, _ in got], [int(y) for _, _, y in got], rate=rate)
 
 
 def score(docs: DataFrame, net: Network, text: str = "text", out: str = "toxicity") -> DataFrame:

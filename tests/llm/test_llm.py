@@ -491,6 +491,17 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score(odd(spark).limit(0), net).count() == 0
 
 
+def test_rare_toxic_labels_are_learned(spark):
+    rng = random.Random(22)
+    rows = [(i, sentence("en", rng, 40) + (" vexor grimulk" if i % 500 == 3 else ""), int(i % 500 == 3)) for i in range(4000)]
+    long = [(5000 + i, "word " * 5000, 1) for i in range(300)]  # not fitted, nor may they fill the sample
+    d = spark.createDataFrame(rows + long, "doc_id long, text string, toxic int")
+    net = toxicity.train(d.select("doc_id", "text"), d.select("doc_id", "toxic"), rows=80)
+    assert not net.constant and net.rate == pytest.approx(8 / 4000)
+    s = toxicity.Scorer(net).score([sentence("en", rng, 40) + " vexor grimulk", sentence("en", rng, 40)])
+    assert s[0] >= 0.7 > s[1]
+
+
 def test_windows_hold_every_word():
     for n in (1, 47, 48, 49, 80, 81, 500):
         s = toxicity.windows(n)
