@@ -260,6 +260,19 @@ def test_links_brute(spark, seed):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i in range(900, 906))
 
 
+def test_an_id_with_different_vectors_is_refused(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, None), (3, [0.0, 1.0])]
+    assert covertree.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).count() == 6
+    with pytest.raises(ValueError, match="different vectors: 2"):
+        covertree.similar_vectors(spark.createDataFrame([*rows, (2, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+
+
+def test_more_than_1000_lengths(spark):
+    rows = [(2 * n + k, [1.0] * n) for n in range(1, 1006) for k in range(2)]
+    got = covertree.similar_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == len(rows) and all(r.n_links == 1 and r.component_id == r.id // 2 * 2 for r in got)
+
+
 def test_no_vectors(spark):
     e = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert covertree.similar_vectors(e).count() == 0
