@@ -16,10 +16,13 @@ _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary one, which is then also set on the context."""
+    """The shared folder named by ``spark.checkpoint.dir``; only where that is unset and everything
+    runs on one machine (tests) a temporary one, which is then also set on the context."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
         named = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
