@@ -19,6 +19,7 @@ a network trained on generated text alone.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,11 +36,13 @@ WIDTH, STRIDE, HIDDEN, VOCAB = 128, 64, 16, 99
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match can only begin where a run of digits begins: elsewhere in a run it would meet the same dots
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]|\(dot\)|\[dot\]")
 _ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+ ?(?P<at>@|\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| \. | ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+")
+_WHOLE_ADDRESS = re.compile(f"(?<![A-Za-z0-9._%+-]){_ADDRESS.pattern}")  # linear on long runs
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -75,10 +78,10 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     out = [(s, 0, e) for s, e in _emails(text)]
     if _DIGITS.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+            if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in _CARD.finditer(text):
-            if m.end() - m.start() >= 12:
+            if 12 <= m.end() - m.start() <= 37:  # 19 digits and as many blanks or dashes between them
                 d = m[0].replace(" ", "").replace("-", "")
                 if 12 <= len(d) <= 19 and luhn(d):
                     out.append((m.start(), 2, m.end()))
@@ -94,7 +97,7 @@ def plausible(kind: int, s: str) -> bool:
     parts = _DIGITS.findall(s)
     d = "".join(parts)
     if kind == 0:
-        return bool(re.fullmatch(r"\S+ ?(@|\(at\)|\[at\]) ?\S+ ?(\.|\(dot\)|\[dot\]) ?\S+", s)) and len(s) <= 80 and bool(re.search(r"[A-Za-z]", s))
+        return len(s) <= 80 and bool(re.fullmatch(r"\S+ ?(@|\(at\)|\[at\]) ?\S+ ?(\.|\(dot\)|\[dot\]) ?\S+", s)) and bool(re.search(r"[A-Za-z]", s))
     if kind == 1:
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and bool(re.fullmatch(r"[0-9]+((\.| \. |\[\.\]|\(\.\))[0-9]+){3}", s))
     if kind == 2:
@@ -305,15 +308,24 @@ def _edges(text: str, found: tuple) -> list[tuple]:
 
 
 def _reconcile(text: str, found: list, base: list) -> list[tuple[int, int, int]]:
-    taken, out = [(s, e) for s, _, e in base], []
+    # spans so far, those of the base (which may overlap) as their unions: starts and ends ascend
+    starts, ends, out = [], [], []
+    for s, _, e in sorted(base):
+        if ends and s < ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
     for _, _, s, k, e in sorted({y for x in set(found) for y in _edges(text, x)}):
         while s < e and text[s] in " \t\n,;:":
             s += 1
         while e > s and text[e - 1] in " \t\n,;:.":
             e -= 1
         word = (s > 0 and text[s - 1].isalnum()) or (e < len(text) and text[e].isalnum())
-        if s < e and not word and plausible(k, text[s:e]) and not any(s < y and x < e for x, y in taken):
-            taken.append((s, e))
+        at = bisect_right(ends, s)
+        if s < e and not word and (at == len(starts) or e <= starts[at]) and plausible(k, text[s:e]):
+            starts.insert(at, s)
+            ends.insert(at, e)
             out.append((s, k, e))
     return out
 
@@ -345,7 +357,7 @@ def _examples(texts: list[str], n: int, seed: int) -> tuple[np.ndarray, np.ndarr
     ids, tags = np.zeros((n, size), np.int16), np.zeros((n, size), np.int8)
     letters = list("eetaoinshrdlu     ")
     plain = [t for t in texts if len(t) > 80] or ["".join(rng.choice(letters, 400)) for _ in range(40)]
-    marked = [(t, base_spans(t) + [(m.start(), 0, m.end()) for m in _ADDRESS.finditer(t) if m["at"] != "@"]) for t in plain if _TRIGGER.search(t)]
+    marked = [(t, base_spans(t) + [(m.start(), 0, m.end()) for m in _WHOLE_ADDRESS.finditer(t) if m["at"] != "@"]) for t in plain if _TRIGGER.search(t)]
     for r in range(n):
         mark = []
         if r % 2 and marked:
@@ -393,7 +405,7 @@ def fit(texts: list[str], steps: int = 350, batch: int = 64, seed: int = 3) -> N
 def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int = 800, longest: int = 20_000) -> Network:
     """Fits on about ``rows`` documents of at most ``longest`` characters that hold what a span must hold."""
     use = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("length(t) between 1 and %d" % longest).where(F.col("t").rlike(_TRIGGER.pattern))
-    return fit([r.t for r in bounded_sample(use, "k", rows).select("t").collect()])
+    return fit(sorted({r.t for r in bounded_sample(use, "k", rows).select("t").collect()}))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
