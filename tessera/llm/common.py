@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import uuid
@@ -15,13 +16,27 @@ from pyspark.sql import functions as F
 from tessera.session import shared_dir
 
 
+_roots: list = []
+
+
+@atexit.register
+def _sweep() -> None:
+    """Removes the scratch folders of this driver, as results may read them until it ends."""
+    for at, conf in _roots:
+        try:
+            at.getFileSystem(conf).delete(at, True)
+        except Exception:  # the JVM may be gone  # noqa: BLE001
+            return
+
+
 class Scratch:
     """Intermediate tables in the shared folder. A saved table cuts the lineage and outlives lost
-    executors; ``drop`` removes one that no later step reads."""
+    executors; ``drop`` removes one that no later step reads, the others go when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.n = 0
+        _roots.append((spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root), spark.sparkContext._jsc.hadoopConfiguration()))
 
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -39,15 +54,18 @@ class Scratch:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
-    """About ``rows`` rows (never more than twice that), chosen by a hash of ``key``; all rows if
-    there are no more than ``rows``. Rows with a null key are left out."""
+    """About ``rows`` rows (never more than twice that), chosen by a hash of all columns, so the
+    choice depends on the rows alone; all rows if there are no more than ``rows``. Where many rows
+    are equal and no hash is small enough, the rows of the least hashes. Rows with a null key are
+    left out."""
     df = df.where(F.col(key).isNotNull())
     total = df.count()
     if total <= rows:
         return df
     space = 1 << 30
-    mark = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(space))
-    return df.where(mark < int(space * rows / total)).limit(2 * rows)
+    mark = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)), F.lit(space))
+    some = df.where(mark < int(space * rows / total)).orderBy(mark).limit(2 * rows)
+    return df.orderBy(mark).limit(rows) if some.isEmpty() else some
 
 
 def crc_mod(key: str | Column, mod: int) -> Column:

@@ -29,10 +29,15 @@ BITS = 16
 SIZES = (2, 3, 4)
 #: texts are scored in slices of so many bytes
 SLICE = 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _MIX = np.uint32(2654435761)
 
 
+def has_letter(text: str) -> bool:
+    """Whether a code point of a letter category (L*) occurs; numerals such as ½ are none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def codewords(k: int, seed: int = 5) -> np.ndarray:
     """k codewords, +1 or -1: for up to 6 languages every way to split them, else the best of
     several random tables by least distance."""
@@ -98,7 +103,7 @@ class Model:
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
         """lang, score, ambiguous of each text."""
         lang, score, vague = ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
-        use = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        use = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         lo = 0
         while lo < len(use):  # a few MB at a time
             hi, size = lo, 0
@@ -136,7 +141,7 @@ def fit(texts: list[str], langs: list[str], snippet: int = 400) -> Model:
         up, down = codes > 0, codes < 0
         mean = lambda side: (side.T.astype(float) @ p) / np.maximum(side.sum(0), 1)[:, None] + 1e-9
         tables.append(np.clip(np.log(mean(up)) - np.log(mean(down)), -8, 8).T.astype(np.float32))
-    cut = [(t[i : i + snippet], j) for t, j in zip(texts, y, strict=True) for i in range(0, min(len(t), 3 * snippet), snippet) if _LETTER.search(t[i : i + snippet])]
+    cut = [(t[i : i + snippet], j) for t, j in zip(texts, y, strict=True) for i in range(0, min(len(t), 3 * snippet), snippet) if has_letter(t[i : i + snippet])]
     model = Model(names, codes, tables, np.ones(codes.shape[1]), np.zeros(codes.shape[1]), np.ones(codes.shape[1]))
     if not names:
         return model
@@ -154,8 +159,8 @@ def fit(texts: list[str], langs: list[str], snippet: int = 400) -> Model:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", rows: int = 3000, longest: int = 20_000) -> Model:
     """Fits on about ``rows`` labelled texts of at most ``longest`` characters, a bounded sample."""
     use = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("y")).where("y is not null and t is not null and length(t) between 1 and %d" % longest)
-    got = bounded_sample(use, "k", rows).select("t", "y").collect()
-    return fit([r.t for r in got], [r.y for r in got])
+    got = sorted({(r.t, r.y) for r in bounded_sample(use, "k", rows).select("t", "y").collect()})
+    return fit([t for t, _ in got], [y for _, y in got])
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:

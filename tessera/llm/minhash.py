@@ -2,7 +2,7 @@
 
 Under each of ``perms`` permutations a document keeps both its minimum and its maximum, so half the
 hash evaluations give as many signature values; bands of four permutations (eight values) make the
-bucket keys. With 50 bands a pair at similarity 0.8 shares a bucket with probability 0.9999, one at
+bucket keys. The number of bands follows from the threshold; with 50 bands a pair at similarity 0.8 shares a bucket with probability 0.9999, one at
 0.3 (texts that share a passage) with 0.003.
 
 1. Documents of equal shingle sets collapse to their smallest id (sets agree by 128-bit digest).
@@ -17,7 +17,7 @@ bucket keys. With 50 bands a pair at similarity 0.8 shares a bucket with probabi
 5. A pair links if 100 * |A & B| >= percent * |A | B| on the full sets. Components follow.
 
 Steps 3 and 4 lose no link that meets in a bucket except where it would join what is joined already,
-or where a signature of 1024 values lies over four deviations too low.
+or where a signature of 1024 values lies ``DEVIATIONS`` standard deviations too low.
 
 Defined cases: null and empty texts and texts without words have empty sets and link with nothing;
 a text of fewer than k words is one shingle of all its words; rows of equal id are one document;
@@ -27,6 +27,7 @@ empty result; only the id and text columns are read; texts of any length are has
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import FILTER_BITS, Bloom, Scratch, components, hits, tidy
 
-PERMS, PER_BAND, BLOCK, CHUNK = 200, 4, 2048, 1 << 19
-LONG, ROUNDS = 512, 6
+PER_BAND, BLOCK, CHUNK = 4, 1024, 1 << 19
+LONG, ROUNDS, MISSED, DEVIATIONS = 512, 6, 1.1e-4, 4.0
 U = np.uint64
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -96,6 +97,22 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
         lo = hi
 
 
+def permutations(percent: int) -> int:
+    """How many permutations it takes that a pair at the threshold shares no bucket with a
+    probability of at most ``MISSED``: 200 for 80."""
+    j = percent / 100
+    if j >= 1:
+        return PER_BAND
+    return PER_BAND * math.ceil(math.log(MISSED) / math.log1p(-(j ** (2 * PER_BAND))))
+
+
+def least_share(percent: int) -> float:
+    """The share of equal values of the long signatures from which a pair is checked: ``DEVIATIONS``
+    standard deviations below the threshold."""
+    j = percent / 100
+    return j - DEVIATIONS * math.sqrt(j * (1 - j) / (2 * LONG))
+
+
 def _perms(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(seed)
     draw = lambda: rng.integers(0, 1 << 63, n, dtype=np.int64).astype(U) * U(2) + U(1)
@@ -226,11 +243,13 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, perms: int = PERMS, floor: float = 0.752) -> DataFrame:
-    """id, n_shingles, component_id, kept: one row for each row of ``docs``.
-
-    ``floor`` is the share of equal signature values from which a pair of step 3 is checked; it is
-    for ``percent`` 80 and must fall with it."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """id, n_shingles, component_id, kept: one row for each row of ``docs``. The numbers of
+    permutations and the bound of step 4 follow from ``percent``; ``block`` bounds the rows of one
+    side of a comparison in step 4."""
+    if not 50 <= percent <= 100:
+        raise ValueError("percent lies between 50 and 100")
+    perms, floor = permutations(percent), least_share(percent)
     scratch = Scratch(docs.sparkSession)
     docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
     signed = scratch.save(docs.mapInPandas(lambda it: _tidied(_signed(it, k, perms)), "id long, n long, f1 long, f2 long, keys array<long>"))
@@ -239,7 +258,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
     heads = scratch.save(heads)
     rows = heads.select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
     many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    met = scratch.save(rows.join(many, "key"))
+    # joins by bucket are merged, so that adaptive execution splits the partition of a large bucket
+    met = scratch.save(rows.join(many.hint("merge"), "key"))
     bloom = Bloom(met.select("id").distinct(), FILTER_BITS)
     wanted = bloom.sent
     sets = scratch.save(docs.where("id is not null").select("id", "t", bloom.places("id").alias("places")).mapInPandas(lambda it: _tidied(_sets(it, k, wanted)), "id long, n long, s array<long>, sig binary"))
@@ -254,7 +274,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                 break
         scored = here.join(mates, "id") if turn == 0 else here.withColumn("p", F.xxhash64("id", F.lit(turn)))
         hubs = scored.groupBy("key").agg(F.max(F.struct("p", "id", "comp")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
-        shared = here.join(hubs, "key").where("comp != hub_comp").groupBy("id", "hub").agg(F.count("*").alias("c"))
+        shared = here.join(hubs.hint("merge"), "key").where("comp != hub_comp").groupBy("id", "hub").agg(F.count("*").alias("c"))
         best = shared.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "hub")), False), 1, 1 if turn == 0 else 3).alias("m"))  # at most one hub a band
         pairs = _ordered(best.select(F.explode("m").alias("h"), "id").select(F.col("h.hub").alias("a"), F.col("id").alias("b")))
         pairs = scratch.save(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
@@ -264,11 +284,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         joined = components(scratch, links)
         now = here.drop("comp").join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("comp"))
         open_ = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        old, here = met, scratch.save(now.join(open_, "key"))
+        old, here = met, scratch.save(now.join(open_.hint("merge"), "key"))
         scratch.drop(old)
         met = here
 
-    blocks = F.ceil(F.col("c") / BLOCK).cast("long")
+    blocks = F.ceil(F.col("c") / block).cast("long")
     split = (
         here.join(sets.select("id", "n", "sig").hint("merge"), "id")
         .join(heads.select(F.col("rep").alias("id"), "keys"), "id")
