@@ -54,18 +54,19 @@ class Scratch:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
-    """About ``rows`` rows (never more than twice that), chosen by a hash of all columns, so the
-    choice depends on the rows alone; all rows if there are no more than ``rows``. Where many rows
-    are equal and no hash is small enough, the rows of the least hashes. Rows with a null key are
-    left out."""
+    """From ``rows`` to twice as many rows, those of the least hashes of all columns, so the choice
+    depends on the rows alone; all rows if there are no more than ``rows``. Rows with a null key
+    are left out."""
     df = df.where(F.col(key).isNotNull())
-    total = df.count()
-    if total <= rows:
-        return df
-    space = 1 << 30
-    mark = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)), F.lit(space))
-    some = df.where(mark < int(space * rows / total)).orderBy(mark).limit(2 * rows)
-    return df.orderBy(mark).limit(rows) if some.isEmpty() else some
+    mark = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)), F.lit(1 << 40))
+    counts = df.groupBy(F.length(F.bin(mark)).alias("bits")).count().collect()  # at most 40 rows
+    have = 0
+    for bits, n in sorted((r["bits"], r["count"]) for r in counts):
+        have += n
+        if have >= rows:
+            some = df.where(mark < (1 << bits))
+            return some if have <= 2 * rows else some.orderBy(mark).limit(2 * rows)
+    return df
 
 
 def crc_mod(key: str | Column, mod: int) -> Column:
