@@ -38,37 +38,43 @@ def _sinc(x: Column) -> Column:
 
 
 def _parzen(d: Column, r: Column, arg) -> Column:
-    q = d / r
-    return F.when(q <= 0.5, 1 - 6 * q * q * (1 - q)).otherwise(2 * F.pow(1 - q, F.lit(3.0)))
+    """Piecewise cubic; ``arg`` is a sampling step that widens the support 2 r, and with it the bend
+    at its half."""
+    q, support = d / r, r + F.lit(float(arg or 0.0) / 2)
+    return F.when(d <= support / 2, 1 - 6 * q * q * (1 - q)).when(d <= support, 2 * F.pow(1 - q, F.lit(3.0))).otherwise(0.0)
 
 
-#: Window functions of (distance, radius, argument); the coefficients are those of the published windows (fixed values)
+def _inside(f):
+    return lambda d, r, arg: F.when(d <= r, f(d, r, arg)).otherwise(0.0)
+
+
+#: Window functions of (distance, radius, argument), with their supports; the coefficients are those of the published windows (fixed values)
 WINDOWS = {
-    "boxcar": lambda d, r, a: F.lit(1.0),
-    "hamming": _cosines((0.53836, 0.46164)),
-    "blackman": _cosines((7938 / 18608, 9240 / 18608, 1430 / 18608)),
-    "blackman_harris": _cosines((0.35875, 0.48829, 0.14128, 0.01168)),
-    "nuttall": _cosines((0.3635819, 0.4891775, 0.1365995, 0.0106411)),
-    "flat_top": _cosines((0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368)),
-    "gaussian": lambda d, r, a: F.exp(-0.5 * F.pow(d / F.lit(float(a)), F.lit(2.0))),
-    "lanczos": lambda d, r, a: _sinc(d / r * a) * _sinc(d / r),
+    "boxcar": _inside(lambda d, r, a: F.lit(1.0)),
+    "hamming": _inside(_cosines((0.53836, 0.46164))),
+    "blackman": _inside(_cosines((7938 / 18608, 9240 / 18608, 1430 / 18608))),
+    "blackman_harris": _inside(_cosines((0.35875, 0.48829, 0.14128, 0.01168))),
+    "nuttall": _inside(_cosines((0.3635819, 0.4891775, 0.1365995, 0.0106411))),
+    "flat_top": _inside(_cosines((0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368))),
+    "gaussian": _inside(lambda d, r, a: F.exp(-0.5 * F.pow(d / F.lit(float(a)), F.lit(2.0)))),
+    "lanczos": lambda d, r, a: F.when(d <= r * float(a), _sinc(d / r) * _sinc(d / (r * float(a)))).otherwise(0.0),  # a lobes of width r
     "parzen": _parzen,
-    "parzen_swot": _parzen,
+    "parzen_swot": lambda d, r, a: _parzen(d, r, None),
 }
 
 
 def window_mean(neighbours: DataFrame, kind: str = "blackman", radius: float | None = None, arg: float | None = None, qid: str = "qid") -> DataFrame:
     """(qid, value, neighbours): mean weighted by a window of the distance; without a radius the
-    farthest neighbour's distance counts as such."""
+    farthest neighbour's distance counts as such. NULL and no neighbours where the weights add up to 0."""
     if kind not in WINDOWS:
         raise ValueError(f"no window {kind!r}")
     if kind in ("gaussian", "lanczos") and not arg:
         raise ValueError(f"{kind} needs an argument")
     r = F.lit(float(radius)) if radius else F.max("distance").over(Window.partitionBy(qid))
     rows = neighbours.withColumn("r", r)
-    w = F.when(F.col("distance") <= F.col("r"), WINDOWS[kind](F.col("distance"), F.greatest("r", F.lit(1e-300)), arg)).otherwise(0.0)
-    rows = rows.withColumn("w", w)
-    return rows.groupBy(qid).agg((F.sum(F.col("w") * F.col("value")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("value"), F.count("*").alias("neighbours"))
+    rows = rows.withColumn("w", WINDOWS[kind](F.col("distance"), F.greatest("r", F.lit(1e-300)), arg))
+    total = F.sum("w")
+    return rows.groupBy(qid).agg((F.sum(F.col("w") * F.col("value")) / F.nullif(total, F.lit(0.0))).alias("value"), F.when(total != 0, F.count("*")).otherwise(0).alias("neighbours"))
 
 
 #: Radial basis functions of (r, epsilon)
@@ -89,7 +95,7 @@ COVARIANCE = {
     "cauchy": lambda q: 1 / (1 + q * q),
     "spherical": lambda q: np.where(q < 1, 1 - 1.5 * q + 0.5 * q**3, 0.0),
     "gaussian": lambda q: np.exp(-q * q),
-    "wendland": lambda q: np.where(q < 1, (1 - q) ** 4 * (4 * q + 1), 0.0),
+    "wendland": lambda q: np.where(q < 1, (1 - q) ** 2, 0.0),  # of smoothness 0 in three dimensions
 }
 
 
@@ -138,14 +144,15 @@ def _between(p: np.ndarray) -> np.ndarray:
 
 
 def radial_basis(neighbours: DataFrame, queries: DataFrame, dims: list[str], kind: str = "multiquadric", epsilon: float | None = None, smooth: float = 0.0, qid: str = "qid") -> DataFrame:
-    """(qid, value, neighbours). Without ``epsilon``, one over the mean distance of the neighbours."""
+    """(qid, value, neighbours). Distances are divided by ``epsilon``; without one, by the mean distance
+    of the neighbours."""
     f = RBF[kind]
 
     def solve(p, v, _, q):
         d = _between(p)
         k = p.shape[1]
         mean = d.sum((1, 2)) / max(k * (k - 1), 1)
-        e = (1 / np.where(mean > 0, mean, 1) if epsilon is None else np.full(len(p), float(epsilon)))[:, None, None]
+        e = (1 / np.where(mean > 0, mean, 1) if epsilon is None else np.full(len(p), 1 / float(epsilon)))[:, None, None]
         w = _safe(f(d, e) + smooth * np.eye(k), v)
         return (f(np.sqrt(((p - q[:, None]) ** 2).sum(2)), e[:, 0]) * w).sum(1)
 

@@ -1,80 +1,120 @@
 """Weighted moments with mergeable state, quantiles, and binning on axes.
 
-A state row holds n, w, s1..s4 (power sums of x - centre, weighted), min, max and sum. States add
-up, so partial aggregation is Spark's own map-side combine, and ``merge`` is a plain sum. Samples
-that are NULL or NaN are skipped.
+A state row holds n, w (sum of weights), mean, m2..m4 (weighted sums of powers of the distance from
+the mean), min, max and sum. Central moments merge without loss of digits, whatever the mean.
+Unweighted ones are Spark's own aggregates, in one pass with map-side combine; weighted ones take
+the means first and sum around them in a second pass. Samples that are NULL or NaN are skipped.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import digest
 from .axis import Axis
 
-STATE = ("n", "w", "s1", "s2", "s3", "s4", "min", "max", "sum")
-OUTPUT = ("count", "sum_of_weights", "sum", "mean", "min", "max", "variance", "skewness", "kurtosis")
+STATE = ("n", "w", "mean", "m2", "m3", "m4", "min", "max", "sum")
+OUTPUT = ("count", "sum_of_weights", "sum", "mean", "min", "max", "variance", "std", "skewness", "kurtosis")
 
 
 def _real(c: Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
-def state(x: Column, w: Column | None = None, centre: float = 0.0) -> list[Column]:
-    """Aggregates that make a state row. ``centre`` near the mean keeps high moments exact."""
-    x = _real(x)
-    w = F.when(x.isNotNull(), F.lit(1.0) if w is None else w.cast("double"))
-    d = x - F.lit(float(centre))
-    return [F.count(x).alias("n"), F.sum(w).alias("w"), *[F.sum(w * _power(d, k)).alias(f"s{k}") for k in (1, 2, 3, 4)], F.min(x).alias("min"), F.max(x).alias("max"), F.sum(w * x).alias("sum")]
+def _power(d: Column, k: int) -> Column:
+    return reduce(lambda a, b: a * b, [d] * k)
 
 
-def _power(d: Column, k: int) -> Column:
-    out = d
-    for _ in range(k - 1):
-        out = out * d
-    return out
+def unweighted_state(x: Column) -> list[Column]:
+    """Aggregates that make a state row of samples of weight one; they serve streams too."""
+    x = _real(x)
+    n, v = F.count(x).cast("double"), F.var_pop(x)
+    shape = lambda c: F.when(v > 0, F.nanvl(c, F.lit(0.0))).otherwise(0.0 * v)
+    return [
+        F.count(x).alias("n"),
+        F.when(n > 0, n).alias("w"),
+        F.avg(x).alias("mean"),
+        (n * v).alias("m2"),
+        (n * F.pow(v, F.lit(1.5)) * shape(F.skewness(x))).alias("m3"),
+        (n * v * v * F.when(v > 0, F.nanvl(F.kurtosis(x), F.lit(-3.0)) + 3).otherwise(0.0 * v)).alias("m4"),
+        F.min(x).alias("min"),
+        F.max(x).alias("max"),
+        F.sum(x).alias("sum"),
+    ]
 
 
-def merge() -> list[Column]:
-    """Aggregates that merge state rows of one centre."""
-    return [F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("w", "s1", "s2", "s3", "s4")], F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum")]
+def _same(a: DataFrame, b: DataFrame, by: list[str]) -> DataFrame:
+    """``a`` with the columns of ``b``, a row for each group; null keys are equal."""
+    if not by:
+        return a.join(F.broadcast(b))  # one row
+    b = b.select(*[F.col(c).alias(f"__{c}") for c in by], *[c for c in b.columns if c not in by])
+    return a.join(b, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])).drop(*[f"__{c}" for c in by])
+
+
+def state(df: DataFrame, value: str, by: list[str] = (), weight: str | None = None) -> DataFrame:
+    """State rows (*by, STATE) of the groups of ``by``."""
+    by = list(by)
+    if weight is None:
+        return df.groupBy(*by).agg(*unweighted_state(F.col(value)))
+    rows = df.select(*by, _real(F.col(value)).alias("x"), F.col(weight).cast("double").alias("k"))
+    rows = rows.withColumn("k", F.when(F.col("x").isNotNull(), F.coalesce("k", F.lit(0.0))))
+    means = rows.groupBy(*by).agg((F.sum(F.col("k") * F.col("x")) / F.nullif(F.sum("k"), F.lit(0.0))).alias("mean"))
+    d = F.col("x") - F.col("mean")
+    sums = [F.sum(F.col("k") * _power(d, j)).alias(f"m{j}") for j in (2, 3, 4)]
+    return _same(rows, means, by).groupBy(*by).agg(F.count("x").alias("n"), F.sum("k").alias("w"), F.first("mean").alias("mean"), *sums, F.min("x").alias("min"), F.max("x").alias("max"), F.sum(F.col("k") * F.col("x")).alias("sum"))
+
+
+def merge(states: DataFrame, by: list[str] = ()) -> DataFrame:
+    """State rows of groups from state rows of their parts."""
+    by = list(by)
+    means = states.groupBy(*by).agg((F.sum(F.col("w") * F.col("mean")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("whole"))
+    w, d, m2, m3, m4 = F.col("w"), F.col("mean") - F.col("whole"), F.col("m2"), F.col("m3"), F.col("m4")
+    sums = [
+        F.sum(m2 + w * d * d).alias("m2"),
+        F.sum(m3 + 3 * d * m2 + w * _power(d, 3)).alias("m3"),
+        F.sum(m4 + 4 * d * m3 + 6 * d * d * m2 + w * _power(d, 4)).alias("m4"),
+    ]
+    return _same(states, means, by).groupBy(*by).agg(F.sum("n").alias("n"), F.sum("w").alias("w"), F.first("whole").alias("mean"), *sums, F.min("min").alias("min"), F.max("max").alias("max"), F.sum("sum").alias("sum"))
 
 
-def finish(centre: float = 0.0, ddof: int = 0) -> list[Column]:
+def finish(ddof: int = 0) -> list[Column]:
     """Statistics from a state row."""
-    n, w = F.col("n"), F.col("w")
-    m = F.col("s1") / w
-    e2, e3, e4 = F.col("s2") / w, F.col("s3") / w, F.col("s4") / w
-    m2 = F.greatest(e2 - m * m, F.lit(0.0))
-    m3 = e3 - 3 * m * e2 + 2 * m * m * m
-    m4 = e4 - 4 * m * e3 + 6 * m * m * e2 - 3 * m * m * m * m
-    ok = m2 > 1e-14 * F.greatest(e2, F.lit(1e-300))
+    w = F.col("w")
+    m2 = F.col("m2") / w
+    variance = F.when(w - ddof > 0, F.col("m2") / (w - ddof))
+    # a spread that is rounding alone has no shape
+    ok = m2 > 1e-28 * F.greatest(F.col("mean") * F.col("mean"), F.lit(1e-300))
     return [
-        F.coalesce(n, F.lit(0)).cast("long").alias("count"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("count"),
         F.coalesce(w, F.lit(0.0)).alias("sum_of_weights"),
-        F.coalesce(F.col("sum"), F.lit(0.0)).alias("sum"),
-        (m + F.lit(float(centre))).alias("mean"),
+        F.coalesce("sum", F.lit(0.0)).alias("sum"),
+        F.col("mean"),
         F.col("min"),
         F.col("max"),
-        F.when(w - ddof > 0, m2 * w / (w - ddof)).alias("variance"),
-        F.when(ok, m3 / F.pow(m2, 1.5)).alias("skewness"),
-        F.when(ok, m4 / (m2 * m2) - 3).alias("kurtosis"),
+        variance.alias("variance"),
+        F.sqrt(variance).alias("std"),
+        F.when(ok, F.col("m3") / w / F.pow(m2, F.lit(1.5))).alias("skewness"),
+        F.when(ok, F.col("m4") / w / (m2 * m2) - 3).alias("kurtosis"),
     ]
 
 
-def describe(df: DataFrame, value: str, by: list[str] = (), weight: str | None = None, centre: float = 0.0, ddof: int = 0) -> DataFrame:
+def describe(df: DataFrame, value: str, by: list[str] = (), weight: str | None = None, ddof: int = 0) -> DataFrame:
     """Moments of ``value`` over everything, or for each group: the rows of a long-format array
     grouped by the dimensions that are kept."""
-    w = None if weight is None else F.col(weight)
-    return df.groupBy(*by).agg(*state(F.col(value), w, centre)).select(*by, *finish(centre, ddof))
+    return state(df, value, by, weight).select(*by, *finish(ddof))
 
 
-def merged(states: DataFrame, by: list[str] = (), centre: float = 0.0, ddof: int = 0) -> DataFrame:
-    return states.groupBy(*by).agg(*merge()).select(*by, *finish(centre, ddof))
+def merged(states: DataFrame, by: list[str] = (), ddof: int = 0) -> DataFrame:
+    return merge(states, by).select(*by, *finish(ddof))
 
 
-def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = (), accuracy: int | None = None) -> DataFrame:
-    """Linear-interpolated quantiles; with ``accuracy`` by a mergeable sketch of bounded size."""
+def quantiles(df: DataFrame, value: str, qs: list[float], by: list[str] = (), accuracy: int | None = 10_000) -> DataFrame:
+    """Quantiles by a mergeable sketch of bounded size, right to a rank of 1 / ``accuracy``. With
+    ``accuracy`` None exact and linear-interpolated: every distinct value of a group is then held
+    in one task, which is for small groups only. Weighted ones: ``weighted_quantiles``, ``digest``."""
     if any(not 0 <= q <= 1 for q in qs):
         raise ValueError("quantiles lie between 0 and 1")
     x = _real(F.col(value))
@@ -97,17 +137,17 @@ def weighted_quantiles(df: DataFrame, value: str, weight: str, qs: list[float],
     return run.groupBy(*by).agg(*[F.min(F.when(F.col("cw") >= F.lit(float(q)) * F.col("tw") - 1e-9, F.col("x"))).alias(f"q{round(100 * q):02d}") for q in qs])
 
 
-def binning1d(df: DataFrame, x: str, z: str, axis: Axis, weight: str | None = None, limits: tuple[float, float] | None = None, empty: bool = True, centre: float = 0.0) -> DataFrame:
+def binning1d(df: DataFrame, x: str, z: str, axis: Axis, weight: str | None = None, limits: tuple[float, float] | None = None, empty: bool = True) -> DataFrame:
     """Moments of z in the bins of ``axis`` nearest to x; x outside ``limits`` is dropped."""
     lo, hi = limits or (axis.min_value(), axis.max_value())
     rows = df.where(F.col(x).between(lo, hi)).select(axis.find_index(F.col(x), True).alias("ix"), F.col(z).alias("z"), *([F.col(weight).alias("w0")] if weight else []))
-    out = rows.where("ix >= 0").groupBy("ix").agg(*state(F.col("z"), F.col("w0") if weight else None, centre)).where("n > 0")
+    out = state(rows.where("ix >= 0"), "z", ["ix"], "w0" if weight else None).where("n > 0")
     if empty:
         out = axis.to_dataframe(df.sparkSession).select(F.col("idx").cast("long").alias("ix")).join(out, "ix", "left")
-    return out.select("ix", *finish(centre))
+    return out.select("ix", *finish())
 
 
-def bin2d_state(df: DataFrame, x: str, y: str, z: str, ax: Axis, ay: Axis, weight: str | None = None, simple: bool = True, geodetic: bool = False, out_of_range: str = "clamp", centre: float = 0.0) -> DataFrame:
+def bin2d_state(df: DataFrame, x: str, y: str, z: str, ax: Axis, ay: Axis, weight: str | None = None, simple: bool = True, geodetic: bool = False, out_of_range: str = "clamp") -> DataFrame:
     """State rows by cell. ``simple`` puts a sample into its nearest cell (beyond the ends into the
     edge cell, or dropped). Otherwise it is spread over its four corners by area: planar, or on the
     sphere of equal area if ``geodetic``; samples that are not bracketed are dropped."""
@@ -126,7 +166,7 @@ def bin2d_state(df: DataFrame, x: str, y: str, z: str, ax: Axis, ay: Axis, weigh
         t, u = F.col("t"), F.col("u")
         corners = F.array(corner("bx.i0", "by.i0", (1 - t) * (1 - u)), corner("bx.i0", "by.i1", (1 - t) * u), corner("bx.i1", "by.i0", t * (1 - u)), corner("bx.i1", "by.i1", t * u))
         rows = b.select(F.explode(corners).alias("e"), "z", "w0").where("e.c > 1e-12").select("e.ix", "e.iy", "z", (F.col("w0") * F.col("e.c")).alias("w0"))
-    return rows.groupBy("ix", "iy").agg(*state(F.col("z"), F.col("w0"), centre)).where("n > 0")
+    return state(rows, "z", ["ix", "iy"], None if simple and weight is None else "w0").where("n > 0")
 
 
 def fraction(axis: Axis, c: Column, pair: Column) -> Column:
@@ -141,16 +181,26 @@ def fraction(axis: Axis, c: Column, pair: Column) -> Column:
     return (c - lo) / (hi - lo)
 
 
-def binning2d(df: DataFrame, x: str, y: str, z: str, ax: Axis, ay: Axis, empty: bool = False, centre: float = 0.0, **how) -> DataFrame:
-    out = bin2d_state(df, x, y, z, ax, ay, centre=centre, **how)
+def binning2d(df: DataFrame, x: str, y: str, z: str, ax: Axis, ay: Axis, empty: bool = False, **how) -> DataFrame:
+    out = bin2d_state(df, x, y, z, ax, ay, **how)
     if empty:  # the grid of all cells is metadata of the axes
         s = df.sparkSession
         grid = ax.to_dataframe(s).select(F.col("idx").cast("long").alias("ix")).join(ay.to_dataframe(s).select(F.col("idx").cast("long").alias("iy")))
         out = grid.join(out, ["ix", "iy"], "left")
-    return out.select("ix", "iy", *finish(centre))
+    return out.select("ix", "iy", *finish())
 
 
-def histogram2d(df: DataFrame, x: str, y: str, z: str, ax: Axis, ay: Axis, qs: list[float], accuracy: int | None = None) -> DataFrame:
+def histogram2d(df: DataFrame, x: str, y: str, z: str, ax: Axis, ay: Axis, qs: list[float], accuracy: int | None = 10_000) -> DataFrame:
     """Quantiles of z by nearest cell, samples outside in the edge cells."""
-    rows = df.select(ax.find_index(F.col(x), True).alias("ix"), ay.find_index(F.col(y), True).alias("iy"), F.col(z).alias("z")).where("ix >= 0 and iy >= 0")
-    return quantiles(rows, "z", qs, ["ix", "iy"], accuracy)
+    return quantiles(_cells(df, x, y, z, ax, ay), "z", qs, ["ix", "iy"], accuracy)
+
+
+def _cells(df: DataFrame, x: str, y: str, z: str, ax: Axis, ay: Axis, weight: str | None = None) -> DataFrame:
+    w = [F.col(weight).cast("double").alias("w0")] if weight else []
+    return df.select(ax.find_index(F.col(x), True).alias("ix"), ay.find_index(F.col(y), True).alias("iy"), F.col(z).alias("z"), *w).where("ix >= 0 and iy >= 0")
+
+
+def histogram2d_state(df: DataFrame, x: str, y: str, z: str, ax: Axis, ay: Axis, weight: str | None = None, compression: int = digest.COMPRESSION) -> DataFrame:
+    """Digest rows by nearest cell: ``digest.merge(a.union(b), ["ix", "iy"])`` adds two of them,
+    ``digest.quantile_columns`` reads them, ``columns.save_state`` keeps them."""
+    return digest.build(_cells(df, x, y, z, ax, ay, weight), "z", ["ix", "iy"], "w0" if weight else None, compression)

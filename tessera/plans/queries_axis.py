@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import stats
+from tessera.operators import digest, stats
 from tessera.operators.axis import Axis, TemporalAxis
 
 from .base import register, table
@@ -77,7 +77,7 @@ round(sum(w * (x - mu) ** 2) / sum(w) / 1e6, 4) AS variance, round((sum(w * (x -
 round((sum(w * (x - mu) ** 4) / sum(w)) / (sum(w * (x - mu) ** 2) / sum(w)) ** 2 - 3, 6) AS kurtosis
 FROM d JOIN m USING (l_returnflag, l_linestatus) GROUP BY l_returnflag, l_linestatus""")
 def stats_weighted(spark, sf_dir):
-    out = stats.describe(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"], "l_quantity", 40_000.0)
+    out = stats.describe(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"], "l_quantity")
     return out.select("l_returnflag", "l_linestatus", "count", *_round("sum_of_weights", digits=4), *_round("sum", digits=2), *_round("mean"), "min", "max", F.round(F.col("variance") / 1e6, 4).alias("variance"), *_round("skewness", "kurtosis"))
 
 
@@ -87,18 +87,59 @@ round((sum((x - mu) ** 3) / count(x)) / var_pop(x) ** 1.5, 6) AS skewness, round
 def stats_merged(spark, sf_dir):
     """Partial states by day, merged: missing samples skipped, as NULL and as NaN."""
     x = F.when(F.col("event_id") % 20 == 0, F.lit(float("nan"))).when(F.col("event_id") % 10 == 0, None).otherwise(F.col("value"))
-    states = table(spark, sf_dir, "events").withColumn("x", x).groupBy(F.to_date("ts").alias("day")).agg(*stats.state(F.col("x"), centre=200.0))
-    out = stats.merged(states, centre=200.0, ddof=1)
+    states = stats.state(table(spark, sf_dir, "events").select(x.alias("x"), F.to_date("ts").alias("day")), "x", ["day"])
+    out = stats.merged(states, ddof=1)
     return out.select("count", *_round("sum", digits=4), *_round("mean"), "min", "max", *_round("variance", digits=4), *_round("skewness", "kurtosis"))
 
 
 @register("""SELECT o_orderpriority, count(*) AS count, round(quantile_cont(o_totalprice, 0.1), 4) AS q10, round(quantile_cont(o_totalprice, 0.5), 4) AS q50,
 round(quantile_cont(o_totalprice, 0.99), 4) AS q99, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY 1""")
 def quantiles_exact(spark, sf_dir):
-    out = stats.quantiles(table(spark, sf_dir, "orders"), "o_totalprice", [0.1, 0.5, 0.99], ["o_orderpriority"])
+    out = stats.quantiles(table(spark, sf_dir, "orders"), "o_totalprice", [0.1, 0.5, 0.99], ["o_orderpriority"], None)
     return out.select("o_orderpriority", "count", *_round("q10", "q50", "q99", digits=4), "min", "max")
 
 
+@register("""WITH d AS (SELECT o_orderstatus AS g, 1000000 + (o_totalprice - 150000) / 90000 AS x, o_custkey % 7 AS w FROM orders), m AS (SELECT g, sum(w * x) / sum(w) AS mu FROM d GROUP BY g), c AS (SELECT g, w, x - mu AS e, mu FROM d JOIN m USING (g))
+SELECT g, count(*) AS count, round(any_value(mu), 6) AS mean, round(sum(w * e * e) / sum(w), 6) AS variance, round(sqrt(sum(w * e * e) / sum(w)), 6) AS std,
+round(sum(w * e ** 3) / sum(w) / (sum(w * e * e) / sum(w)) ** 1.5, 4) AS skewness, round(sum(w * e ** 4) / sum(w) / (sum(w * e * e) / sum(w)) ** 2 - 3, 4) AS kurtosis FROM c GROUP BY g""")
+def stats_large_mean(spark, sf_dir):
+    """Weighted moments of a small spread about a large mean, from states of parts that are merged."""
+    d = table(spark, sf_dir, "orders").selectExpr("o_orderstatus as g", "1000000 + (o_totalprice - 150000) / 90000 as x", "cast(o_custkey % 7 as double) as w", "o_orderpriority as part")
+    out = stats.merged(stats.state(d, "x", ["g", "part"], "w"), ["g"])
+    return out.select("g", "count", *_round("mean", "variance", "std"), *_round("skewness", "kurtosis", digits=4))
+
+
+@register("""WITH d AS (SELECT o_orderpriority AS g, 1000000 + (o_totalprice - 150000) / 90000 AS x FROM orders), m AS (SELECT g, avg(x) AS mu FROM d GROUP BY g), c AS (SELECT g, x - mu AS e FROM d JOIN m USING (g))
+SELECT g, count(*) AS count, round(avg(e * e), 6) AS variance, round(avg(e ** 3) / avg(e * e) ** 1.5, 4) AS skewness, round(avg(e ** 4) / avg(e * e) ** 2 - 3, 4) AS kurtosis FROM c GROUP BY g""")
+def stats_large_mean_unweighted(spark, sf_dir):
+    d = table(spark, sf_dir, "orders").selectExpr("o_orderpriority as g", "1000000 + (o_totalprice - 150000) / 90000 as x")
+    return stats.describe(d, "x", ["g"]).select("g", "count", *_round("variance"), *_round("skewness", "kurtosis", digits=4))
+
+
+@register("""SELECT l_returnflag, count(*) AS count, round(sum(l_quantity), 4) AS weight, min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 2) AS mean,
+true AS close10, true AS close50, true AS close99 FROM lineitem GROUP BY 1""")
+def digest_quantiles(spark, sf_dir):
+    """Weighted digests of parts, merged. An estimate is close if the exact share of weight up to it
+    is within a hundredth of the one asked for."""
+    d, qs = table(spark, sf_dir, "lineitem"), (0.1, 0.5, 0.99)
+    parts = digest.build(d, "l_extendedprice", ["l_returnflag", "l_linestatus"], "l_quantity")
+    got = digest.merge(parts, ["l_returnflag"])
+    got = got.select("l_returnflag", "count", F.round("weight", 4).alias("weight"), "min", "max", F.round(digest.mean(), 2).alias("mean"), *digest.quantile_columns(qs))
+    w, names = F.col("l_quantity"), [f"q{round(100 * q):02d}" for q in qs]
+    shares = d.join(F.broadcast(got.select("l_returnflag", *names)), "l_returnflag").groupBy("l_returnflag").agg(*[(F.sum(F.when(F.col("l_extendedprice") <= F.col(n), w).otherwise(0)) / F.sum(w)).alias(n) for n in names])
+    close = [(F.abs(F.col(n) - q) <= 0.01).alias(f"close{n[1:]}") for n, q in zip(names, qs, strict=True)]
+    return got.drop(*names).join(shares.select("l_returnflag", *close), "l_returnflag")
+
+
+@register("""SELECT least(round(l_quantity / 10.0)::BIGINT, 5) AS ix, least(round(l_discount / 0.02)::BIGINT, 5) AS iy, count(*) AS count, min(l_extendedprice) AS min, max(l_extendedprice) AS max, min(l_extendedprice) AS q00, max(l_extendedprice) AS q100 FROM lineitem GROUP BY 1, 2""")
+def histogram2d_digest(spark, sf_dir):
+    """Digests by cell of the two halves of the table, added."""
+    d = table(spark, sf_dir, "lineitem")
+    half = lambda k: stats.histogram2d_state(d.where(F.col("l_linenumber") % 2 == k), "l_quantity", "l_discount", "l_extendedprice", CELLS, DISCOUNT)
+    out = digest.merge(half(0).union(half(1)), ["ix", "iy"])
+    return out.select("ix", "iy", "count", "min", "max", *digest.quantile_columns([0.0, 1.0]))
+
+
 @register("""WITH p AS (SELECT l_returnflag, l_discount AS x, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
 c AS (SELECT *, sum(w) OVER (PARTITION BY l_returnflag ORDER BY x) AS cw, sum(w) OVER (PARTITION BY l_returnflag) AS tw FROM p)
 SELECT l_returnflag, min(x) FILTER (cw >= 0.25 * tw - 1e-9) AS q25, min(x) FILTER (cw >= 0.5 * tw - 1e-9) AS q50 FROM c GROUP BY 1""")
@@ -109,14 +150,14 @@ def quantiles_weighted(spark, sf_dir):
 @register("""WITH a AS (SELECT i::BIGINT AS ix FROM range(6) t(i)), d AS (SELECT least(round(l_quantity / 10.0)::BIGINT, 5) AS ix, l_extendedprice AS x, l_tax AS w FROM lineitem WHERE l_quantity BETWEEN 5 AND 45)
 SELECT a.ix, count(x) AS count, round(coalesce(sum(w), 0), 4) AS sum_of_weights, round(coalesce(sum(w * x), 0), 2) AS sum, round(sum(w * x) / sum(w), 4) AS mean FROM a LEFT JOIN d ON a.ix = d.ix GROUP BY a.ix""")
 def binning1d(spark, sf_dir):
-    out = stats.binning1d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", CELLS, "l_tax", (5.0, 45.0), centre=40_000.0)
+    out = stats.binning1d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice", CELLS, "l_tax", (5.0, 45.0))
     return out.select("ix", "count", *_round("sum_of_weights", digits=4), *_round("sum", digits=2), *_round("mean", digits=4))
 
 
 @register("""SELECT least(round(l_quantity / 10.0)::BIGINT, 5) AS ix, least(round(l_discount / 0.02)::BIGINT, 5) AS iy, count(*) AS count, round(sum(l_extendedprice), 2) AS sum, round(avg(l_extendedprice), 4) AS mean,
 min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(var_pop(l_extendedprice) / 1e6, 4) AS variance FROM lineitem GROUP BY 1, 2""")
 def binning2d(spark, sf_dir):
-    out = stats.binning2d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", CELLS, DISCOUNT, centre=40_000.0)
+    out = stats.binning2d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", CELLS, DISCOUNT)
     return out.select("ix", "iy", "count", *_round("sum", digits=2), *_round("mean", digits=4), "min", "max", F.round(F.col("variance") / 1e6, 4).alias("variance"))
 
 
@@ -126,30 +167,30 @@ c AS (SELECT (i + p)::BIGINT AS ix, (j + q)::BIGINT AS iy, z, (CASE WHEN p = 1 T
 SELECT ix, iy, round(sum(w), 4) AS sum_of_weights, round(sum(w * z) / sum(w), 3) AS mean FROM c WHERE w > 1e-12 GROUP BY 1, 2""")
 def binning2d_linear(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").where("l_quantity <= 50")
-    out = stats.binning2d(d, "l_quantity", "l_tax", "l_extendedprice", CELLS, DISCOUNT, simple=False, centre=40_000.0)
+    out = stats.binning2d(d, "l_quantity", "l_tax", "l_extendedprice", CELLS, DISCOUNT, simple=False)
     return out.select("ix", "iy", *_round("sum_of_weights", digits=4), *_round("mean", digits=3))
 
 
-@register(f"""WITH d AS (SELECT ({LON} + 180) / 10.0 AS a, sin(radians(((c_custkey * 17) % 180 - 90)::DOUBLE)) AS s, ((c_custkey * 17) % 180) AS la, c_acctbal AS z FROM customer WHERE ((c_custkey * 17) % 180) <= 170),
-e AS (SELECT *, floor(a) AS i, least(la // 10, 16) AS j FROM d),
+@register(f"""WITH d AS (SELECT ({LON} + 180) / 10.0 AS a, sin(radians(((c_custkey * 17) % 180 - 90)::DOUBLE)) AS s, ((c_custkey * 17) % 180) AS la, c_acctbal AS z FROM customer),
+e AS (SELECT *, floor(a) AS i, least(la // 10, 17) AS j FROM d),
 f AS (SELECT *, a - i AS t, (s - sin(radians(j * 10 - 90.0))) / (sin(radians(j * 10 - 80.0)) - sin(radians(j * 10 - 90.0))) AS u FROM e),
 c AS (SELECT ((i + p) % 36)::BIGINT AS ix, (j + q)::BIGINT AS iy, z, (CASE WHEN p = 1 THEN t ELSE 1 - t END) * (CASE WHEN q = 1 THEN u ELSE 1 - u END) AS w FROM f, (VALUES (0), (1)) x(p), (VALUES (0), (1)) y(q))
 SELECT ix, iy, round(sum(w), 4) AS sum_of_weights, round(sum(w * z), 3) AS sum FROM c WHERE w > 1e-12 GROUP BY 1, 2""")
 def binning2d_geodetic(spark, sf_dir):
-    d = table(spark, sf_dir, "customer").selectExpr(f"cast({LON} as double) lon", "cast((c_custkey * 17) % 180 - 90 as double) lat", "c_acctbal").where("lat <= 80")
-    out = stats.binning2d(d, "lon", "lat", "c_acctbal", CIRCLE, Axis.linspace(-90.0, 10.0, 18), simple=False, geodetic=True)
+    d = table(spark, sf_dir, "customer").selectExpr(f"cast({LON} as double) lon", "cast((c_custkey * 17) % 180 - 90 as double) lat", "c_acctbal")
+    out = stats.binning2d(d, "lon", "lat", "c_acctbal", CIRCLE, Axis.linspace(-90.0, 10.0, 19), simple=False, geodetic=True)
     return out.select("ix", "iy", *_round("sum_of_weights", digits=4), *_round("sum", digits=3))
 
 
 @register("""SELECT least(round(l_quantity / 10.0)::BIGINT, 5) AS ix, least(round(l_discount / 0.02)::BIGINT, 5) AS iy, count(*) AS count,
 round(quantile_cont(l_extendedprice, 0.25), 4) AS q25, round(quantile_cont(l_extendedprice, 0.5), 4) AS q50 FROM lineitem GROUP BY 1, 2""")
 def histogram2d(spark, sf_dir):
-    out = stats.histogram2d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", CELLS, DISCOUNT, [0.25, 0.5])
+    out = stats.histogram2d(table(spark, sf_dir, "lineitem"), "l_quantity", "l_discount", "l_extendedprice", CELLS, DISCOUNT, [0.25, 0.5], None)
     return out.select("ix", "iy", "count", *_round("q25", "q50", digits=4))
 
 
 @register("""SELECT floor((epoch_us(ts) - 1704067200000000) / 86400000000.0 + 0.5)::BIGINT AS ix, count(*) AS count, round(avg(value), 6) AS mean FROM events GROUP BY 1""")
 def binning1d_time(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(DAYS.ticks(F.col("ts")).alias("t"), "value")
-    out = stats.binning1d(e, "t", "value", DAYS, limits=(DAYS.front() - 4.3e10, DAYS.back() + 4.3e10), empty=False, centre=200.0)
+    out = stats.binning1d(e, "t", "value", DAYS, limits=(DAYS.front() - 4.3e10, DAYS.back() + 4.3e10), empty=False)
     return out.select("ix", "count", *_round("mean"))

@@ -174,5 +174,5 @@ def orbit_pass_numbers(spark, sf_dir):
 def stream_binning(spark, sf_dir):
     """The streaming operator, run on the whole table as one batch."""
     e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = binning.binned(e, "ts", "value", "value", Axis.linspace(0.0, 100.0, 6), centre=200.0)
+    out = binning.binned(e, "ts", "value", "value", Axis.linspace(0.0, 100.0, 6))
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "ix", "count", F.round("mean", 6).alias("mean"))

@@ -65,13 +65,15 @@ def period_union(spark, sf_dir):
     return period.union(p.where("event_id % 2 = 0"), odd, ["user_id"])
 
 
-@register("WITH " + _P + """, t AS (SELECT event_id, user_id, b AS t FROM p WHERE event_id % 3 = 0), e AS (SELECT user_id, max(t) AS tm FROM t GROUP BY 1),
-f AS (SELECT p.user_id, max(p.l) AS far FROM p JOIN e ON e.user_id = p.user_id AND p.b <= e.tm WHERE p.event_id % 3 = 1 GROUP BY 1)
+@register("WITH " + _P + """, t AS (SELECT event_id, user_id, b AS t FROM p), e AS (SELECT user_id, max(t) AS tm FROM t GROUP BY 1),
+f AS (SELECT p.user_id, max(p.l) - 7200000000 AS far FROM p JOIN e ON e.user_id = p.user_id AND p.b - 7200000000 <= e.tm GROUP BY 1)
 SELECT event_id, coalesce(far >= t, false) AS crosses FROM t LEFT JOIN f ON f.user_id = t.user_id""")
 def period_crosses(spark, sf_dir):
+    """Every event as a point, against all intervals moved two hours back."""
     p = intervals(spark, sf_dir)
-    pts = p.where("event_id % 3 = 0").select("event_id", "user_id", F.col("begin").alias("t"))
-    return period.crosses(pts, "t", p.where("event_id % 3 = 1"), ["user_id"]).select("event_id", "crosses")
+    pts = p.select("event_id", "user_id", F.col("begin").alias("t"))
+    moved = p.select("user_id", (F.col("begin") - 7_200_000_000).alias("begin"), (F.col("last") - 7_200_000_000).alias("last"))
+    return period.crosses(pts, "t", moved, ["user_id"]).select("event_id", "crosses")
 
 
 @register("WITH " + _P + " SELECT user_id, bool_and(ok) AS ok FROM (SELECT user_id, coalesce(b > lag(l) OVER (PARTITION BY user_id ORDER BY event_id), true) AS ok FROM p) GROUP BY 1")

@@ -11,11 +11,11 @@ from tessera.operators import stats
 from tessera.operators.axis import Axis
 
 
-def binned(stream: DataFrame, ts: str, x: str, z: str, axis: Axis, every: str = "1 hour", late: str = "10 minutes", centre: float = 0.0) -> DataFrame:
+def binned(stream: DataFrame, ts: str, x: str, z: str, axis: Axis, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Streaming (or batch) frame of window start, bin and moments of z."""
     rows = stream.withWatermark(ts, late).select(F.col(ts).alias("ts"), axis.find_index(F.col(x), True).alias("ix"), F.col(z).alias("z")).where("ix >= 0")
-    agg = rows.groupBy(F.window("ts", every).alias("win"), "ix").agg(*stats.state(F.col("z"), None, centre))
-    return agg.select(F.col("win.start").alias("start"), "ix", *stats.finish(centre))
+    agg = rows.groupBy(F.window("ts", every).alias("win"), "ix").agg(*stats.unweighted_state(F.col("z")))
+    return agg.select(F.col("win.start").alias("start"), "ix", *stats.finish())
 
 
 def sessions(stream: DataFrame, ts: str, key: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
