@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import fill, grid, knn, scattered, windowed
@@ -172,6 +175,38 @@ def window_function_mean(spark, sf_dir):
     return scattered.window_mean(n, "blackman_harris", 3_000_000.0).select("qid", F.round("value", 4).alias("value"), "neighbours")
 
 
+def _each(parts: dict[str, str]) -> str:
+    """One table of the results of several complete statements."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS kind, * FROM ({sql})" for name, sql in parts.items())
+
+
+_COS = {
+    "boxcar": "1",
+    "hamming": (0.53836, 0.46164),
+    "blackman": (7938 / 18608, 9240 / 18608, 1430 / 18608),
+    "blackman_harris": (0.35875, 0.48829, 0.14128, 0.01168),
+    "nuttall": (0.3635819, 0.4891775, 0.1365995, 0.0106411),
+    "flat_top": (0.21557895, 0.41663158, 0.277263158, 0.083578947, 0.006947368),
+}
+_SINC = "CASE WHEN {x} = 0 THEN 1 ELSE sin(pi() * {x}) / (pi() * {x}) END"
+#: argument and SQL of every window, of q = distance / radius; all neighbours lie within twice the radius
+_WINDOW_SQL = {name: (None, "CASE WHEN q <= 1 THEN " + (c if isinstance(c, str) else " ".join(f"{'+' if i % 2 == 0 else '-'} {a!r} * cos({i} * pi() * (q + 1))" for i, a in enumerate(c))) + " ELSE 0 END") for name, c in _COS.items()} | {
+    "gaussian": (900_000.0, "CASE WHEN q <= 1 THEN exp(-0.5 * (d / 900000.0) ** 2) ELSE 0 END"),
+    "lanczos": (2.0, f"({_SINC.format(x='q')}) * ({_SINC.format(x='(q / 2)')})"),
+    "parzen": (400_000.0, "CASE WHEN d <= 800000 THEN 1 - 6 * q ** 2 * (1 - q) WHEN d <= 1600000 THEN 2 * (1 - q) ** 3 ELSE 0 END"),
+    "parzen_swot": (None, "CASE WHEN q <= 0.5 THEN 1 - 6 * q ** 2 * (1 - q) WHEN q <= 1 THEN 2 * (1 - q) ** 3 ELSE 0 END"),
+}
+
+
+@register(f"WITH {_KNN}, t AS (SELECT *, d / 1400000.0 AS q FROM k WHERE r <= 20 AND d <= 2800000)" + _each({kind: f"SELECT qid, round(sum(w * value) / sum(w), 3) AS value, CASE WHEN sum(w) <> 0 THEN count(*) ELSE 0 END AS neighbours FROM (SELECT qid, value, {sql} AS w FROM t) GROUP BY qid" for kind, (_, sql) in _WINDOW_SQL.items()}))
+def window_kernels(spark, sf_dir):
+    """Every window with a radius of 1400 km, over neighbours within twice that."""
+    _, n = _neighbours(spark, sf_dir, k=20, radius=2_800_000.0)
+    n = n.cache()
+    out = [scattered.window_mean(n, kind, 1_400_000.0, arg).select(F.lit(kind).alias("kind"), "qid", F.round("value", 3).alias("value"), "neighbours") for kind, (arg, _) in _WINDOW_SQL.items()]
+    return reduce(DataFrame.union, out)
+
+
 def _solver_input(spark, sf_dir, k):
     q, o = _sites(spark, sf_dir)
     km = lambda d: d.withColumns({c: F.col(c) / 1e6 for c in "xyz"})
@@ -180,30 +215,105 @@ def _solver_input(spark, sf_dir, k):
     return q, n.join(o.select("oid", "x", "y", "z"), "oid")
 
 
-@register()
+def _solve_sql(k: int, pair: str, point: str, right: str | None = None, extra: str = "", drift: bool = False) -> str:
+    """CTEs that solve one linear system for each qid by elimination: t has its k nearest sites, c the
+    entries ``pair`` (of d, the distance of sites a and b), with ``point`` of a site and the query as
+    right side (or ``right`` of the site a); w has the solution s, the values v and the point terms p."""
+    rows = "list(m ORDER BY r) AS m"
+    lines = f"SELECT qid, r, list_append(array_agg(e ORDER BY r2), any_value(h)) AS m FROM c GROUP BY qid, r"
+    if drift:  # saddle system with the terms 1, x, y, z below and beside
+        terms = [("1.0", "1.0"), ("x", "qx"), ("y", "qy"), ("z", "qz")]
+        lines = f"SELECT qid, r, list_concat(array_agg(e ORDER BY r2), [any_value(ax) * 0 + 1, any_value(ax), any_value(ay), any_value(az), any_value(h)]) AS m FROM c GROUP BY qid, r"
+        for i, (f, f0) in enumerate(terms):
+            lines += f" UNION ALL SELECT qid, {k + 1 + i} AS r, list_concat(array_agg({f} ORDER BY r), [0.0, 0.0, 0.0, 0.0, any_value({f0})]) AS m FROM t GROUP BY qid"
+    return f"""t AS MATERIALIZED (SELECT qid, r, oid, value, d / 1e6 AS d, qx / 1e6 AS qx, qy / 1e6 AS qy, qz / 1e6 AS qz, x / 1e6 AS x, y / 1e6 AS y, z / 1e6 AS z FROM k WHERE r <= {k}),
+j AS (SELECT a.qid, a.r, b.r AS r2, a.value, a.oid, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz, a.qx, a.qy, a.qz, a.d AS dq, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM t a JOIN t b USING (qid)){extra},
+c AS MATERIALIZED (SELECT *, {pair} AS e, {right or point} AS h, {point} AS p FROM j),
+l AS ({lines}), y AS (SELECT qid, 1 AS i, {rows} FROM l GROUP BY qid),
+g AS (SELECT * FROM y UNION ALL SELECT qid, i + 1, list_transform(m, lambda r, n: CASE WHEN n = i THEN list_transform(r, lambda x: x / m[i][i]) ELSE list_transform(r, lambda x, o: x - r[i] * m[i][o] / m[i][i]) END) FROM g WHERE i <= len(m)),
+v AS (SELECT qid, array_agg(value ORDER BY r) AS v, array_agg(p ORDER BY r) AS p FROM c WHERE r2 = 1 GROUP BY qid),
+w AS (SELECT qid, list_transform(m, lambda r: r[len(r)])[1:{k}] AS s, v, p FROM g JOIN v USING (qid) WHERE i = len(m) + 1)"""
+
+
+_RBF_SQL = {
+    "cubic": "{d} ** 3",
+    "gaussian": "exp(-(({d} / {e}) ** 2))",
+    "inverse_multiquadric": "1 / sqrt(1 + ({d} / {e}) ** 2)",
+    "linear": "{d}",
+    "multiquadric": "sqrt(1 + ({d} / {e}) ** 2)",
+    "thin_plate": "CASE WHEN {d} > 1e-15 THEN {d} ** 2 * ln(greatest({d}, 1e-300)) ELSE 0 END",
+}
+
+
+def _rbf_sql(kind: str, k: int, epsilon: str) -> str:
+    f, e = _RBF_SQL[kind], epsilon
+    extra = f", ja AS (SELECT qid, sum(d) / ({k} * ({k} - 1)) AS mean FROM j GROUP BY qid)"
+    solve = _solve_sql(k, "(" + f.format(d="d", e=e) + ") + CASE WHEN r = r2 THEN 0.1 ELSE 0 END", f.format(d="dq", e=e), "value", extra)
+    return solve.replace("FROM j),\nl AS", "FROM j JOIN ja USING (qid)),\nl AS")
+
+
+@register(f"WITH RECURSIVE {_KNN}, {_rbf_sql('multiquadric', 8, 'mean')} SELECT qid, round(list_dot_product(s, p), 2) AS value, 8 AS neighbours FROM w")
 def radial_basis(spark, sf_dir):
     q, n = _solver_input(spark, sf_dir, 8)
-    return scattered.radial_basis(n, q, ["x", "y", "z"]).select("qid", F.round("value", 4).alias("value"), "neighbours")
+    return scattered.radial_basis(n, q, ["x", "y", "z"], smooth=0.1).select("qid", F.round("value", 2).alias("value"), F.col("neighbours").cast("int").alias("neighbours"))
 
 
-@register()
+@register(_each({kind: f"WITH RECURSIVE {_KNN}, {_rbf_sql(kind, 4, '2.5')} SELECT qid, round(list_dot_product(s, p), 2) AS value FROM w" for kind in _RBF_SQL}))
+def radial_basis_kernels(spark, sf_dir):
+    """Every function, with an epsilon of 2.5 thousand kilometres."""
+    q, n = _solver_input(spark, sf_dir, 4)
+    n = n.cache()
+    out = [scattered.radial_basis(n, q, ["x", "y", "z"], kind, 2.5, 0.1).select(F.lit(kind).alias("kind"), "qid", F.round("value", 2).alias("value")) for kind in scattered.RBF]
+    return reduce(DataFrame.union, out)
+
+
+_COVARIANCE_SQL = {
+    "matern_12": "exp(-{q})",
+    "matern_32": "(1 + sqrt(3) * {q}) * exp(-sqrt(3) * {q})",
+    "matern_52": "(1 + sqrt(5) * {q} + 5 / 3.0 * {q} ** 2) * exp(-sqrt(5) * {q})",
+    "cauchy": "1 / (1 + {q} ** 2)",
+    "spherical": "CASE WHEN {q} < 1 THEN 1 - 1.5 * {q} + 0.5 * {q} ** 3 ELSE 0 END",
+    "gaussian": "exp(-({q} ** 2))",
+    "wendland": "CASE WHEN {q} < 1 THEN (1 - {q}) ** 2 ELSE 0 END",
+}
+
+
+def _kriging_sql(kind: str, k: int, length: float, nugget: float, drift: bool = False, digits: int = 4) -> str:
+    f = _COVARIANCE_SQL[kind]
+    solve = _solve_sql(k, f"({f.format(q=f'(d / {length})')}) + CASE WHEN r = r2 THEN {nugget} ELSE 0 END", f.format(q=f"(dq / {length})"), drift=drift)
+    return f"WITH RECURSIVE {_KNN}, {solve} SELECT qid, round(list_dot_product(s, v), {digits}) AS value"
+
+
+@register(_each({kind: _kriging_sql(kind, 5, 2.5, 0.05) + " FROM w" for kind in _COVARIANCE_SQL}))
+def kriging_kernels(spark, sf_dir):
+    """Simple kriging with every covariance."""
+    q, n = _solver_input(spark, sf_dir, 5)
+    n = n.cache()
+    out = [scattered.kriging(n, q, ["x", "y", "z"], kind, 1.0, 2.5, 0.05).select(F.lit(kind).alias("kind"), "qid", F.round("value", 4).alias("value")) for kind in scattered.COVARIANCE]
+    return reduce(DataFrame.union, out)
+
+
+@register(_kriging_sql("matern_32", 8, 2.0, 0.01) + ", 8 AS neighbours FROM w")
 def kriging(spark, sf_dir):
     q, n = _solver_input(spark, sf_dir, 8)
-    return scattered.kriging(n, q, ["x", "y", "z"], "matern_32", 1.0, 2.0, 0.01).select("qid", F.round("value", 4).alias("value"), "neighbours")
+    return scattered.kriging(n, q, ["x", "y", "z"], "matern_32", 1.0, 2.0, 0.01).select("qid", F.round("value", 4).alias("value"), F.col("neighbours").cast("int").alias("neighbours"))
 
 
-@register()
+@register(_kriging_sql("spherical", 12, 3.0, 0.05, True, 3) + ", 12 AS neighbours FROM w")
 def kriging_universal(spark, sf_dir):
     q, n = _solver_input(spark, sf_dir, 12)
-    return scattered.kriging(n, q, ["x", "y", "z"], "spherical", 1.0, 3.0, 0.05, drift="linear").select("qid", F.round("value", 4).alias("value"), "neighbours")
+    return scattered.kriging(n, q, ["x", "y", "z"], "spherical", 1.0, 3.0, 0.05, drift="linear").select("qid", F.round("value", 3).alias("value"), F.col("neighbours").cast("int").alias("neighbours"))
 
 
-@register()
+_OI = _solve_sql(12, "exp(-((ax - bx) ** 2 + ((ay - by_) / 1.5) ** 2 + ((az - bz) / 2.0) ** 2)) + CASE WHEN r = r2 THEN 0.1 + oid % 5 * 0.1 ELSE 0 END", "exp(-((ax - qx) ** 2 + ((ay - qy) / 1.5) ** 2 + ((az - qz) / 2.0) ** 2))")
+
+
+@register(f"WITH RECURSIVE {_KNN}, {_OI} SELECT qid, round(list_dot_product(s, v), 4) AS value, round(sqrt(greatest(1 - list_dot_product(s, p), 0)), 6) AS std, 12 AS neighbours FROM w")
 def optimal_interpolation(spark, sf_dir):
     q, n = _solver_input(spark, sf_dir, 12)
     n = n.withColumn("sigma2", F.lit(0.1) + F.pmod("oid", F.lit(5)) * 0.1)
     out = scattered.optimal_interpolation(n, q, ["x", "y", "z"], [1.0, 1.5, 2.0])
-    return out.select("qid", F.round("value", 4).alias("value"), F.round("std", 6).alias("std"), "neighbours")
+    return out.select("qid", F.round("value", 4).alias("value"), F.round("std", 6).alias("std"), F.col("neighbours").cast("int").alias("neighbours"))
 
 
 def _gappy(spark, sf_dir):
