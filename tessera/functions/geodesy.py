@@ -152,7 +152,7 @@ class Spheroid:
 
     def vincenty(self, lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
         """Iterated inverse problem, to about a millimetre; near-antipodal points that do not
-        converge get the great-circle distance of the mean radius."""
+        converge get the distance and azimuth of the great circle on the mean radius."""
         a, f, b = self.a, self.f, self.b
         mean = self.mean_radius
 
@@ -192,7 +192,9 @@ def vincenty_inverse(x1, y1, x2, y2, a, f, b, mean):
         dist = b * big * (sig - ds)
         sphere = mean * np.arccos(np.clip(np.sin(np.radians(y1)) * np.sin(np.radians(y2)) + np.cos(np.radians(y1)) * np.cos(np.radians(y2)) * np.cos(dl), -1, 1))
         dist = np.where(ss == 0, 0.0, np.where(done, dist, sphere))
-        az = np.arctan2(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam)) % (2 * np.pi)
+        lam, r1, r2 = np.where(done, lam, dl), np.radians(y1), np.radians(y2)
+        p1, q1, p2, q2 = (np.where(done, u, v) for u, v in ((s1, np.sin(r1)), (c1, np.cos(r1)), (s2, np.sin(r2)), (c2, np.cos(r2))))
+        az = np.arctan2(q2 * np.sin(lam), q1 * p2 - p1 * q2 * np.cos(lam)) % (2 * np.pi)
     return dist, az
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import dates, geodesy, geohash
 from tessera.functions.geodesy import WGS84
 
-from .base import register, table
+from .base import andoyer_sql, register, table
 
 POINT = ("cast((c_custkey * 37) % 360 - 180 as double) + 0.125 as lon", "cast((c_custkey * 17) % 179 - 89 as double) + 0.0625 as lat")
 SQL_POINT = "((c_custkey * 37) % 360 - 180)::DOUBLE + 0.125 AS lon, ((c_custkey * 17) % 179 - 89)::DOUBLE + 0.0625 AS lat"
@@ -94,9 +94,26 @@ def great_circle_distance(spark, sf_dir):
     return q.select("c_custkey", F.round(geodesy.haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 2).alias("haversine"))
 
 
-@register()
+@register(f"""WITH RECURSIVE k AS MATERIALIZED (SELECT 1 / 298.257223563 AS f, 6378137.0 AS a, 6378137.0 * (1 - 1 / 298.257223563) AS b),
+p AS MATERIALIZED (SELECT c_custkey AS id, lon, lat, radians((2.0 - lon + 540) % 360 - 180) AS dl, sin(u1) AS s1, cos(u1) AS c1, sin(u2) AS s2, cos(u2) AS c2
+  FROM (SELECT *, atan((1 - f) * tan(radians(lat))) AS u1, atan((1 - f) * tan(radians(48.0))) AS u2 FROM (SELECT c_custkey, {SQL_POINT} FROM customer), k)),
+r AS (SELECT 0 AS n, id, dl, s1, c1, s2, c2, dl AS lam, false AS done FROM p UNION ALL
+  SELECT n + 1, id, dl, s1, c1, s2, c2, new, abs(new - lam) < 1e-12 FROM (SELECT *, dl + (1 - k) * f * sa * (sig + k * ss * (cm + k * cs * (2 * cm * cm - 1))) AS new FROM (
+    SELECT *, f / 16 * ca2 * (4 + f * (4 - 3 * ca2)) AS k, CASE WHEN ca2 > 1e-15 THEN cs - 2 * s1 * s2 / ca2 ELSE 0 END AS cm FROM (
+      SELECT *, 1 - sa * sa AS ca2, atan2(ss, cs) AS sig FROM (
+        SELECT *, CASE WHEN ss > 0 THEN c1 * c2 * sin(lam) / ss ELSE 0 END AS sa FROM (
+          SELECT r.*, f, sqrt((c2 * sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * cos(lam)) ** 2) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM r, k WHERE n < 100))))) ),
+v AS (SELECT r.*, a, b, f, lon, lat, sqrt((c2 * sin(lam)) ** 2 + (c1 * s2 - s1 * c2 * cos(lam)) ** 2) AS ss, s1 * s2 + c1 * c2 * cos(lam) AS cs FROM (SELECT r.*, p.lon, p.lat FROM r JOIN p USING (id) WHERE n = 100) r, k),
+w AS (SELECT *, CASE WHEN ss > 0 THEN c1 * c2 * sin(lam) / ss ELSE 0 END AS sa, atan2(ss, cs) AS sig FROM v),
+x AS (SELECT *, CASE WHEN 1 - sa * sa > 1e-15 THEN cs - 2 * s1 * s2 / (1 - sa * sa) ELSE 0 END AS cm, (1 - sa * sa) * (a * a - b * b) / (b * b) AS w2 FROM w),
+y AS (SELECT *, 1 + w2 / 16384 * (4096 + w2 * (-768 + w2 * (320 - 175 * w2))) AS big, w2 / 1024 * (256 + w2 * (-128 + w2 * (74 - 47 * w2))) AS small FROM x),
+z AS (SELECT *, radians(lat) AS y1, radians(48.0) AS y2 FROM y),
+g AS (SELECT id, round(CASE WHEN ss = 0 THEN 0 WHEN done THEN b * big * (sig - small * ss * (cm + small / 4 * (cs * (2 * cm * cm - 1) - small / 6 * cm * (4 * ss * ss - 3) * (4 * cm * cm - 3))))
+  ELSE (2 * a + b) / 3 * acos(greatest(least(sin(y1) * sin(y2) + cos(y1) * cos(y2) * cos(dl), 1), -1)) END, 3) AS vincenty,
+  CASE WHEN done THEN atan2(c2 * sin(lam), c1 * s2 - s1 * c2 * cos(lam)) ELSE atan2(cos(y2) * sin(dl), cos(y1) * sin(y2) - sin(y1) * cos(y2) * cos(dl)) END AS az FROM z)
+SELECT id AS c_custkey, round({andoyer_sql('lon', 'lat', '2.0', '48.0')}, 1) AS andoyer, vincenty, round(CASE WHEN az < 0 THEN az + 2 * pi() ELSE az END, 9) AS azimuth FROM g JOIN p USING (id)""")
 def geodesic_distance(spark, sf_dir):
-    """Andoyer and Vincenty distances of each point to one meridian point; tests compare the two."""
+    """Andoyer and Vincenty distances of each point to one meridian point."""
     p = points(spark, sf_dir)
     args = (F.col("lon"), F.col("lat"), F.lit(2.0), F.lit(48.0))
     v = p.select("c_custkey", WGS84.andoyer(*args).alias("andoyer"), WGS84.vincenty(*args).alias("v"))

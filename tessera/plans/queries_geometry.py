@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import geometry as g
@@ -9,7 +10,7 @@ from tessera.operators import satellite
 from tessera.operators.axis import Axis
 from tessera.streaming import binning
 
-from .base import register, table
+from .base import andoyer_sql, register, table
 
 
 def boxes(spark, sf_dir):
@@ -24,6 +25,9 @@ def spots(spark, sf_dir):
     return table(spark, sf_dir, "supplier").selectExpr("s_suppkey as id", "cast(s_suppkey * 37 % 70 as double) px", "cast(s_suppkey * 17 % 50 as double) py")
 
 
+#: Area of a quarter of a regular polygon in the unit circle, of the points that a buffer puts on it
+_QUARTER = "(4.5 * sin(pi() / 18))"
+
 _N = "n AS (SELECT n_nationkey AS k, (n_nationkey * 13 % 60)::DOUBLE AS x, (n_nationkey * 7 % 40)::DOUBLE AS y FROM nation)"
 _S = "s AS (SELECT s_suppkey AS id, (s_suppkey * 37 % 70)::DOUBLE AS px, (s_suppkey * 17 % 50)::DOUBLE AS py FROM supplier)"
 
@@ -97,15 +101,23 @@ def line_length(spark, sf_dir):
     return d.select("k", F.round(g.length(line), 6).alias("length"), g.num_segments(line).alias("segments")).where("segments > 0")
 
 
-@register()
+# The hull cuts off the notch; every corner is farther than the tolerance from its chord; a buffer of 1 fills the hole and
+# adds the perimeter of 28, five corners of inscribed quarter circles, less the overlap at the inner corner.
+@register(f"""WITH {_N} SELECT k, 40.5::DOUBLE AS hull, 12::INT AS kept, round(33 + 28 + 5 * {_QUARTER} - 1, 4) AS buffer, true AS valid, true AS simple FROM n""")
 def geometry_kernels(spark, sf_dir):
-    """Hull, simplification, buffer and validity of the polygons; tests hold them to known values."""
+    """Hull, simplification, buffer and validity of the polygons."""
     p = F.col("poly")
     d = boxes(spark, sf_dir).select("k", g.convex_hull(p).alias("h"), g.simplify(p, 0.5).alias("s"), g.buffer(p, 1.0).alias("b"), g.is_valid(p).alias("valid"), g.is_simple(g.transform_to(F.col("box"), "linestring")).alias("simple"))
     return d.select("k", F.round(g.area(F.col("h")), 6).alias("hull"), g.num_points(F.col("s")).alias("kept"), F.round(g.area(F.col("b")), 4).alias("buffer"), "valid", "simple")
 
 
-@register()
+_AUTHALIC = "(s / (1 - e * e * s * s) + ln((1 + e * s) / (1 - e * s)) / (2 * e))"
+
+
+# Between meridians and parallels: the zone's area on the spheroid, and two arcs of a parallel with two of meridians.
+@register(f"""WITH {_N}, q AS (SELECT k, x, y, 0.0818191908426215 AS e, sin(radians(y)) AS s0, sin(radians(y + 6)) AS s1 FROM n)
+SELECT k, round(6378137.0 ** 2 / 2 * radians(8) * (1 - e * e) * ({_AUTHALIC.replace('s', 's1')} - {_AUTHALIC.replace('s', 's0')}) / 1e6, 3) AS km2,
+round({andoyer_sql('x', 'y', 'x + 8', 'y')} + {andoyer_sql('x', 'y + 6', 'x + 8', 'y + 6')} + 2 * ({andoyer_sql('x', 'y', 'x', 'y + 6')}), 1) AS perimeter FROM q""")
 def geodetic_measures(spark, sf_dir):
     d = boxes(spark, sf_dir)
     b = F.col("box")
@@ -150,15 +162,54 @@ def orbit_direction(spark, sf_dir):
     return satellite.infer_direction(track(spark), ["track"])
 
 
-@register()
+# Each point is turned about the direction of flight; latitudes come back by repeated correction.
+@register(f"""WITH RECURSIVE {_T}, k AS (SELECT 6378137.0 AS a, 6378137.0 * (1 - 1 / 298.257223563) AS b, 0.0066943799901413165 AS e2),
+e AS (SELECT track, idx, lat, a, b, e2, a / sqrt(1 - e2 * sin(radians(lat)) ** 2) AS n, lon FROM t, k),
+p AS (SELECT *, n * cos(radians(lat)) * cos(radians(lon)) AS x, n * cos(radians(lat)) * sin(radians(lon)) AS y, n * (1 - e2) * sin(radians(lat)) AS z FROM e),
+d AS (SELECT *, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS u, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS v, coalesce(lead(z) OVER w, z) - coalesce(lag(z) OVER w, z) AS q FROM p WINDOW w AS (PARTITION BY track ORDER BY idx)),
+f AS (SELECT *, sqrt(u * u + v * v + q * q) AS s, sqrt(((a * a * cos(radians(lat))) ** 2 + (b * b * sin(radians(lat))) ** 2) / ((a * cos(radians(lat))) ** 2 + (b * sin(radians(lat))) ** 2)) AS r FROM d),
+h AS (SELECT track, a, e2, x, y, z, u / s AS u, v / s AS v, q / s AS q, r, sign(j) * ((abs(j) - 1) * 2.0 + 2.0) AS ac FROM f, range(-35, 36) i(j) WHERE j <> 0),
+c AS (SELECT *, cos(ac * 1000 / r) AS c, sin(ac * 1000 / r) AS s, x * u + y * v + z * q AS o FROM h),
+m AS (SELECT track, ac, a, e2, sqrt((x * c + (v * z - q * y) * s + u * o * (1 - c)) ** 2 + (y * c + (q * x - u * z) * s + v * o * (1 - c)) ** 2) AS rho, z * c + (u * y - v * x) * s + q * o * (1 - c) AS z FROM c),
+l0 AS (SELECT *, atan2(z, rho * (1 - e2)) AS l FROM m), l1 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l0), l2 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l1),
+l3 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l2), l4 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l3)
+SELECT track, count(*) AS n, round(max(ac), 3) AS widest, round(avg(degrees(l)), 6) AS lat FROM l4 GROUP BY track""")
 def orbit_swath(spark, sf_dir):
     out = satellite.calculate_swath(track(spark), ["track"])
     return out.groupBy("track").agg(F.count("*").alias("n"), F.round(F.max("x_ac"), 3).alias("widest"), F.round(F.avg("swath_lat"), 6).alias("lat"))
 
 
-@register()
+def _half_weights() -> str:
+    """(first, last, offset, weight): what a point of the window adds to the natural spline halfway
+    between the points 0 and 1 of a window of the points first..last."""
+    rows = []
+    for first in (0, -1, -2):
+        for last in (1, 2, 3):
+            n = last - first + 1
+            a = np.eye(n)
+            for i in range(1, n - 1):
+                a[i, i - 1 : i + 2] = (1, 4, 1)
+            bend = np.zeros((n, n))
+            for i in range(1, n - 1):
+                bend[i, i - 1 : i + 2] = (6, -12, 6)
+            moments = np.linalg.solve(a, bend)
+            w = (moments[-first] + moments[1 - first]) * -1 / 16
+            w[-first] += 0.5
+            w[1 - first] += 0.5
+            rows += [f"({first}, {last}, {first + k}, {float(x)!r})" for k, x in enumerate(w)]
+    return ", ".join(rows)
+
+
+@register(f"""WITH t AS (SELECT k AS track, i AS idx, -60.0 + i * (0.05 + 0.005 * k) + k * 3 AS lon, 66.0 * sin(2 * 3.141592653589793 * (i + k * 300) / 1500) AS lat FROM range(2) a(k), range(300) b(i)),
+p AS (SELECT *, n * cos(radians(lat)) * cos(radians(lon)) AS x, n * cos(radians(lat)) * sin(radians(lon)) AS y, n * (1 - 0.0066943799901413165) * sin(radians(lat)) AS z FROM (SELECT *, 6378137.0 / sqrt(1 - 0.0066943799901413165 * sin(radians(lat)) ** 2) AS n FROM t)),
+w(f, l, o, w) AS (VALUES {_half_weights()}),
+h AS (SELECT c.track, 2 * c.idx + 1 AS idx, sum(w * p.x) AS x, sum(w * p.y) AS y, sum(w * p.z) AS z FROM t c JOIN w ON f = greatest(-2, -c.idx) AND l = least(3, 299 - c.idx) JOIN p ON p.track = c.track AND p.idx = c.idx + o WHERE c.idx < 299 GROUP BY 1, 2),
+m AS (SELECT *, sqrt(x * x + y * y) AS rho, 6378137.0 AS a, 0.0066943799901413165 AS e2 FROM h),
+l0 AS (SELECT *, atan2(z, rho * (1 - e2)) AS l FROM m), l1 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l0), l2 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l1),
+l3 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l2), l4 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l3)
+SELECT track, idx, round(degrees(atan2(y, x)), 6) AS lon, round(degrees(l), 6) AS lat FROM l4 UNION ALL SELECT track, 2 * idx, round(lon, 6), round(lat, 6) FROM t WHERE idx < 299""")
 def orbit_resampled(spark, sf_dir):
-    """Every half second; tests compare with the analytic track."""
+    """Every half second."""
     t = track(spark, 300, 2)
     return satellite.interpolate_orbit(t, 500_000).select("track", "idx", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 

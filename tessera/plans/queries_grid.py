@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,14 +111,23 @@ def windowed_polynomial(spark, sf_dir):
     return out.select("id", F.round("value", 5).alias("value"))
 
 
-@register()
+# The natural spline of i * i over four nodes has the second derivatives 0, 2.4, 2.4, 0; along the other axes the field is linear.
+@register(f"""WITH {_D}{_E}, f AS (SELECT *, a - i AS f FROM e)
+SELECT id, CASE WHEN {_IN3} AND i BETWEEN 1 AND 8 AND j BETWEEN 1 AND 3 THEN round((1 - f) * i * i + f * (i + 1) ** 2 - 0.4 * ((1 - f) - (1 - f) ** 3 + f - f ** 3) + 3.0 * b + 0.5 * c * b, 5) END AS value FROM f""")
 def windowed_bicubic(spark, sf_dir):
-    """Spline surface in three dimensions, time linear; tests hold it against closed forms."""
+    """Spline surface in three dimensions, time linear."""
     out = windowed.interpolate(_grid(spark, [AX, AY, AT], FIELD3), _points(spark, sf_dir), "id", ["x", "y", "t"], "bicubic", half=2, boundary="shrink")
     return out.select("id", F.round("value", 5).alias("value"))
 
 
-@register()
+# Slopes of six days (five next to the ends) around the event: the means of the outer ones are those of the window's ends.
+@register("""WITH s AS (SELECT datediff('day', DATE '2024-01-01', ts::DATE) AS x, avg(value) AS v FROM events GROUP BY 1), p AS (SELECT event_id, (epoch_us(ts) - 1704067200000000) / 86400000000.0 AS t FROM events),
+d AS (SELECT x, v, lead(v) OVER w - v AS d FROM s WINDOW w AS (ORDER BY x)),
+e AS (SELECT *, lag(d, 2) OVER w AS d2, lag(d) OVER w AS d1, lead(d) OVER w AS e1 FROM d WINDOW w AS (ORDER BY x)),
+f AS (SELECT *, CASE WHEN d2 IS NULL OR e1 IS NULL THEN (d1 + d) / 2 WHEN abs(e1 - d) + abs(d1 - d2) > 0 THEN (abs(e1 - d) * d1 + abs(d1 - d2) * d) / (abs(e1 - d) + abs(d1 - d2)) ELSE (d1 + d) / 2 END AS s FROM e),
+q AS (SELECT event_id, t, least(floor(t), 28)::BIGINT AS i FROM p WHERE t <= 29)
+SELECT event_id, round(a.v + h * (a.s + h * (3 * a.d - 2 * a.s - b.s + h * (a.s + b.s - 2 * a.d))), 6) AS value, round(a.s + h * (2 * (3 * a.d - 2 * a.s - b.s) + 3 * h * (a.s + b.s - 2 * a.d)), 6) AS derivative
+FROM p LEFT JOIN (SELECT *, t - i AS h FROM q) USING (event_id) LEFT JOIN f a ON a.x = i AND i BETWEEN 1 AND 27 LEFT JOIN f b ON b.x = i + 1 AND i BETWEEN 1 AND 27""")
 def windowed_akima(spark, sf_dir):
     axis = Axis.linspace(0.0, 1.0, 30)
     g = grid.Grid.from_coordinates([axis], _daily(spark, sf_dir), ["x"], "v")
@@ -330,10 +340,13 @@ _GAPPY = """g AS (SELECT event_type, datediff('day', DATE '2024-01-01', ts::DATE
 k AS (SELECT *, dense_rank() OVER (ORDER BY event_type) - 1 AS ix FROM g), m AS (SELECT ix, iy, CASE WHEN (ix * 7 + iy * 3) % 5 <> 0 THEN v END AS v FROM k)"""
 
 
-@register(f"""WITH {_GAPPY}, a AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN iy END IGNORE NULLS) OVER (PARTITION BY ix ORDER BY iy) AS p, first_value(CASE WHEN v IS NOT NULL THEN iy END IGNORE NULLS) OVER (PARTITION BY ix ORDER BY iy ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q,
+_LINES = f"""WITH {_GAPPY}, a AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN iy END IGNORE NULLS) OVER (PARTITION BY ix ORDER BY iy) AS p, first_value(CASE WHEN v IS NOT NULL THEN iy END IGNORE NULLS) OVER (PARTITION BY ix ORDER BY iy ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q,
 min(iy) FILTER (v IS NOT NULL) OVER (PARTITION BY ix) AS f, max(iy) FILTER (v IS NOT NULL) OVER (PARTITION BY ix) AS l FROM m)
 SELECT a.ix, a.iy, round(coalesce(a.v, CASE WHEN p IS NOT NULL AND q IS NOT NULL THEN b.v + (c.v - b.v) * (a.iy - p) / (q - p) WHEN p IS NOT NULL THEN e.v + (e.v - d.v) / (l - f) * (a.iy - l) ELSE d.v + (e.v - d.v) / (l - f) * (a.iy - f) END), 6) AS filled
-FROM a LEFT JOIN m b ON b.ix = a.ix AND b.iy = p LEFT JOIN m c ON c.ix = a.ix AND c.iy = q LEFT JOIN m d ON d.ix = a.ix AND d.iy = f LEFT JOIN m e ON e.ix = a.ix AND e.iy = l""")
+FROM a LEFT JOIN m b ON b.ix = a.ix AND b.iy = p LEFT JOIN m c ON c.ix = a.ix AND c.iy = q LEFT JOIN m d ON d.ix = a.ix AND d.iy = f LEFT JOIN m e ON e.ix = a.ix AND e.iy = l"""
+
+
+@register(_LINES)
 def fill_vector(spark, sf_dir):
     return fill.vector(_gappy(spark, sf_dir), "iy", "v", ["ix"]).select("ix", "iy", F.round("filled", 6).alias("filled"))
 
@@ -349,19 +362,50 @@ def _field(spark, sf_dir):
     return _gappy(spark, sf_dir).withColumn("g", F.lit(1))
 
 
-@register()
+@register(_LINES)  # every row of the sample has a value, so the second pass has nothing to fill
 def fill_matrix(spark, sf_dir):
     return fill.matrix(_gappy(spark, sf_dir), "v").select("ix", "iy", F.round("filled", 6).alias("filled"))
 
 
-def _solved(name, **options):
+_WHOLE = f"""{_GAPPY}, r AS (SELECT i, j, v FROM range(5) a(i), range(30) b(j) LEFT JOIN m ON m.ix = i AND m.iy = j),
+z AS (SELECT array_agg(g ORDER BY i) AS g, array_agg(u ORDER BY i) AS u FROM (SELECT i, array_agg(v IS NULL ORDER BY j) AS g, array_agg(coalesce(v, zonal, 0) ORDER BY j) AS u FROM (SELECT *, avg(v) OVER (PARTITION BY j) AS zonal FROM r) GROUP BY i))"""
+
+
+def _table_sql(result: str, digits: int) -> str:
+    return f"SELECT ix, iy, round(u[ix + 1][iy + 1], {digits}) AS filled FROM m, ({result})"
+
+
+#: Jacobi steps to the limit that every relaxation has
+_LAPLACE = f"""WITH RECURSIVE {_WHOLE}, s AS (SELECT 0 AS n, g, u FROM z UNION ALL
+SELECT n + 1, g, list_transform(u, lambda row, i: list_transform(row, lambda x, j: CASE WHEN g[i][j] THEN (u[CASE WHEN i = 1 THEN 2 ELSE i - 1 END][j] + u[CASE WHEN i = 5 THEN 4 ELSE i + 1 END][j] + u[i][CASE WHEN j = 1 THEN 2 ELSE j - 1 END] + u[i][CASE WHEN j = 30 THEN 29 ELSE j + 1 END]) / 4 ELSE x END)) FROM s WHERE n < 300)
+{_table_sql("SELECT u FROM s WHERE n = 300", 6)}"""
+
+
+def _low_pass(n: int, sigma: float) -> str:
+    """The Gaussian low pass of n mirrored points as a matrix: means of cosines."""
+    k = np.arange(n)
+    c = np.cos(np.pi * np.outer(k + 0.5, k) / n) * np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n))
+    m = (c * np.exp(-2 * (np.pi * sigma * k / (2 * n)) ** 2)) @ c.T
+    return "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in row) + "]" for row in m) + "]"
+
+
+_INPAINT = f"""WITH RECURSIVE {_WHOLE}, low AS MATERIALIZED (SELECT {_low_pass(5, 3.0)}::DOUBLE[][] AS kx, {_low_pass(30, 3.0)}::DOUBLE[][] AS ky),
+s AS (SELECT 0 AS n, 1.0::DOUBLE AS rest, g, u FROM z UNION ALL
+SELECT n + 1, list_max(list_transform(range(1, 6), lambda i: list_max(list_transform(range(1, 31), lambda j: CASE WHEN g[i][j] THEN abs(w[i][j] - u[i][j]) ELSE 0 END)))), g,
+list_transform(u, lambda row, i: list_transform(row, lambda x, j: CASE WHEN g[i][j] THEN w[i][j] ELSE x END))
+FROM (SELECT n, g, u, list_transform(range(1, 6), lambda i: list_transform(range(1, 31), lambda j: kx[i][1] * t[1][j] + kx[i][2] * t[2][j] + kx[i][3] * t[3][j] + kx[i][4] * t[4][j] + kx[i][5] * t[5][j])) AS w
+FROM (SELECT n, g, u, kx, list_transform(u, lambda row: list_transform(ky, lambda c: list_dot_product(c, row))) AS t FROM s, low WHERE rest >= 1e-4 AND n < 500)))
+{_table_sql("SELECT u FROM s ORDER BY n DESC LIMIT 1", 5)}"""
+
+
+def _solved(name, digits, **options):
     def q(spark, sf_dir):
         out = fill.solve(_field(spark, sf_dir), "v", name, ["g"], **options)
-        return out.select("ix", "iy", F.round("filled", 4).alias("filled"))
+        return out.select("ix", "iy", F.round("filled", digits).alias("filled"))
 
     q.__name__ = f"fill_{name}"
     return q
 
 
-for _name, _options in (("gauss_seidel", {"epsilon": 1e-8, "iterations": 20_000}), ("multigrid", {"epsilon": 1e-8, "iterations": 2_000}), ("fft_inpaint", {"sigma": 3.0})):
-    register()(_solved(_name, **_options))
+for _name, _options, _sql in (("gauss_seidel", {"digits": 6, "epsilon": 1e-12, "iterations": 20_000}, _LAPLACE), ("multigrid", {"digits": 6, "epsilon": 1e-12, "iterations": 2_000}, _LAPLACE), ("fft_inpaint", {"digits": 5, "sigma": 3.0}, _INPAINT)):
+    register(_sql)(_solved(_name, **_options))
