@@ -135,7 +135,21 @@ class Axis:
     def coordinate(self, i: Column) -> Column:
         if self.regular:
             return F.lit(self.values[0]) + i * F.lit(self.step)
-        return F.get(_lit(self.values), i.cast("int"))
+        return self._at(np.array(self.values), i)
+
+    @staticmethod
+    def _at(points: np.ndarray, i: Column) -> Column:
+        """A point by index: of a short list in the JVM, of a long one by an Arrow UDF."""
+        if len(points) <= SMALL:
+            return F.get(_lit(points), i.cast("int"))
+
+        @F.pandas_udf("double")
+        def take(k: pd.Series) -> pd.Series:
+            k = k.to_numpy(float)
+            ok = (k >= 0) & (k < len(points))
+            return pd.Series(np.where(ok, points[np.where(ok, k, 0).astype(int)], np.nan)).astype(object).where(ok, None)
+
+        return take(i)
 
     def _below(self, c: Column) -> Column:
         """How many axis points are <= c, counted from the low end."""
@@ -166,7 +180,7 @@ class Axis:
         up = sorted(self.values)
         below = self._below(c)
         lo, hi = F.greatest(below - 1, F.lit(0)), F.least(below, F.lit(n - 1))
-        at = lambda i: F.get(_lit(up), i.cast("int"))
+        at = lambda i: self._at(np.array(up), i)
         near = F.when(at(hi) - c <= c - at(lo), hi).otherwise(lo)
         inside = (c >= up[0]) & (c <= up[-1])
         if self.periodic:
@@ -191,7 +205,7 @@ class Axis:
             k = self._below(c) - 1
             inside = (k >= 0) & (c <= max(self.values))
             if not self.ascending:  # count from the other end, exact points belong to the next pair
-                exact = F.get(_lit(sorted(self.values)), k.cast("int")) == c
+                exact = self._at(np.sort(np.array(self.values)), k) == c
                 k = F.when(exact, F.lit(n - 1) - k).otherwise(F.lit(n - 2) - k)
         pair = lambda a, b: F.struct(a.cast("long").alias("i0"), b.cast("long").alias("i1"))
         end = F.lit(n - 1)
@@ -208,6 +222,15 @@ class Axis:
             raise ValueError("half must be 1 or more")
         if boundary not in ("undef", "shrink", "expand", "sym", "wrap"):
             raise ValueError(f"no boundary {boundary!r}")
+
+        def around(pair: Column) -> Column:
+            base = F.when(pair["i1"] == 0, F.lit(len(self) - 1)).otherwise(pair["i0"])
+            return F.when(pair.isNotNull(), self.window_at(base, half, boundary))
+
+        return let(self.find_indexes(c), around)
+
+    def window_at(self, lower: Column, half: int, boundary: str = "undef") -> Column:
+        """The window around the bracket whose lower index is given."""
         n = len(self)
 
         def bounded(ids: Column) -> Column:
@@ -221,12 +244,20 @@ class Axis:
             inside = lambda i: (i >= 0) & (i < n)
             return F.filter(ids, inside) if boundary == "shrink" else F.when(F.forall(ids, inside), ids)
 
-        def around(pair: Column) -> Column:
-            base = F.when(pair["i1"] == 0, F.lit(n - 1)).otherwise(pair["i0"])
-            ids = F.transform(F.sequence(F.lit(1 - half), F.lit(half)), lambda o: base + o)
-            return F.when(pair.isNotNull(), let(ids, bounded))
-
-        return let(self.find_indexes(c), around)
+        return let(F.transform(F.sequence(F.lit(1 - half), F.lit(half)), lambda o: lower + o), bounded)
+
+    def windows(self, lower: np.ndarray, half: int, boundary: str = "undef") -> tuple[np.ndarray, np.ndarray]:
+        """The same for arrays: indices (N, 2 * half), and which of them are in the window."""
+        n, ids = len(self), lower[:, None] + np.arange(1 - half, half + 1)
+        inside = (ids >= 0) & (ids < n)
+        if self.periodic or boundary == "wrap":
+            return ids % n, np.ones_like(inside)
+        if boundary == "expand":
+            return np.clip(ids, 0, n - 1), np.ones_like(inside)
+        if boundary == "sym":
+            turned = ids % max(2 * n - 2, 1)
+            return np.minimum(turned, 2 * n - 2 - turned), np.ones_like(inside)
+        return np.clip(ids, 0, n - 1), inside if boundary == "shrink" else inside & inside.all(1, keepdims=True)
 
 
 class TemporalAxis(Axis):

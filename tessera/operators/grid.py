@@ -1,14 +1,15 @@
 """Grids as axes and a table of cells, and interpolation from the 2^N corners around a point.
 
 ``Grid.cells`` has one row for each cell: index columns i0, i1, ... and ``value``. Points find their
-bracket on every axis by Column arithmetic, are joined with their corners by equality of the
-indices, and are put together by one grouping. Spark picks a broadcast of the cells where their
-size allows, and a shuffle by cell otherwise.
+bracket on every axis by Column arithmetic. The corners of each distinct bracket are gathered
+once, and points are joined with them by equality of the indices. Spark picks a broadcast where
+the size allows, and a shuffle by cell otherwise.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -74,50 +75,59 @@ def _checked(value: Column, inside: Column, bounds_error: bool) -> Column:
     return F.when(inside, value).otherwise(F.raise_error(F.lit("a point lies outside the grid")).cast("double"))
 
 
+def bracketed(axes: list[Axis], points: DataFrame, id_: str, columns: list[str]) -> DataFrame:
+    """id, x0.., k0.. (lower index of the bracket on each axis; all NULL if one is missing) and
+    t0.. (where the point lies in it, 0 to 1). Brackets and fractions are made once for each row:
+    a generator's output is not inlined into what uses it."""
+    n = range(len(axes))
+    p = points.select(F.col(id_).alias("id"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in zip(n, columns, strict=True)])
+    p = p.select("*", F.explode(F.array(F.struct(*[a.find_indexes(F.col(f"x{k}")).alias(f"b{k}") for k, a in enumerate(axes)]))).alias("b"))
+    inside = reduce(lambda a, b: a & b, [F.col(f"b.b{k}").isNotNull() for k in n])
+    t = [fraction(a, F.col(f"x{k}"), F.col(f"b.b{k}")).alias(f"t{k}") for k, a in enumerate(axes)]
+    lower = [F.when(inside, F.col(f"b.b{k}.i0")).alias(f"k{k}") for k in n]
+    p = p.select("id", *[f"x{k}" for k in n], F.explode(F.array(F.struct(*lower, *t))).alias("b"))
+    return p.select("id", *[f"x{k}" for k in n], "b.*")
+
+
 def interpolate(grid: Grid, points: DataFrame, id_: str, columns: list[str], method: str = "bilinear", exponent: float = 2.0, outer: str | list[str] = "linear", bounds_error: bool = False) -> DataFrame:
     """(id, value) of each point. ``method`` works on the first two axes: bilinear, idw (inverse
     distance on the sphere) or nearest; ``outer`` on the others: linear or nearest. NULL outside
-    and where a corner has no value."""
+    and where a corner has no value.
+
+    The corners of each distinct bracket cell are gathered once into an array, in the order of
+    their bits; points are joined with it by the cell, and the rest is arithmetic in the row."""
     n = len(grid.axes)
     if method not in ("bilinear", "idw", "nearest"):
         raise ValueError(f"no method {method!r}")
     outer = [outer] * (n - 2) if isinstance(outer, str) else outer
-    xs = [f"x{k}" for k in range(n)]
-    p = points.select(F.col(id_).alias("id"), *[F.col(c).cast("double").alias(x) for c, x in zip(columns, xs, strict=True)])
-    p = p.withColumns({f"b{k}": a.find_indexes(F.col(x)) for k, (a, x) in enumerate(zip(grid.axes, xs, strict=True))})
-    p = p.withColumns({f"t{k}": fraction(a, F.col(x), F.col(f"b{k}")) for k, (a, x) in enumerate(zip(grid.axes, xs, strict=True))})
-    inside = F.lit(True)
-    for k in range(n):
-        inside = inside & F.col(f"b{k}").isNotNull()
-    corners = []
-    for bits in product((0, 1), repeat=n):
-        ids = [F.col(f"b{k}.i{b}").alias(f"i{k}") for k, b in enumerate(bits)]
-        side = [F.col(f"t{k}") if b else 1 - F.col(f"t{k}") for k, b in enumerate(bits)]
-        w = F.lit(1.0)
-        for k in range(2, n):
-            # nearest: of equal distances the upper corner
-            w = w * (side[k] if outer[k - 2] == "linear" else F.when((F.col(f"t{k}") >= 0.5) == F.lit(bool(bits[k])), 1.0).otherwise(0.0))
-        d = haversine_term(F.col("x0"), F.col("x1"), grid.axes[0].coordinate(F.col(f"b0.i{bits[0]}")), grid.axes[1].coordinate(F.col(f"b1.i{bits[1]}"))) if method != "bilinear" else F.lit(0.0)
-        plane = sum(b << (k - 2) for k, b in enumerate(bits) if k >= 2)
-        corners.append(F.struct(*ids, (side[0] * side[1]).alias("w"), w.alias("v"), d.alias("d"), F.lit(2 * bits[0] + bits[1]).alias("c"), F.lit(plane).alias("plane")))
-    rows = p.where(inside).select("id", F.explode(F.array(*corners)).alias("e")).select("id", "e.*")
-    got = rows.join(grid.cells, grid.keys, "left")
+    names = [f"k{k}" for k in range(n)]
+    p = bracketed(grid.axes, points, id_, columns)
+    every = list(product((0, 1), repeat=n))
+    up = lambda k, b: F.pmod(F.col(f"k{k}") + b, F.lit(len(grid.axes[k]))) if b else F.col(f"k{k}")
+    corners = F.array(*[F.struct(*[up(k, b).alias(f"i{k}") for k, b in enumerate(bits)]) for bits in every])
+    cells = p.where(F.col("k0").isNotNull()).select(*names).distinct().select(*names, F.posexplode(corners).alias("c", "e")).select(*names, "c", "e.*")
+    got = cells.join(grid.cells, grid.keys, "left").groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("z"))  # 2 ** n values
+    got = got.where(F.forall("z", lambda e: e["value"].isNotNull())).select(*names, F.transform("z", lambda e: e["value"]).alias("z"))
+    p = p.join(got, names, "left")
+    planes = 1 << (n - 2)
+    value = lambda i, j, o: F.get("z", F.lit((2 * i + j) * planes + o))
     if method == "bilinear":
-        parts = [F.sum(F.col("v") * F.col("w") * F.col("value")).alias("s")]
-        total = F.col("s")
+        side = lambda k, b: F.col(f"t{k}") if b else 1 - F.col(f"t{k}")
+        flat = [reduce(lambda a, b: a + b, [side(0, i) * side(1, j) * value(i, j, o) for i in (0, 1) for j in (0, 1)]) for o in range(planes)]
     else:
-        parts, total = [], F.lit(0.0)
-        for j in range(1 << (n - 2)):
-            own = F.when(F.col("plane") == j, F.col("value"))
-            if method == "nearest":
-                parts.append(F.min_by(own, F.when(F.col("plane") == j, F.struct("d", "c"))).alias(f"q{j}"))
-            else:
-                near = F.col("d") <= 1e-24
-                inv = F.when(~near, 1 / F.pow("d", F.lit(exponent / 2)))
-                parts += [F.sum(own * inv).alias(f"a{j}"), F.sum(F.when(F.col("plane") == j, inv)).alias(f"z{j}"), F.max(F.when(near, own)).alias(f"h{j}")]
-            parts.append(F.max(F.when(F.col("plane") == j, F.col("v"))).alias(f"v{j}"))
-            q = F.col(f"q{j}") if method == "nearest" else F.coalesce(F.col(f"h{j}"), F.col(f"a{j}") / F.col(f"z{j}"))
-            total = total + F.col(f"v{j}") * q
-    found = got.groupBy("id").agg(F.count("value").alias("n"), *parts).select("id", F.when(F.col("n") == 1 << n, total).alias("value"))
-    out = p.select("id", inside.alias("in")).join(found, "id", "left")
-    return out.select(F.col("id").alias(id_), _checked(F.col("value"), F.col("in"), bounds_error).alias("value"))
+        x, y = grid.axes[0].coordinate, grid.axes[1].coordinate
+        d = [haversine_term(F.col("x0"), F.col("x1"), x(up(0, i)), y(up(1, j))).alias(f"d{i}{j}") for i in (0, 1) for j in (0, 1)]
+        p = p.select("*", F.explode(F.array(F.struct(*d))).alias("d"))
+        corner = [(i, j, F.col(f"d.d{i}{j}")) for i in (0, 1) for j in (0, 1)]
+        if method == "nearest":  # of equal distances the first corner
+            least = F.least(*[c[2] for c in corner])
+            flat = [F.coalesce(*[F.when(c <= least, value(i, j, o)) for i, j, c in corner]) for o in range(planes)]
+        else:
+            near = lambda c: c <= 1e-24
+            inverse = [(i, j, 1 / F.pow(c, F.lit(exponent / 2))) for i, j, c in corner]
+            total = reduce(lambda a, b: a + b, [w for *_, w in inverse])
+            flat = [F.coalesce(*[F.when(near(c), value(i, j, o)) for i, j, c in corner], reduce(lambda a, b: a + b, [w * value(i, j, o) for i, j, w in inverse]) / total) for o in range(planes)]
+    for k in range(n - 1, 1, -1):  # the last axis is the fastest of the planes
+        t = F.col(f"t{k}") if outer[k - 2] == "linear" else F.when(F.col(f"t{k}") >= 0.5, 1.0).otherwise(0.0)
+        flat = [a * (1 - t) + b * t for a, b in zip(flat[::2], flat[1::2], strict=True)]
+    return p.select(F.col("id").alias(id_), _checked(F.when(F.col("z").isNotNull(), flat[0]), F.col("k0").isNotNull(), bounds_error).alias("value"))

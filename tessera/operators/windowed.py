@@ -2,7 +2,7 @@
 
 The points' brackets are reduced to distinct cells first; each cell's window is joined from the
 table of cells once, however many points lie in it, and kept as one array. Points are joined with
-their window by equality, and an Arrow UDF evaluates whole batches in numpy.
+their window by equality, and an Arrow UDF, which knows the axes, evaluates whole batches in numpy.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .grid import Grid, _checked
+from .grid import Grid, _checked, bracketed
 
 BIVARIATE = (*kernels.MINIMUM, "bicubic", "bilinear")
 
@@ -31,51 +31,42 @@ def interpolate(grid: Grid, points: DataFrame, id_: str, columns: list[str], met
         raise ValueError(f"no method {method!r} in {n} dimensions")
     if half < 1:
         raise ValueError("half must be 1 or more")
+    if boundary not in ("undef", "shrink", "expand", "sym", "wrap"):
+        raise ValueError(f"no boundary {boundary!r}")
     flat = min(n, 2)
     outer = [outer] * (n - flat) if isinstance(outer, str) else outer
-    p = points.select(F.col(id_).alias("id"), *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(columns)])
-    p = p.withColumns({f"b{k}": a.find_indexes(F.col(f"x{k}")) for k, a in enumerate(grid.axes)})
-    p = p.withColumns({f"k{k}": F.col(f"b{k}.i0") for k in range(n)})
     names = [f"k{k}" for k in range(n)]
-    inside = F.lit(True)
-    for k in names:
-        inside = inside & F.col(k).isNotNull()
-    cells = p.where(inside).select(*names, *[f"b{k}" for k in range(n)]).distinct()
-    for k, a in enumerate(grid.axes):
-        # a window depends on the bracket alone: that of the lower point gives it
-        low, high = F.col(f"k{k}"), F.col(f"b{k}.i1")
-        if k < flat:
-            inner = a.coordinate(low) if a.periodic else (a.coordinate(low) + a.coordinate(high)) / 2
-            cells = cells.withColumn(f"w{k}", a.window(inner, half, boundary))
-        else:
-            cells = cells.withColumn(f"w{k}", F.array(low, high))
-    whole = cells
-    for k in range(n):
-        whole = whole.where(F.col(f"w{k}").isNotNull())
-    ex = whole.select(*names, *[f"w{k}" for k in range(n)])
-    for k in range(n):
+    p = bracketed(grid.axes, points, id_, columns)
+    cells = p.where(F.col("k0").isNotNull()).select(*names).distinct()
+    # the window of a cell, in the order of the outer axes (the first fastest varying last), then x, y
+    sides = [a.window_at(F.col(f"k{k}"), half, boundary) if k < flat else F.array(F.col(f"k{k}"), F.pmod(F.col(f"k{k}") + 1, F.lit(len(a)))) for k, a in enumerate(grid.axes)]
+    ex = cells.select(*names, *[s.alias(f"w{k}") for k, s in enumerate(sides)])
+    for k in range(n):  # a window that is cut off is NULL and has no rows
         ex = ex.select("*", F.posexplode(f"w{k}").alias(f"p{k}", f"i{k}"))
     ps = [f"p{k}" for k in range(n)]
-    got = ex.select(*names, *ps, *grid.keys).join(grid.cells, grid.keys, "left").groupBy(*names).agg(F.transform(F.sort_array(F.collect_list(F.struct(*reversed(ps[flat:]), *ps[:flat], "value"))), lambda s: s["value"]).alias("z"))
-    got = got.join(whole.select(*names, *[F.transform(f"w{k}", a.coordinate).alias(f"c{k}") for k, a in enumerate(grid.axes)]), names)
-    ready = p.join(got, names, "left")
-    periods = [float(a.period) if a.periodic else None for a in grid.axes]
+    got = ex.select(*names, *ps, *grid.keys).join(grid.cells, grid.keys, "left").groupBy(*names).agg(F.sort_array(F.collect_list(F.struct(*reversed(ps[flat:]), *ps[:flat], "value"))).alias("s"))
+    ready = p.join(got.select(*names, F.transform("s", lambda s: s["value"]).alias("z")), names, "left")
+    axes = grid.axes
 
     @F.pandas_udf("struct<value:double,slope:double>")
     def kernel(z: pd.Series, *rest: pd.Series) -> pd.DataFrame:
-        cs, xs = rest[:n], [r.to_numpy(float) for r in rest[n:]]
         value, slope = np.full(len(z), np.nan), np.full(len(z), np.nan)
         have = np.flatnonzero(z.notna())
-        sizes = np.stack([c.iloc[have].map(len).to_numpy(int) for c in cs], 1) if len(have) else np.empty((0, n), int)
-        for size in map(tuple, np.unique(sizes, axis=0)):
-            at = have[(sizes == size).all(1)]
-            q = [x[at] for x in xs]
-            nodes = []
-            for k in range(n):
-                c = _matrix(cs[k].iloc[at], size[k])
-                if periods[k]:  # the nodes next to the point, in order
-                    c = c + periods[k] * np.round((q[k][:, None] - c) / periods[k]) if size[k] <= 2 else _unwrapped(c, q[k], periods[k])
+        ks, xs = [r.to_numpy(float)[have].astype(int) for r in rest[:n]], [r.to_numpy(float) for r in rest[n:]]
+        ids = [a.windows(k, half, boundary) if j < flat else _pair(a, k) for j, (a, k) in enumerate(zip(axes, ks, strict=True))]
+        shape = np.stack([ok[:, c] for _, ok in ids for c in range(ok.shape[1])], 1) if len(have) else np.empty((0, 1), bool)
+        for form in np.unique(shape, axis=0):  # windows that are cut off alike
+            own = np.flatnonzero((shape == form).all(1))
+            at, q, nodes, size, first = have[own], [x[have[own]] for x in xs], [], [], 0
+            for a, (i, ok), x in zip(axes, ids, q, strict=True):
+                kept = form[first : first + ok.shape[1]]
+                first += ok.shape[1]
+                c = np.asarray(a.values)[i[own][:, kept]]
+                if a.periodic:  # the nodes next to the point, in order
+                    period = float(a.period)
+                    c = c + period * np.round((x[:, None] - c) / period) if c.shape[1] <= 2 else _unwrapped(c, x, period)
                 nodes.append(c)
+                size.append(c.shape[1])
             planes = int(np.prod(size[flat:], dtype=int))
             v = _matrix(z.iloc[at], planes, *size[:flat])
             if n == 1:
@@ -91,11 +82,16 @@ def interpolate(grid: Grid, points: DataFrame, id_: str, columns: list[str], met
         none = lambda a: pd.Series(a).astype(object).where(np.isfinite(a), None)
         return pd.DataFrame({"value": none(value), "slope": none(slope)})
 
-    out = ready.withColumn("v", F.when(F.col("z").isNotNull(), kernel("z", *[f"c{k}" for k in range(n)], *[f"x{k}" for k in range(n)])))
-    cols = [F.col("id").alias(id_), _checked(F.col("v.value"), inside, bounds_error).alias("value")]
+    out = ready.withColumn("v", kernel("z", *names, *[f"x{k}" for k in range(n)]))
+    cols = [F.col("id").alias(id_), _checked(F.col("v.value"), F.col("k0").isNotNull(), bounds_error).alias("value")]
     return out.select(*cols, *([F.col("v.slope").alias("derivative")] if derivative else []))
 
 
+def _pair(axis, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.stack([lower, (lower + 1) % len(axis)], 1)
+    return ids, np.ones(ids.shape, bool)
+
+
 class RegularGridInterpolator:
     """One call for all methods: bilinear, idw and nearest from corners, the others from windows.
     Options of the one kind are refused with the other."""
