@@ -30,6 +30,8 @@ from .common import Scratch, bounded_sample
 
 WIDTH, STRIDE, HIDDEN, DIM, SLOTS, LONGEST, PIECE = 48, 32, 12, 8, 4096, 32, 2
 INPUT = 2 * DIM + 1
+#: Share of words whose embeddings are shown in a step, and decay of embeddings: against learning texts by heart
+SHOWN, DECAY = 0.3, 3.0
 _EDGES = ".,;:!?\"'()[]{}<>*#-_/\\&%$|"
 
 
@@ -129,10 +131,13 @@ class Network:
             p[f"x{d}"][-1] *= 5
         return cls(p)
 
-    def inputs(self, slot, grams, count, value) -> np.ndarray:
+    def inputs(self, slot, grams, count, value, seen: np.ndarray | None = None) -> np.ndarray:
+        """``seen``: which words show their embeddings (in training); all if None."""
         first = np.cumsum(count, dtype=np.int64) - count.astype(np.int64)
         total = np.add.reduceat(self.p["ec"][grams], first, axis=0)
-        return np.concatenate([self.p["ew"][slot], total / count[:, None], value[:, None]], 1).astype(np.float32)
+        own = np.concatenate([self.p["ew"][slot], total / count[:, None]], 1)
+        own = own if seen is None else own * seen[:, None]
+        return np.concatenate([own, value[:, None]], 1).astype(np.float32)
 
     def gates(self, x: np.ndarray) -> np.ndarray:
         """Per word, what it adds to the gates of both directions."""
@@ -167,9 +172,9 @@ class Network:
         ctx = (w[:, :, None] * h).sum(1)
         return ctx @ self.p["wo"] + self.p["bo"], (h, a, w, ctx, tapes)
 
-    def gradients(self, words, idx: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, words, idx: np.ndarray, mask: np.ndarray, y: np.ndarray, seen: np.ndarray | None = None) -> dict[str, np.ndarray]:
         slot, grams, count, value = words
-        x = self.inputs(slot, grams, count, value)
+        x = self.inputs(slot, grams, count, value, seen)
         logit, (h, a, w, ctx, tapes) = self.run(self.gates(x), idx, mask, True)
         p, n = self.p, len(y)
         dl = ((_sig(logit) - y) / n).astype(np.float32)
@@ -198,6 +203,7 @@ class Network:
                 acc = acc * (1 - m * (1 - z)) + dhu @ u.T
             out |= {f"u{d}": du, f"x{d}": x.T @ dg, f"b{d}": dg.sum(0)}
             dx += dg @ p[f"x{d}"].T
+        dx = dx if seen is None else dx * seen[:, None]
         out["ew"], out["ec"] = np.zeros_like(p["ew"]), np.zeros_like(p["ec"])
         np.add.at(out["ew"], slot, dx[:, :DIM])
         np.add.at(out["ec"], grams, np.repeat(dx[:, DIM : 2 * DIM] / count[:, None], count.astype(np.int64), axis=0))
@@ -308,18 +314,21 @@ def fit(texts: list[str], labels: list[int], steps: int = 320, docs: int = 36, s
         used, local = np.unique(flat, return_inverse=True)
         idx, mask, owner = laid_out([len(rows[i]) for i in pick], np.cumsum([0, *(len(rows[i]) for i in pick)])[:-1])
         words = taken((slot, grams, count, values[k]), used)
+        seen = (rng.random(len(used)) < SHOWN).astype(np.float32)
         idx = local[idx]
-        logit, _ = net.run(net.gates(net.inputs(*words)), idx, mask)
+        logit, _ = net.run(net.gates(net.inputs(*words, seen)), idx, mask)
         order = np.lexsort((-logit, owner))
         top = order[np.flatnonzero(np.diff(owner[order], prepend=-1))]
         some, again = np.unique(idx[top], return_inverse=True)
-        grads = net.gradients(taken(words, some), again.reshape(idx[top].shape), mask[top], y[pick[owner[top]]])
+        grads = net.gradients(taken(words, some), again.reshape(idx[top].shape), mask[top], y[pick[owner[top]]], seen[some])
         rate = 0.015 * (1 - step / (steps + 1)) + 1e-3
         for name, g in grads.items():
             g = np.clip(g, -1, 1)
             m[name] += 0.1 * (g - m[name])
             v[name] += 0.01 * (g * g - v[name])
             net.p[name] -= (rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            if name in ("ew", "ec"):
+                net.p[name] *= np.float32(1 - DECAY * rate)
     return net
 
 
