@@ -69,6 +69,23 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFra
     return df
 
 
+def with_ids(df: DataFrame, key: str, **others: Column) -> DataFrame:
+    """id (0 for a null), none (whether it is null) and ``others``: a worker gets whole numbers with
+    nulls as floats, which would round large ids."""
+    own = F.col(f"`{key}`").cast("long")
+    return df.select(F.coalesce(own, F.lit(0).cast("long")).alias("id"), own.isNull().alias("none"), *[c.alias(n) for n, c in others.items()])
+
+
+def ids_of(pdf: pd.DataFrame) -> list[int | None]:
+    return [None if none else i for i, none in zip(pdf["id"].tolist(), pdf["none"].tolist(), strict=True)]
+
+
+def frame(rows: list[tuple], columns: list[str], longs: tuple[str, ...]) -> pd.DataFrame:
+    """Columns of rows; those of ``longs`` are whole numbers that may be null, kept to the last bit."""
+    cols = list(zip(*rows, strict=True)) if rows else [()] * len(columns)
+    return pd.DataFrame({n: pd.array(c, "Int64") if n in longs else pd.Series(c, dtype=None if rows else object) for n, c in zip(columns, cols, strict=True)})
+
+
 def crc_mod(key: str | Column, mod: int) -> Column:
     """crc32 of an id's decimal text, modulo ``mod``; null for a null id."""
     col = F.col(key) if isinstance(key, str) else key

@@ -95,3 +95,41 @@ OTHERS = (
     "The report on licensing fees was published under pressure.",
     "They were granted permission to build a bridge over the river.",
 )
+
+# Words of which a short notice of a family holds at least one.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("mit",),
+    "Apache-2.0": ("apache",),
+    "BSD": ("bsd",),
+    "GPL": ("gnu", "gpl"),
+    "LGPL": ("lesser", "lgpl"),
+    "AGPL": ("affero", "agpl"),
+    "MPL-2.0": ("mozilla", "mpl"),
+    "ISC": ("isc",),
+    "CC-BY": ("cc", "creative"),
+    "CC-BY-SA": ("cc", "creative"),
+    "CC-BY-NC": ("cc", "creative"),
+    "CC-BY-ND": ("cc", "creative"),
+    "CC0": ("cc0",),
+    "Unlicense": ("unencumbered", "unlicense"),
+    "proprietary": ("reserved", "proprietary"),
+}
+
+# Forms of notices of licences without a family here; NAME and YEAR are filled in at random.
+UNLISTED = (
+    "Licensed under the NAME License.",
+    "Licensed under the NAME License, version 1.0.",
+    "Released under the NAME licence.",
+    "Released under the terms of the NAME Public License, version 2.",
+    "Distributed under the NAME Software License. See accompanying file LICENSE.",
+    "This work is made available under the terms of the NAME licence.",
+    "This program and the accompanying materials are made available under the terms of the NAME Public License.",
+    "This file is subject to the terms of the NAME license agreement.",
+    "You may use and distribute this document under the conditions of the NAME license.",
+    "The use of this data is governed by the NAME license.",
+    "This software is provided as is, without any express or implied warranty.",
+    "This font software is licensed under the NAME License, version YEAR.",
+    "Copyright YEAR NAME",
+    "Copyright (c) YEAR NAME. Some rights granted.",
+    "(c) YEAR NAME",
+)

@@ -1,18 +1,21 @@
 """Licence notices by a trained paragraph classifier.
 
 A paragraph is a line, or a run of neighbouring lines made up of words of notices. Its features are
-sparse word 1- to 3-grams; multinomial logistic regression, trained in numpy on the templates with
-random cuts and insertions against the class of other paragraphs (text of a bounded sample and
-sentences that use such words otherwise), predicts the family. A threshold on the probability,
-set on held-out examples so that at most ``accept`` of the others pass, makes the unknown class.
-A prediction stands only if a template of that family confirms it: enough of the template's
-2-grams, or of the paragraph's where it quotes a part, are shared.
+sparse word 1- to 3-grams; multinomial logistic regression, trained in numpy, predicts its class:
+one of the families (from their templates, with random cuts and insertions), ``unknown`` (notices
+of licences that have no family here, from general forms with invented names) or ``none`` (text of
+a bounded sample, and sentences that use such words otherwise). The probabilities are calibrated
+by one temperature, fitted on held-out examples; thresholds on them are set there so that at most
+``accept`` of the other paragraphs pass.
 
-Every paragraph that shares a word with a template is scored; one that shares none has no 2-gram
-in common with any and so cannot be confirmed.
+A family stands only if a template of it confirms it: enough of the template's 2-grams, or of the
+paragraph's where it quotes a part, are shared, and a short one holds a name of the family. What
+passes for a notice but no template confirms is ``unknown``.
+
+Every paragraph that shares a word with a template or a form is scored; the others are ``none``.
 
 Defined cases: null and empty texts have no notice; a document may have several families, each is
-listed once, in order; equal texts get equal results; whole texts are read; an empty table gives
+listed once, in order, and ``unknown`` only where no family stands; equal texts get equal results; whole texts are read; an empty table gives
 an empty result and a model of the templates alone.
 """
 
@@ -27,9 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_sample
-from .license_texts import HINTS, OTHERS, TEMPLATES
+from .license_texts import HINTS, NAMES, OTHERS, TEMPLATES, UNLISTED
 
-CONFIRMED = 0.6
+CONFIRMED, SHORT = 0.6, 15
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -53,12 +56,14 @@ def shared(own: set[str], templates: list[set[str]]) -> float:
 
 @dataclass
 class Model:
-    families: list[str]  # the last is the unknown class
+    families: list[str]  # the last two are ``unknown`` and ``none``
     vocabulary: dict[str, int]
     weights: np.ndarray
     bias: np.ndarray
     templates: dict[str, list[set[str]]]
-    threshold: float = 0.5
+    threshold: float = 0.5  # of a family's probability
+    notice: float = 0.97  # of the probability of being a notice at all
+    temperature: float = 1.0
 
     def features(self, text: str) -> list[int]:
         """Those of ``grams``; a gram can only be known if each of its words is."""
@@ -78,13 +83,15 @@ class Model:
         return sorted(out)
 
     def probabilities(self, rows: list[list[int]]) -> np.ndarray:
-        z = np.stack([self.weights[r].sum(0) / np.sqrt(max(len(r), 1)) for r in rows]) + self.bias
+        z = (np.stack([self.weights[r].sum(0) / np.sqrt(max(len(r), 1)) for r in rows]) + self.bias) / self.temperature
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
     def confirmed(self, family: str, text: str) -> float:
         """The greatest share of 2-grams common to the paragraph and a template of the family."""
-        return shared(pairs(text), self.templates[family])
+        own, words = pairs(text), set(_WORD.findall(text.lower()))
+        named = not words.isdisjoint(NAMES[family])
+        return shared(own, [t for t in self.templates[family] if named or len(t) >= SHORT])
 
     def paragraphs(self, text: str) -> list[tuple[str, list[int]]]:
         """Each line, and each run of lines that hold a hint or mostly known grams, from its first
@@ -113,22 +120,33 @@ class Model:
         if not parts:
             return []
         found: dict[str, tuple[float, float]] = {}
+        rest: list[float] = []
         for (p, _), prob in zip(parts, self.probabilities([f for _, f in parts]), strict=True):
-            k = int(prob.argmax())
-            if k < len(self.families) - 1 and prob[k] >= self.threshold:
-                share = self.confirmed(self.families[k], p)
-                if share >= CONFIRMED:
-                    found[self.families[k]] = max(found.get(self.families[k], (0.0, 0.0)), (float(prob[k]), share))
+            k = int(prob[:-2].argmax())
+            share = self.confirmed(self.families[k], p) if prob[k] >= self.threshold else 0.0
+            if share >= CONFIRMED:
+                found[self.families[k]] = max(found.get(self.families[k], (0.0, 0.0)), (float(prob[k]), share))
+            elif 1 - prob[-1] >= self.notice:
+                rest.append(float(1 - prob[-1]))
+        if rest and not found:  # beside a confirmed family, a further line belongs to its notice
+            found["unknown"] = (max(rest), 0.0)
         return [(k, *v) for k, v in sorted(found.items())]
 
 
 def _examples(others: list[str], rng: np.random.Generator, n: int) -> tuple[list[str], list[int]]:
-    """Templates with dropped and inserted words, and paragraphs of the unknown class."""
+    """Templates with dropped and inserted words, filled forms of the class unknown, and others."""
     families, texts, labels = list(TEMPLATES), [], []
     fill = [w for o in others[:200] for w in o.split()[:20]] or ["lorem", "ipsum", "dolor"]
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    word = lambda: "".join(rng.choice(letters, int(rng.integers(3, 9))))
     for _ in range(n):
-        k = int(rng.integers(0, len(families) + 6))
-        if k < len(families):
+        k = int(rng.integers(0, len(families) + 12))
+        if len(families) <= k < len(families) + 4:
+            w = str(UNLISTED[rng.integers(0, len(UNLISTED))]).split()
+            w = [x.replace("YEAR", str(rng.integers(1980, 2026))).replace("NAME", " ".join(word() for _ in range(rng.integers(1, 4)))) for x in w if len(w) < 5 or rng.random() > 0.08]
+            texts.append(" ".join(w))
+            labels.append(len(families))
+        elif k < len(families):
             w = TEMPLATES[families[k]][rng.integers(0, len(TEMPLATES[families[k]]))].split()
             if len(w) > 15:
                 w = [x for x in w if rng.random() > 0.08]
@@ -145,19 +163,19 @@ def _examples(others: list[str], rng: np.random.Generator, n: int) -> tuple[list
             if rng.random() < 0.5:
                 w = [str(rng.choice(fill)) for _ in range(rng.integers(1, 10))] + w
             texts.append(" ".join(w[:120]))
-            labels.append(len(families))
+            labels.append(len(families) + 1)
     return texts, labels
 
 
-def fit(others: list[str], n: int = 2400, steps: int = 120, accept: float = 0.005, seed: int = 2) -> Model:
+def fit(others: list[str], n: int = 2600, steps: int = 120, accept: float = 0.002, seed: int = 2) -> Model:
     rng = np.random.default_rng(seed)
     texts, labels = _examples(others, rng, n)
     vocabulary: dict[str, int] = {}
-    for t in [*(x for f in TEMPLATES.values() for x in f), *OTHERS]:
+    for t in [*(x for f in TEMPLATES.values() for x in f), *OTHERS, *(x.replace("NAME", "").replace("YEAR", "") for x in UNLISTED)]:
         for g in grams(t):
             vocabulary.setdefault(g, len(vocabulary))
-    k = len(TEMPLATES) + 1
-    model = Model([*TEMPLATES, "unknown"], vocabulary, np.zeros((len(vocabulary), k)), np.zeros(k), {f: [pairs(t) for t in x] for f, x in TEMPLATES.items()})
+    k = len(TEMPLATES) + 2
+    model = Model([*TEMPLATES, "unknown", "none"], vocabulary, np.zeros((len(vocabulary), k)), np.zeros(k), {f: [pairs(t) for t in x] for f, x in TEMPLATES.items()})
     rows = [model.features(t) for t in texts]
     y = np.array(labels)
     held = np.arange(n) % 5 == 0
@@ -180,9 +198,16 @@ def fit(others: list[str], n: int = 2400, steps: int = 120, accept: float = 0.00
         model.weights[used] -= 0.3 * g / np.sqrt(size[used]) + 1e-4 * model.weights[used]
         model.bias -= 0.5 * p.mean(0)
     at = np.flatnonzero(held)
+    likely = []
+    for model.temperature in np.geomspace(0.3, 3, 24):
+        likely.append((float(np.log(model.probabilities([rows[i] for i in at])[np.arange(len(at)), y[at]] + 1e-12).mean()), float(model.temperature)))
+    model.temperature = max(likely)[1]
+    # thresholds: on the held-out examples, and on lines of the sample that were not drawn for them
     p = model.probabilities([rows[i] for i in at])
-    other = p[y[at] == k - 1][:, :-1].max(1)
-    model.threshold = float(max(0.3, np.quantile(other, 1 - accept))) if len(other) else 0.5
+    free = [f for o in others if (f := model.features(o))]
+    other = np.concatenate([p[y[at] == k - 1], *([model.probabilities(free)] if free else [])])
+    model.threshold = float(max(0.3, np.quantile(other[:, :-2].max(1), 1 - accept))) if len(other) else 0.5
+    model.notice = float(max(0.97, np.quantile(1 - other[:, -1], 1 - accept))) if len(other) else 0.97
     return model
 
 
@@ -195,8 +220,8 @@ def train(docs: DataFrame, text: str = "text", key: str = "doc_id", rows: int =
 
 
 def scan(docs: DataFrame, model: Model, text: str = "text", out: str = "licences") -> DataFrame:
-    """The input with an array column ``out`` of structs family, probability, confirmed; empty
-    without a notice. A column of that name is replaced."""
+    """The input with an array column ``out`` of structs family (or ``unknown``), probability,
+    confirmed; empty without a notice. A column of that name is replaced."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<struct<family:string,probability:double,confirmed:double>>")

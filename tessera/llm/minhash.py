@@ -36,9 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FILTER_BITS, Bloom, Scratch, components, hits, tidy
+from .common import FILTER_BITS, Bloom, Scratch, components, frame, hits, ids_of, tidy, with_ids
 
-PER_BAND, BLOCK, CHUNK = 4, 1024, 1 << 19
+PER_BAND, BLOCK, PART, CHUNK = 4, 1024, 512, 1 << 19
 LONG, ROUNDS, MISSED, DEVIATIONS = 512, 6, 1.1e-4, 4.0
 U = np.uint64
 _BLANK = np.zeros(256, bool)
@@ -139,7 +139,7 @@ def _signed(batches: Iterator[pd.DataFrame], k: int, perms: int) -> Iterator[pd.
     salt = _mix(np.arange(1, perms // PER_BAND + 1, dtype=U))
     w = _perms(2 * PER_BAND, 23)[0][:, 0]
     for pdf in batches:
-        ids = pdf["id"].tolist()
+        ids = ids_of(pdf)
         for lo in range(0, len(ids), 500):
             rows = []
             part = ids[lo : lo + 500]
@@ -152,10 +152,7 @@ def _signed(batches: Iterator[pd.DataFrame], k: int, perms: int) -> Iterator[pd.
                 keys = _mix((both.reshape(-1, 2 * PER_BAND) * w).sum(1) + salt)
                 d = np.frombuffer(xxhash.xxh3_128_digest(v.tobytes()), np.int64)
                 rows.append((i, len(v), int(d[0]), int(d[1]), _as_long(keys)))
-            out = pd.DataFrame(rows, columns=["id", "n", "f1", "f2", "keys"])
-            for c in ("id", "f1", "f2"):
-                out[c] = out[c].astype("Int64")
-            yield out
+            yield frame(rows, ["id", "n", "f1", "f2", "keys"], ("id", "f1", "f2"))
 
 
 def _sets(batches: Iterator[pd.DataFrame], k: int, wanted) -> Iterator[pd.DataFrame]:
@@ -243,6 +240,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _parts(rows: DataFrame) -> DataFrame:
+    """Rows (id, c, ...) of buckets of c rows, in parts of about ``PART`` of them: a join by bucket
+    and part has no large key."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / PART)))
+
+
+def _every_part(buckets: DataFrame) -> DataFrame:
+    """What is known of a bucket (of c rows), once for each of its parts."""
+    return buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / PART) - 1))).drop("c")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """id, n_shingles, component_id, kept: one row for each row of ``docs``. The numbers of
     permutations and the bound of step 4 follow from ``percent``; ``block`` bounds the rows of one
@@ -251,18 +259,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         raise ValueError("percent lies between 50 and 100")
     perms, floor = permutations(percent), least_share(percent)
     scratch = Scratch(docs.sparkSession)
-    docs = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
+    docs = with_ids(docs, key, t=F.col(f"`{text}`"))
     signed = scratch.save(docs.mapInPandas(lambda it: _tidied(_signed(it, k, perms)), "id long, n long, f1 long, f2 long, keys array<long>"))
     full = signed.where("n > 0 and id is not null")
     heads = full.groupBy("f1", "f2").agg(F.min(F.struct("id", "keys")).alias("h")).select("f1", "f2", F.col("h.id").alias("rep"), F.col("h.keys").alias("keys"))
     heads = scratch.save(heads)
     rows = heads.select(F.explode("keys").alias("key"), F.col("rep").alias("id"))
     many = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    # joins by bucket are merged, so that adaptive execution splits the partition of a large bucket
+    many = scratch.save(many)
+    # a merge of two plain shuffles: adaptive execution splits the partition of a large bucket
     met = scratch.save(rows.join(many.hint("merge"), "key"))
+    scratch.drop(many)
     bloom = Bloom(met.select("id").distinct(), FILTER_BITS)
     wanted = bloom.sent
-    sets = scratch.save(docs.where("id is not null").select("id", "t", bloom.places("id").alias("places")).mapInPandas(lambda it: _tidied(_sets(it, k, wanted)), "id long, n long, s array<long>, sig binary"))
+    sets = scratch.save(docs.where("not none").select("id", "t", bloom.places("id").alias("places")).mapInPandas(lambda it: _tidied(_sets(it, k, wanted)), "id long, n long, s array<long>, sig binary"))
     mates = met.groupBy("id").agg(F.sum("c").alias("p"))
     links = seen = joined = None
     here = met.withColumn("comp", F.col("id"))  # rows of buckets that hold several components
@@ -273,8 +283,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
             if not load["rows"] or load["pairs"] <= 16 * load["rows"] or gained < 0.05:
                 break
         scored = here.join(mates, "id") if turn == 0 else here.withColumn("p", F.xxhash64("id", F.lit(turn)))
-        hubs = scored.groupBy("key").agg(F.max(F.struct("p", "id", "comp")).alias("h")).select("key", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
-        shared = here.join(hubs.hint("merge"), "key").where("comp != hub_comp").groupBy("id", "hub").agg(F.count("*").alias("c"))
+        hubs = scored.groupBy("key").agg(F.max(F.struct("p", "id", "comp")).alias("h"), F.max("c").alias("c")).select("key", "c", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
+        shared = _parts(here).join(_every_part(hubs), ["key", "part"]).where("comp != hub_comp").groupBy("id", "hub").agg(F.count("*").alias("c"))
         best = shared.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "hub")), False), 1, 1 if turn == 0 else 3).alias("m"))  # at most one hub a band
         pairs = _ordered(best.select(F.explode("m").alias("h"), "id").select(F.col("h.hub").alias("a"), F.col("id").alias("b")))
         pairs = scratch.save(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
@@ -283,8 +293,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         links, seen = (found, pairs) if links is None else (links.union(found), seen.union(pairs))
         joined = components(scratch, links)
         now = here.drop("comp").join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("comp"))
-        open_ = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        old, here = met, scratch.save(now.join(open_.hint("merge"), "key"))
+        open_ = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("c").alias("c")).where("x != y").select("key", "c")
+        old, here = met, scratch.save(_parts(now).join(_every_part(open_), ["key", "part"]).drop("part"))
         scratch.drop(old)
         met = here
 

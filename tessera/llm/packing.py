@@ -27,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, frame, ids_of
+from .common import with_ids as keyed
 from .pretoken import PATTERN, added_tokens, byte_chars
 
 
@@ -151,7 +152,7 @@ def _pieces(batches: Iterator[pd.DataFrame], spec, capacity: int, end: int, with
     seen: dict[int, int] = {}
     for pdf in batches:
         rows = []
-        for doc, text in zip(pdf["id"].tolist(), pdf["t"].tolist(), strict=True):
+        for doc, text in zip(ids_of(pdf), pdf["t"].tolist(), strict=True):
             ids = (encode(text) if text else b"") + tail
             n = len(ids) // 4
             s, p = 0, 0
@@ -160,11 +161,9 @@ def _pieces(batches: Iterator[pd.DataFrame], spec, capacity: int, end: int, with
                 rank = seen.get(m, 0)
                 seen[m] = rank + 1
                 own = ids[4 * s : 4 * (s + m)]
-                rows.append((None if doc != doc else doc, p, s, m, zlib.crc32(own), part, rank, *([np.frombuffer(own, "<u4").astype(np.int32)] if with_ids else [])))
+                rows.append((doc, p, s, m, zlib.crc32(own), part, rank, *([np.frombuffer(own, "<u4").astype(np.int32)] if with_ids else [])))
                 s, p = s + m, p + 1
-        out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if with_ids else [])])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+        yield frame(rows, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if with_ids else [])], ("doc_id",))
 
 
 def pack(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "text", capacity: int = 1024, end: int = 2, with_ids: bool = False) -> DataFrame:
@@ -173,7 +172,7 @@ def pack(docs: DataFrame, spec: str, key: str = "doc_id", text: str = "text", ca
     spark = docs.sparkSession
     scratch, sent = Scratch(spark), spark.sparkContext.broadcast(spec)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids
-    own = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("t"))
+    own = keyed(docs, key, t=F.col(f"`{text}`"))
     pieces = scratch.save(own.mapInPandas(lambda it: _pieces(it, sent, capacity, end, with_ids), schema))
     counted = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # one row a length
