@@ -153,6 +153,23 @@ def cover_boxes(df: DataFrame, lon0: str, lat0: str, lon1: str, lat1: str, preci
     return g.withColumn("code", encode(x, y, precision)).drop("ix0", "iy0", "nx", "ny")
 
 
+def cover_shapes(df: DataFrame, shape: str, precision: int) -> DataFrame:
+    """A row for each cell that meets the area of each row's geometry: cells of its box, less those
+    that do not intersect it."""
+    from tessera.operators import geometry
+
+    b = geometry.bounds(F.col(shape))
+    names = ("__x0", "__y0", "__x1", "__y1")
+    own = F.explode(F.array(F.struct(*[b[c].alias(n) for n, c in zip(names, ("xmin", "ymin", "xmax", "ymax"), strict=True)])))  # once a row
+    d = df.select("*", own.alias("__b")).select(*df.columns, "__b.*")
+    dx, dy = cell_size(precision)
+    x = (F.floor((F.col("__x0") + 180.0) / dx) + F.col("i")) * dx - 180.0
+    y = (F.least(F.floor((F.col("__y0") + 90.0) / dy), F.lit(180 / dy - 1)) + F.col("j")) * dy - 90.0
+    cell = geometry.box(x, y, x + dx, y + dy)
+    d = cover_boxes(d, *names, precision).select(*df.columns, "code", F.explode(F.array(cell)).alias("__cell"))
+    return d.where(geometry.intersects(F.col(shape), F.col("__cell"))).drop("__cell")
+
+
 def zoom_out(df: DataFrame, code: str, precision: int) -> DataFrame:
     return df.select(F.substring(code, 1, precision).alias("code")).distinct()
 

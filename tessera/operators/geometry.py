@@ -17,7 +17,7 @@ import json
 import math
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -383,15 +383,43 @@ def relate(a: Column, b: Column, mask: str) -> Column:
 
 
 def predicate(name: str, a: Column, b: Column) -> Column:
-    """intersects, disjoint, within, covered_by, touches, crosses, overlaps or equals."""
-    return _called(planar.PREDICATES[name], "boolean", a, b)
+    """intersects, disjoint, within, covered_by, touches, crosses, overlaps or equals. Boxes are
+    compared first, inside the JVM: only pairs whose boxes meet go to the exact test."""
+    p, q = bounds(a), bounds(b)
+    near = (p["xmin"] <= q["xmax"]) & (q["xmin"] <= p["xmax"]) & (p["ymin"] <= q["ymax"]) & (q["ymin"] <= p["ymax"])
+    met = lambda g: F.when(near, g)
+    exact = _called(planar.PREDICATES[name], "boolean", met(a), met(b))
+    return F.when(a.isNull() | b.isNull(), None).when(~near, F.lit(name == "disjoint")).otherwise(exact)
 
 
 def intersects(a: Column, b: Column) -> Column:
-    """Boxes are compared first, inside the JVM."""
-    p, q = bounds(a), bounds(b)
-    near = (p["xmin"] <= q["xmax"]) & (q["xmin"] <= p["xmax"]) & (p["ymin"] <= q["ymax"]) & (q["ymin"] <= p["ymax"])
-    return F.when(~near, F.lit(False)).otherwise(predicate("intersects", a, b))
+    return predicate("intersects", a, b)
+
+
+def spatial_join(a: DataFrame, b: DataFrame, left: str, right: str, name: str = "intersects", tile: float | None = None) -> DataFrame:
+    """Pairs of rows of ``a`` and ``b`` whose geometries ``left`` and ``right`` fulfil a predicate (any
+    but disjoint), with the columns of both. Both sides are dealt to the tiles that their boxes
+    meet, as wide as the mean box unless ``tile`` is given; a pair is taken in the first tile that
+    it shares. Empty and NULL geometries join with nothing."""
+    if name not in planar.PREDICATES or name == "disjoint":
+        raise ValueError(f"no join by {name!r}")
+
+    def boxed(df: DataFrame, g: str, side: str) -> DataFrame:
+        return df.select(F.struct("*").alias(side), bounds(F.col(g)).alias(f"{side}b")).where(F.col(f"{side}b.xmin").isNotNull())
+
+    p, q = boxed(a, left, "p"), boxed(b, right, "q")
+    if tile is None:
+        size = lambda s: F.greatest(F.col(f"{s}b.xmax") - F.col(f"{s}b.xmin"), F.col(f"{s}b.ymax") - F.col(f"{s}b.ymin"))
+        mean = p.select(size("p").alias("s")).union(q.select(size("q").alias("s"))).agg(F.avg("s")).first()[0]
+        tile = float(mean or 1.0)
+
+    def dealt(df: DataFrame, s: str) -> DataFrame:
+        span = lambda c: F.sequence(F.floor(F.col(f"{s}b.{c}min") / tile).cast("long"), F.floor(F.col(f"{s}b.{c}max") / tile).cast("long"))
+        return df.withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
+
+    first = lambda c: F.floor(F.greatest(F.col(f"pb.{c}min"), F.col(f"qb.{c}min")) / tile)
+    met = dealt(p, "p").join(dealt(q, "q"), ["tx", "ty"]).where((F.col("tx") == first("x")) & (F.col("ty") == first("y")))
+    return met.where(predicate(name, F.col(f"p.{left}"), F.col(f"q.{right}"))).select("p.*", "q.*")
 
 
 def distance(a: Column, b: Column) -> Column:

@@ -99,6 +99,19 @@ def coverage(df: DataFrame, by: list[str] = ()) -> DataFrame:
     return islands(df, by).groupBy(*by).agg(F.sum(F.col("last") + 1 - F.col("begin")).alias("covered"))
 
 
+def slice_list(df: DataFrame, order: list[str], start: int, stop: int | None = None, by: list[str] = ()) -> DataFrame:
+    """The periods at places start (included) to stop (not included) of each list in ``order``."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    d = df.withColumn("__place", place).where(F.col("__place") >= start)
+    return (d if stop is None else d.where(F.col("__place") < stop)).drop("__place")
+
+
+def close_to_any(points: DataFrame, t: str, periods: DataFrame, tolerance: int, by: list[str] = ()) -> DataFrame:
+    """Each point with ``close``: whether it lies in a period of its list, widened by the tolerance."""
+    wide = periods.select(*by, (F.col("begin") - tolerance).alias("begin"), (F.col("last") + tolerance).alias("last"))
+    return belongs(points, t, wide, by).withColumnRenamed("belongs", "close")
+
+
 def filter_contained(df: DataFrame, begin: int, last: int) -> DataFrame:
     return df.where((F.col("begin") >= begin) & (F.col("last") <= last))
 

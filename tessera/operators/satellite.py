@@ -126,6 +126,20 @@ def mask_swath(swath: DataFrame, inner_km: float, outer_km: float) -> DataFrame:
     return swath.where(F.abs("x_ac").between(inner_km, outer_km))
 
 
+def insert_central_pixel(swath: DataFrame, t: DataFrame, by: list[str]) -> DataFrame:
+    """The swath with the nadir point of each line as its middle pixel; pixels beyond it move by one."""
+    by, half = list(by), F.when(F.col("x_ac") > 0, 1).otherwise(0)
+    sides = swath.withColumn("pixel", F.col("pixel") + half)
+    lines = swath.where("x_ac < 0").groupBy(*by, "idx").agg((F.max("pixel") + 1).alias("pixel"))
+    middle = lines.join(t, [*by, "idx"]).select(*by, "idx", "pixel", F.lit(0.0).alias("x_ac"), F.col("lon").alias("swath_lon"), F.col("lat").alias("swath_lat"))
+    return sides.select(*middle.columns).union(middle)
+
+
+def delta_t(t: DataFrame, by: list[str]) -> DataFrame:
+    """The mean time between the points of each track, in the unit of ``time``."""
+    return t.groupBy(*by).agg(((F.max("time") - F.min("time")) / F.nullif(F.count("*") - 1, F.lit(0))).alias("delta_t"))
+
+
 # orbits
 def passes(t: DataFrame, by: list[str] = ()) -> DataFrame:
     """Adds ``pass_no``: a new pass begins at each extreme of latitude."""
@@ -173,6 +187,17 @@ class Orbit:
     def orbit_duration(self) -> float:
         return self.cycle_us / (self.passes_per_cycle / 2)
 
+    def pass_duration(self) -> float:
+        """Of one pass, if all take equally long; ``pass_durations`` measures them on a track."""
+        return self.cycle_us / self.passes_per_cycle
+
+    @staticmethod
+    def pass_durations(t: DataFrame, by: list[str] = ()) -> DataFrame:
+        """Of each pass (rows with ``pass_no``) from its first point to that of the next one."""
+        starts = t.groupBy(*by, "pass_no").agg(F.min("time").alias("start"), F.max("time").alias("last"))
+        after = F.lead("start").over(Window.partitionBy(*by).orderBy("pass_no"))
+        return starts.select(*by, "pass_no", (F.coalesce(after, F.col("last")) - F.col("start")).alias("duration"))
+
     def encode_absolute_pass_number(self, cycle: Column, number: Column) -> Column:
         return F.when(number.between(1, self.passes_per_cycle), (cycle - 1) * self.passes_per_cycle + number)
 
