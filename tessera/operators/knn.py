@@ -2,19 +2,25 @@
 
 Both sides are dealt to cubes of one width; a query meets the observations of its own and the
 adjacent cubes by an equality join. Everything within one width of the query is then seen, so its k
-nearest are proved if the k-th lies within the width. Queries that are not proved go on with cubes
-of twice the width, until the cubes are wider than all data together. Ties go to the smaller id.
+nearest are proved if the k-th lies within the width. The first width is small enough for the
+densest cube to hold at most ``CROWD`` times k observations. Queries that are not proved go on with
+cubes of twice the width, until the cubes are wider than all data together. Ties go to the smaller id.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import product
+from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geodesy import WGS84, Spheroid
+from tessera.session import saved
+
+CROWD, HALVINGS = 32, 16
 
 
 def to_ecef(df: DataFrame, lon: str, lat: str, alt: str | None = None, spheroid: Spheroid | None = WGS84) -> DataFrame:
@@ -52,8 +58,14 @@ def radius_join(queries: DataFrame, obs: DataFrame, dims: list[str], radius: flo
 def knn_join(queries: DataFrame, obs: DataFrame, dims: list[str], k: int = 8, radius: float | None = None, qid: str = "qid", oid: str = "oid", carry: list[str] = (), boundary: str = "none", scratch=None) -> DataFrame:
     """(qid, oid, rank, distance, *carry) of the k nearest of each query, within ``radius``.
 
-    ``boundary``: ``envelope`` keeps only queries inside the box of their neighbours.
-    ``scratch`` (an object with ``save(df)``) writes what is left between widths."""
+    ``boundary``: ``envelope`` keeps only queries inside the box of their neighbours, ``convex_hull``
+    those inside their hull (up to three dimensions). What is found and left at each width is
+    written (by ``scratch``, an object with ``save(df)``, if given), so no width repeats another."""
+    if boundary not in ("none", "envelope", "convex_hull"):
+        raise ValueError(f"no boundary check {boundary!r}")
+    if boundary == "convex_hull" and len(dims) > 3:
+        raise ValueError("a convex hull has at most three dimensions")
+    save = scratch.save if scratch else saved
     stats = obs.agg(F.count("*").alias("n"), *[F.min(d).alias(f"lo{d}") for d in dims], *[F.max(d).alias(f"hi{d}") for d in dims]).first()
     cols = [qid, oid, "rank", "distance", *carry, *[f"__{d}" for d in dims]]
     spans = [max(stats[f"hi{d}"] - stats[f"lo{d}"], 0.0) for d in dims] if stats["n"] else [0.0]
@@ -61,6 +73,11 @@ def knn_join(queries: DataFrame, obs: DataFrame, dims: list[str], k: int = 8, ra
     # about k observations in a cube, if they filled the box of the data
     width = whole * (max(k, 1) / max(stats["n"], 1)) ** (1 / len([s for s in spans if s > whole / 1e6] or [1]))
     width = max(width, whole / 1e6)
+    for _ in range(HALVINGS if stats["n"] else 0):
+        crowd = obs.groupBy(*_cells(dims, width)).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if (crowd or 0) <= CROWD * max(k, 1) or width <= whole / 1e6:
+            break
+        width /= 2
     queries, obs = queries.select(qid, *dims), obs.select(oid, *dims, *carry)
     w = Window.partitionBy(f"q.{qid}").orderBy("distance", f"o.{oid}")
     done, left = [], queries
@@ -76,11 +93,10 @@ def knn_join(queries: DataFrame, obs: DataFrame, dims: list[str], k: int = 8, ra
         if last or all_seen:
             done.append(flat)
             break
+        flat = save(flat)
         proved = flat.where((F.col("rank") == k) & (F.col("distance") <= width)).select(qid)
-        flat, proved = (scratch.save(x) if scratch else x for x in (flat, proved))
         done.append(flat.join(proved, qid, "left_semi"))
-        left = left.join(proved, qid, "left_anti")
-        left = scratch.save(left) if scratch else left
+        left = save(left.join(proved, qid, "left_anti"))
         if left.isEmpty():
             break
         width *= 2
@@ -89,11 +105,46 @@ def knn_join(queries: DataFrame, obs: DataFrame, dims: list[str], k: int = 8, ra
         box = out.groupBy(qid).agg(*[F.min(f"__{d}").alias(f"lo{d}") for d in dims], *[F.max(f"__{d}").alias(f"hi{d}") for d in dims]).join(queries, qid)
         ok = reduce(lambda a, b: a & b, [F.col(d).between(F.col(f"lo{d}"), F.col(f"hi{d}")) for d in dims])
         out = out.join(box.where(ok).select(qid), qid, "left_semi")
-    elif boundary != "none":
-        raise ValueError(f"no boundary check {boundary!r}")
+    elif boundary == "convex_hull":
+        near = out.groupBy(qid).agg(F.flatten(F.collect_list(F.array(*[F.col(f"__{d}") for d in dims]))).alias("p")).join(queries, qid)
+        n = len(dims)
+
+        @F.pandas_udf("boolean")
+        def inside(p: pd.Series, *q: pd.Series) -> pd.Series:
+            at = np.stack([c.to_numpy(float) for c in q], 1)
+            return pd.Series([in_hull(np.asarray(x, float).reshape(-1, n), y) for x, y in zip(p, at, strict=True)], dtype=bool)
+
+        out = out.join(near.where(inside("p", *dims)).select(qid), qid, "left_semi")
     return out.select(*cols[: 4 + len(carry)])
 
 
+def in_hull(points: np.ndarray, q: np.ndarray, epsilon: float = 1e-9) -> bool:
+    """Whether q lies in or on the convex hull of a few points: no facet of the hull has q strictly
+    on its outer side. Points that do not span the space are turned into the one that they span."""
+    p, q = points - points[0], q - points[0]
+    scale = np.abs(p).max()
+    if scale == 0:
+        return bool(np.abs(q).max() <= epsilon)
+    p, q = p / scale, q / scale
+    _, s, axes = np.linalg.svd(p, full_matrices=False)
+    axes = axes[s > 1e-12 * s[0]]
+    if np.linalg.norm(q - axes.T @ (axes @ q)) > epsilon:
+        return False
+    p, q = p @ axes.T, axes @ q
+    if p.shape[1] == 1:
+        return bool(p.min() - epsilon <= q[0] <= p.max() + epsilon)
+    for corner in combinations(range(len(p)), p.shape[1]):
+        edges = p[list(corner[1:])] - p[corner[0]]
+        normal = np.array([-edges[0, 1], edges[0, 0]]) if p.shape[1] == 2 else np.cross(edges[0], edges[1])
+        size = np.linalg.norm(normal)
+        if size <= 1e-14:
+            continue
+        side, own = (p - p[corner[0]]) @ normal / size, float((q - p[corner[0]]) @ normal / size)
+        if (side.min() >= -epsilon and own < -epsilon) or (side.max() <= epsilon and own > epsilon):
+            return False
+    return True
+
+
 def _covers(queries: DataFrame, stats, dims: list[str], reach: float) -> bool:
     """Whether cubes of this width show every observation to every query."""
     if not stats["n"]:

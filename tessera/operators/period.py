@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Spans of time that one long list is cut into
+SLOTS = 256
+
 
 def period(begin: Column, end: Column, within: bool = True) -> Column:
     return F.struct(begin.alias("begin"), (end if within else end - 1).alias("last"))
@@ -71,9 +74,38 @@ def shift(p: Column, offset) -> Column:
 
 
 # lists
+def _slots(df: DataFrame, t: str) -> DataFrame:
+    """``df`` with ``__slot``, which of ``SLOTS`` equal spans of time ``t`` lies in."""
+    ends = df.agg(F.min(t).alias("__lo"), F.max(t).alias("__hi"))
+    width = F.greatest((F.col("__hi") - F.col("__lo") + 1) / SLOTS, F.lit(1.0))
+    return df.join(F.broadcast(ends)).withColumn("__slot", F.floor((F.col(t) - F.col("__lo")) / width)).drop("__lo", "__hi")  # one row
+
+
+def _before(sums: DataFrame, value: Column) -> DataFrame:
+    """(__slot, __carry): ``value`` over the slots before each; at most ``SLOTS`` rows."""
+    w = Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select("__slot", value.over(w).alias("__carry"))
+
+
+def _one_list(df: DataFrame, gap: int) -> DataFrame:
+    """``islands`` of one list: spans of time are walked side by side, each told the farthest end and
+    the number of islands before it."""
+    w = Window.partitionBy("__slot").orderBy("begin", "last")
+    d = _slots(df.select("begin", "last"), "begin")
+    far = _before(d.groupBy("__slot").agg(F.max("last").alias("m")), F.max("m"))
+    own = F.greatest(F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("__carry"))
+    d = d.join(F.broadcast(far), "__slot").withColumn("far", own).drop("__carry")
+    d = d.withColumn("new", F.when(F.col("far").isNull() | (F.col("begin") > F.col("far") + 1 + gap), 1).otherwise(0))
+    count = _before(d.groupBy("__slot").agg(F.sum("new").alias("m")), F.sum("m"))
+    d = d.join(F.broadcast(count), "__slot").withColumn("island", F.coalesce("__carry", F.lit(0)) + F.sum("new").over(w))
+    return d.groupBy("island").agg(F.min("begin").alias("begin"), F.max("last").alias("last"), F.count("*").alias("n")).drop("island")
+
+
 def islands(df: DataFrame, by: list[str] = (), gap: int = 0) -> DataFrame:
     """Joins periods that overlap, touch, or are at most ``gap`` ticks apart, measured from the
     farthest end so far."""
+    if not by:
+        return _one_list(df, gap)
     w = Window.partitionBy(*by).orderBy("begin", "last")
     far = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
     marked = df.withColumn("new", F.when(far.isNull() | (F.col("begin") > far + 1 + gap), 1).otherwise(0))
@@ -126,8 +158,15 @@ def find_containing(points: DataFrame, t: str, periods: DataFrame, by: list[str]
     ordered pass over points and periods of a list does it, without a range join."""
     a = points.withColumn("row", F.struct("*")).select(*by, F.col(t).alias("t"), F.lit(1).alias("kind"), "row", F.lit(None).cast("struct<begin:long,last:long>").alias("p"))
     b = periods.select(*by, F.col("begin").alias("t"), F.lit(0).alias("kind"), F.lit(None).cast(a.schema["row"].dataType).alias("row"), F.struct(F.col("begin").cast("long").alias("begin"), F.col("last").cast("long").alias("last")).alias("p"))
-    w = Window.partitionBy(*by).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    seen = a.unionByName(b).withColumn("at", F.last("p", ignorenulls=True).over(w)).where("kind = 1")
+    both = a.unionByName(b)
+    if by:
+        w = Window.partitionBy(*by).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        seen = both.withColumn("at", F.last("p", ignorenulls=True).over(w)).where("kind = 1")
+    else:  # one list: spans of time side by side, each told the last period before it
+        d = _slots(both, "t")
+        w = Window.partitionBy("__slot").orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        last = _before(d.groupBy("__slot").agg(F.max("p").alias("m")), F.max("m"))
+        seen = d.join(F.broadcast(last), "__slot").withColumn("at", F.coalesce(F.last("p", ignorenulls=True).over(w), F.col("__carry"))).where("kind = 1")
     hit = F.when(F.col("at.last") >= F.col("t"), F.col("at"))
     return seen.select("row.*", hit["begin"].alias("p_begin"), hit["last"].alias("p_last"))
 

@@ -184,6 +184,17 @@ def point_index(spark, sf_dir):
     return index.query(q, 4).groupBy("qid").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 1).alias("total")).withColumn("size", F.lit(index.size()).cast("long"))
 
 
+@register(f"""WITH {_SITES}, p AS (SELECT qid, oid, q.lon AS qx, q.lat AS qy, o.lon AS x, o.lat AS y, sqrt((q.lon - o.lon) ** 2 + (q.lat - o.lat) ** 2) AS d FROM q, o),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d, 9), oid) AS r FROM p), t AS (SELECT * FROM k WHERE r <= 9),
+e AS (SELECT a.qid, (b.x - a.x) * (a.qy - a.y) - (b.y - a.y) * (a.qx - a.x) AS side, min((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) AS least FROM t a JOIN t b ON a.qid = b.qid AND a.r <> b.r JOIN t c ON c.qid = a.qid WHERE a.x <> b.x OR a.y <> b.y GROUP BY a.qid, a.r, b.r, a.x, a.y, b.x, b.y, a.qx, a.qy)
+SELECT qid, 9::BIGINT AS n FROM t GROUP BY qid HAVING qid NOT IN (SELECT qid FROM e WHERE side < -1e-7 AND least >= -1e-7)""")
+def knn_convex_hull(spark, sf_dir):
+    """Queries inside the hull of their nine nearest, in degrees."""
+    q, o = _sites(spark, sf_dir)
+    out = knn.knn_join(q.select("qid", "lon", "lat"), o.select("oid", "lon", "lat"), ["lon", "lat"], 9, boundary="convex_hull")
+    return out.groupBy("qid").agg(F.count("*").alias("n"))
+
+
 # statistics
 
 
@@ -228,6 +239,23 @@ def period_list_close(spark, sf_dir):
     return period.close_to_any(pts, "t", p, 900_000_000, ["user_id"]).select("event_id", "close")
 
 
+_ALL = _P + """, m AS (SELECT *, max(l) OVER (ORDER BY b, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM p), k AS (SELECT *, sum(CASE WHEN far IS NULL OR b > far + 1 THEN 1 ELSE 0 END) OVER (ORDER BY b, l) AS isl FROM m),
+i AS (SELECT min(b) AS begin_, max(l) AS last_, count(*) AS n FROM k GROUP BY isl)"""
+
+
+@register("WITH " + _ALL + " SELECT begin_ AS begin, last_ AS last, n FROM i")
+def period_one_list(spark, sf_dir):
+    """All events as one list of periods, joined."""
+    return period.islands(intervals(spark, sf_dir))
+
+
+@register("WITH " + _ALL + " SELECT event_id, i.begin_ AS p_begin, i.last_ AS p_last FROM p LEFT JOIN i ON p.b + 900000000 BETWEEN i.begin_ AND i.last_")
+def period_find_in_one_list(spark, sf_dir):
+    p = intervals(spark, sf_dir)
+    pts = p.select("event_id", (F.col("begin") + 900_000_000).alias("t"))
+    return period.find_containing(pts, "t", period.islands(p)).select("event_id", "p_begin", "p_last")
+
+
 # functions
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import io
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch to or from a Python worker: bounds its memory for texts of any length
 BATCH_BYTES = 8 << 20
 _SHIPPED: set[str] = set()
+_TABLES: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +45,26 @@ def share_file(spark: SparkSession, name: str, data: bytes) -> str:
     return fs.makeQualified(at).toString()
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written as a table into the shared folder and read from there: its lineage is cut, and
+    lost executors take nothing of it with them. The tables go when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    _TABLES.append((jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _sweep() -> None:
+    for at, conf in _TABLES:
+        try:
+            at.getFileSystem(conf).delete(at, True)
+        except Exception:  # the JVM may be gone  # noqa: BLE001
+            return
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once for each application, and bounds
     the Arrow batches to ``BATCH_BYTES``."""
