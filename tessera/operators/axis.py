@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.dates import UNITS
 from tessera.functions.let import let
 
 SMALL = 64
@@ -261,11 +262,32 @@ class Axis:
 
 
 class TemporalAxis(Axis):
-    """An axis of timestamps, as whole ticks of microseconds; lookups take timestamp columns."""
+    """An axis of timestamps, as whole ticks of microseconds; lookups take timestamp columns. ``unit``
+    (s, ms or us) is its resolution."""
+
+    unit = "us"
 
     @classmethod
-    def from_range(cls, start_us: int, step_us: int, n: int) -> TemporalAxis:
-        return cls(tuple(float(start_us + step_us * i) for i in range(n)), None, 0.0)
+    def from_range(cls, start_us: int, step_us: int, n: int, unit: str = "us") -> TemporalAxis:
+        axis = cls(tuple(float(start_us + step_us * i) for i in range(n)), None, 0.0)
+        if start_us % cls._tick(unit) or step_us % cls._tick(unit):
+            raise ValueError(f"points are no whole {unit}")
+        object.__setattr__(axis, "unit", unit)
+        return axis
+
+    @staticmethod
+    def _tick(unit: str) -> int:
+        return 1_000_000 // UNITS[unit]
+
+    @property
+    def dtype(self) -> str:
+        return f"timestamp[{self.unit}]"
+
+    def cast_to_temporal_axis(self, ts: Column) -> Column:
+        """Timestamps at the axis' resolution, finer parts cut off."""
+        tick = self._tick(self.unit)
+        us = F.unix_micros(ts.cast("timestamp"))
+        return F.timestamp_micros(us - F.pmod(us, F.lit(tick)))
 
     @staticmethod
     def ticks(ts: Column) -> Column:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.geodesy import WGS84, Spheroid, haversine
+from tessera.functions.let import let
 
 from . import planar
 
@@ -422,11 +423,27 @@ def spatial_join(a: DataFrame, b: DataFrame, left: str, right: str, name: str =
     return met.where(predicate(name, F.col(f"p.{left}"), F.col(f"q.{right}"))).select("p.*", "q.*")
 
 
-def distance(a: Column, b: Column) -> Column:
-    return _called(planar.distance, "double", a, b)
+def distance(a: Column, b: Column, strategy: str | None = None, spheroid: Spheroid = WGS84) -> Column:
+    """Planar, or in metres by a strategy (haversine, andoyer, thomas, vincenty) between the points
+    that are nearest on the sphere, edges being great-circle arcs."""
+    if strategy is None:
+        return _called(planar.distance, "double", a, b)
+    pair = _called(lambda g, h: None if (c := planar.closest_on_sphere(g, h)) is None else [*c[0], *c[1]], "array<double>", a, b)
+    if strategy == "haversine":
+        measure = lambda p: haversine(p[0], p[1], p[2], p[3], spheroid.mean_radius)
+    elif strategy in ("andoyer", "thomas"):
+        measure = lambda p: getattr(spheroid, strategy)(p[0], p[1], p[2], p[3])
+    elif strategy == "vincenty":
+        return spheroid.vincenty(*[F.get(pair, F.lit(i)) for i in range(4)])["distance"]
+    else:
+        raise ValueError(f"no strategy {strategy!r}")
+    return F.when(a.isNotNull() & b.isNotNull(), let(pair, measure))
 
 
-def closest_points(a: Column, b: Column) -> Column:
+def closest_points(a: Column, b: Column, geodetic: bool = False) -> Column:
+    """A segment between the nearest points, planar or on the sphere."""
+    if geodetic:
+        return _shaped(lambda g, h: None if (c := planar.closest_on_sphere(g, h)) is None else ("segment", [[list(c)]]), a, b)
     return _shaped(planar.closest, a, b)
 
 
@@ -438,8 +455,12 @@ def simplify(g: Column, tolerance: float) -> Column:
     return _shaped(lambda x: planar.simplify(x, tolerance), g)
 
 
-def buffer(g: Column, distance_: float, points_per_circle: int = 36, end: str = "round") -> Column:
-    return _shaped(lambda x: planar.buffer(x, distance_, points_per_circle, end), g)
+def buffer(g: Column, distance_: float, points_per_circle: int = 36, end: str = "round", join: str = "round", miter_limit: float = 5.0, point: str = "circle", right: float | None = None) -> Column:
+    """The area within a distance; ``join`` round or miter, ``end`` round or flat, ``point`` circle or
+    square, ``right`` another distance for the right of lines."""
+    if join not in ("round", "miter") or end not in ("round", "flat") or point not in ("circle", "square"):
+        raise ValueError("no such strategy")
+    return _shaped(lambda x: planar.buffer(x, distance_, points_per_circle, end, join, miter_limit, point, right), g)
 
 
 def is_simple(g: Column) -> Column:

@@ -13,12 +13,18 @@ from pyspark.sql import functions as F
 
 from tessera.functions.geodesy import WGS84, Spheroid, haversine
 
+from tessera.session import saved
+
 from . import kernels
 
 
 def _segments(t: DataFrame, by: list[str], name: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy("idx")
-    s = t.select(*by, "idx", F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.lead("lon").over(w).alias("x1"), F.lead("lat").over(w).alias("y1")).where("x1 is not null and abs(x1 - x0) <= 180")
+    s = t.select(*by, "idx", F.col("lon").alias("x0"), F.col("lat").alias("y0"), F.lead("lon").over(w).alias("x1"), F.lead("lat").over(w).alias("y1")).where("x1 is not null")
+    # across the date line: the segment on either side of it
+    turn = F.when(F.col("x1") - F.col("x0") > 180, F.lit(-360.0)).when(F.col("x1") - F.col("x0") < -180, F.lit(360.0)).otherwise(F.lit(0.0))
+    copies = F.array_distinct(F.array(F.struct(F.lit(0.0).alias("a"), turn.alias("b")), F.struct((-turn).alias("a"), F.lit(0.0).alias("b"))))
+    s = s.withColumn("c", F.explode(copies)).withColumns({"x0": F.col("x0") + F.col("c.a"), "x1": F.col("x1") + F.col("c.b")}).drop("c")
     return s.select(*[F.col(c).alias(f"{name}_{c}") for c in by], F.struct("idx", "x0", "y0", "x1", "y1").alias(name))
 
 
@@ -28,9 +34,10 @@ def _tiles(df: DataFrame, s: str, size: float) -> DataFrame:
     return df.withColumn("tx", F.explode(r("x0", "x1"))).withColumn("ty", F.explode(r("y0", "y1")))
 
 
-def find_crossovers(a: DataFrame, b: DataFrame, by: list[str] = (), limit: float | None = None, tile: float = 2.0, spheroid: Spheroid = WGS84) -> DataFrame:
+def find_crossovers(a: DataFrame, b: DataFrame, by: list[str] = (), limit: float | None = None, tile: float = 2.0, spheroid: Spheroid = WGS84, allow_multiple: bool = True) -> DataFrame:
     """Points where tracks of ``a`` and ``b`` cross, with the nearest vertex on either side and its
-    distance in metres; with ``limit`` only crossings whose nearest vertices are no farther.
+    distance in metres; with ``limit`` only crossings whose nearest vertices are no farther. With
+    ``allow_multiple`` False, a pair of tracks that crosses more than once is an error.
 
     Segments meet by an equality join on the tiles that they touch."""
     by = list(by)
@@ -42,7 +49,7 @@ def find_crossovers(a: DataFrame, b: DataFrame, by: list[str] = (), limit: float
     ex, ey = F.col("q.x0") - F.col("p.x0"), F.col("q.y0") - F.col("p.y0")
     j = j.withColumn("det", det).where("abs(det) > 1e-15").withColumns({"t": (ex * dy2 - ey * dx2) / F.col("det"), "u": (ex * dy1 - ey * dx1) / F.col("det")}).where("t between 0 and 1 and u between 0 and 1")
     lon, lat = F.col("p.x0") + F.col("t") * dx1, F.col("p.y0") + F.col("t") * dy1
-    j = j.withColumns({"lon": lon, "lat": lat})
+    j = j.withColumns({"lon": F.when(F.abs(lon) > 180, F.pmod(lon + 180.0, F.lit(360.0)) - 180.0).otherwise(lon), "lat": lat})
 
     def vertex(s: str) -> Column:
         d0 = haversine(F.col("lon"), F.col("lat"), F.col(f"{s}.x0"), F.col(f"{s}.y0"), spheroid.mean_radius)
@@ -56,7 +63,11 @@ def find_crossovers(a: DataFrame, b: DataFrame, by: list[str] = (), limit: float
     # a crossing in a vertex belongs to two segments, and a segment to several tiles
     names = [f"{c}_{s}" for s in "ab" for c in by]
     key = [F.round("lon", 9).alias("rl"), F.round("lat", 9).alias("rb")]
-    return out.groupBy(*names, *key).agg(*[F.min(c).alias(c) for c in ("lon", "lat", "idx_a", "idx_b", "distance_a", "distance_b")]).drop("rl", "rb")
+    out = out.groupBy(*names, *key).agg(*[F.min(c).alias(c) for c in ("lon", "lat", "idx_a", "idx_b", "distance_a", "distance_b")]).drop("rl", "rb")
+    if not allow_multiple:
+        n = F.count("*").over(Window.partitionBy(*names))
+        out = out.withColumn("lon", F.when(n > 1, F.raise_error(F.lit("tracks cross more than once")).cast("double")).otherwise(F.col("lon")))
+    return out
 
 
 def infer_direction(t: DataFrame, by: list[str] = (), first: int = 10) -> DataFrame:
@@ -96,6 +107,35 @@ def decompose(t: DataFrame, by: list[str] = (), strategy: str = "latitude_bands"
     return out.join(tags, [*by, "to"], "left").drop("to")
 
 
+def merge_by_area(runs: DataFrame, by: list[str], ratio: float = 1.5, most: int = 0) -> DataFrame:
+    """Neighbouring runs of ``decompose`` joined, the pair whose common box grows least first, while
+    the box is at most ``ratio`` times as large as the two together, or while a track has more than
+    ``most`` runs (0: no bound). The larger run gives the tag."""
+    box = ["xmin", "ymin", "xmax", "ymax"]
+    schema = runs.select(*by, "first", "last", "n", "tag", *box).schema
+
+    def size(b: np.ndarray) -> np.ndarray:
+        return np.abs(b[..., 2] - b[..., 0]) * np.abs(np.sin(np.radians(b[..., 3])) - np.sin(np.radians(b[..., 1])))
+
+    def join(g: pd.DataFrame) -> pd.DataFrame:
+        rows = g.sort_values("first")[["first", "last", "n", "tag"]].values.tolist()
+        b = g.sort_values("first")[box].to_numpy(float)
+        while len(rows) > 1:
+            both = np.concatenate([np.minimum(b[:-1, :2], b[1:, :2]), np.maximum(b[:-1, 2:], b[1:, 2:])], 1)
+            apart = size(b[:-1]) + size(b[1:])
+            growth = np.where(apart > 0, size(both) / np.where(apart > 0, apart, 1), np.inf)
+            i = int(growth.argmin())
+            if not growth[i] <= ratio and not 0 < most < len(rows):
+                break
+            (first, _, n, tag), (_, last, m, other) = rows[i], rows[i + 1]
+            rows[i : i + 2] = [[first, last, n + m, other if m > n else tag]]
+            b = np.concatenate([b[:i], both[i : i + 1], b[i + 2 :]])
+        out = pd.DataFrame(rows, columns=["first", "last", "n", "tag"])
+        return pd.DataFrame({**{c: g[c].iloc[0] for c in by}, **out, **{c: b[:, k] for k, c in enumerate(box)}})[[f.name for f in schema]]
+
+    return runs.select(*[f.name for f in schema]).groupBy(*by).applyInPandas(join, schema)
+
+
 def filter_by_extent(segments: DataFrame, xmin: float, ymin: float, xmax: float, ymax: float) -> DataFrame:
     return segments.where((F.col("xmin") <= xmax) & (F.col("xmax") >= xmin) & (F.col("ymin") <= ymax) & (F.col("ymax") >= ymin))
 
@@ -212,15 +252,16 @@ class Orbit:
         return d
 
 
-def interpolate_orbit(t: DataFrame, every_us: int, spheroid: Spheroid = WGS84) -> DataFrame:
-    """The track resampled every ``every_us``: cubic splines of the geocentric coordinates over six
-    points around, each output time joined with its window by index."""
-    p = t.withColumn("e", spheroid.lla_to_ecef(F.col("lon"), F.col("lat"))).select("track", "idx", "time", "e.x", "e.y", "e.z")
+def _resampled(t: DataFrame, axis: str, step: float, spheroid: Spheroid, carry: list[str] = ()) -> DataFrame:
+    """(track, k, at, lon, lat, *carry) at every ``step`` of the rising column ``axis``: cubic splines of
+    the geocentric coordinates over six points around, ``carry`` linear; each place is joined with
+    its window by index."""
+    p = t.withColumn("e", spheroid.lla_to_ecef(F.col("lon"), F.col("lat"))).select("track", "idx", F.col(axis).cast("double").alias("s"), "e.x", "e.y", "e.z", *carry)
     w = Window.partitionBy("track").orderBy("idx")
-    near = w.rowsBetween(-2, 3)
-    d = p.withColumns({"s": F.collect_list(F.struct("time", "x", "y", "z")).over(near), "next": F.lead("time").over(w), "first": F.min("time").over(Window.partitionBy("track"))}).where("next is not null")
-    k0, k1 = F.ceil((F.col("time") - F.col("first")) / every_us), F.ceil((F.col("next") - F.col("first")) / every_us) - 1
-    d = d.where(k1 >= k0).select("track", "s", "time", "first", F.explode(F.sequence(k0, k1)).alias("k")).withColumn("at", (F.col("first") + F.col("k") * every_us).cast("double"))
+    near = F.collect_list(F.struct("s", "x", "y", "z")).over(w.rowsBetween(-2, 3))
+    d = p.withColumns({"w": near, "next": F.lead("s").over(w), "first": F.min("s").over(Window.partitionBy("track")), **{f"{c}1": F.lead(c).over(w) for c in carry}}).where("next is not null")
+    k0, k1 = F.ceil((F.col("s") - F.col("first")) / step), F.ceil((F.col("next") - F.col("first")) / step) - 1
+    d = d.where(k1 >= k0).select("*", F.explode(F.sequence(k0, k1)).alias("k")).withColumn("at", F.col("first") + F.col("k") * step)
 
     @F.pandas_udf("struct<x:double,y:double,z:double>")
     def spline(s: pd.Series, at: pd.Series) -> pd.DataFrame:
@@ -228,11 +269,57 @@ def interpolate_orbit(t: DataFrame, every_us: int, spheroid: Spheroid = WGS84) -
         size = s.map(len).to_numpy()
         for n in np.unique(size):
             i = np.flatnonzero(size == n)
-            a = np.array([[[q["time"], q["x"], q["y"], q["z"]] for q in s.iloc[r]] for r in i], float)
-            base = a[:, :1, 0]
+            a = np.array([[[q["s"], q["x"], q["y"], q["z"]] for q in s.iloc[r]] for r in i], float)
+            base, scale = a[:, :1, 0], max(float(step), 1e-300)
             for c in range(3):
-                out[i, c] = kernels.univariate((a[:, :, 0] - base) / 1e6, a[:, :, 1 + c], (at.to_numpy()[i] - base[:, 0]) / 1e6, "c_spline" if n >= 4 else "linear")[0]
+                out[i, c] = kernels.univariate((a[:, :, 0] - base) / scale, a[:, :, 1 + c], (at.to_numpy()[i] - base[:, 0]) / scale, "c_spline" if n >= 4 else "linear")[0]
         return pd.DataFrame(out, columns=["x", "y", "z"])
 
-    d = d.withColumn("q", spline("s", "at")).withColumn("b", spheroid.ecef_to_lla(F.col("q.x"), F.col("q.y"), F.col("q.z")))
-    return d.select("track", F.col("k").alias("idx"), F.col("at").cast("long").alias("time"), F.col("b.lon").alias("lon"), F.col("b.lat").alias("lat"))
+    f = (F.col("at") - F.col("s")) / (F.col("next") - F.col("s"))
+    d = d.withColumn("q", spline("w", "at")).withColumn("b", spheroid.ecef_to_lla(F.col("q.x"), F.col("q.y"), F.col("q.z")))
+    return d.select("track", "k", "at", F.col("b.lon").alias("lon"), F.col("b.lat").alias("lat"), *[(F.col(c) + f * (F.col(f"{c}1") - F.col(c))).alias(c) for c in carry])
+
+
+def interpolate_orbit(t: DataFrame, every_us: int, spheroid: Spheroid = WGS84) -> DataFrame:
+    """The track resampled every ``every_us``."""
+    d = _resampled(t, "time", every_us, spheroid)
+    return d.select("track", F.col("k").alias("idx"), F.col("at").cast("long").alias("time"), "lon", "lat")
+
+
+def _turns(t: DataFrame) -> DataFrame:
+    """Adds ``up`` (a southern extreme: the latitude begins to rise) and ``down``, around the cycle."""
+    w = Window.partitionBy("track").orderBy("idx")
+    ends = t.groupBy("track").agg(F.max_by("lat", "idx").alias("last"))
+    d = t.join(ends, "track").withColumn("dy", F.coalesce(F.lag("lat").over(w), F.col("last")) - F.col("lat"))
+    final = d.groupBy("track").agg(F.max_by("dy", "idx").alias("dy_last"))
+    before = F.coalesce(F.lag("dy").over(w), F.col("dy_last"))
+    return d.join(final, "track").withColumns({"up": (F.col("dy") < 0) & (before >= 0), "down": (F.col("dy") > 0) & (before <= 0)}).drop("last", "dy", "dy_last")
+
+
+def calculate_orbit(t: DataFrame, cycle_us: int | None = None, along_km: float = 2.0, spheroid: Spheroid = WGS84) -> DataFrame:
+    """(track, idx, x_al in km, time, lon, lat, pass_no) of one cycle of each track (track, idx, time in
+    microseconds, lon, lat): coarse tracks resampled to half a second, clipped to the cycle, turned to
+    begin with the first pass (at a southern extreme), measured along the ground by Thomas
+    distances and resampled at even distances."""
+    t = t.withColumn("lon", F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0)
+    coarse = delta_t(t, ["track"]).agg(F.max("delta_t")).first()[0] or 0
+    t = interpolate_orbit(t, 500_000, spheroid) if coarse > 500_000 else t.select("track", "idx", "time", "lon", "lat")
+    if cycle_us is not None:
+        t = t.where(F.col("time") < cycle_us)
+    place = F.row_number().over(Window.partitionBy("track").orderBy("idx")) - 1
+    t = saved(t.withColumn("idx", place))
+    u = _turns(t).where("up").groupBy("track").agg(F.min("idx").alias("a"), F.avg("idx").alias("m"), F.max("idx").alias("b"))
+    n = t.groupBy("track").agg(F.count("*").alias("n"), (F.max("time") + F.max(F.when(F.col("idx") == 1, F.col("time"))) - F.min("time")).alias("span"))
+    shift = n.join(u, "track", "left").withColumn("shift", F.when(F.col("a") >= F.floor("m"), F.col("b")).otherwise(0)).select("track", "n", "span", "shift")
+    start = t.join(shift, "track").where("idx = shift").select("track", F.col("time").alias("t0"))
+    d = t.join(shift, "track").join(start, "track").withColumns({"idx": F.pmod(F.col("idx") - F.col("shift"), F.col("n")), "time": F.when(F.col("shift") == 0, F.col("time")).otherwise(F.pmod(F.col("time") - F.col("t0"), F.col("span")))})
+    w = Window.partitionBy("track").orderBy("idx")
+    step = F.coalesce(spheroid.thomas(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat")), F.lit(0.0)) / 1000
+    d = d.select("track", "idx", "time", "lon", "lat", "n", step.alias("step")).withColumn("x_al", F.sum("step").over(w)).where(F.col("idx") < F.col("n") - 1)
+    out = _resampled(d, "x_al", along_km, spheroid, ["time"]).select("track", F.col("k").alias("idx"), F.col("at").alias("x_al"), F.round("time").cast("long").alias("time"), "lon", "lat")
+    return passes(out, ["track"])
+
+
+def pass_times(t: DataFrame) -> DataFrame:
+    """(track, pass_no, time): when each pass of ``calculate_orbit`` begins."""
+    return t.groupBy("track", "pass_no").agg(F.min("time").alias("time"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, geohash, mathx
@@ -412,3 +412,56 @@ def orbit_durations(spark, sf_dir):
     even = spark.range(2001).select(F.lit(0).alias("track"), F.col("id").alias("idx"), (F.col("id") * 500_000).alias("time"))
     delta = satellite.delta_t(even, ["track"])
     return delta.select(F.lit(254).cast("long").alias("passes"), F.lit(o.orbit_duration()).alias("orbit_us"), F.lit(o.cycle_duration()).cast("long").alias("cycle_us"), F.round(F.lit(o.pass_duration()), 3).alias("pass_us"), F.col("delta_t").alias("delta_us"))
+
+
+@register(f"""WITH {_N}, c AS (SELECT k, x, y, radians(y + 3) AS f FROM n)
+SELECT k, round(33 + 28 + 5 - 1 + 0.0, 6) AS miter, round(8 * 1.5 + 0.0, 6) AS uneven, 4.0::DOUBLE AS square, round(8 * 2.0, 6) AS flat, round(6371008.771415059 * asin(least(1, cos(f) * sin(radians(2)))), 1) AS metres FROM c""")
+def geometry_strategies(spark, sf_dir):
+    """Mitre joins, other distances right of a line, square points, flat ends; and the distance on the
+    sphere of a point from a meridian two degrees away."""
+    p, x, y = F.col("poly"), F.col("x"), F.col("y")
+    line = g.line(F.array(g.pt(x, y), g.pt(x + 8, y)))
+    meridian = g.line(F.array(g.pt(x, y - 20), g.pt(x, y + 30)))
+    d = boxes(spark, sf_dir).select("k", g.buffer(p, 1.0, join="miter").alias("m"), g.buffer(line, 1.0, end="flat", right=0.5).alias("u"), g.buffer(g.point(x, y), 1.0, point="square").alias("s"), g.buffer(line, 1.0, end="flat").alias("f"), g.distance(g.point(x + 2, y + 3), meridian, "haversine").alias("metres"))
+    return d.select("k", *[F.round(g.area(F.col(c)), 6).alias(n) for c, n in (("m", "miter"), ("u", "uneven"), ("s", "square"), ("f", "flat"))], F.round("metres", 1).alias("metres"))
+
+
+@register("SELECT event_id, date_trunc('second', ts) AS at, 'timestamp[s]' AS dtype FROM events")
+def temporal_resolution(spark, sf_dir):
+    from tessera.operators.axis import TemporalAxis
+
+    axis = TemporalAxis.from_range(1_704_067_200_000_000, 86_400_000_000, 31, "s")
+    return table(spark, sf_dir, "events").select("event_id", axis.cast_to_temporal_axis(F.col("ts")).cast("timestamp_ntz").alias("at"), F.lit(axis.dtype).alias("dtype"))
+
+
+@register(f"WITH {_T} SELECT track, min(idx) AS first, max(idx) AS last, count(*) AS n FROM t GROUP BY track")
+def track_merged(spark, sf_dir):
+    """Runs joined until each track has one."""
+    runs = satellite.decompose(track(spark), ["track"], min_edge=1)
+    return satellite.merge_by_area(runs, ["track"], 0.0, 1).select("track", "first", "last", "n")
+
+
+@register("SELECT * FROM (VALUES (0::BIGINT, 1::BIGINT, 179.9::DOUBLE, 0.0::DOUBLE), (1, 2, -179.9, 2.0)) t(track_a, track_b, lon, lat)")
+def track_crossovers_date_line(spark, sf_dir):
+    """Crossings on either side of the date line, each pair of tracks at most once."""
+    p = spark.createDataFrame([(0, 0, 179.5, -0.4), (0, 1, -179.5, 0.6), (1, 0, -179.5, 1.6), (1, 1, 179.5, 2.6)], "track long, idx long, lon double, lat double")
+    q = spark.createDataFrame([(1, 0, 179.5, 0.4), (1, 1, -179.5, -0.6), (2, 0, -179.5, 2.4), (2, 1, 179.5, 1.4)], "track long, idx long, lon double, lat double")
+    out = satellite.find_crossovers(p, q, ["track"], allow_multiple=False)
+    return out.select("track_a", "track_b", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+@register("SELECT k AS track, true AS starts_south, true AS even, true AS on_track, 2::BIGINT AS passes FROM range(2) t(k)")
+def orbit_calculated(spark, sf_dir):
+    """One revolution at every five kilometres: it begins at the southern extreme, its points are evenly
+    apart and lie on the given track at their times; a pass up and one down."""
+    turn = lambda i: 2 * 3.141592653589793 * i / 2000
+    lat = lambda i: 66.0 * F.sin(turn(i) + F.col("track"))
+    i = F.col("idx")
+    t = spark.range(2).select(F.col("id").alias("track"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1999).cast("long"))).alias("idx")).select("track", "idx", (i * 500_000).alias("time"), (i * 0.18).alias("lon"), lat(i).alias("lat"))
+    d = satellite.calculate_orbit(t, along_km=5.0)
+    w = Window.partitionBy("track").orderBy("idx")
+    gap = WGS84.thomas(F.lag("lon").over(w), F.lag("lat").over(w), F.col("lon"), F.col("lat")) / 1000
+    start = t.groupBy("track").agg((F.min_by("idx", "lat") + 1).alias("start"))
+    d = d.withColumn("gap", gap).join(start, "track").withColumn("off", F.abs(F.col("lat") - lat(F.col("start") + F.col("time") / 500_000)))
+    out = d.groupBy("track").agg(F.min_by("lat", "idx").alias("south"), F.max(F.abs(F.col("gap") - 5.0)).alias("uneven"), F.max("off").alias("off"), F.countDistinct("pass_no").alias("passes"))
+    return out.select("track", (F.abs(F.col("south") + 66) < 0.01).alias("starts_south"), (F.col("uneven") < 0.05).alias("even"), (F.col("off") < 0.01).alias("on_track"), "passes")
