@@ -228,11 +228,16 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[p
 
 
 def confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that reach the threshold on the full sets."""
-    right, left = sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-    both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    sized = both.select("a", "b", inter.alias("i"), (F.size("sa") + F.size("sb")).alias("u"))
+    """Those of ``pairs`` (a, b, hub, size) that reach the threshold on the full sets. The hub, one of
+    the two, may be in about ``size`` pairs: its set is sent once to each part of them, so that the
+    sets of a hub's pairs are spread over as many tasks."""
+    other = F.when(F.col("hub") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    p = pairs.select("hub", other.alias("id"), F.ceil(F.col("size") / PART).alias("parts"))
+    hubs = p.groupBy("hub").agg(F.max("parts").alias("parts")).join(sets.select(F.col("id").alias("hub"), F.col("s").alias("sh")).hint("merge"), "hub")
+    hubs = hubs.select("hub", "sh", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    p = p.select("hub", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    both = p.join(sets.select("id", "s").hint("merge"), "id").join(hubs.hint("merge"), ["hub", "part"])
+    sized = both.select(F.least("hub", "id").alias("a"), F.greatest("hub", "id").alias("b"), F.size(F.array_intersect("s", "sh")).alias("i"), (F.size("s") + F.size("sh")).alias("u"))
     return sized.where((F.col("i") > 0) & (100 * F.col("i").cast("long") >= percent * (F.col("u") - F.col("i")).cast("long"))).select("a", "b").distinct()
 
 
@@ -284,13 +289,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
                 break
         scored = here.join(mates, "id") if turn == 0 else here.withColumn("p", F.xxhash64("id", F.lit(turn)))
         hubs = scored.groupBy("key").agg(F.max(F.struct("p", "id", "comp")).alias("h"), F.max("c").alias("c")).select("key", "c", F.col("h.id").alias("hub"), F.col("h.comp").alias("hub_comp"))
-        shared = _parts(here).join(_every_part(hubs), ["key", "part"]).where("comp != hub_comp").groupBy("id", "hub").agg(F.count("*").alias("c"))
-        best = shared.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("c", "hub")), False), 1, 1 if turn == 0 else 3).alias("m"))  # at most one hub a band
-        pairs = _ordered(best.select(F.explode("m").alias("h"), "id").select(F.col("h.hub").alias("a"), F.col("id").alias("b")))
+        shared = _parts(here).join(_every_part(hubs), ["key", "part"]).where("comp != hub_comp").groupBy("id", "hub").agg(F.count("*").alias("n"), F.max("c").alias("size"))
+        best = shared.groupBy("id").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "hub", "size")), False), 1, 1 if turn == 0 else 3).alias("m"))  # at most one hub a band
+        drawn = best.select(F.explode("m").alias("h"), "id").select(F.least("h.hub", "id").alias("a"), F.greatest("h.hub", "id").alias("b"), "h.hub", "h.size")
+        pairs = drawn.groupBy("a", "b").agg(F.max(F.struct("size", "hub")).alias("h")).select("a", "b", "h.hub", "h.size")
         pairs = scratch.save(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
         found = scratch.save(confirm(sets, pairs, percent))
         gained = found.count() / max(pairs.count(), 1)
-        links, seen = (found, pairs) if links is None else (links.union(found), seen.union(pairs))
+        links, seen = (found, pairs.select("a", "b")) if links is None else (links.union(found), seen.union(pairs.select("a", "b")))
         joined = components(scratch, links)
         now = here.drop("comp").join(joined.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "c", F.coalesce("root", "id").alias("comp"))
         open_ = now.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("c").alias("c")).where("x != y").select("key", "c")
@@ -309,7 +315,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         .sortWithinPartitions("key", "lo", "hi")
     )
     more = _ordered(split.mapInPandas(lambda it: _tidied(_block_pairs(it, percent, floor)), "a long, b long"))
-    more = scratch.save(more.join(seen, ["a", "b"], "left_anti"))
+    more = more.join(seen, ["a", "b"], "left_anti")
+    often = more.groupBy("a").agg(F.count("*").alias("size"))
+    more = scratch.save(more.join(often, "a").select("a", "b", F.col("a").alias("hub"), "size"))
     extra = scratch.save(confirm(sets, more, percent))
     scratch.drop(met, more, sets)
     final = joined if extra.isEmpty() else components(scratch, links.union(extra))
