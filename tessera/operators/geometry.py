@@ -8,7 +8,7 @@ box: one closed list around the box; polygon: one member, outer ring first, then
 multilinestring, multipolygon: a member for each.
 
 Degrees of longitude and latitude are x and y in the geodetic forms. Predicates and overlays that
-need two whole geometries are in ``planar`` (numpy-free Python, run as Arrow UDFs).
+need two whole geometries are in ``planar``, run on flat arrays that Arrow hands over.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -338,15 +339,26 @@ def from_geojson(text: Column) -> Column:
 
 
 # whole geometries, in Python: they travel as JSON text, as lists of unequal lengths nest
-def _text(g: Column) -> Column:
-    return F.when(g.isNotNull(), F.to_json(F.struct(g["kind"].alias("kind"), F.transform(g["parts"], lambda m: F.transform(m, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))).alias("parts"))))
+def _packed(g: Column) -> list[Column]:
+    """A geometry as flat arrays for Arrow: kind, coordinates in turn, points of each list, lists of
+    each member; all NULL of a NULL."""
+    xy = F.flatten(F.transform(points(g), lambda p: F.array(p["x"], p["y"])))
+    return [g["kind"], xy, F.transform(lists(g), F.size), F.transform(g["parts"], F.size)]
 
 
-def _read(text: str | None) -> tuple[str, list] | None:
-    if text is None:
+def _unpacked(kind: str | None, xy, sizes, members) -> tuple[str, list] | None:
+    if kind is None:
         return None
-    g = json.loads(text)
-    return g["kind"], [[[tuple(p) for p in r] for r in m] for m in g["parts"]]
+    flat = np.asarray(xy, float)
+    pts, out, at, ring = list(zip(flat[::2].tolist(), flat[1::2].tolist(), strict=True)), [], 0, 0
+    for n in members:
+        own = []
+        for m in sizes[ring : ring + n]:
+            own.append(pts[at : at + m])
+            at += m
+        out.append(own)
+        ring += n
+    return kind, out
 
 
 def _written(g: tuple[str, list] | None) -> str | None:
@@ -355,19 +367,13 @@ def _written(g: tuple[str, list] | None) -> str | None:
 
 def _called(f, schema: str, *geometries: Column) -> Column:
     """f of the geometries of each row, NULL if one is NULL."""
-    if len(geometries) == 1:
 
-        @F.pandas_udf(schema)
-        def run(a: pd.Series) -> pd.Series:
-            return pd.Series([None if g is None else f(_read(g)) for g in a], dtype=object)
+    @F.pandas_udf(schema)
+    def run(*cols: pd.Series) -> pd.Series:
+        given = [[_unpacked(*row) for row in zip(*cols[k : k + 4], strict=True)] for k in range(0, len(cols), 4)]
+        return pd.Series([None if any(g is None for g in row) else f(*row) for row in zip(*given, strict=True)], dtype=object)
 
-    else:
-
-        @F.pandas_udf(schema)
-        def run(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([None if g is None or h is None else f(_read(g), _read(h)) for g, h in zip(a, b, strict=True)], dtype=object)
-
-    return run(*[_text(g) for g in geometries])
+    return run(*[c for g in geometries for c in _packed(g)])
 
 
 def _shaped(f, *geometries: Column) -> Column:
