@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import fill, grid, knn, scattered, windowed
 from tessera.operators.axis import Axis, TemporalAxis
+from tessera.session import saved
 
 from .base import register, table
 
@@ -212,7 +213,7 @@ _WINDOW_SQL = {name: (None, "CASE WHEN q <= 1 THEN " + (c if isinstance(c, str)
 def window_kernels(spark, sf_dir):
     """Every window with a radius of 1400 km, over neighbours within twice that."""
     _, n = _neighbours(spark, sf_dir, k=20, radius=2_800_000.0)
-    n = n.cache()
+    n = saved(n)
     out = [scattered.window_mean(n, kind, 1_400_000.0, arg).select(F.lit(kind).alias("kind"), "qid", F.round("value", 3).alias("value"), "neighbours") for kind, (arg, _) in _WINDOW_SQL.items()]
     return reduce(DataFrame.union, out)
 
@@ -272,7 +273,7 @@ def radial_basis(spark, sf_dir):
 def radial_basis_kernels(spark, sf_dir):
     """Every function, with an epsilon of 2.5 thousand kilometres."""
     q, n = _solver_input(spark, sf_dir, 4)
-    n = n.cache()
+    n = saved(n)
     out = [scattered.radial_basis(n, q, ["x", "y", "z"], kind, 2.5, 0.1).select(F.lit(kind).alias("kind"), "qid", F.round("value", 2).alias("value")) for kind in scattered.RBF]
     return reduce(DataFrame.union, out)
 
@@ -298,7 +299,7 @@ def _kriging_sql(kind: str, k: int, length: float, nugget: float, drift: bool =
 def kriging_kernels(spark, sf_dir):
     """Simple kriging with every covariance."""
     q, n = _solver_input(spark, sf_dir, 5)
-    n = n.cache()
+    n = saved(n)
     out = [scattered.kriging(n, q, ["x", "y", "z"], kind, 1.0, 2.5, 0.05).select(F.lit(kind).alias("kind"), "qid", F.round("value", 4).alias("value")) for kind in scattered.COVARIANCE]
     return reduce(DataFrame.union, out)
 

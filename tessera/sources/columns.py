@@ -30,10 +30,17 @@ def with_units(df: DataFrame, **units: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c, metadata={"units": units[c]}) if c in units else F.col(c) for c in df.columns])
 
 
-def grid_from(df: DataFrame, value: str, dims: list[str] | None = None) -> Grid:
+def grid_from(df: DataFrame, value: str, dims: list[str] | None = None, size: int | None = None, geodetic: bool = False) -> Grid:
     """A grid of a long table: axes from the distinct coordinates; a longitude axis is a circle,
-    and time becomes microseconds. Axes come as longitude, latitude, time, others."""
+    and time becomes microseconds. Axes come as longitude, latitude, time, others. ``size`` is the
+    number of dimensions that there must be; a ``geodetic`` grid must have a longitude and a latitude."""
     dims = dims or [c for c in df.columns if c != value]
+    if size is not None and len(dims) != size:
+        raise ValueError(f"{len(dims)} dimensions instead of {size}")
+    if len(set(dims)) != len(dims) or value in dims:
+        raise ValueError("every dimension is another column than the value and the others")
+    if geodetic and not {"longitude", "latitude"} <= {role(df, c) for c in dims}:
+        raise ValueError("no longitude and latitude among the units of the dimensions")
     order = {"longitude": 0, "latitude": 1, "time": 2, None: 3}
     dims = sorted(dims, key=lambda c: order[role(df, c)])
     roles = {c: role(df, c) for c in dims}

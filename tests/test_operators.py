@@ -256,7 +256,10 @@ def test_orbit_resampling_follows_the_track(spark):
 def test_roles_and_ephemeris(spark, tmp_path):
     df = spark.createDataFrame([(float(x), float(y), x + 10.0 * y) for x in range(0, 360, 90) for y in range(3)], "a double, b double, v double")
     df = columns.with_units(df, a="degrees_east", b="degrees_north")
-    g = columns.grid_from(df, "v", ["b", "a"])
+    g = columns.grid_from(df, "v", ["b", "a"], 2, True)
+    for dims, size, geodetic in ((["a", "b"], 3, False), (["a", "a"], None, False), (["b"], None, True)):
+        with pytest.raises(ValueError):
+            columns.grid_from(df, "v", dims, size, geodetic)
     assert columns.role(df, "a") == "longitude" and len(g.axes[0]) == 4 and g.axes[0].is_periodic()
     (tmp_path / "e.txt").write_text("# c\n0 1.5 2.5 3\n 1  1.6 2.6 3\n")
     assert columns.ephemeris(spark, str(tmp_path / "e.txt")).count() == 2
