@@ -315,10 +315,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k:
         .sortWithinPartitions("key", "lo", "hi")
     )
     more = _ordered(split.mapInPandas(lambda it: _tidied(_block_pairs(it, percent, floor)), "a long, b long"))
-    more = more.join(seen, ["a", "b"], "left_anti")
+    more = scratch.save(more.join(seen, ["a", "b"], "left_anti"))  # read twice
     often = more.groupBy("a").agg(F.count("*").alias("size"))
-    more = scratch.save(more.join(often, "a").select("a", "b", F.col("a").alias("hub"), "size"))
-    extra = scratch.save(confirm(sets, more, percent))
+    more_sized = more.join(often, "a").select("a", "b", F.col("a").alias("hub"), "size")
+    extra = scratch.save(confirm(sets, scratch.save(more_sized), percent))
     scratch.drop(met, more, sets)
     final = joined if extra.isEmpty() else components(scratch, links.union(extra))
     labels = heads.select("f1", "f2", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", F.coalesce("root", "rep").alias("label"))
