@@ -264,6 +264,42 @@ def test_levels_route_and_slices(spark, sent):
     assert [got[i].n_links for i in range(len(x))] == n.tolist() and [got[i].component_id for i in range(len(x))] == label.tolist()
 
 
+def test_unstructured_vectors_shuffle_in_proportion(spark):
+    """No bound prunes much among random vectors of 64 dimensions; what is shuffled must not grow with
+    the number of blocks."""
+    rng = np.random.default_rng(38)
+    x = rng.standard_normal((2500, 64)).astype(np.float32)
+    x[2000:] = x[rng.integers(0, 2000, 500)] + rng.standard_normal((500, 64)).astype(np.float32) * 0.1
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sum(sc.statusStore().executorList(False).apply(k).totalShuffleWrite() for k in range(sc.statusStore().executorList(False).size()))
+
+    before = written()
+    got = {r.id: r for r in covertree.similar_vectors(d, unit=64, sample=500).collect()}
+    assert written() - before < 6 * x.nbytes
+    n, label = brute_links(x.astype(float))
+    assert n.sum() > 900 and [got[i].n_links for i in range(len(x))] == n.tolist() and [got[i].component_id for i in range(len(x))] == label.tolist()
+
+
+@pytest.mark.parametrize(("rows", "sent"), [(0.0, covertree.SENT), (0.0, 30_000), (1.2, 60_000), (1e9, covertree.SENT)])
+def test_busy_blocks_and_shuffled_ones(spark, rows, sent):
+    """Blocks sent to the vectors, all or some, give what shuffled ones give: with copies, tight
+    leaves that link as a whole, near pairs and two lengths."""
+    rng = np.random.default_rng(39)
+    centre = rng.standard_normal((20, 8))
+    x = np.concatenate([centre[rng.integers(0, 20, 300)] + rng.standard_normal((300, 8)) * 0.05, *(centre[:1] + k * 0.06 + rng.standard_normal((200, 8)) * 0.004 for k in range(3)), rng.standard_normal((200, 8))])
+    x[50:60] = 2 * x[40:50]
+    n, label = brute_links(x)
+    rows_ = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000 + i, [*v.tolist(), 0.0]) for i, v in enumerate(x[:100])]
+    m, other = brute_links(x[:100])
+    got = {r.id: r for r in covertree.similar_vectors(spark.createDataFrame(rows_, "vec_id long, embedding array<double>"), unit=80, sample=200, sent=sent, rows=rows).collect()}
+    assert [got[i].n_links for i in range(len(x))] == n.tolist() and [got[i].component_id for i in range(len(x))] == label.tolist()
+    assert [got[5000 + i].n_links for i in range(100)] == m.tolist() and [got[5000 + i].component_id for i in range(100)] == (5000 + other).tolist()
+
+
 def test_joins_by_hits():
     rng = np.random.default_rng(37)
     for share in (0.001, 0.02, 0.5):
