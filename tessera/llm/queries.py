@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, covertree, langid, licenses, minhash, packing, pii, quality, toxicity, urlfilter
+from . import bpe, covertree, langid, licenses, minhash, packing, pii, quality, quality_gam, spelling, toxicity, urlfilter, whitening
 from .common import crc_mod
 
 
@@ -137,11 +137,62 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held)
+    out = quality_gam.score(docs.select("doc_id", "text", held.alias("held_out")), quality_gam.train(docs, labels))
+    return out.select("doc_id", "held_out", F.col("quality").alias("score"), (F.col("quality") >= 0.7).cast("int").alias("predicted"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a run of under 7 code points stays under 7
+    runs = docs.select("doc_id", F.explode(spelling.runs("text", least=7)).alias("w"))
+    h = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("w")).cast("binary"))
+    runs = runs.select("w", h.alias("h"))
+    cut = F.expr("concat(substring(w, 1, int(h % length(w))), substring(w, int(h % length(w)) + 2))")
+    words = runs.select(F.when(F.col("h") % 31 == 0, cut).otherwise(F.col("w")).alias("word"))
+    return spelling.variants(spelling.lexicon(words), ratio=10)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS t FROM range(256) r(i)),
+run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS w FROM documents),
+hex AS (SELECT w, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM run),
+h AS (SELECT w, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i+1])::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM hex, crc),
+word AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word FROM h),
+lex AS MATERIALIZED (SELECT word, count(*) AS n FROM word WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS c FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM lex)),
+near AS MATERIALIZED (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.c = b.c AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN lex b ON a.c = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN lex b ON a.c = b.word),
+best AS (SELECT word, count(*) AS n_near, min({'m': -n, 'w': other}) AS top FROM near GROUP BY word),
+f AS MATERIALIZED (SELECT lex.word, lex.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -top.m >= 10 * lex.n THEN top.w END AS form, CASE WHEN -top.m >= 10 * lex.n THEN -top.m END AS form_n FROM lex LEFT JOIN best USING (word)),
+up(word, far) AS (SELECT word, word FROM f UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.far WHERE f.form IS NOT NULL),
+root AS (SELECT up.word, up.far AS root FROM up JOIN f ON f.word = up.far WHERE f.form IS NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, root.root FROM f JOIN root USING (word)
+"""
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    n, shares, error = (model.n, model.explained.tolist(), model.identity_error) if model is not None else (0, [], None)
+    out = whitening.whiten(vectors, model).select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    explained = F.element_at(F.array(*map(F.lit, shares)), F.col("at") + 1) if shares else F.lit(None)
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", explained.cast("double").alias("explained"), F.lit(error).cast("double").alias("identity_error"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_pii": op2_pii,
     "op3_cover_tree_links": op3_cover_tree_links,
     "op4_url_filter": op4_url_filter,
     "op8_toxicity": op8_toxicity,
-    "op5_best_fit_packing": op5_best_fit_packing, "op7_bpe": op7_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op6_language_id": op6_language_id, "op10_quality_rules": op10_quality_rules}
-SQL = {"op3_cover_tree_links": OP3_SQL, "op4_url_filter": OP4_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
+    "op5_best_fit_packing": op5_best_fit_packing, "op7_bpe": op7_bpe, "op9_minhash_near_dedup": op9_minhash_near_dedup, "op6_language_id": op6_language_id, "op10_quality_rules": op10_quality_rules,
+    "op11_quality_gam": op11_quality_gam,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_whitening": op13_whitening,
+}
+SQL = {"op12_spelling_variants": OP12_SQL, "op3_cover_tree_links": OP3_SQL, "op4_url_filter": OP4_SQL, "op9_minhash_near_dedup": OP9_SQL, "op10_quality_rules": OP10_SQL}
