@@ -93,25 +93,28 @@ class Model:
         named = not words.isdisjoint(NAMES[family])
         return shared(own, [t for t in self.templates[family] if named or len(t) >= SHORT])
 
-    def paragraphs(self, text: str) -> list[tuple[str, list[int]]]:
+    def paragraphs(self, text: str) -> list[tuple[str, list[int], int]]:
         """Each line, and each run of lines that hold a hint or mostly known grams, from its first
-        line and from its first hint; with features, and only those that have some."""
-        out, run, hint = [], [], None
+        line and from its first hint; with features, and only those that have some; and the number of
+        the run, one of its own for a line outside of runs."""
+        out, run, hint, number = [], [], None, 0
         for line in [*text.split("\n"), ""]:
             f = self.features(line)
-            if f:
-                out.append((line, f))
             low = line.lower()
             hinted = any(a in low for a in HINTS)
             if line and (hinted or len(f) * 2 > len(low.split())):
                 if hinted and hint is None:
                     hint = len(run)
                 run.append(line)
-            else:
-                for joined in {" ".join(run[k:]) for k in (0, hint) if k is not None and len(run) - k > 1}:
-                    if f := self.features(joined):
-                        out.append((joined, f))
-                run, hint = [], None
+                if f:
+                    out.append((line, f, number))
+                continue
+            for joined in {" ".join(run[k:]) for k in (0, hint) if k is not None and len(run) - k > 1}:
+                if g := self.features(joined):
+                    out.append((joined, g, number))
+            if f:
+                out.append((line, f, number + 1))
+            run, hint, number = [], None, number + 2
         return out
 
     def scan(self, text: str | None) -> list[tuple[str, float, float]]:
@@ -120,16 +123,19 @@ class Model:
         if not parts:
             return []
         found: dict[str, tuple[float, float]] = {}
-        rest: list[float] = []
-        for (p, _), prob in zip(parts, self.probabilities([f for _, f in parts]), strict=True):
+        rest: dict[int, float] = {}
+        known: set[int] = set()
+        for (p, _, run), prob in zip(parts, self.probabilities([f for _, f, _ in parts]), strict=True):
             k = int(prob[:-2].argmax())
             share = self.confirmed(self.families[k], p) if prob[k] >= self.threshold else 0.0
             if share >= CONFIRMED:
+                known.add(run)
                 found[self.families[k]] = max(found.get(self.families[k], (0.0, 0.0)), (float(prob[k]), share))
             elif 1 - prob[-1] >= self.notice:
-                rest.append(float(1 - prob[-1]))
-        if rest and not found:  # beside a confirmed family, a further line belongs to its notice
-            found["unknown"] = (max(rest), 0.0)
+                rest[run] = max(rest.get(run, 0.0), float(1 - prob[-1]))
+        alone = [p for run, p in rest.items() if run not in known]  # a line in a known notice's run belongs to it
+        if alone:
+            found["unknown"] = (max(alone), 0.0)
         return [(k, *v) for k, v in sorted(found.items())]
 
 

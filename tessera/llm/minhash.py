@@ -106,11 +106,11 @@ def permutations(percent: int) -> int:
     return PER_BAND * math.ceil(math.log(MISSED) / math.log1p(-(j ** (2 * PER_BAND))))
 
 
-def least_share(percent: int) -> float:
-    """The share of equal values of the long signatures from which a pair is checked: ``DEVIATIONS``
-    standard deviations below the threshold."""
+def least_share(percent: int, deviations: float = DEVIATIONS) -> float:
+    """The share of equal values of the long signatures from which a pair is checked: ``deviations``
+    standard deviations below the threshold; with infinitely many, every pair is checked."""
     j = percent / 100
-    return j - DEVIATIONS * math.sqrt(j * (1 - j) / (2 * LONG))
+    return j - deviations * math.sqrt(j * (1 - j) / (2 * LONG)) if math.isfinite(deviations) else -1.0
 
 
 def _perms(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -256,13 +256,14 @@ def _every_part(buckets: DataFrame) -> DataFrame:
     return buckets.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("c") / PART) - 1))).drop("c")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, block: int = BLOCK, deviations: float = DEVIATIONS) -> DataFrame:
     """id, n_shingles, component_id, kept: one row for each row of ``docs``. The numbers of
     permutations and the bound of step 4 follow from ``percent``; ``block`` bounds the rows of one
-    side of a comparison in step 4."""
+    side of a comparison in step 4. ``deviations`` infinite: no pair that shares a bucket is left out
+    of the check on full sets by its signature."""
     if not 50 <= percent <= 100:
         raise ValueError("percent lies between 50 and 100")
-    perms, floor = permutations(percent), least_share(percent)
+    perms, floor = permutations(percent), least_share(percent, deviations)
     scratch = Scratch(docs.sparkSession)
     docs = with_ids(docs, key, t=F.col(f"`{text}`"))
     signed = scratch.save(docs.mapInPandas(lambda it: _tidied(_signed(it, k, perms)), "id long, n long, f1 long, f2 long, keys array<long>"))

@@ -92,12 +92,30 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+_AT = re.compile(r" ?(?:@|\(at\)|\[at\]) ?")
+_TAIL = re.compile(r"\S+? (?:\.|\(dot\)|\[dot\]) ?\S+|\S+?(?:\.|\(dot\)|\[dot\]) \S+")
+_INNER = re.compile(r"(?s)\S(?:\.|\(dot\)|\[dot\])\S")
+
+
+def _address(s: str) -> bool:
+    """Whether ``s`` is name, at, name, dot, name, of any length, with a blank at most beside the two
+    signs. Of signs without a blank the first serves as well as any."""
+    if sum(map(str.isspace, s)) > 4:
+        return False
+    signs = [m for m in _AT.finditer(s) if m.start()]
+    for m in [*signs[:1], *(m for m in signs[1:] if " " in m[0])]:
+        name, rest = s[: m.start()], s[m.end() :]
+        if not any(map(str.isspace, name)) and (_TAIL.fullmatch(rest) if any(map(str.isspace, rest)) else _INNER.search(rest)):
+            return bool(re.search(r"[A-Za-z]", s))
+    return False
+
+
 def plausible(kind: int, s: str) -> bool:
     """The check that an added span of the kind must pass."""
     parts = _DIGITS.findall(s)
     d = "".join(parts)
     if kind == 0:
-        return len(s) <= 80 and bool(re.fullmatch(r"\S+ ?(@|\(at\)|\[at\]) ?\S+ ?(\.|\(dot\)|\[dot\]) ?\S+", s)) and bool(re.search(r"[A-Za-z]", s))
+        return _address(s)
     if kind == 1:
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts) and bool(re.fullmatch(r"[0-9]+((\.| \. |\[\.\]|\(\.\))[0-9]+){3}", s))
     if kind == 2:

@@ -4,7 +4,7 @@ A word's input is the mean of trained embeddings of all its character 3-grams, a
 of the word's slot, and the word's log-odds between labelled toxic and other texts. Words end at
 white space; a longer run than ``LONGEST`` is split at marks too, and what is still longer, or is
 written in a script without blanks, is read as overlapping pieces. The network reads
-windows of ``WIDTH`` words, half of each overlapping the next, over the whole text; attention pools
+windows of ``WIDTH`` (48) words, of which the last 16 begin the next, over the whole text; attention pools
 a window's states into one logit; a document's score is that of its highest window. Training in
 numpy follows this: in every step each document's gradient goes through its highest window. The
 log-odds that a document is trained with come from the other folds.

@@ -4,7 +4,8 @@ A rule is a verdict for a host with all its subdomains and a path prefix. The ta
 files: 64-bit xxhash digests in order, places of the stored strings, and the strings themselves.
 Executors get the files from the shared folder and map them into memory. A URL's keys (each suffix
 of its host at a dot, with each prefix of its path of a length that the table has) are probed by
-vectorised binary search; a hit counts only if the stored full string is equal, so colliding
+vectorised binary search; suffixes longer than the longest stored host are not made, as they can't
+match, so that a host of any length costs no more than reading it; a hit counts only if the stored full string is equal, so colliding
 digests cannot decide. The longest fitting rule wins; without one the default verdict holds, and a
 URL without a host is blocked.
 
@@ -50,8 +51,8 @@ def build(rules) -> tuple[bytes, bytes, bytes]:
 class Table:
     """The mapped files."""
 
-    def __init__(self, digests: np.ndarray, places: np.ndarray, strings: np.ndarray, lengths: list[int]):
-        self.digests, self.places, self.strings, self.lengths = digests, places, strings, lengths
+    def __init__(self, digests: np.ndarray, places: np.ndarray, strings: np.ndarray, lengths: list[int], longest: int):
+        self.digests, self.places, self.strings, self.lengths, self.longest = digests, places, strings, lengths, longest
 
     def stored(self, i: int) -> str:
         return bytes(self.strings[self.places[i] : self.places[i + 1]]).decode()
@@ -61,8 +62,8 @@ class Table:
         keys, owner = [], []
         for i, (host, path) in enumerate(split):
             cuts = [n for n in self.lengths if n <= len(path)]
-            at = 0
-            while host and cuts:
+            at = 0 if len(host) <= self.longest else host.find(".", len(host) - self.longest - 1) + 1
+            while cuts and host and len(host) - at <= self.longest:
                 keys += [f"{host[at:]}\0{path[:n]}" for n in cuts]
                 owner += [i] * len(cuts)
                 at = host.find(".", at) + 1
@@ -93,7 +94,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", url: str = "url
         name = f"urls_{xxhash.xxh64_hexdigest(data)}.{kind}"
         spark.sparkContext.addFile(share_file(spark, name, data))
         names.append(name)
-    lengths, kinds = sorted({len(p) for _, _, p in rules}), json.dumps(names)
+    lengths, longest, kinds = sorted({len(p) for _, _, p in rules}), max((len(h) for _, h, _ in rules), default=0), json.dumps(names)
 
     def mapped(name: str, kind) -> np.ndarray:
         path = SparkFiles.get(name)
@@ -105,7 +106,7 @@ def judge(pages: DataFrame, rules=RULES, default: str = "allow", url: str = "url
     @F.pandas_udf("host string, path string, rule string, verdict string")
     def run(col: pd.Series) -> pd.DataFrame:
         d, p, s = json.loads(kinds)
-        table = Table(mapped(d, np.uint64), mapped(p, np.int64), mapped(s, np.uint8), lengths)
+        table = Table(mapped(d, np.uint64), mapped(p, np.int64), mapped(s, np.uint8), lengths, longest)
         return table.judge([u if isinstance(u, str) else None for u in col], default)
 
     return pages.withColumn(out, run(F.col(f"`{url}`")))

@@ -208,3 +208,59 @@ def test_quality_cases(spark):
     got = quality_gam.score(many, model).collect()  # texts of equal features count once: too few to learn from
     assert len(got) == 200
     assert quality_gam.score(d.limit(0), model).count() == 0
+
+
+# mends
+
+
+def test_hosts_of_any_length():
+    """Suffixes that no stored host can equal are not made."""
+    import time
+
+    from tessera.llm import urlfilter
+
+    d, e, s = urlfilter.build(urlfilter.RULES)
+    table = urlfilter.Table(np.frombuffer(d, np.uint64), np.frombuffer(e, np.int64), np.frombuffer(s, np.uint8), [1, 4, 5], max(len(h) for _, h, _ in urlfilter.RULES))
+    long = "a." * 500_000
+    urls = [f"http://{long}example.org/es/x", f"http://{long}org/q", "http://example.org/es/x", "http://x.com/fr/", "http://" + "z" * 1_000_000 + "/fr/", "http://.com/de/1", "http://example.org./es/"]
+    began = time.perf_counter()
+    got = table.judge(urls, "allow")
+    assert time.perf_counter() - began < 1
+    assert got["rule"].tolist() == ["example.org/es/", "org/", "example.org/es/", "com/fr/", None, "com/de/", None]
+    assert got["verdict"].tolist() == ["block", "allow", "block", "allow", "allow", "block", "allow"]
+
+
+def test_unlisted_notice_beside_a_known_one():
+    from tessera.llm import licenses
+
+    from .test_llm import ALPHABETS, sentence
+
+    rng = random.Random(47)
+    model = licenses.fit([sentence(k, rng, 25) for k in ALPHABETS for _ in range(40)])
+    body = sentence("en", rng, 40)
+    for other in ("Copyright (c) 2020 Acme Corp", "Licensed under the Foo Commercial License, version 9"):
+        assert [f for f, _, _ in model.scan(f"{other}\n{body}")] == ["unknown"]
+        assert [f for f, _, _ in model.scan(f"{other}\n{body}\nReleased under the MIT License.\n{body}")] == ["MIT", "unknown"]
+    assert [f for f, _, _ in model.scan(f"{body}\nCopyright (c) 2020 Acme Corp\nReleased under the MIT License.\n{body}")] == ["MIT"]
+
+
+def test_added_addresses_of_any_length():
+    from tessera.llm import pii
+
+    for s in ("a(at)b(dot)c", "a @ b.c", "a@b . c", "x" * 300 + "(at)mail(dot)org", "x" * 300_000 + "@" + "y" * 300_000 + ".z", "a@b@c.d"):
+        assert pii.plausible(0, s), s[:40]
+    for s in ("@b.c", "a@b", "a b@c.d", "a@.c", "a@b.", "1@2.3", "a@b c.d", "@" * 100_000 + "a", "a" + "@" * 100_000):
+        assert not pii.plausible(0, s), s[:40]
+
+
+def test_every_candidate_checked_without_a_bound(spark):
+    """Near duplicates with the signature bound off, against exact groups."""
+    from tessera.llm import minhash
+
+    from .test_llm import brute_groups
+
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    _, root = brute_groups(texts, 2, 80)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.id: r.component_id for r in minhash.near_duplicates(d, k=2, deviations=float("inf")).collect()}
+    assert [got[i] for i in range(len(texts))] == root
