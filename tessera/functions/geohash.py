@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import saved
+
 from .let import let
 
 #: Fixed value: the base-32 alphabet of geohash
@@ -156,7 +158,7 @@ def cover_boxes(df: DataFrame, lon0: str, lat0: str, lon1: str, lat1: str, preci
 def cover_shapes(df: DataFrame, shape: str, precision: int) -> DataFrame:
     """A row for each cell that meets the area of each row's geometry: cells of its box, less those
     that do not intersect it."""
-    from tessera.operators import geometry
+    from tessera.operators import geometry, noding
 
     b = geometry.bounds(F.col(shape))
     names = ("__x0", "__y0", "__x1", "__y1")
@@ -167,7 +169,10 @@ def cover_shapes(df: DataFrame, shape: str, precision: int) -> DataFrame:
     y = (F.least(F.floor((F.col("__y0") + 90.0) / dy), F.lit(180 / dy - 1)) + F.col("j")) * dy - 90.0
     cell = geometry.box(x, y, x + dx, y + dy)
     d = cover_boxes(d, *names, precision).select(*df.columns, "code", F.explode(F.array(cell)).alias("__cell"))
-    return d.where(geometry.intersects(F.col(shape), F.col("__cell"))).drop("__cell")
+    d = saved(d.withColumn("__pair", F.monotonically_increasing_id()))
+    met = noding.relations(d, ["__pair"], shape, "__cell")
+    met = met.where(noding.predicate("intersects", F.col("relation"), F.col("dim_a"), F.col("dim_b"))).select("__pair")
+    return d.join(met, "__pair", "left_semi").drop("__cell", "__pair")
 
 
 def zoom_out(df: DataFrame, code: str, precision: int) -> DataFrame:

@@ -122,61 +122,70 @@ def solve_gauss_seidel(z, iterations=2000, epsilon=1e-4, relaxation=1.0, guess="
     return u, it, residual
 
 
+def smooth(u, rhs, gap, n, is_periodic=False):
+    colour = np.add.outer(np.arange(u.shape[0]), np.arange(u.shape[1])) % 2
+    for _ in range(n):
+        for c in (0, 1):
+            m = gap & (colour == c)
+            u[m] = (_around(u, is_periodic)[m] + rhs[m]) / 4
+    return u
+
+
+def defect(u, rhs, gap, is_periodic=False):
+    return np.where(gap, rhs + _around(u, is_periodic) - 4 * u, 0.0)
+
+
+def cycle(u, rhs, gap, pre, post, is_periodic=False):
+    """One V-cycle: smooth, solve the defect on half the points, smooth."""
+    if min(u.shape) <= 4 or not gap.any():
+        return smooth(u, rhs, gap, 50, is_periodic)
+    u = smooth(u, rhs, gap, pre, is_periodic)
+    r = defect(u, rhs, gap, is_periodic)
+    low = r[::2, ::2] * 4  # the coarse cells are twice as wide
+    e = cycle(np.zeros_like(low), low, gap[::2, ::2], pre, post, is_periodic)
+    up = np.repeat(np.repeat(e, 2, 0), 2, 1)[: u.shape[0], : u.shape[1]]
+    trial = np.where(gap, u + up, u)
+    if np.abs(defect(trial, rhs, gap, is_periodic)).sum() < 2 * np.abs(r).sum():
+        u = trial
+    return smooth(u, rhs, gap, post, is_periodic)
+
+
 def solve_multigrid(z, iterations=100, epsilon=1e-4, pre=2, post=2, guess="zonal", is_periodic=False):
     """V-cycles for the same equation: smooth, solve the residual on half the points, smooth."""
     gap = np.isnan(z)
     u = first_guess(z, guess)
     if not gap.any():
         return u, 0, 0.0
-
-    def smooth(u, rhs, gap, n):
-        colour = np.add.outer(np.arange(u.shape[0]), np.arange(u.shape[1])) % 2
-        for _ in range(n):
-            for c in (0, 1):
-                m = gap & (colour == c)
-                u[m] = (_around(u, is_periodic)[m] + rhs[m]) / 4
-        return u
-
-    def residual(u, rhs, gap):
-        return np.where(gap, rhs + _around(u, is_periodic) - 4 * u, 0.0)
-
-    def cycle(u, rhs, gap):
-        if min(u.shape) <= 4 or not gap.any():
-            return smooth(u, rhs, gap, 50)
-        u = smooth(u, rhs, gap, pre)
-        r = residual(u, rhs, gap)
-        low = r[::2, ::2] * 4  # the coarse cells are twice as wide
-        e = cycle(np.zeros_like(low), low, gap[::2, ::2])
-        up = np.repeat(np.repeat(e, 2, 0), 2, 1)[: u.shape[0], : u.shape[1]]
-        trial = np.where(gap, u + up, u)
-        if np.abs(residual(trial, rhs, gap)).sum() < 2 * np.abs(r).sum():
-            u = trial
-        return smooth(u, rhs, gap, post)
-
     zero, res = np.zeros_like(u), 0.0
     for it in range(1, iterations + 1):
-        u = cycle(u, zero, gap)
-        res = float(np.abs(residual(u, zero, gap)).max() / 4)
+        u = cycle(u, zero, gap, pre, post, is_periodic)
+        res = float(np.abs(defect(u, zero, gap, is_periodic)).max() / 4)
         if res < epsilon:
             break
     return u, it, res
 
 
+def low_pass(u, axis: int, sigma: float, wrap: bool):
+    """Along one axis, frequencies times exp(-k * k / 2 / sigma / sigma): k counts waves of a circle, or
+    half waves of a mirrored line."""
+    n = u.shape[axis]
+    w = u if wrap else np.concatenate([u, np.flip(u, axis)], axis)
+    f = np.fft.rfft(w, axis=axis)
+    k = np.exp(-(np.arange(f.shape[axis]) ** 2) / (2 * sigma * sigma))
+    s = np.fft.irfft(f * (k[:, None] if axis == 0 else k), w.shape[axis], axis=axis)
+    return s[:n] if axis == 0 else s[:, :n]
+
+
 def solve_fft(z, iterations=500, epsilon=1e-4, sigma=10.0, guess="zonal", is_periodic=False):
-    """Repeated Gaussian low pass (by FFT in a periodic x, else by mirrored ends), known cells put back."""
+    """Repeated Gaussian low pass in frequency space, ``sigma`` in numbers of waves (of a circle in a
+    periodic x, else of mirrored ends), known cells put back."""
     gap = np.isnan(z)
     u = first_guess(z, guess)
     if not gap.any():
         return u, 0, 0.0
-    nx, ny = z.shape
-    kx = np.fft.fftfreq(nx if is_periodic else 2 * nx)
-    ky = np.fft.rfftfreq(2 * ny)
-    low = np.exp(-2 * (np.pi * sigma) ** 2 * (kx[:, None] ** 2 + ky[None, :] ** 2))
     residual = 0.0
     for it in range(1, iterations + 1):
-        w = np.concatenate([u, u[:, ::-1]], 1)
-        w = w if is_periodic else np.concatenate([w, w[::-1]], 0)
-        s = np.fft.irfft2(np.fft.rfft2(w) * low, s=w.shape)[:nx, :ny]
+        s = low_pass(low_pass(u, 0, sigma, is_periodic), 1, sigma, is_periodic)
         residual = float(np.abs(s[gap] - u[gap]).max())
         u[gap] = s[gap]
         if residual < epsilon:

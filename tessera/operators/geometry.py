@@ -22,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import geodesic
 from tessera.functions.geodesy import WGS84, Spheroid, haversine
 from tessera.functions.let import let
+from tessera.session import saved
 
 from . import planar
 
@@ -142,9 +144,13 @@ def area(g: Column) -> Column:
     return _signed(g, ring_area)
 
 
-def geodetic_area(g: Column, spheroid: Spheroid = WGS84) -> Column:
+def geodetic_area(g: Column, spheroid: Spheroid = WGS84, strategy: str = "authalic") -> Column:
     """Square metres: the polygon on the sphere of equal area, at authalic latitudes; exact for
-    edges along meridians and parallels, close for short ones."""
+    edges along meridians and parallels, close for short ones. By ``karney`` edges are geodesics."""
+    if strategy == "karney":
+        signs = F.flatten(F.transform(g["parts"], lambda p: F.transform(p, lambda r, i: F.when(i == 0, 1.0).otherwise(-1.0))))
+        sides = F.zip_with(geodesic_measures(g, spheroid)["areas"], signs, lambda a, s: F.abs(a) * s)
+        return F.when(is_areal(g), F.aggregate(sides, F.lit(0.0), lambda a, x: a + x)).otherwise(F.when(g.isNotNull(), 0.0))
     e, r = math.sqrt(spheroid.e2), spheroid.authalic_radius
     full = 1 + (1 - e * e) / (2 * e) * math.log((1 + e) / (1 - e))
 
@@ -174,13 +180,22 @@ def _along(g: Column, dist) -> Column:
     return F.aggregate(F.transform(lists(g), lambda r: _fold(r, dist)), F.lit(0.0), lambda a, x: a + x)
 
 
+def geodesic_measures(g: Column, spheroid: Spheroid = WGS84) -> Column:
+    """struct(length, areas) of all lists, edges being geodesics."""
+    return geodesic.measures(points(g), F.transform(lists(g), F.size), spheroid)
+
+
 def length(g: Column, strategy: str | None = None, spheroid: Spheroid = WGS84) -> Column:
-    """Of lines; planar, or in metres by a strategy."""
+    """Of lines; planar, or in metres by a strategy (haversine, andoyer, karney)."""
+    if strategy == "karney":
+        return F.when(g["kind"].isin("segment", "linestring", "multilinestring"), geodesic_measures(g, spheroid)["length"]).otherwise(F.when(g.isNotNull(), 0.0))
     d = _planar if strategy is None else _metres(strategy, spheroid)
     return F.when(g["kind"].isin("segment", "linestring", "multilinestring"), _along(g, d)).otherwise(F.lit(0.0))
 
 
 def perimeter(g: Column, strategy: str | None = None, spheroid: Spheroid = WGS84) -> Column:
+    if strategy == "karney":
+        return F.when(is_areal(g), geodesic_measures(g, spheroid)["length"]).otherwise(F.when(g.isNotNull(), 0.0))
     d = _planar if strategy is None else _metres(strategy, spheroid)
     return F.when(is_areal(g), _along(g, d)).otherwise(F.lit(0.0))
 
@@ -425,15 +440,58 @@ def spatial_join(a: DataFrame, b: DataFrame, left: str, right: str, name: str =
         return df.withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
 
     first = lambda c: F.floor(F.greatest(F.col(f"pb.{c}min"), F.col(f"qb.{c}min")) / tile)
+    from . import noding  # which works on these columns
+
     met = dealt(p, "p").join(dealt(q, "q"), ["tx", "ty"]).where((F.col("tx") == first("x")) & (F.col("ty") == first("y")))
-    return met.where(predicate(name, F.col(f"p.{left}"), F.col(f"q.{right}"))).select("p.*", "q.*")
+    meets = lambda c: (F.col(f"pb.{c}min") <= F.col(f"qb.{c}max")) & (F.col(f"qb.{c}min") <= F.col(f"pb.{c}max"))
+    met = saved(met.where(meets("x") & meets("y")).select("p", "q", F.monotonically_increasing_id().alias("pair")))
+    found = noding.relations(met.select("pair", F.col(f"p.{left}").alias("a"), F.col(f"q.{right}").alias("b")), ["pair"], "a", "b")
+    fits = found.where(noding.predicate(name, F.col("relation"), F.col("dim_a"), F.col("dim_b"))).select("pair")
+    return met.join(fits, "pair", "left_semi").select("p.*", "q.*")
+
+
+def _sides(g: Column) -> Column:
+    """Edges (p, q) of a shape; points as edges without length."""
+    steps = lambda r: F.filter(F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), lambda i: i < F.size(r))
+    along = F.flatten(F.transform(lists(g), lambda r: F.transform(steps(r), lambda i: F.struct(F.get(r, i - 1).alias("p"), F.get(r, i).alias("q")))))
+    return F.when(g["kind"].isin("point", "multipoint"), F.transform(points(g), lambda p: F.struct(p.alias("p"), p.alias("q")))).otherwise(along)
+
+
+_NEAR_T = "struct<d:double,p:struct<x:double,y:double>,q:struct<x:double,y:double>>"
+
+
+def _nearest(a: Column, b: Column) -> Column:
+    """The least distance of two shapes with the points it is between, by all edges of one and the
+    other inside a row; a place inside of an area is at no distance. NULL without points."""
+    def near(p: Column, e: Column, turned: bool) -> Column:
+        x, y = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+        size = x * x + y * y
+        t = F.when(size == 0, 0.0).otherwise(F.least(F.greatest(((p["x"] - e["p"]["x"]) * x + (p["y"] - e["p"]["y"]) * y) / size, F.lit(0.0)), F.lit(1.0)))
+        q = pt(e["p"]["x"] + t * x, e["p"]["y"] + t * y)
+        d = F.hypot(p["x"] - q["x"], p["y"] - q["y"])
+        return F.struct(d.alias("d"), (q if turned else p).alias("p"), (p if turned else q).alias("q"))
+
+    def between(e: Column, f: Column) -> Column:
+        rx, ry = e["q"]["x"] - e["p"]["x"], e["q"]["y"] - e["p"]["y"]
+        sx, sy = f["q"]["x"] - f["p"]["x"], f["q"]["y"] - f["p"]["y"]
+        qx, qy = f["p"]["x"] - e["p"]["x"], f["p"]["y"] - e["p"]["y"]
+        det = rx * sy - ry * sx
+        t, u = F.try_divide(qx * sy - qy * sx, det), F.try_divide(qx * ry - qy * rx, det)
+        at = pt(e["p"]["x"] + t * rx, e["p"]["y"] + t * ry)
+        ends = F.least(near(e["p"], f, False), near(e["q"], f, False), near(f["p"], e, True), near(f["q"], e, True))
+        return F.when(t.between(0, 1) & u.between(0, 1), F.struct(F.lit(0.0).alias("d"), at.alias("p"), at.alias("q")).cast(_NEAR_T)).otherwise(ends.cast(_NEAR_T))
+
+    best = F.aggregate(_sides(a), F.lit(None).cast(_NEAR_T), lambda s, e: F.aggregate(_sides(b), s, lambda z, f: F.least(z, between(e, f))))
+    inside = lambda g, h: F.when(is_areal(h), F.get(F.filter(F.slice(points(g), 1, 1), lambda p: point_in(p, h, True)), F.lit(0)))
+    held = F.coalesce(inside(a, b), inside(b, a))
+    return F.when(is_empty(a) | is_empty(b), None).when(held.isNotNull(), F.struct(F.lit(0.0).alias("d"), held.alias("p"), held.alias("q")).cast(_NEAR_T)).otherwise(best)
 
 
 def distance(a: Column, b: Column, strategy: str | None = None, spheroid: Spheroid = WGS84) -> Column:
-    """Planar, or in metres by a strategy (haversine, andoyer, thomas, vincenty) between the points
+    """Planar, or in metres by a strategy (haversine, andoyer, thomas, vincenty, karney) between the points
     that are nearest on the sphere, edges being great-circle arcs."""
     if strategy is None:
-        return _called(planar.distance, "double", a, b)
+        return _nearest(a, b)["d"]
     pair = _called(lambda g, h: None if (c := planar.closest_on_sphere(g, h)) is None else [*c[0], *c[1]], "array<double>", a, b)
     if strategy == "haversine":
         measure = lambda p: haversine(p[0], p[1], p[2], p[3], spheroid.mean_radius)
@@ -441,6 +499,8 @@ def distance(a: Column, b: Column, strategy: str | None = None, spheroid: Sphero
         measure = lambda p: getattr(spheroid, strategy)(p[0], p[1], p[2], p[3])
     elif strategy == "vincenty":
         return spheroid.vincenty(*[F.get(pair, F.lit(i)) for i in range(4)])["distance"]
+    elif strategy == "karney":
+        return geodesic.inverse(*[F.get(pair, F.lit(i)) for i in range(4)], spheroid)["distance"]
     else:
         raise ValueError(f"no strategy {strategy!r}")
     return F.when(a.isNotNull() & b.isNotNull(), let(pair, measure))
@@ -450,11 +510,24 @@ def closest_points(a: Column, b: Column, geodetic: bool = False) -> Column:
     """A segment between the nearest points, planar or on the sphere."""
     if geodetic:
         return _shaped(lambda g, h: None if (c := planar.closest_on_sphere(g, h)) is None else ("segment", [[list(c)]]), a, b)
-    return _shaped(planar.closest, a, b)
+    pair = _nearest(a, b)
+    return F.when(pair.isNotNull(), make("segment", F.array(F.array(F.array(pair["p"], pair["q"])))))
 
 
 def convex_hull(g: Column) -> Column:
-    return _shaped(planar.hull, g)
+    """A ring counter-clockwise from its leftmost point, by two passes over the points in order; each new
+    point drops those before it that it would leave inside (in a hull they stand at the end)."""
+    ps = F.array_sort(F.array_distinct(points(g)))
+    cross = lambda o, a, b: (a["x"] - o["x"]) * (b["y"] - o["y"]) - (a["y"] - o["y"]) * (b["x"] - o["x"])
+
+    def half(p: Column) -> Column:
+        add = lambda s, q: F.concat(F.filter(s, lambda v, i: (i == 0) | (cross(F.get(s, i - 1), v, q) > 0)), F.array(q))
+        return F.aggregate(p, F.array().cast(T.ArrayType(POINT_T)), add)
+
+    low, high = half(ps), half(F.reverse(ps))
+    ring = F.concat(F.slice(low, F.lit(1), F.greatest(F.size(low) - 1, F.lit(0))), high)
+    few = F.concat(ps, F.slice(ps, 1, 1))
+    return F.when(g.isNull(), None).when(is_empty(g), make("polygon", F.array())).otherwise(polygon(F.when(F.size(ps) < 3, few).otherwise(ring)))
 
 
 def simplify(g: Column, tolerance: float) -> Column:
@@ -514,4 +587,4 @@ def for_each_point(g: Column, container: Column, boundary: bool = False) -> Colu
 
 
 def for_each_point_distance(g: Column, container: Column) -> Column:
-    return _called(lambda x, h: [planar.distance(("point", [[[p]]]), h) for m in x[1] for r in m for p in r], "array<double>", g, container)
+    return F.transform(points(g), lambda p: _nearest(make("point", F.array(F.array(F.array(p)))), container)["d"])

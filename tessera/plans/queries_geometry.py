@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.operators import geometry as g
-from tessera.operators import satellite
+from tessera.operators import noding, satellite
 from tessera.operators.axis import Axis
 from tessera.streaming import binning
 
@@ -72,17 +72,19 @@ _PAIR = f"""{_N}, p AS (SELECT k, (k % 4) * 4.0 AS dx, (k % 3) * 2.0 AS dy FROM
 
 @register(f"""WITH {_PAIR} SELECT k, w >= 0 AS intersects, w = 0 AS touches, dx = 0 AND dy = 0 AS equals, w > 0 AND NOT (dx = 0 AND dy = 0) AS overlaps, dx = 0 AND dy = 0 AS within, w < 0 AS disjoint FROM o""")
 def geometry_predicates(spark, sf_dir):
-    a, b = F.col("box"), F.col("other")
     names = ("intersects", "touches", "equals", "overlaps", "within", "disjoint")
-    return _pairs(spark, sf_dir).select("k", *[(g.intersects(a, b) if n == "intersects" else g.predicate(n, a, b)).alias(n) for n in names])
+    r = noding.relations(_pairs(spark, sf_dir), ["k"], "box", "other")
+    return r.select("k", *[noding.predicate(n, F.col("relation"), F.col("dim_a"), F.col("dim_b")).alias(n) for n in names])
 
 
 @register(f"""WITH {_PAIR} SELECT k, round(greatest(w, 0) * h, 6) AS common, round(96 - greatest(w, 0) * h, 6) AS both_, round(48 - greatest(w, 0) * h, 6) AS rest, greatest(-w, 0)::DOUBLE AS gap FROM o""")
 def geometry_overlay(spark, sf_dir):
-    a, b = F.col("box"), F.col("other")
-    d = _pairs(spark, sf_dir).select("k", g.intersection(a, b).alias("i"), g.union(a, b).alias("u"), g.difference(a, b).alias("d"), g.distance(a, b).alias("gap"))
-    size = lambda c: F.round(g.area(F.col(c)), 6)
-    return d.select("k", size("i").alias("common"), size("u").alias("both_"), size("d").alias("rest"), "gap")
+    d = _pairs(spark, sf_dir)
+    both = noding.Pairs(d, ["k"], "box", "other")
+    out = d.select("k", g.distance(F.col("box"), F.col("other")).alias("gap"))
+    for name, how in (("common", "intersection"), ("both_", "union"), ("rest", "difference")):
+        out = out.join(both.overlay(how).select("k", F.round(g.area(F.col("geometry")), 6).alias(name)), "k")
+    return out
 
 
 @register(f"""WITH {_N}, t AS (SELECT k, x::BIGINT AS x, y::BIGINT AS y FROM n) SELECT k, 'POLYGON((' || array_to_string([concat(x, ' ', y), concat(x + 8, ' ', y), concat(x + 8, ' ', y + 6), concat(x, ' ', y + 6), concat(x, ' ', y)], ',') || '))' AS wkt, 48.0::DOUBLE AS area_wkt,
@@ -107,8 +109,11 @@ def line_length(spark, sf_dir):
 def geometry_kernels(spark, sf_dir):
     """Hull, simplification, buffer and validity of the polygons."""
     p = F.col("poly")
-    d = boxes(spark, sf_dir).select("k", g.convex_hull(p).alias("h"), g.simplify(p, 0.5).alias("s"), g.buffer(p, 1.0).alias("b"), g.is_valid(p).alias("valid"), g.is_simple(g.transform_to(F.col("box"), "linestring")).alias("simple"))
-    return d.select("k", F.round(g.area(F.col("h")), 6).alias("hull"), g.num_points(F.col("s")).alias("kept"), F.round(g.area(F.col("b")), 4).alias("buffer"), "valid", "simple")
+    d = boxes(spark, sf_dir)
+    simple = noding.simple(d.select("k", g.transform_to(F.col("box"), "linestring").alias("line")), ["k"], "line")
+    wide = noding.buffer(d, ["k"], "poly", 1.0).select("k", F.round(g.area(F.col("geometry")), 4).alias("buffer"))
+    d = d.select("k", F.round(g.area(g.convex_hull(p)), 6).alias("hull"), g.num_points(g.simplify(p, 0.5)).alias("kept"), g.is_valid(p).alias("valid"))
+    return d.join(wide, "k").join(simple, "k").select("k", "hull", "kept", "buffer", "valid", "simple")
 
 
 _AUTHALIC = "(s / (1 - e * e * s * s) + ln((1 + e * s) / (1 - e * s)) / (2 * e))"

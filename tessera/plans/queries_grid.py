@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import fill, grid, knn, scattered, windowed
+from tessera.operators import fill, grid, knn, scattered, tiles, windowed
 from tessera.operators.axis import Axis, TemporalAxis
 from tessera.session import saved
 
@@ -386,7 +386,7 @@ def _low_pass(n: int, sigma: float) -> str:
     """The Gaussian low pass of n mirrored points as a matrix: means of cosines."""
     k = np.arange(n)
     c = np.cos(np.pi * np.outer(k + 0.5, k) / n) * np.where(k == 0, np.sqrt(1 / n), np.sqrt(2 / n))
-    m = (c * np.exp(-2 * (np.pi * sigma * k / (2 * n)) ** 2)) @ c.T
+    m = (c * np.exp(-(k**2) / (2 * sigma * sigma))) @ c.T
     return "[" + ", ".join("[" + ", ".join(repr(float(x)) for x in row) + "]" for row in m) + "]"
 
 
@@ -410,3 +410,39 @@ def _solved(name, digits, **options):
 
 for _name, _options, _sql in (("gauss_seidel", {"digits": 6, "epsilon": 1e-12, "iterations": 20_000}, _LAPLACE), ("multigrid", {"digits": 6, "epsilon": 1e-12, "iterations": 2_000}, _LAPLACE), ("fft_inpaint", {"digits": 5, "sigma": 3.0}, _INPAINT)):
     register(_sql)(_solved(_name, **_options))
+
+
+# fields in tiles
+
+_FIELD = """f AS (SELECT l_partkey % 64 AS ix, (l_suppkey * 7 + l_linenumber * 5) % 64 AS iy, max(l_extendedprice) AS a FROM lineitem GROUP BY 1, 2), m AS (SELECT ix, iy, CASE WHEN (ix * 7 + iy * 3) % 5 <> 0 THEN a END AS v FROM f),
+r AS (SELECT i, j, v FROM range(64) a(i), range(64) b(j) LEFT JOIN m ON m.ix = i AND m.iy = j),
+z AS (SELECT array_agg(g ORDER BY i) AS g, array_agg(u ORDER BY i) AS u FROM (SELECT i, array_agg(v IS NULL ORDER BY j) AS g, array_agg(coalesce(v, zonal, 0) ORDER BY j) AS u FROM (SELECT *, avg(v) OVER (PARTITION BY j) AS zonal FROM r) GROUP BY i))"""
+_TILED_LAPLACE = f"""WITH RECURSIVE {_FIELD}, s AS (SELECT 0 AS n, g, u FROM z UNION ALL
+SELECT n + 1, g, list_transform(u, lambda row, i: list_transform(row, lambda x, j: CASE WHEN g[i][j] THEN (u[CASE WHEN i = 1 THEN 2 ELSE i - 1 END][j] + u[CASE WHEN i = 64 THEN 63 ELSE i + 1 END][j] + u[i][CASE WHEN j = 1 THEN 2 ELSE j - 1 END] + u[i][CASE WHEN j = 64 THEN 63 ELSE j + 1 END]) / 4 ELSE x END)) FROM s WHERE n < 400)
+{_table_sql("SELECT u FROM s WHERE n = 400", 4)}"""
+_TILED_PASS = f"""WITH RECURSIVE {_FIELD}, c AS (SELECT p, q, (1 + 2 * list_sum(list_transform(range(1, 64), lambda k: exp(-k * k / (2 * 9.0 * 9.0)) * cos(pi() * k * (p + 0.5) / 64) * cos(pi() * k * (q + 0.5) / 64)))) / 64 AS w FROM range(64) a(p), range(64) b(q)),
+low AS MATERIALIZED (SELECT array_agg(row ORDER BY p) AS k FROM (SELECT p, array_agg(w ORDER BY q) AS row FROM c GROUP BY p)),
+s AS (SELECT 0 AS n, 1e9::DOUBLE AS rest, g, u FROM z UNION ALL
+SELECT n + 1, list_max(list_transform(range(1, 65), lambda i: list_max(list_transform(range(1, 65), lambda j: CASE WHEN g[i][j] THEN abs(w[i][j] - u[i][j]) ELSE 0 END)))), g,
+list_transform(u, lambda row, i: list_transform(row, lambda x, j: CASE WHEN g[i][j] THEN w[i][j] ELSE x END))
+FROM (SELECT n, g, u, list_transform(k, lambda a: list_transform(range(1, 65), lambda j: list_dot_product(a, t[j]))) AS w
+FROM (SELECT n, g, u, k, list_transform(k, lambda c: list_transform(u, lambda row: list_dot_product(c, row))) AS t FROM s, low WHERE rest >= 20 AND n < 500)))
+{_table_sql("SELECT u FROM s ORDER BY n DESC LIMIT 1", 4)}"""
+
+
+def _wide_field(spark, sf_dir):
+    """Highest prices on 64 x 64 cells, 64 tiles of 8 x 8, a fifth of them gaps."""
+    d = table(spark, sf_dir, "lineitem").selectExpr("l_partkey % 64 as ix", "(l_suppkey * 7 + l_linenumber * 5) % 64 as iy", "l_extendedprice as p").groupBy("ix", "iy").agg(F.max("p").alias("a"))
+    return d.select("ix", "iy", F.when((F.col("ix") * 7 + F.col("iy") * 3) % 5 != 0, F.col("a")).alias("v"))
+
+
+def _in_tiles(name, **options):
+    def q(spark, sf_dir):
+        return tiles.solve(_wide_field(spark, sf_dir), "v", name, **options).select("ix", "iy", F.round("filled", 4).alias("filled"))
+
+    q.__name__ = f"fill_tiles_{name}"
+    return q
+
+
+for _name, _options, _sql in (("gauss_seidel", {"tile": 8, "epsilon": 1e-10, "sweeps": 4}, _TILED_LAPLACE), ("multigrid", {"tile": 8, "epsilon": 1e-10, "coarse": 1024}, _TILED_LAPLACE), ("fft_inpaint", {"tile": 8, "sigma": 9.0, "epsilon": 20.0}, _TILED_PASS)):
+    register(_sql)(_in_tiles(_name, **_options))

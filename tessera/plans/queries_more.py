@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import dates, geohash, mathx
 from tessera.functions.geodesy import WGS84, Spheroid
 from tessera.operators import geometry as g
-from tessera.operators import grid, knn, period, satellite, stats, windowed
+from tessera.operators import grid, knn, noding, period, satellite, stats, windowed
 from tessera.operators.axis import Axis
 from tessera.sources import columns
 
@@ -358,8 +358,9 @@ def geometry_relations(spark, sf_dir):
     pair = g.points(near)
     gap = F.hypot(F.get(pair, F.lit(0))["x"] - F.get(pair, F.lit(1))["x"], F.get(pair, F.lit(0))["y"] - F.get(pair, F.lit(1))["y"])
     inside = g.for_each_point(g.line(F.array(g.pt(F.col("x") + 1, F.col("y") + 1), g.pt(F.col("x") + 2, F.col("y") + 5), g.pt(F.col("x") - 1, F.col("y")))), box)
-    out = d.select("k", g.predicate("crosses", line, box).alias("crosses"), g.relation(line, box).alias("relation"), F.round(g.azimuth(a, b), 9).alias("azimuth"), F.round(gap, 6).alias("gap"), F.size(F.filter(inside, lambda x: x)).alias("inside"))
-    return out
+    r = noding.relations(d.select("k", line.alias("line"), "box"), ["k"], "line", "box")
+    r = r.select("k", noding.predicate("crosses", F.col("relation"), F.col("dim_a"), F.col("dim_b")).alias("crosses"), "relation")
+    return r.join(d.select("k", F.round(g.azimuth(a, b), 9).alias("azimuth"), F.round(gap, 6).alias("gap"), F.size(F.filter(inside, lambda x: x)).alias("inside")), "k")
 
 
 @register(f"WITH {_T}, d AS (SELECT *, coalesce(2 * 6371008.771415059 * asin(sqrt(sin(radians(lat - pl) / 2) ** 2 + cos(radians(pl)) * cos(radians(lat)) * sin(radians(lon - pn) / 2) ** 2)), 0) AS s FROM (SELECT *, lag(lat) OVER w AS pl, lag(lon) OVER w AS pn FROM t WHERE idx < 60 WINDOW w AS (PARTITION BY track ORDER BY idx))) SELECT track, idx, round(sum(s) OVER (PARTITION BY track ORDER BY idx), 2) AS metres FROM d")
@@ -422,8 +423,11 @@ def geometry_strategies(spark, sf_dir):
     p, x, y = F.col("poly"), F.col("x"), F.col("y")
     line = g.line(F.array(g.pt(x, y), g.pt(x + 8, y)))
     meridian = g.line(F.array(g.pt(x, y - 20), g.pt(x, y + 30)))
-    d = boxes(spark, sf_dir).select("k", g.buffer(p, 1.0, join="miter").alias("m"), g.buffer(line, 1.0, end="flat", right=0.5).alias("u"), g.buffer(g.point(x, y), 1.0, point="square").alias("s"), g.buffer(line, 1.0, end="flat").alias("f"), g.distance(g.point(x + 2, y + 3), meridian, "haversine").alias("metres"))
-    return d.select("k", *[F.round(g.area(F.col(c)), 6).alias(n) for c, n in (("m", "miter"), ("u", "uneven"), ("s", "square"), ("f", "flat"))], F.round("metres", 1).alias("metres"))
+    d = boxes(spark, sf_dir).select("k", p.alias("p"), line.alias("line"), g.point(x, y).alias("at"), g.distance(g.point(x + 2, y + 3), meridian, "haversine").alias("metres"))
+    out = d.select("k", F.round("metres", 1).alias("metres"))
+    for name, shape, options in (("miter", "p", {"join": "miter"}), ("uneven", "line", {"end": "flat", "right": 0.5}), ("square", "at", {"point": "square"}), ("flat", "line", {"end": "flat"})):
+        out = out.join(noding.buffer(d, ["k"], shape, 1.0, **options).select("k", F.round(g.area(F.col("geometry")), 6).alias(name)), "k")
+    return out
 
 
 @register("SELECT event_id, date_trunc('second', ts) AS at, 'timestamp[s]' AS dtype FROM events")
