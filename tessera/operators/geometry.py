@@ -224,7 +224,7 @@ def curvilinear_distance(points_: Column, strategy: str = "haversine", spheroid:
     """Metres along a list of points up to each, the first 0."""
     d = _metres(strategy, spheroid)
     steps = F.transform(points_, lambda p, i: F.when(i == 0, F.lit(0.0)).otherwise(d(F.get(points_, i - 1), p)))
-    return F.transform(steps, lambda s, i: F.aggregate(F.slice(steps, F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x))
+    return F.aggregate(steps, F.array().cast("array<double>"), lambda a, s: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + s)))
 
 
 def pairwise_distance(a: Column, b: Column, strategy: str | None = None, spheroid: Spheroid = WGS84) -> Column:

@@ -8,7 +8,8 @@ is the sum of the directions of the pieces above it, found by an equality of upr
 piece knows what lies on both its sides, and
 
 - an overlay keeps the pieces whose sides differ in the wanted set and stitches them to rings, which
-  are found by pointer doubling: in as many rounds as the binary digits of the number of pieces;
+  are found by pointer doubling: in as many rounds as the binary digits of the number of pieces. Keys of
+  at most ``block`` pieces double inside a task, many keys at once; larger ones by joins;
 - a relation (DE-9IM) is the greatest dimension by part of both shapes, over pieces and nodes.
 
 Coordinates are rounded to a grid of ``grid`` units, where they are whole numbers, so that nodes meet by
@@ -24,6 +25,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +36,8 @@ from . import geometry as geo
 
 #: About 1e-9: degrees to a tenth of a millimetre
 GRID = 2.0**-30
+#: Most pieces of a key that one task stitches
+BLOCK = 50_000
 LINEAR = ("segment", "linestring", "multilinestring")
 PIECE = ["lx", "ly", "hx", "hy"]
 
@@ -94,7 +99,8 @@ def _cuts(edges: DataFrame) -> DataFrame:
 
 
 class Noded:
-    """The noded edges of shapes (k, side, part, g): ``edges`` and ``pieces``, written tables."""
+    """The noded edges of shapes (k, side, part, g), as written tables: ``edges``, ``nodes``, the course of each edge
+    from node to node, and ``bare``, the distinct pieces."""
 
     def __init__(self, shapes: DataFrame, grid: float = GRID):
         self.grid = grid
@@ -140,9 +146,107 @@ HOW = {
 }
 
 
-def _stitched(bounds: DataFrame) -> DataFrame:
-    """bounds: k, ax, ay, bx, by, the wanted area on their left. With ring (the least piece of it) and
-    place (order along the ring)."""
+_RINGS = "struct<ax:bigint,ay:bigint,bx:bigint,by:bigint>"
+
+
+def _stitched(bounds: DataFrame, block: int) -> DataFrame:
+    """bounds: k, ax, ay, bx, by, the wanted area on their left. (k, e, ring, place): each piece with the
+    least piece of its ring, and its order along it."""
+    size = bounds.groupBy("k").count()
+    sized = saved(bounds.join(size, "k"))
+    kind = bounds.schema["k"].dataType.simpleString()
+
+    def run(frames):
+        for pdf in _whole_keys(frames):
+            ring, place = rings_of(*(pdf[c].to_numpy(np.int64) for c in ("id", "ax", "ay", "bx", "by")))
+            piece = lambda at, pdf=pdf: [dict(zip(("ax", "ay", "bx", "by"), v, strict=True)) for v in pdf[["ax", "ay", "bx", "by"]].to_numpy(np.int64)[at].tolist()]
+            yield pd.DataFrame({"k": pdf["k"], "e": piece(slice(None)), "ring": piece(ring), "place": place})
+
+    near = sized.where(F.col("count") <= block).select("k", "ax", "ay", "bx", "by").repartition("k").sortWithinPartitions("k")
+    out = near.mapInPandas(run, f"k {kind}, e {_RINGS}, ring {_RINGS}, place bigint")
+    wide = sized.where(F.col("count") > block)
+    if not wide.isEmpty():
+        out = out.union(_stitched_wide(wide.drop("count")))
+    return saved(out)
+
+
+def _whole_keys(frames):
+    """Frames of whole keys, about 100,000 rows of them at once, numbered in ``id``; rows come by key."""
+    held, rows, last, n = [], 0, None, 0
+    for pdf in frames:
+        if not len(pdf):
+            continue
+        ids = np.empty(len(pdf), np.int64)
+        for i, k in enumerate(pdf["k"]):
+            if last is None or k != last:
+                n, last = n + 1, k
+            ids[i] = n
+        pdf = pdf.assign(id=ids)
+        if rows > 100_000 and ids[0] != held[-1]["id"].iloc[-1]:
+            yield pd.concat(held, ignore_index=True)
+            held, rows = [], 0
+        held.append(pdf)
+        rows += len(pdf)
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def rings_of(k, ax, ay, bx, by) -> tuple[np.ndarray, np.ndarray]:
+    """For each piece the row of the least piece of its ring, and its order along it."""
+    n = len(k)
+    order = np.lexsort((by, bx, ay, ax, k))  # by start
+    starts = np.stack([k, ax, ay], 1)[order]
+    new = np.r_[True, (starts[1:] != starts[:-1]).any(1)]
+    group = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    many = np.diff(np.r_[first, n])
+    # the group of each piece's end
+    nodes = starts[first]
+    both = np.concatenate([nodes, np.stack([k, bx, by], 1)])
+    _, inverse = np.unique(both, axis=0, return_inverse=True)
+    at = np.full(inverse.max() + 1, -1)
+    at[inverse[: len(nodes)]] = np.arange(len(nodes))
+    end = at[inverse[len(nodes) :]]
+    # the sharpest left turn among the pieces that start there
+    rows = np.repeat(np.arange(n), many[end])
+    place = np.arange(len(rows)) - np.repeat(np.cumsum(many[end]) - many[end], many[end])
+    ways = order[first[end[rows]] + place]
+    back = np.arctan2((ay - by)[rows].astype(float), (ax - bx)[rows].astype(float))
+    turn = np.mod(back - np.arctan2((by - ay)[ways].astype(float), (bx - ax)[ways].astype(float)), 2 * np.pi)
+    turn = np.where(turn > 1e-12, turn, 2 * np.pi)
+    best = np.lexsort((turn, rows))
+    follow = ways[best[np.r_[True, np.diff(rows[best]) > 0]]]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.arange(n)
+    ring, place = _doubled(follow, rank)
+    # a ring that comes back to a node falls into simple ones
+    passes = np.lexsort((place, group[rank], ring))
+    same = (ring[passes][1:] == ring[passes][:-1]) & (group[rank][passes][1:] == group[rank][passes][:-1])
+    if same.any():
+        start = np.flatnonzero(np.r_[True, ~same])
+        length = np.diff(np.r_[start, n])
+        before = np.arange(n) - 1
+        before[start] = start + length - 1
+        swap = np.empty(n, np.int64)
+        swap[passes] = passes[before]
+        ring, place = _doubled(swap[follow], rank)
+    return ring, place
+
+
+def _doubled(follow: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row of least rank on each row's cycle, and the order along the cycle from there."""
+    n = len(follow)
+    least, off, to = np.arange(n), np.zeros(n, np.int64), follow.copy()
+    for r in range(max(n - 1, 0).bit_length()):
+        better = rank[least[to]] < rank[least]
+        off = np.where(better, off[to] + (1 << r), off)
+        least = np.where(better, least[to], least)
+        to = to[to]
+    return least, np.where(off == 0, 0, (1 << 62) - off)
+
+
+def _stitched_wide(bounds: DataFrame) -> DataFrame:
+    """The same by joins, a round of doubling each."""
     e = bounds.select("k", F.struct("ax", "ay", "bx", "by").alias("e"))
     back = "atan2(double(e.ay - e.by), double(e.ax - e.bx))"
     out = "atan2(double(o.by - o.ay), double(o.bx - o.ax))"
@@ -193,9 +297,9 @@ def _homes(rings: DataFrame, sizes: DataFrame) -> DataFrame:
     return up
 
 
-def areas(bounds: DataFrame, grid: float) -> DataFrame:
+def areas(bounds: DataFrame, grid: float, block: int = BLOCK) -> DataFrame:
     """(k, parts): members of a multipolygon, each an outer ring with its holes, from their edges."""
-    rings = _stitched(bounds)
+    rings = _stitched(bounds, block)
     first = F.expr("aggregate(sequence(1, size(p)), 0.0D, (a, i) -> a + double(get(p, i - 1).x - p[0].x) * double(get(p, i % size(p)).y - p[0].y) - double(get(p, i % size(p)).x - p[0].x) * double(get(p, i - 1).y - p[0].y))")
     lines = rings.groupBy("k", "ring").agg(F.expr("transform(sort_array(collect_list(struct(place, e.ax as x, e.ay as y))), q -> struct(q.x as x, q.y as y))").alias("p")).withColumn("area", first)
     lines = saved(lines.where("area <> 0"))
@@ -204,6 +308,9 @@ def areas(bounds: DataFrame, grid: float) -> DataFrame:
     chord = "hypot(double(get(p, (i + 1) % size(p)).x - get(p, pmod(i - 1, size(p))).x), double(get(p, (i + 1) % size(p)).y - get(p, pmod(i - 1, size(p))).y))"
     shown = lines.withColumn("p", F.expr(f"filter(p, (q, i) -> {bend} > {chord})")).where("size(p) > 2")
     shown = shown.withColumn("p", F.expr(f"transform(concat(p, slice(p, 1, 1)), q -> struct(double(q.x) * {grid!r}D as x, double(q.y) * {grid!r}D as y))"))
+    full = shown.where("area > 0").selectExpr("k", "ring", "array(p) as member")
+    if lines.where("area < 0").isEmpty():
+        return full.groupBy("k").agg(F.expr("transform(sort_array(collect_list(struct(ring, member))), m -> m.member)").alias("parts"))
     home = _homes(rings, lines)
     holes = shown.where("area < 0").join(home, ["k", "ring"]).groupBy("k", "home").agg(F.expr("transform(sort_array(collect_list(struct(ring, p))), h -> h.p)").alias("holes")).withColumnRenamed("home", "ring")
     full = shown.where("area > 0").join(holes, ["k", "ring"], "left").selectExpr("k", "ring", "concat(array(p), coalesce(holes, array())) as member")
@@ -212,16 +319,18 @@ def areas(bounds: DataFrame, grid: float) -> DataFrame:
 
 def _pairs(df: DataFrame, keys: list[str], a: str, b: str, grid: float) -> tuple[DataFrame, DataFrame]:
     """All keys with whether both shapes are sound, and the sound shapes by side."""
-    d = df.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("k"), F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b"))
+    d = saved(df.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("k"), F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")))
     fine = F.coalesce(sound(F.col("a"), grid) & sound(F.col("b"), grid), F.lit(False))
     shapes = d.where(fine).select("k", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("g")), F.struct(F.lit(1).alias("side"), F.col("b").alias("g")))).alias("s"))
     return d.select("k", fine.alias("fine"), *[dimension(F.col(s)).alias(f"dim_{s}") for s in "ab"]), shapes.select("k", "s.side", F.lit(0).cast("long").alias("part"), "s.g")
 
 
-def _bounds(pieces: DataFrame, how: str) -> DataFrame:
-    left, right = HOW[how].format("l0", "l1"), HOW[how].format("r0", "r1")
-    kept = pieces.where(f"({left}) <> ({right})").withColumn("up", F.expr(left))
-    return kept.selectExpr("k", "if(up, lx, hx) as ax", "if(up, ly, hy) as ay", "if(up, hx, lx) as bx", "if(up, hy, ly) as by")
+def _bounds(pieces: DataFrame, *hows: str) -> DataFrame:
+    """(k, how, ax, ay, bx, by): pieces whose sides differ in a wanted set, that set on their left."""
+    one = lambda how: (HOW[how].format("l0", "l1"), HOW[how].format("r0", "r1"))
+    kept = [F.expr(f"if(({x}) <> ({y}), struct('{how}' as how, ({x}) as up), null)") for how, (x, y) in ((h, one(h)) for h in hows)]
+    d = pieces.select("k", *PIECE, F.explode(F.filter(F.array(*kept), lambda x: x.isNotNull())).alias("w"))
+    return d.selectExpr("k", "w.how", "if(w.up, lx, hx) as ax", "if(w.up, ly, hy) as ay", "if(w.up, hx, lx) as bx", "if(w.up, hy, ly) as by")
 
 
 def _parts_of(df: DataFrame) -> DataFrame:
@@ -231,27 +340,35 @@ def _parts_of(df: DataFrame) -> DataFrame:
 class Pairs:
     """Two shapes a row, noded once for all that is asked of them."""
 
-    def __init__(self, pairs: DataFrame, keys: list[str], a: str, b: str, grid: float = GRID):
-        rows, shapes = _pairs(pairs, keys, a, b, grid)
-        self.grid, self.rows, self.shapes = grid, saved(rows), saved(shapes)
+    def __init__(self, pairs: DataFrame, keys: list[str], a: str, b: str, grid: float = GRID, block: int = BLOCK):
+        self.grid, self.block = grid, block
+        self.rows, self.shapes = _pairs(pairs, keys, a, b, grid)
         self.noded = Noded(self.shapes, grid)
         self.pieces = saved(self.noded.sided())
 
     def overlay(self, how: str = "intersection") -> DataFrame:
         """(keys, geometry): a multipolygon of two areas for each row; of a line and an area or line,
         what is within (intersection) or outside (difference) as a multilinestring; else NULL."""
-        if how not in HOW:
-            raise ValueError(f"no overlay {how!r}")
-        flat = self.rows.where("dim_a = 2 and dim_b = 2").select("k")
-        found = areas(_bounds(self.pieces.join(flat, "k", "left_semi"), how), self.grid).withColumn("kind", F.lit("multipolygon"))
-        if how in ("intersection", "difference"):
-            mixed = self.rows.where("dim_a = 1 and dim_b > 0 or dim_a = 2 and dim_b = 1 and '%s' = 'intersection'" % how).select("k", F.expr("if(dim_a = 1, 0, 1)").alias("own"))
-            found = found.unionByName(_lines(self.noded, self.pieces, mixed, how).withColumn("kind", F.lit("multilinestring")))
-        kind = F.expr("coalesce(kind, if(dim_a = 1 or dim_b = 1, 'multilinestring', 'multipolygon'))")
-        out = _parts_of(self.rows.join(found, "k", "left"))
-        lines = F.lit(how in ("intersection", "difference")) & F.expr(f"dim_a = 1 and dim_b > 0 or dim_a = 2 and dim_b = 1 and '{how}' = 'intersection'")
-        shape = F.when(F.col("fine") & (F.expr("dim_a = 2 and dim_b = 2") | lines), F.struct(kind.alias("kind"), F.col("parts").alias("parts")))
-        return out.select("k.*", shape.alias("geometry"))
+        return self.overlays(how).withColumnRenamed(how, "geometry")
+
+    def overlays(self, *hows: str) -> DataFrame:
+        """(keys, a column for each of ``hows``): several overlays, stitched at once."""
+        for how in hows:
+            if how not in HOW:
+                raise ValueError(f"no overlay {how!r}")
+        flat = self.pieces.join(self.rows.where("dim_a = 2 and dim_b = 2").select("k"), "k", "left_semi")
+        found = areas(_bounds(flat, *hows).selectExpr("struct(k, how) as k", "ax", "ay", "bx", "by"), self.grid, self.block)
+        found = found.selectExpr("k.k as k", "k.how as how", "'multipolygon' as kind", "parts")
+        lines = {how: F.expr("dim_a = 1 and dim_b > 0" + (" or dim_a = 2 and dim_b = 1" if how == "intersection" else "")) for how in hows if how in ("intersection", "difference")}
+        for how, on in lines.items():
+            mixed = self.rows.where("fine").where(on).select("k", F.expr("if(dim_a = 1, 0, 1)").alias("own"))
+            cut = _lines(self.noded, self.pieces, mixed, how).selectExpr("k", f"'{how}' as how", "'multilinestring' as kind", "parts")
+            found = found.union(cut)
+        each = [F.first(F.expr(f"if(how = '{how}', struct(kind, parts), null)"), True).alias(how) for how in hows]
+        out = self.rows.join(found.groupBy("k").agg(*each), "k", "left")
+        none = F.struct(F.when(F.expr("dim_a = 2 and dim_b = 2"), "multipolygon").otherwise("multilinestring").alias("kind"), F.array().cast(geo.PARTS_T).alias("parts"))
+        made = {how: F.col("fine") & (F.expr("dim_a = 2 and dim_b = 2") | lines.get(how, F.lit(False))) for how in hows}
+        return out.select("k.*", *[F.when(made[how], F.coalesce(F.col(how), none)).alias(how) for how in hows])
 
     def area(self, how: str = "intersection") -> DataFrame:
         """(keys, area) of an overlay of areas, from its pieces, without rings."""
@@ -267,8 +384,8 @@ class Pairs:
         return _related(self)
 
 
-def overlay(pairs: DataFrame, keys: list[str], a: str, b: str, how: str = "intersection", grid: float = GRID) -> DataFrame:
-    return Pairs(pairs, keys, a, b, grid).overlay(how)
+def overlay(pairs: DataFrame, keys: list[str], a: str, b: str, how: str = "intersection", grid: float = GRID, block: int = BLOCK) -> DataFrame:
+    return Pairs(pairs, keys, a, b, grid, block).overlay(how)
 
 
 def relations(pairs: DataFrame, keys: list[str], a: str, b: str, grid: float = GRID) -> DataFrame:
@@ -293,14 +410,13 @@ def _lines(noded: Noded, pieces: DataFrame, mixed: DataFrame, how: str) -> DataF
     return lines.groupBy("k").agg(F.expr("transform(sort_array(collect_list(struct(run, p))), m -> array(m.p))").alias("parts"))
 
 
-def dissolve(shapes: DataFrame, keys: list[str], geometry: str, grid: float = GRID) -> DataFrame:
+def dissolve(shapes: DataFrame, keys: list[str], geometry: str, grid: float = GRID, block: int = BLOCK) -> DataFrame:
     """(keys, geometry): the union of all areas of each key, a multipolygon. NULL shapes and those that
     are not sound are left out."""
-    part = F.monotonically_increasing_id()
-    d = shapes.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("k"), F.col(f"`{geometry}`").alias("g"))
-    d = saved(d.where(F.coalesce(sound(F.col("g"), grid), F.lit(False)) & geo.is_areal(F.col("g"))).select("k", F.lit(0).alias("side"), part.alias("part"), "g"))
-    found = areas(_bounds(Noded(d, grid).sided(), "union"), grid)
-    out = _parts_of(shapes.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("k")).distinct().join(found, "k", "left"))
+    d = saved(shapes.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("k"), F.col(f"`{geometry}`").alias("g"), F.monotonically_increasing_id().alias("part")))
+    sides = d.where(F.coalesce(sound(F.col("g"), grid), F.lit(False)) & geo.is_areal(F.col("g"))).select("k", F.lit(0).alias("side"), "part", "g")
+    found = areas(_bounds(Noded(sides, grid).sided(), "union").drop("how"), grid, block)
+    out = _parts_of(d.select("k").distinct().join(found, "k", "left"))
     return out.select("k.*", F.struct(F.lit("multipolygon").alias("kind"), "parts").alias("geometry"))
 
 
@@ -461,7 +577,7 @@ def circle(p: Column, d: float, n: int) -> Column:
     return F.array(*ring, ring[0])
 
 
-def buffer(shapes: DataFrame, keys: list[str], geometry: str, distance: float, points_per_circle: int = 36, end: str = "round", join: str = "round", miter_limit: float = 5.0, point: str = "circle", right: float | None = None, grid: float = GRID) -> DataFrame:
+def buffer(shapes: DataFrame, keys: list[str], geometry: str, distance: float, points_per_circle: int = 36, end: str = "round", join: str = "round", miter_limit: float = 5.0, point: str = "circle", right: float | None = None, grid: float = GRID, block: int = BLOCK) -> DataFrame:
     """(keys, geometry): what is within ``distance`` of each shape; of an area with a negative distance
     what lies deeper. ``join`` round or miter, ``end`` round or flat, ``point`` circle or square,
     ``right`` another distance for the right of lines. The parts around edges and corners are dissolved."""
@@ -477,11 +593,16 @@ def buffer(shapes: DataFrame, keys: list[str], geometry: str, distance: float, p
     square = lambda p: F.array(*[geo.pt(p["x"] + a * d, p["y"] + b * d) for a, b in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))])
     spots = F.transform(geo.points(g), lambda p: circle(p, d, points_per_circle) if point == "circle" else square(p))
     around = F.flatten(F.transform(geo.lists(geo.unique(geo.correct(g))), lambda r: _rings(r, d, other, points_per_circle, end, join, miter_limit, geo.is_areal(g))))
-    parts = fine.select("k", dimension(g).alias("dim"), F.explode(F.when(dimension(g) == 0, spots).otherwise(around)).alias("r")).select("k", geo.polygon(F.col("r")).alias("s"))
-    rim = dissolve(parts, ["k"], "s", grid).withColumnRenamed("geometry", "rim")
-    whole = fine.select("k", "g").join(rim, "k", "left")
-    areal = whole.where(geo.is_areal(g) & F.col("rim").isNotNull())
-    joined = overlay(areal, ["k"], "g", "rim", "union" if distance > 0 else "difference", grid).withColumnRenamed("geometry", "full")
-    empty = F.struct(F.lit("multipolygon").alias("kind"), F.array().cast(geo.PARTS_T).alias("parts"))
-    out = rows.join(whole.select("k", "rim"), "k", "left").join(joined, "k", "left")
-    return out.select("k.*", F.when(F.coalesce(sound(g, grid), F.lit(False)), F.coalesce("full", "rim", empty)).alias("geometry"))
+    parts = fine.select("k", F.posexplode(F.when(dimension(g) == 0, spots).otherwise(around)).alias("part", "r"))
+    inner = distance < 0
+    sides = parts.select("k", (F.lit(1) if inner else F.lit(0)).alias("side"), F.col("part").cast("long").alias("part"), geo.polygon(F.col("r")).alias("g"))
+    # the area itself is a part of what is around it; a negative distance takes its rim away
+    own = fine.where(geo.is_areal(g)).select("k", F.lit(0).alias("side"), F.lit(-1).cast("long").alias("part"), "g")
+    rim = sides.join(own.select("k"), "k", "left_anti") if inner else None
+    noded = Noded(sides.union(own), grid).sided()
+    found = areas(_bounds(noded, "difference" if inner else "union").drop("how"), grid, block)
+    if inner:  # lines and points have no inside: the distance counts as positive
+        alone = areas(_bounds(Noded(rim.withColumn("side", F.lit(0)), grid).sided(), "union").drop("how"), grid, block)
+        found = found.join(own.select("k"), "k", "left_semi").union(alone)
+    out = _parts_of(rows.join(found, "k", "left"))
+    return out.select("k.*", F.when(F.coalesce(sound(g, grid), F.lit(False)), F.struct(F.lit("multipolygon").alias("kind"), "parts")).alias("geometry"))

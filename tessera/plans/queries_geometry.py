@@ -80,11 +80,10 @@ def geometry_predicates(spark, sf_dir):
 @register(f"""WITH {_PAIR} SELECT k, round(greatest(w, 0) * h, 6) AS common, round(96 - greatest(w, 0) * h, 6) AS both_, round(48 - greatest(w, 0) * h, 6) AS rest, greatest(-w, 0)::DOUBLE AS gap FROM o""")
 def geometry_overlay(spark, sf_dir):
     d = _pairs(spark, sf_dir)
-    both = noding.Pairs(d, ["k"], "box", "other")
-    out = d.select("k", g.distance(F.col("box"), F.col("other")).alias("gap"))
-    for name, how in (("common", "intersection"), ("both_", "union"), ("rest", "difference")):
-        out = out.join(both.overlay(how).select("k", F.round(g.area(F.col("geometry")), 6).alias(name)), "k")
-    return out
+    out = noding.Pairs(d, ["k"], "box", "other").overlays("intersection", "union", "difference")
+    size = lambda c: F.round(g.area(F.col(c)), 6)
+    gap = d.select("k", g.distance(F.col("box"), F.col("other")).alias("gap"))
+    return out.select("k", size("intersection").alias("common"), size("union").alias("both_"), size("difference").alias("rest")).join(gap, "k")
 
 
 @register(f"""WITH {_N}, t AS (SELECT k, x::BIGINT AS x, y::BIGINT AS y FROM n) SELECT k, 'POLYGON((' || array_to_string([concat(x, ' ', y), concat(x + 8, ' ', y), concat(x + 8, ' ', y + 6), concat(x, ' ', y + 6), concat(x, ' ', y)], ',') || '))' AS wkt, 48.0::DOUBLE AS area_wkt,
@@ -129,26 +128,27 @@ def geodetic_measures(spark, sf_dir):
     return d.select("k", F.round(g.geodetic_area(b) / 1e6, 3).alias("km2"), F.round(g.perimeter(b, "andoyer"), 1).alias("perimeter"))
 
 
-def track(spark, n=2000, tracks=4):
-    """Synthetic sine tracks that cross each other."""
-    i = F.col("idx")
-    return spark.range(tracks).select(F.col("id").alias("track"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("idx")).select("track", "idx", (F.col("idx") * 1_000_000).alias("time"), (F.lit(-60.0) + i * (0.05 + 0.005 * F.col("track")) + F.col("track") * 3).alias("lon"), (66.0 * F.sin(2 * 3.141592653589793 * (i + F.col("track") * 300) / 1500)).alias("lat"))
+def track(spark, sf_dir):
+    """Sine tracks that cross each other, a point for each event: 2000 events in turn are a track."""
+    i, k = F.col("idx"), F.col("track")
+    e = table(spark, sf_dir, "events").selectExpr("event_id div 2000 as track", "event_id % 2000 as idx")
+    return e.select("track", "idx", (i * 1_000_000).alias("time"), (F.lit(-60.0) + i * (0.05 + 0.005 * (k % 4)) + k % 12 * 3).alias("lon"), (66.0 * F.sin(2 * 3.141592653589793 * (i + k * 300 + 0.25) / 1500)).alias("lat"))
 
 
-_T = """t AS (SELECT k AS track, i AS idx, i * 1000000 AS time, -60.0 + i * (0.05 + 0.005 * k) + k * 3 AS lon, 66.0 * sin(2 * 3.141592653589793 * (i + k * 300) / 1500) AS lat FROM range(4) a(k), range(2000) b(i))"""
+_T = """t AS (SELECT track, idx, idx * 1000000 AS time, -60.0::DOUBLE + idx * (0.05::DOUBLE + 0.005::DOUBLE * (track % 4)) + track % 12 * 3 AS lon, 66.0::DOUBLE * sin(2 * 3.141592653589793::DOUBLE * (idx + track * 300 + 0.25::DOUBLE) / 1500) AS lat FROM (SELECT event_id // 2000 AS track, event_id % 2000 AS idx FROM events))"""
 
 
 @register(f"""WITH {_T}, p AS (SELECT *, lead(lat) OVER w AS nl, lag(lat) OVER w AS pl FROM t WINDOW w AS (PARTITION BY track ORDER BY idx)), u AS (SELECT *, sign(coalesce(nl - lat, lat - pl)) AS up FROM p),
 c AS (SELECT *, CASE WHEN coalesce(lag(up) OVER (PARTITION BY track ORDER BY idx) <> up, true) THEN 1 ELSE 0 END AS turned FROM u), q AS (SELECT *, sum(turned) OVER (PARTITION BY track ORDER BY idx) AS pass_no FROM c)
 SELECT track, pass_no::BIGINT AS pass_no, count(*) AS n, min(idx) AS first, max(idx) AS last FROM q GROUP BY 1, 2""")
 def orbit_passes(spark, sf_dir):
-    return satellite.passes(track(spark), ["track"]).groupBy("track", "pass_no").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+    return satellite.passes(track(spark, sf_dir), ["track"]).groupBy("track", "pass_no").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
 
 
 @register(f"""WITH {_T}, d AS (SELECT *, CASE WHEN lat < -50 THEN 'south' WHEN lat > 50 THEN 'north' ELSE 'mid' END AS tag FROM t), n AS (SELECT *, CASE WHEN coalesce(lag(tag) OVER w <> tag, true) THEN 1 ELSE 0 END AS new FROM d WINDOW w AS (PARTITION BY track ORDER BY idx)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY track ORDER BY idx) AS run FROM n) SELECT track, min(idx) AS first, max(idx) AS last, count(*) AS n, min(tag) AS tag, round(min(lon), 6) AS xmin, round(max(lon), 6) AS xmax, round(min(lat), 6) AS ymin, round(max(lat), 6) AS ymax FROM r GROUP BY track, run""")
 def track_decomposition(spark, sf_dir):
-    out = satellite.decompose(track(spark), ["track"], min_edge=1)
+    out = satellite.decompose(track(spark, sf_dir), ["track"], min_edge=1)
     return out.select("track", "first", "last", "n", "tag", *[F.round(c, 6).alias(c) for c in ("xmin", "xmax", "ymin", "ymax")])
 
 
@@ -157,14 +157,14 @@ j AS (SELECT p.track AS track_a, q.track AS track_b, p.x0, p.y0, p.x1 - p.x0 AS
 k AS (SELECT *, a * d - b * c AS det FROM j), m AS (SELECT *, (ex * d - ey * c) / det AS t, (ex * b - ey * a) / det AS u FROM k WHERE abs(det) > 1e-15)
 SELECT track_a, track_b, round(x0 + t * a, 5) AS lon, round(y0 + t * b, 4) AS lat FROM m WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1""")
 def track_crossovers(spark, sf_dir):
-    t = track(spark)
+    t = track(spark, sf_dir)
     out = satellite.find_crossovers(t.where("track = 0"), t.where("track > 0"), ["track"])
     return out.select("track_a", "track_b", F.round("lon", 5).alias("lon"), F.round("lat", 4).alias("lat"))
 
 
-@register("SELECT k AS track, 'prograde' AS direction FROM range(4) a(k)")
+@register(f"WITH {_T} SELECT DISTINCT track, 'prograde' AS direction FROM t")
 def orbit_direction(spark, sf_dir):
-    return satellite.infer_direction(track(spark), ["track"])
+    return satellite.infer_direction(track(spark, sf_dir), ["track"])
 
 
 # Each point is turned about the direction of flight; latitudes come back by repeated correction.
@@ -180,7 +180,7 @@ l0 AS (SELECT *, atan2(z, rho * (1 - e2)) AS l FROM m), l1 AS (SELECT * REPLACE
 l3 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l2), l4 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l3)
 SELECT track, count(*) AS n, round(max(ac), 3) AS widest, round(avg(degrees(l)), 6) AS lat FROM l4 GROUP BY track""")
 def orbit_swath(spark, sf_dir):
-    out = satellite.calculate_swath(track(spark), ["track"])
+    out = satellite.calculate_swath(track(spark, sf_dir), ["track"])
     return out.groupBy("track").agg(F.count("*").alias("n"), F.round(F.max("x_ac"), 3).alias("widest"), F.round(F.avg("swath_lat"), 6).alias("lat"))
 
 
@@ -205,25 +205,26 @@ def _half_weights() -> str:
     return ", ".join(rows)
 
 
-@register(f"""WITH t AS (SELECT k AS track, i AS idx, -60.0 + i * (0.05 + 0.005 * k) + k * 3 AS lon, 66.0 * sin(2 * 3.141592653589793 * (i + k * 300) / 1500) AS lat FROM range(2) a(k), range(300) b(i)),
+@register(f"""WITH {_T.replace('t AS', 't0 AS', 1)}, t AS (SELECT *, max(idx) OVER (PARTITION BY track) AS far FROM t0),
 p AS (SELECT *, n * cos(radians(lat)) * cos(radians(lon)) AS x, n * cos(radians(lat)) * sin(radians(lon)) AS y, n * (1 - 0.0066943799901413165) * sin(radians(lat)) AS z FROM (SELECT *, 6378137.0 / sqrt(1 - 0.0066943799901413165 * sin(radians(lat)) ** 2) AS n FROM t)),
 w(f, l, o, w) AS (VALUES {_half_weights()}),
-h AS (SELECT c.track, 2 * c.idx + 1 AS idx, sum(w * p.x) AS x, sum(w * p.y) AS y, sum(w * p.z) AS z FROM t c JOIN w ON f = greatest(-2, -c.idx) AND l = least(3, 299 - c.idx) JOIN p ON p.track = c.track AND p.idx = c.idx + o WHERE c.idx < 299 GROUP BY 1, 2),
+h AS (SELECT c.track, 2 * c.idx + 1 AS idx, sum(w * p.x) AS x, sum(w * p.y) AS y, sum(w * p.z) AS z FROM t c JOIN w ON f = greatest(-2, -c.idx) AND l = least(3, c.far - c.idx) JOIN p ON p.track = c.track AND p.idx = c.idx + o WHERE c.idx < c.far GROUP BY 1, 2),
 m AS (SELECT *, sqrt(x * x + y * y) AS rho, 6378137.0 AS a, 0.0066943799901413165 AS e2 FROM h),
 l0 AS (SELECT *, atan2(z, rho * (1 - e2)) AS l FROM m), l1 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l0), l2 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l1),
 l3 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l2), l4 AS (SELECT * REPLACE (atan2(z + e2 * a / sqrt(1 - e2 * sin(l) ** 2) * sin(l), rho) AS l) FROM l3)
-SELECT track, idx, round(degrees(atan2(y, x)), 6) AS lon, round(degrees(l), 6) AS lat FROM l4 UNION ALL SELECT track, 2 * idx, round(lon, 6), round(lat, 6) FROM t WHERE idx < 299""")
+SELECT track, idx, round(degrees(atan2(y, x)), 6) AS lon, round(degrees(l), 6) AS lat FROM l4 UNION ALL SELECT track, 2 * idx, round(lon, 6), round(lat, 6) FROM t WHERE idx < far""")
 def orbit_resampled(spark, sf_dir):
     """Every half second."""
-    t = track(spark, 300, 2)
+    t = track(spark, sf_dir)
     return satellite.interpolate_orbit(t, 500_000).select("track", "idx", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
-@register("SELECT (k - 1) // 254 + 1 AS cycle, (k - 1) % 254 + 1 AS pass, k AS absolute FROM (SELECT i + 1 AS k FROM range(1000) t(i))")
+@register("SELECT o_orderkey, (o_orderkey // 254 + 1)::BIGINT AS cycle, (o_orderkey % 254 + 1)::BIGINT AS pass, o_orderkey + 1 AS absolute FROM orders")
 def orbit_pass_numbers(spark, sf_dir):
+    """Orders as passes, counted from 1."""
     o = satellite.Orbit(9_915_600_000_000 // 10, 254)
-    d = spark.range(1, 1001).select(o.decode_absolute_pass_number(F.col("id")).alias("d"))
-    return d.select("d.cycle", "d.pass", o.encode_absolute_pass_number(F.col("d.cycle"), F.col("d.pass")).alias("absolute"))
+    d = table(spark, sf_dir, "orders").select("o_orderkey", o.decode_absolute_pass_number(F.col("o_orderkey") + 1).alias("d"))
+    return d.select("o_orderkey", F.col("d.cycle").cast("long").alias("cycle"), F.col("d.pass").cast("long").alias("pass"), o.encode_absolute_pass_number(F.col("d.cycle"), F.col("d.pass")).alias("absolute"))
 
 
 @register("""SELECT date_trunc('hour', ts) AS start, least(round(value / 100.0)::BIGINT, 5) AS ix, count(*) AS count, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")

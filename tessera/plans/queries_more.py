@@ -304,9 +304,12 @@ def geohash_where(spark, sf_dir):
     return w.select(F.floor((at["lon"] + 180) / 45).cast("long").alias("i"), F.floor((at["lat"] + 90) / 45).cast("long").alias("j"), "i0", "i1", "j0", "j1")
 
 
-@register("SELECT p::INT AS precision, 360 / 2.0 ** ceil(5 * p / 2) AS width, 180 / 2.0 ** floor(5 * p / 2) AS height FROM range(1, 13) t(p)")
+@register("SELECT p_partkey, p::INT AS precision, 360 / 2.0 ** ceil(5 * p / 2) AS width, 180 / 2.0 ** floor(5 * p / 2) AS height FROM (SELECT p_partkey, p_size % 12 + 1 AS p FROM part)")
 def geohash_error(spark, sf_dir):
-    return spark.createDataFrame([(p, *geohash.cell_size(p)) for p in range(1, 13)], "precision int, width double, height double")
+    """Cells of the precision that a part's size stands for."""
+    p = F.expr("p_size % 12 + 1")
+    size = lambda k: F.element_at(F.array(*[F.lit(geohash.cell_size(n)[k]) for n in range(1, 13)]), p)
+    return table(spark, sf_dir, "part").select("p_partkey", p.cast("int").alias("precision"), size(0).alias("width"), size(1).alias("height"))
 
 
 @register("WITH p AS (SELECT c_custkey, " + SQL_POINT + """ FROM customer), g AS (SELECT DISTINCT floor((lon + 180) / 45)::BIGINT AS i, floor((lat + 90) / 45)::BIGINT AS j FROM p)
@@ -363,9 +366,9 @@ def geometry_relations(spark, sf_dir):
     return r.join(d.select("k", F.round(g.azimuth(a, b), 9).alias("azimuth"), F.round(gap, 6).alias("gap"), F.size(F.filter(inside, lambda x: x)).alias("inside")), "k")
 
 
-@register(f"WITH {_T}, d AS (SELECT *, coalesce(2 * 6371008.771415059 * asin(sqrt(sin(radians(lat - pl) / 2) ** 2 + cos(radians(pl)) * cos(radians(lat)) * sin(radians(lon - pn) / 2) ** 2)), 0) AS s FROM (SELECT *, lag(lat) OVER w AS pl, lag(lon) OVER w AS pn FROM t WHERE idx < 60 WINDOW w AS (PARTITION BY track ORDER BY idx))) SELECT track, idx, round(sum(s) OVER (PARTITION BY track ORDER BY idx), 2) AS metres FROM d")
+@register(f"WITH {_T}, d AS (SELECT *, coalesce(2 * 6371008.771415059 * asin(sqrt(sin(radians(lat - pl) / 2) ** 2 + cos(radians(pl)) * cos(radians(lat)) * sin(radians(lon - pn) / 2) ** 2)), 0) AS s FROM (SELECT *, lag(lat) OVER w AS pl, lag(lon) OVER w AS pn FROM t WINDOW w AS (PARTITION BY track ORDER BY idx))) SELECT track, idx, round(sum(s) OVER (PARTITION BY track ORDER BY idx), 2) AS metres FROM d")
 def curvilinear_distance(spark, sf_dir):
-    t = track(spark).where("idx < 60").groupBy("track").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "lon", "lat"))), lambda p: g.pt(p["lon"], p["lat"])).alias("p"))
+    t = track(spark, sf_dir).groupBy("track").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "lon", "lat"))), lambda p: g.pt(p["lon"], p["lat"])).alias("p"))
     return t.select("track", F.posexplode(g.curvilinear_distance(F.col("p"))).alias("i", "m")).select("track", F.col("i").cast("long").alias("idx"), F.round("m", 2).alias("metres"))
 
 
@@ -381,27 +384,27 @@ def spatial_join_boxes(spark, sf_dir):
 
 @register(f"WITH {_T} SELECT track, ((idx - 700) % 2000 + 2000) % 2000 AS idx, round(lon, 6) AS lon FROM t")
 def orbit_rotation(spark, sf_dir):
-    return satellite.rotate_to_first_pass(track(spark), 2000, 700).select("track", "idx", F.round("lon", 6).alias("lon"))
+    return satellite.rotate_to_first_pass(track(spark, sf_dir), 2000, 700).select("track", "idx", F.round("lon", 6).alias("lon"))
 
 
 @register(f"""WITH {_T}, d AS (SELECT *, lead(lat) OVER w AS l1, lead(lon) OVER w AS n1, lead(time) OVER w AS t1 FROM t WINDOW w AS (PARTITION BY track ORDER BY idx)), c AS (SELECT *, lat / (lat - l1) AS f FROM d WHERE lat * l1 <= 0 AND lat <> l1)
 SELECT track, round(arg_min(lon + f * (n1 - lon), idx), 6) AS equator_lon, round(arg_min(time + f * (t1 - time), idx), 1) AS equator_time FROM c GROUP BY 1""")
 def orbit_equator(spark, sf_dir):
-    return satellite.equator_crossing(track(spark), ["track"]).select("track", F.round("equator_lon", 6).alias("equator_lon"), F.round("equator_time", 1).alias("equator_time"))
+    return satellite.equator_crossing(track(spark, sf_dir), ["track"]).select("track", F.round("equator_lon", 6).alias("equator_lon"), F.round("equator_time", 1).alias("equator_time"))
 
 
 @register(f"""WITH {_T}, d AS (SELECT *, CASE WHEN lat < -50 THEN 'south' WHEN lat > 50 THEN 'north' ELSE 'mid' END AS tag FROM t), n AS (SELECT *, CASE WHEN coalesce(lag(tag) OVER w <> tag, true) THEN 1 ELSE 0 END AS new FROM d WINDOW w AS (PARTITION BY track ORDER BY idx)),
 r AS (SELECT *, sum(new) OVER (PARTITION BY track ORDER BY idx) AS run FROM n), s AS (SELECT track, min(idx) AS first, max(idx) AS last, min(lon) AS a, max(lon) AS b, min(lat) AS c, max(lat) AS d FROM r GROUP BY track, run)
 SELECT track, first, last FROM s WHERE a <= 10 AND b >= -30 AND c <= 60 AND d >= 20""")
 def track_extent(spark, sf_dir):
-    out = satellite.filter_by_extent(satellite.decompose(track(spark), ["track"], min_edge=1), -30.0, 20.0, 10.0, 60.0)
+    out = satellite.filter_by_extent(satellite.decompose(track(spark, sf_dir), ["track"], min_edge=1), -30.0, 20.0, 10.0, 60.0)
     return out.select("track", "first", "last")
 
 
-@register("SELECT t.k AS track, (2000 * 34)::BIGINT AS n, 70.0::DOUBLE AS widest, 2000::BIGINT AS nadir FROM range(4) t(k)")
+@register(f"WITH {_T} SELECT track, count(*) * 34 AS n, 70.0::DOUBLE AS widest, count(*) AS nadir FROM t GROUP BY track")
 def swath_mask(spark, sf_dir):
     """Pixels of 38 to 72 kilometres on both sides, and the nadir put in."""
-    s = satellite.insert_central_pixel(satellite.calculate_swath(track(spark), ["track"]), track(spark), ["track"])
+    s = satellite.insert_central_pixel(satellite.calculate_swath(track(spark, sf_dir), ["track"]), track(spark, sf_dir), ["track"])
     out = satellite.mask_swath(s, 38.0, 72.0)
     nadir = s.where("x_ac = 0").groupBy("track").agg(F.count("*").alias("nadir"))
     return out.groupBy("track").agg(F.count("*").alias("n"), F.max(F.abs("x_ac")).alias("widest")).join(nadir, "track")
@@ -441,7 +444,7 @@ def temporal_resolution(spark, sf_dir):
 @register(f"WITH {_T} SELECT track, min(idx) AS first, max(idx) AS last, count(*) AS n FROM t GROUP BY track")
 def track_merged(spark, sf_dir):
     """Runs joined until each track has one."""
-    runs = satellite.decompose(track(spark), ["track"], min_edge=1)
+    runs = satellite.decompose(track(spark, sf_dir), ["track"], min_edge=1)
     return satellite.merge_by_area(runs, ["track"], 0.0, 1).select("track", "first", "last", "n")
 
 

@@ -36,10 +36,10 @@ def overlay_layers(spark, sf_dir):
     """Areas of the four overlays of a polygon and a diamond, from stitched rings; one also from pieces."""
     d = shapes(spark, sf_dir)
     both = noding.Pairs(d, ["id"], "poly", "diamond")
-    out = both.area().select("id", F.round("area", 6).alias("measured"))
-    for name, how in (("common", "intersection"), ("both_", "union"), ("rest", "difference"), ("apart", "symmetric_difference")):
-        out = out.join(both.overlay(how).select("id", F.round(g.area(F.col("geometry")), 6).alias(name)), "id")
-    return out
+    size = lambda c: F.round(g.area(F.col(c)), 6)
+    out = both.overlays("intersection", "union", "difference", "symmetric_difference")
+    out = out.select("id", size("intersection").alias("common"), size("union").alias("both_"), size("difference").alias("rest"), size("symmetric_difference").alias("apart"))
+    return out.join(both.area().select("id", F.round("area", 6).alias("measured")), "id")
 
 
 @register(f"""WITH {_SHAPES}, {_AREAS} SELECT id, common > 0 AND common < 32 AND common < diamond AS overlaps, common = diamond AS holds, common > 0 AS share_ FROM t""")
