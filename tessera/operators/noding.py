@@ -279,22 +279,27 @@ def _ranked(follow: DataFrame) -> DataFrame:
 
 
 def _homes(rings: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(k, ring, home) of holes: the outer ring around each. The nearest piece above a hole's edge bounds
-    the same area; if that is another hole's, its home counts."""
+    """(k, ring, home) of holes: the outer ring around each. A piece that has the area above it and the
+    nearest piece over its middle bound the same part of the area, so their rings belong together; outer
+    rings hand their name on along these links, a step each round."""
     span = rings.groupBy("k").agg(F.expr("bigint(greatest(ceil((max(e.bx) - min(e.ax)) / ceil(count(*) / 4)), 1))").alias("strip"))
     d = rings.join(span, "k").selectExpr("k as ek", "ring as ering", "strip", "least(e.ax, e.bx) as lx", "greatest(e.ax, e.bx) as hx", "if(e.ax < e.bx, e.ay, e.by) as ly", "if(e.ax < e.bx, e.by, e.ay) as hy").where("lx < hx")
     d = d.withColumn("ec", F.explode(F.expr("sequence(floor(lx / strip), floor((hx - 1) / strip))"))).drop("strip")
-    holes = sizes.where("area < 0").select("k", "ring")
-    one = rings.join(holes, ["k", "ring"]).where("e.bx > e.ax").groupBy("k", "ring").agg(F.min("e").alias("e"))
-    one = one.join(span, "k").selectExpr("k", "ring", "(e.ax + e.bx) / 2 as mx", "(e.ay + e.by) / 2 as my", "strip").withColumn("c", F.expr("floor(mx / strip)"))
+    one = rings.where("e.bx > e.ax").join(span, "k").selectExpr("k", "ring", "e", "(e.ax + e.bx) / 2 as mx", "(e.ay + e.by) / 2 as my", "strip").withColumn("c", F.expr("floor(mx / strip)"))
     y = "ly + (hy - ly) * ((mx - lx) / (hx - lx))"
-    up = one.join(d, F.expr(f"k = ek and c = ec and lx <= mx and mx < hx and {y} > my")).groupBy("k", "ring").agg(F.min_by("ering", F.expr(y)).alias("home"))
-    inner = holes.select(F.col("k").alias("hk"), F.col("ring").alias("hole"))
-    up = saved(up)
-    while not up.join(inner, F.expr("k = hk and home = hole"), "left_semi").isEmpty():
-        far = up.select(F.col("k").alias("fk"), F.col("ring").alias("fr"), F.col("home").alias("fh"))
-        up = saved(up.join(far, F.expr("k = fk and home = fr"), "left").select("k", "ring", F.coalesce("fh", "home").alias("home")))
-    return up
+    over = one.join(d, F.expr(f"k = ek and c = ec and lx <= mx and mx < hx and {y} > my")).groupBy("k", "ring", "e").agg(F.min_by("ering", F.expr(y)).alias("other")).where("ring <> other")
+    links = saved(over.select("k", F.explode(F.expr("array(struct(ring as a, other as b), struct(other as a, ring as b))")).alias("l")).select("k", "l.a", "l.b").distinct())
+    named = saved(sizes.where("area > 0").select("k", "ring", F.col("ring").alias("home")))
+    holes = sizes.where("area < 0").select("k", "ring")
+    while True:
+        rest = holes.join(named.select("k", "ring"), ["k", "ring"], "left_anti")
+        if rest.isEmpty():
+            return named.join(holes, ["k", "ring"], "left_semi")
+        told = links.join(named.select("k", F.col("ring").alias("a"), "home"), ["k", "a"]).groupBy("k", F.col("b").alias("ring")).agg(F.min("home").alias("home"))
+        new = saved(told.join(rest, ["k", "ring"], "left_semi"))
+        if new.isEmpty():
+            raise RuntimeError("a hole has no outer ring")
+        named = named.union(new)
 
 
 def areas(bounds: DataFrame, grid: float, block: int = BLOCK) -> DataFrame:

@@ -182,3 +182,17 @@ def test_distance_and_hull_without_python(spark):
         assert abs(area(shape_of(r.h)) - area(planar.hull(a))) < 1e-9
     few = spark.createDataFrame([(row(("point", [[[(1.0, 2.0)]]])),), (row(("polygon", [])),), (None,)], f"s {GEOM}")
     assert [h.h and h.h.parts for h in few.select(g.convex_hull(F.col("s")).alias("h")).collect()][1:] == [[], None]
+
+
+def test_holes_of_any_form(spark):
+    """Bent holes that overhang themselves, one around an island with a hole of its own."""
+    frame = lambda x, y, w, t=1: [ring((x, y), (x + w, y), (x + w, y + w), (x, y + w)), ring((x + t, y + t), (x + w - t, y + t), (x + w - t, y + w - t), (x + t, y + w - t))]
+    hook = ring((2, 2), (18, 2), (18, 18), (2, 18), (2, 12), (4, 12), (4, 16), (16, 16), (16, 4), (2, 4))
+    a = ("multipolygon", [[ring((0, 0), (20, 0), (20, 20), (0, 20))]])
+    b = ("polygon", [[hook]])
+    c = ("multipolygon", [frame(30, 0, 20), frame(33, 3, 14), frame(36, 6, 8)])
+    none = ("polygon", [])
+    d = spark.createDataFrame([(1, row(a), row(b)), (2, row(c), row(none))], f"k long, a {GEOM}, b {GEOM}")
+    got = {r.k: shape_of(r.geometry) for r in noding.Pairs(d, ["k"], "a", "b").overlay("difference").collect()}
+    assert area(got[1]) == 400 - abs(planar._ring_area(hook)) and [len(m) for m in got[1][1]] == [2] and planar.invalid(got[1]) == ""
+    assert area(got[2]) == area(c) and sorted(len(m) for m in got[2][1]) == [2, 2, 2] and planar.invalid(got[2]) == ""
