@@ -10,6 +10,8 @@ import uuid
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +40,10 @@ class Scratch:
         self.n = 0
         _roots.append((spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root), spark.sparkContext._jsc.hadoopConfiguration()))
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, *by: str) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
         return out
@@ -53,6 +55,33 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Slices:
+    """A table (with a whole number ``slice``, and of few rows for each) in the shared folder, of
+    which tasks read a slice at a time, without the driver. The folder is opened by Arrow's file
+    systems: local or mounted, HDFS, S3 or GS. A slice that lacks rows stops the task."""
+
+    def __init__(self, scratch: Scratch, df: DataFrame):
+        self.table = scratch.save(df.repartition("slice"), "slice")  # a file for each slice
+        self.rows = {r["slice"]: r["count"] for r in self.table.groupBy("slice").count().collect()}
+        path = scratch.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.table._scratch)
+        uri = path.getFileSystem(scratch.spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+        self.path = uri.getPath() if uri.getScheme() == "file" else uri.toString().replace("s3a://", "s3://", 1)
+
+    def __getstate__(self) -> dict:
+        return {"rows": self.rows, "path": self.path}
+
+    def read(self, k: int) -> pa.Table | None:
+        """The rows of slice ``k``; None if it has none."""
+        if k not in self.rows:
+            return None
+        fs, at = pa.fs.FileSystem.from_uri(self.path)
+        own = [f for f in fs.get_file_info(pa.fs.FileSelector(f"{at}/slice={k}")) if f.base_name.endswith(".parquet")]
+        out = pa.concat_tables([pa.parquet.ParquetFile(fs.open_input_file(f.path)).read() for f in own])
+        if out.num_rows != self.rows[k]:
+            raise OSError(f"{self.path}: {out.num_rows} rows of slice {k} instead of {self.rows[k]}")
+        return out
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 7) -> DataFrame:
     """From ``rows`` to twice as many rows, those of the least hashes of all columns, so the choice
     depends on the rows alone; all rows if there are no more than ``rows``. Rows with a null key

@@ -608,7 +608,31 @@ def test_queries_match_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.SQL)))
 def test_other_queries_cover_the_table(spark, name):
     out = queries.QUERIES[name](spark, SF)
-    assert out.select("doc_id").distinct().count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    key, table = ("vec_id", "embeddings") if "vec_id" in out.columns else ("doc_id", "documents")
+    assert out.select(key).distinct().count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def test_slices_are_read_whole_or_not_at_all(spark, tmp_path):
+    scratch = common.Scratch(spark)
+    slices = common.Slices(scratch, spark.range(1000).select("id", F.expr("cast(id % 3 as int)").alias("slice")))
+    assert sorted(sum((slices.read(k)["id"].to_pylist() for k in slices.rows), [])) == list(range(1000))
+    assert slices.read(3) is None
+    slices.rows[1] += 1
+    with pytest.raises(OSError):
+        slices.read(1)
+
+
+def test_busy_vectors_do_not_pass_through_the_driver(spark, monkeypatch):
+    kind = type(spark.range(1))
+    taken, collect = [], kind.collect
+    monkeypatch.setattr(kind, "toArrow", lambda self: pytest.fail("a table came to the driver"))
+    monkeypatch.setattr(kind, "collect", lambda self: taken.append(collect(self)) or taken[-1])
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 24))
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    out = covertree.similar_vectors(d, unit=200, sample=100, sent=40_000, rows=0.0)
+    assert any(rows and "visits" in rows[0] for rows in taken) and not any(rows and "u" in rows[0] for rows in taken)
+    assert out.count() == 1500
 
 
 def test_pipeline_against_plain_version(spark):
