@@ -46,11 +46,11 @@ def estimate(means: np.ndarray, weights: np.ndarray, low: float, high: float, qs
     return np.interp(np.asarray(qs) * total, at, np.concatenate([[low], means, [high]]))
 
 
-def _row(parts: list[tuple], compression: int) -> tuple:
+def joined(rows: list[tuple], compression: int) -> tuple:
     """One digest row of several (count, weight, min, max, means, weights)."""
-    means, weights = compress(np.concatenate([p[4] for p in parts]), np.concatenate([p[5] for p in parts]), compression)
-    low, high = [p[2] for p in parts if p[0]], [p[3] for p in parts if p[0]]
-    return sum(p[0] for p in parts), float(sum(p[1] for p in parts)), min(low, default=None), max(high, default=None), means, weights
+    means, weights = compress(np.concatenate([p[4] for p in rows]), np.concatenate([p[5] for p in rows]), compression)
+    low, high = [p[2] for p in rows if p[0]], [p[3] for p in rows if p[0]]
+    return sum(p[0] for p in rows), float(sum(p[1] for p in rows)), min(low, default=None), max(high, default=None), means, weights
 
 
 def _frame(groups: dict[tuple, tuple], by: list[str]) -> pd.DataFrame:
@@ -62,9 +62,9 @@ def _checked(compression: int) -> None:
         raise ValueError("compression must be 1 or more")
 
 
-def build(df: DataFrame, value: str, by: list[str] = (), weight: str | None = None, compression: int = COMPRESSION) -> DataFrame:
-    """Digest rows (*by, SCHEMA) of the groups of ``by``. Samples that are missing, or whose weight is
-    missing or not positive, are skipped; a group of such samples alone has an empty digest."""
+def parts(df: DataFrame, value: str, by: list[str] = (), weight: str | None = None, compression: int = COMPRESSION) -> DataFrame:
+    """Digest rows (k0, k1, ... for ``by``, SCHEMA) of what each task reads, several for a group. Works
+    on streams too, there for each batch."""
     _checked(compression)
     by, names = list(by), [f"k{i}" for i in range(len(by))]
     rows = df.select(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("x"), (F.lit(1.0) if weight is None else F.col(weight).cast("double")).alias("w"))
@@ -80,7 +80,7 @@ def build(df: DataFrame, value: str, by: list[str] = (), weight: str | None = No
                 ok = ~np.isnan(x) & (w > 0)
                 x, w = x[ok], w[ok]
                 new = (len(x), w.sum(), *((x.min(), x.max()) if len(x) else (None, None)), *compress(x, w, compression))
-                open_[key] = _row([open_[key], new], compression) if key in open_ else new
+                open_[key] = joined([open_[key], new], compression) if key in open_ else new
             if len(open_) > OPEN_GROUPS:  # bounds the memory of a task
                 yield _frame(open_, names)
                 open_ = {}
@@ -88,8 +88,15 @@ def build(df: DataFrame, value: str, by: list[str] = (), weight: str | None = No
             yield _frame(open_, names)
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields)
-    parts = rows.mapInPandas(partial, f"{fields}, {SCHEMA}" if fields else SCHEMA)
-    return merge(parts, names, compression).select(*[F.col(n).alias(c) for c, n in zip(by, names, strict=True)], *COLUMNS)
+    return rows.mapInPandas(partial, f"{fields}, {SCHEMA}" if fields else SCHEMA)
+
+
+def build(df: DataFrame, value: str, by: list[str] = (), weight: str | None = None, compression: int = COMPRESSION) -> DataFrame:
+    """Digest rows (*by, SCHEMA) of the groups of ``by``. Samples that are missing, or whose weight is
+    missing or not positive, are skipped; a group of such samples alone has an empty digest."""
+    by, names = list(by), [f"k{i}" for i in range(len(by))]
+    out = merge(parts(df, value, by, weight, compression), names, compression)
+    return out.select(*[F.col(n).alias(c) for c, n in zip(by, names, strict=True)], *COLUMNS)
 
 
 def merge(states: DataFrame, by: list[str] = (), compression: int = COMPRESSION) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import digest, stats
 from tessera.operators.axis import Axis, TemporalAxis
+from tessera.streaming import digests
 
 from .base import register, table
 
@@ -131,6 +132,16 @@ def digest_quantiles(spark, sf_dir):
     return got.drop(*names).join(shares.select("l_returnflag", *close), "l_returnflag")
 
 
+@register("""SELECT l_returnflag, l_linestatus, count(*) AS count, round(sum(l_quantity), 4) AS weight, min(l_extendedprice) AS min, max(l_extendedprice) AS max, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 2) AS mean FROM lineitem GROUP BY 1, 2""")
+def digest_stream(spark, sf_dir):
+    """The table read as a stream of files; digests are the stream's state."""
+    path = f"{sf_dir}/lineitem.parque[t]"  # a pattern may name a file, a plain path of a stream only a folder
+    by = ["l_returnflag", "l_linestatus"]
+    stream = spark.readStream.schema(table(spark, sf_dir, "lineitem").schema).option("maxFilesPerTrigger", 8).parquet(path)
+    got = digests.latest(digests.digests(stream, "l_extendedprice", by, "l_quantity"), by)
+    return got.select(*by, "count", F.round("weight", 4).alias("weight"), "min", "max", F.round(digest.mean(), 2).alias("mean"))
+
+
 @register("""SELECT least(round(l_quantity / 10.0)::BIGINT, 5) AS ix, least(round(l_discount / 0.02)::BIGINT, 5) AS iy, count(*) AS count, min(l_extendedprice) AS min, max(l_extendedprice) AS max, min(l_extendedprice) AS q00, max(l_extendedprice) AS q100 FROM lineitem GROUP BY 1, 2""")
 def histogram2d_digest(spark, sf_dir):
     """Digests by cell of the two halves of the table, added."""

@@ -45,13 +45,19 @@ def share_file(spark: SparkSession, name: str, data: bytes) -> str:
     return fs.makeQualified(at).toString()
 
 
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    _TABLES.append((jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
+    return path
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as a table into the shared folder and read from there: its lineage is cut, and
     lost executors take nothing of it with them. The tables go when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    _TABLES.append((jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
