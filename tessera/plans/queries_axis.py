@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import digest, stats
 from tessera.operators.axis import Axis, TemporalAxis
+from tessera.session import scratch_path
+from tessera.sources import state as saved_state
 from tessera.streaming import digests
 
 from .base import register, table
@@ -93,6 +95,17 @@ def stats_merged(spark, sf_dir):
     return out.select("count", *_round("sum", digits=4), *_round("mean"), "min", "max", *_round("variance", digits=4), *_round("skewness", "kurtosis"))
 
 
+@register("""SELECT event_type, count(value) AS count, round(sum(value), 4) AS sum, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, round(var_samp(value), 4) AS variance FROM events GROUP BY 1""")
+def state_saved(spark, sf_dir):
+    """States of even and odd events, committed one after the other, read back and merged."""
+    d, path = table(spark, sf_dir, "events"), scratch_path(spark, "state")
+    for k in (0, 1):
+        part = d.where(F.pmod("event_id", F.lit(2)) == k) if k else d.where((F.pmod("event_id", F.lit(2)) == 0) | F.col("event_id").isNull())
+        saved_state.save(stats.state(part, "value", ["event_type"]), path, append=k > 0)
+    out = stats.merged(saved_state.load(spark, path), ["event_type"], ddof=1)
+    return out.select("event_type", "count", *_round("sum", digits=4), *_round("mean"), "min", "max", *_round("variance", digits=4))
+
+
 @register("""SELECT o_orderpriority, count(*) AS count, round(quantile_cont(o_totalprice, 0.1), 4) AS q10, round(quantile_cont(o_totalprice, 0.5), 4) AS q50,
 round(quantile_cont(o_totalprice, 0.99), 4) AS q99, min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders GROUP BY 1""")
 def quantiles_exact(spark, sf_dir):
