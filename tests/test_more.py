@@ -88,6 +88,25 @@ def test_neighbours_of_crowded_data(spark):
         knn.knn_join(qs, obs, ["x", "y"], 3, boundary="circle")
 
 
+def test_neighbours_of_copies(spark, monkeypatch):
+    """Many observations and queries at few places: against brute force, and few pairs are made."""
+    places = [(0.0, 0.0), (0.25, 0.5), (3.0, 1.0), (8.0, 8.0)]
+    obs = spark.range(4000).selectExpr("3999 - id as oid", f"element_at(array{tuple(p[0] for p in places)}, int(id % 4) + 1) * 1D as x", f"element_at(array{tuple(p[1] for p in places)}, int(id % 4) + 1) * 1D as y", "double(id) as value")
+    qs = spark.range(500).selectExpr("id as qid", "double(id % 5) as x", "double(id % 3) as y").union(spark.createDataFrame([(500, None, 1.0)], "qid long, x double, y double"))
+    made, pairs = [], knn._candidates
+    monkeypatch.setattr(knn, "_candidates", lambda *a: made.append(pairs(*a)) or made[-1])
+    got = {}
+    for r in knn.knn_join(qs, obs, ["x", "y"], 3, carry=["value"]).collect():
+        got.setdefault(r.qid, []).append((r["rank"], r.oid, r.distance, r.value))
+    assert sum(m.count() for m in made) < 5000
+    o = np.array([r[:3] for r in obs.select("oid", "x", "y").collect()])
+    assert sorted(got) == list(range(500))
+    for i, found in got.items():
+        d = np.hypot(o[:, 1] - i % 5, o[:, 2] - i % 3)
+        want = np.lexsort((o[:, 0], d))[:3]
+        assert [(x[1], x[2], x[3]) for x in sorted(found)] == [(o[j, 0], pytest.approx(d[j]), 3999 - o[j, 0]) for j in want]
+
+
 def test_buffers():
     area = lambda g: sum(planar._ring_area(r) for m in g[1] for r in m)
     square = ("polygon", [[[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]]])
