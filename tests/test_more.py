@@ -107,6 +107,16 @@ def test_neighbours_of_copies(spark, monkeypatch):
         assert [(x[1], x[2], x[3]) for x in sorted(found)] == [(o[j, 0], pytest.approx(d[j]), 3999 - o[j, 0]) for j in want]
 
 
+def test_radius_totals_of_copies(spark, monkeypatch):
+    obs = spark.range(3000).selectExpr("id as oid", "double(id % 6) as x", "double(id % 4) as y")
+    qs = spark.range(200).selectExpr("id as qid", "double(id % 2) as x", "0.5D as y").union(spark.createDataFrame([(200, 900.0, 0.0)], "qid long, x double, y double"))
+    want = {r.qid: (r.n, r.total) for r in knn.radius_join(qs, obs, ["x", "y"], 1.5).groupBy("qid").agg(F.count("*").alias("n"), F.sum("distance").alias("total")).collect()}
+    made, pairs = [], knn._candidates
+    monkeypatch.setattr(knn, "_candidates", lambda *a: made.append(pairs(*a)) or made[-1])
+    got = {r.qid: (r.n, pytest.approx(r.total)) for r in knn.radius_totals(qs, obs, ["x", "y"], 1.5).collect()}
+    assert want == got and len(got) == 200 and sum(m.count() for m in made) <= 24
+
+
 def test_facets_of_flat_neighbours(spark):
     """Neighbours in one place part no query from themselves, those on a line only what is beside it."""
     assert knn.in_hull(np.zeros((3, 2)), np.ones(2), spanned=False)
