@@ -16,6 +16,9 @@ Coordinates are rounded to a grid of ``grid`` units, where they are whole number
 equality; what is nearer than one unit of the grid counts as touching. Areas may meet themselves: a
 place is inside where the directions around it don't cancel out.
 
+Tables of pieces are small as files and large in memory, so no join of them is left to broadcasting,
+which would take them through the driver: all are sort-merge joins.
+
 Defined cases: a NULL shape, or one with a coordinate that is not finite or beyond 2 ** 51 units of the
 grid, gives NULL; empty shapes give empty ones, and no common part; keys must be unique and are given
 back as they are; an empty table gives an empty result; other columns are not read.
@@ -67,7 +70,7 @@ def _edges(shapes: DataFrame, grid: float) -> DataFrame:
 def _tiled(edges: DataFrame) -> DataFrame:
     """Edges by the tiles that they run through."""
     span = edges.groupBy("k").agg(F.expr("ceil(sqrt(count(*)))").alias("n"), F.expr("greatest(max(greatest(ax, bx)) - min(least(ax, bx)), max(greatest(ay, by)) - min(least(ay, by)))").alias("d"))
-    d = edges.join(span.select("k", F.expr("greatest(ceil(d / n), 8)").alias("tile")), "k")
+    d = edges.hint("merge").join(span.select("k", F.expr("greatest(ceil(d / n), 8)").alias("tile")), "k")
     d = d.withColumn("tx", F.explode(F.expr("sequence(floor((least(ax, bx) - 1) / tile), floor((greatest(ax, bx) + 1) / tile))")))
     at = "if(ax = bx, {end}, ay + (by - ay) * ((greatest(least({x}, greatest(ax, bx)), least(ax, bx)) - ax) / (bx - ax)))"
     lo, hi = at.format(x="tx * tile - 1", end="ay"), at.format(x="(tx + 1) * tile + 1", end="by")
@@ -80,7 +83,7 @@ _EDGE = ["side", "part", "dim", "i", "ax", "ay", "bx", "by"]
 def _cuts(edges: DataFrame) -> DataFrame:
     """Points where edges meet others, for each of both edges."""
     t = _tiled(edges).select("k", "tx", "ty", F.struct(*_EDGE).alias("e"))
-    j = t.withColumnRenamed("e", "a").join(t.withColumnRenamed("e", "b"), ["k", "tx", "ty"]).where("(a.side, a.part, a.i) < (b.side, b.part, b.i)")
+    j = t.withColumnRenamed("e", "a").hint("merge").join(t.withColumnRenamed("e", "b"), ["k", "tx", "ty"]).where("(a.side, a.part, a.i) < (b.side, b.part, b.i)")
     j = j.where("greatest(a.ax, a.bx) + 1 >= least(b.ax, b.bx) and greatest(b.ax, b.bx) + 1 >= least(a.ax, a.bx) and greatest(a.ay, a.by) + 1 >= least(b.ay, b.by) and greatest(b.ay, b.by) + 1 >= least(a.ay, a.by)")
     j = j.selectExpr("k", "a", "b", "double(a.bx - a.ax) as rx", "double(a.by - a.ay) as ry", "double(b.bx - b.ax) as sx", "double(b.by - b.ay) as sy", "double(b.ax - a.ax) as qx", "double(b.ay - a.ay) as qy")
 
@@ -123,17 +126,17 @@ class Noded:
         """``probes`` (k, names, mx, my) with c0, c1: how often the areas of each side cover the place
         just above, and if an upright edge is there, to its right."""
         span = self.bare.groupBy("k").agg(F.expr("bigint(greatest(ceil((max(hx) - min(lx)) / ceil(count(*) / 4)), 1))").alias("strip"))
-        e = self.bare.where("lx < hx and (w0 <> 0 or w1 <> 0)").join(span, "k").withColumn("c", F.explode(F.expr("sequence(floor(lx / strip), floor((hx - 1) / strip))")))
+        e = self.bare.where("lx < hx and (w0 <> 0 or w1 <> 0)").hint("merge").join(span, "k").withColumn("c", F.explode(F.expr("sequence(floor(lx / strip), floor((hx - 1) / strip))")))
         e = e.select(F.col("k").alias("ek"), "c", *[F.col(n).alias(f"e{n}") for n in PIECE], "w0", "w1").withColumnRenamed("c", "ec")
-        p = probes.join(span, "k").withColumn("c", F.expr("floor(mx / strip)"))
+        p = probes.hint("merge").join(span, "k").withColumn("c", F.expr("floor(mx / strip)"))
         on = F.expr("k = ek and c = ec and elx <= mx and mx < ehx and ely + (ehy - ely) * ((mx - elx) / (ehx - elx)) > my")
-        return p.join(e, on, "left").groupBy("k", *names).agg(*[F.expr(f"-coalesce(sum(w{s}), 0)").alias(f"c{s}") for s in (0, 1)])
+        return p.hint("merge").join(e, on, "left").groupBy("k", *names).agg(*[F.expr(f"-coalesce(sum(w{s}), 0)").alias(f"c{s}") for s in (0, 1)])
 
     def sided(self) -> DataFrame:
         """Pieces with l0, l1 and r0, r1: how often each side's areas cover the left and the right of
         them, seen from their lower end (lx, ly)."""
         probes = self.bare.selectExpr("k", *PIECE, "if(lx = hx, double(lx), (lx + hx) / 2) as mx", "(ly + hy) / 2 as my")
-        d = self.bare.join(self.covered(probes, PIECE), ["k", *PIECE])
+        d = self.bare.hint("merge").join(self.covered(probes, PIECE), ["k", *PIECE])
         sides = [f"if(lx = hx, c{s} + w{s}, c{s}) as l{s}" for s in (0, 1)] + [f"if(lx = hx, c{s}, c{s} - w{s}) as r{s}" for s in (0, 1)]
         return d.selectExpr("*", *sides)
 
@@ -153,7 +156,7 @@ def _stitched(bounds: DataFrame, block: int) -> DataFrame:
     """bounds: k, ax, ay, bx, by, the wanted area on their left. (k, e, ring, place): each piece with the
     least piece of its ring, and its order along it."""
     size = bounds.groupBy("k").count()
-    sized = saved(bounds.join(size, "k"))
+    sized = saved(bounds.hint("merge").join(size, "k"))
     kind = bounds.schema["k"].dataType.simpleString()
 
     def run(frames):
@@ -252,7 +255,7 @@ def _stitched_wide(bounds: DataFrame) -> DataFrame:
     out = "atan2(double(o.by - o.ay), double(o.bx - o.ax))"
     ways = e.selectExpr("k as ok", "e as o")
     turn = F.expr(f"pmod({back} - {out}, 2 * pi())")  # clockwise from where it came: the sharpest left turn first
-    follow = e.join(ways, F.expr("k = ok and e.bx = o.ax and e.by = o.ay")).withColumn("turn", F.when(turn > 1e-12, turn).otherwise(2 * math.pi))
+    follow = e.hint("merge").join(ways, F.expr("k = ok and e.bx = o.ax and e.by = o.ay")).withColumn("turn", F.when(turn > 1e-12, turn).otherwise(2 * math.pi))
     follow = saved(follow.groupBy("k", "e").agg(F.min_by("o", "turn").alias("ptr")))
     rings = _ranked(follow)
     # a ring that comes back to a node falls into simple ones: each pass ends with what the one before began
@@ -263,7 +266,7 @@ def _stitched_wide(bounds: DataFrame) -> DataFrame:
     swap = saved(swap)
     if swap.isEmpty():
         return rings
-    return _ranked(saved(follow.join(swap, F.expr("k = sk and ptr = was"), "left").select("k", "e", F.coalesce("new", "ptr").alias("ptr"))))
+    return _ranked(saved(follow.hint("merge").join(swap, F.expr("k = sk and ptr = was"), "left").select("k", "e", F.coalesce("new", "ptr").alias("ptr"))))
 
 
 def _ranked(follow: DataFrame) -> DataFrame:
@@ -273,7 +276,7 @@ def _ranked(follow: DataFrame) -> DataFrame:
     d = follow.select("k", "e", "ptr", F.col("e").alias("m"), F.lit(0).cast("long").alias("off"))
     for r in range(max(most - 1, 0).bit_length()):
         far = d.select(F.col("k").alias("fk"), F.col("e").alias("fe"), F.col("ptr").alias("fptr"), F.col("m").alias("fm"), F.col("off").alias("foff"))
-        d = d.join(far, F.expr("k = fk and ptr = fe")).selectExpr("k", "e", "fptr as ptr", "least(m, fm) as m", f"if(fm < m, foff + {1 << r}L, off) as off")
+        d = d.hint("merge").join(far, F.expr("k = fk and ptr = fe")).selectExpr("k", "e", "fptr as ptr", "least(m, fm) as m", f"if(fm < m, foff + {1 << r}L, off) as off")
         d = saved(d)
     return d.selectExpr("k", "e", "m as ring", "if(off = 0, 0L, 4611686018427387904L - off) as place")
 
@@ -283,20 +286,20 @@ def _homes(rings: DataFrame, sizes: DataFrame) -> DataFrame:
     nearest piece over its middle bound the same part of the area, so their rings belong together; outer
     rings hand their name on along these links, a step each round."""
     span = rings.groupBy("k").agg(F.expr("bigint(greatest(ceil((max(e.bx) - min(e.ax)) / ceil(count(*) / 4)), 1))").alias("strip"))
-    d = rings.join(span, "k").selectExpr("k as ek", "ring as ering", "strip", "least(e.ax, e.bx) as lx", "greatest(e.ax, e.bx) as hx", "if(e.ax < e.bx, e.ay, e.by) as ly", "if(e.ax < e.bx, e.by, e.ay) as hy").where("lx < hx")
+    d = rings.hint("merge").join(span, "k").selectExpr("k as ek", "ring as ering", "strip", "least(e.ax, e.bx) as lx", "greatest(e.ax, e.bx) as hx", "if(e.ax < e.bx, e.ay, e.by) as ly", "if(e.ax < e.bx, e.by, e.ay) as hy").where("lx < hx")
     d = d.withColumn("ec", F.explode(F.expr("sequence(floor(lx / strip), floor((hx - 1) / strip))"))).drop("strip")
-    one = rings.where("e.bx > e.ax").join(span, "k").selectExpr("k", "ring", "e", "(e.ax + e.bx) / 2 as mx", "(e.ay + e.by) / 2 as my", "strip").withColumn("c", F.expr("floor(mx / strip)"))
+    one = rings.where("e.bx > e.ax").hint("merge").join(span, "k").selectExpr("k", "ring", "e", "(e.ax + e.bx) / 2 as mx", "(e.ay + e.by) / 2 as my", "strip").withColumn("c", F.expr("floor(mx / strip)"))
     y = "ly + (hy - ly) * ((mx - lx) / (hx - lx))"
-    over = one.join(d, F.expr(f"k = ek and c = ec and lx <= mx and mx < hx and {y} > my")).groupBy("k", "ring", "e").agg(F.min_by("ering", F.expr(y)).alias("other")).where("ring <> other")
+    over = one.hint("merge").join(d, F.expr(f"k = ek and c = ec and lx <= mx and mx < hx and {y} > my")).groupBy("k", "ring", "e").agg(F.min_by("ering", F.expr(y)).alias("other")).where("ring <> other")
     links = saved(over.select("k", F.explode(F.expr("array(struct(ring as a, other as b), struct(other as a, ring as b))")).alias("l")).select("k", "l.a", "l.b").distinct())
     named = saved(sizes.where("area > 0").select("k", "ring", F.col("ring").alias("home")))
     holes = sizes.where("area < 0").select("k", "ring")
     while True:
-        rest = holes.join(named.select("k", "ring"), ["k", "ring"], "left_anti")
+        rest = holes.hint("merge").join(named.select("k", "ring"), ["k", "ring"], "left_anti")
         if rest.isEmpty():
-            return named.join(holes, ["k", "ring"], "left_semi")
-        told = links.join(named.select("k", F.col("ring").alias("a"), "home"), ["k", "a"]).groupBy("k", F.col("b").alias("ring")).agg(F.min("home").alias("home"))
-        new = saved(told.join(rest, ["k", "ring"], "left_semi"))
+            return named.hint("merge").join(holes, ["k", "ring"], "left_semi")
+        told = links.hint("merge").join(named.select("k", F.col("ring").alias("a"), "home"), ["k", "a"]).groupBy("k", F.col("b").alias("ring")).agg(F.min("home").alias("home"))
+        new = saved(told.hint("merge").join(rest, ["k", "ring"], "left_semi"))
         if new.isEmpty():
             raise RuntimeError("a hole has no outer ring")
         named = named.union(new)
@@ -317,8 +320,8 @@ def areas(bounds: DataFrame, grid: float, block: int = BLOCK) -> DataFrame:
     if lines.where("area < 0").isEmpty():
         return full.groupBy("k").agg(F.expr("transform(sort_array(collect_list(struct(ring, member))), m -> m.member)").alias("parts"))
     home = _homes(rings, lines)
-    holes = shown.where("area < 0").join(home, ["k", "ring"]).groupBy("k", "home").agg(F.expr("transform(sort_array(collect_list(struct(ring, p))), h -> h.p)").alias("holes")).withColumnRenamed("home", "ring")
-    full = shown.where("area > 0").join(holes, ["k", "ring"], "left").selectExpr("k", "ring", "concat(array(p), coalesce(holes, array())) as member")
+    holes = shown.where("area < 0").hint("merge").join(home, ["k", "ring"]).groupBy("k", "home").agg(F.expr("transform(sort_array(collect_list(struct(ring, p))), h -> h.p)").alias("holes")).withColumnRenamed("home", "ring")
+    full = shown.where("area > 0").hint("merge").join(holes, ["k", "ring"], "left").selectExpr("k", "ring", "concat(array(p), coalesce(holes, array())) as member")
     return full.groupBy("k").agg(F.expr("transform(sort_array(collect_list(struct(ring, member))), m -> m.member)").alias("parts"))
 
 
@@ -361,7 +364,7 @@ class Pairs:
         for how in hows:
             if how not in HOW:
                 raise ValueError(f"no overlay {how!r}")
-        flat = self.pieces.join(self.rows.where("dim_a = 2 and dim_b = 2").select("k"), "k", "left_semi")
+        flat = self.pieces.hint("merge").join(self.rows.where("dim_a = 2 and dim_b = 2").select("k"), "k", "left_semi")
         found = areas(_bounds(flat, *hows).selectExpr("struct(k, how) as k", "ax", "ay", "bx", "by"), self.grid, self.block)
         found = found.selectExpr("k.k as k", "k.how as how", "'multipolygon' as kind", "parts")
         lines = {how: F.expr("dim_a = 1 and dim_b > 0" + (" or dim_a = 2 and dim_b = 1" if how == "intersection" else "")) for how in hows if how in ("intersection", "difference")}
@@ -370,7 +373,7 @@ class Pairs:
             cut = _lines(self.noded, self.pieces, mixed, how).selectExpr("k", f"'{how}' as how", "'multilinestring' as kind", "parts")
             found = found.union(cut)
         each = [F.first(F.expr(f"if(how = '{how}', struct(kind, parts), null)"), True).alias(how) for how in hows]
-        out = self.rows.join(found.groupBy("k").agg(*each), "k", "left")
+        out = self.rows.hint("merge").join(found.groupBy("k").agg(*each), "k", "left")
         none = F.struct(F.when(F.expr("dim_a = 2 and dim_b = 2"), "multipolygon").otherwise("multilinestring").alias("kind"), F.array().cast(geo.PARTS_T).alias("parts"))
         made = {how: F.col("fine") & (F.expr("dim_a = 2 and dim_b = 2") | lines.get(how, F.lit(False))) for how in hows}
         return out.select("k.*", *[F.when(made[how], F.coalesce(F.col(how), none)).alias(how) for how in hows])
@@ -380,8 +383,8 @@ class Pairs:
         b = _bounds(self.pieces, how)
         first = b.groupBy("k").agg(F.min("ax").alias("x"), F.min("ay").alias("y"))
         cross = "double(ax - x) * double(by - y) - double(bx - x) * double(ay - y)"
-        got = b.join(first, "k").groupBy("k").agg((F.sum(F.expr(cross)) / 2 * self.grid**2).alias("area"))
-        return self.rows.join(got, "k", "left").select("k.*", F.when(F.col("fine"), F.coalesce("area", F.lit(0.0))).alias("area"))
+        got = b.hint("merge").join(first, "k").groupBy("k").agg((F.sum(F.expr(cross)) / 2 * self.grid**2).alias("area"))
+        return self.rows.hint("merge").join(got, "k", "left").select("k.*", F.when(F.col("fine"), F.coalesce("area", F.lit(0.0))).alias("area"))
 
     def relations(self) -> DataFrame:
         """(keys, relation, dim_a, dim_b): the nine characters of the DE-9IM matrix of two shapes of any
@@ -400,9 +403,9 @@ def relations(pairs: DataFrame, keys: list[str], a: str, b: str, grid: float = G
 def _lines(noded: Noded, pieces: DataFrame, mixed: DataFrame, how: str) -> DataFrame:
     """(k, parts): of the line on the side ``own``, the pieces in or outside the other shape, joined
     where one follows the other."""
-    run = noded.nodes.where("dim = 1 and nx is not null and (x <> nx or y <> ny)").join(mixed, "k").where("side = own")
+    run = noded.nodes.where("dim = 1 and nx is not null and (x <> nx or y <> ny)").hint("merge").join(mixed, "k").where("side = own")
     run = run.withColumn("up", F.expr("x < nx or (x = nx and y < ny)"))
-    run = run.selectExpr("k", "own", "part", "i", "far", "x", "y", "nx", "ny", "if(up, x, nx) as lx", "if(up, y, ny) as ly", "if(up, nx, x) as hx", "if(up, ny, y) as hy").join(pieces, ["k", *PIECE])
+    run = run.selectExpr("k", "own", "part", "i", "far", "x", "y", "nx", "ny", "if(up, x, nx) as lx", "if(up, y, ny) as ly", "if(up, nx, x) as hx", "if(up, ny, y) as hy").hint("merge").join(pieces, ["k", *PIECE])
     within = F.expr("if(own = 0, line1 or area1 or l1 <> 0, line0 or area0 or l0 <> 0)")
     kept = run.where(within if how == "intersection" else ~within)
     w = Window.partitionBy("k", "part").orderBy("i", "far")
@@ -421,7 +424,7 @@ def dissolve(shapes: DataFrame, keys: list[str], geometry: str, grid: float = GR
     d = saved(shapes.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("k"), F.col(f"`{geometry}`").alias("g"), F.monotonically_increasing_id().alias("part")))
     sides = d.where(F.coalesce(sound(F.col("g"), grid), F.lit(False)) & geo.is_areal(F.col("g"))).select("k", F.lit(0).alias("side"), "part", "g")
     found = areas(_bounds(Noded(sides, grid).sided(), "union").drop("how"), grid, block)
-    out = _parts_of(d.select("k").distinct().join(found, "k", "left"))
+    out = _parts_of(d.select("k").distinct().hint("merge").join(found, "k", "left"))
     return out.select("k.*", F.struct(F.lit("multipolygon").alias("kind"), "parts").alias("geometry"))
 
 
@@ -430,7 +433,7 @@ def dissolve(shapes: DataFrame, keys: list[str], geometry: str, grid: float = GR
 
 def _related(p: Pairs) -> DataFrame:
     rows, shapes, noded = p.rows, p.shapes, p.noded
-    pieces = p.pieces.join(rows.select("k", "dim_a", "dim_b"), "k")
+    pieces = p.pieces.hint("merge").join(rows.select("k", "dim_a", "dim_b"), "k")
 
     def place(own: int) -> str:
         """Of a piece of the side ``own``, where it is in the other shape: 0 inside, 1 boundary, 2 outside."""
@@ -455,12 +458,12 @@ def _related(p: Pairs) -> DataFrame:
     cells = [F.coalesce(F.max(F.when((F.col("m.i") == i) & (F.col("m.j") == j), F.col("m.d"))).cast("string"), F.lit("F")) for i in range(3) for j in range(3)]
     cells[8] = F.lit("2")
     got = m.groupBy("k").agg(F.concat(*cells).alias("relation"))
-    return rows.join(got, "k", "left").select("k.*", F.when(F.col("fine"), F.coalesce("relation", F.lit("FFFFFFFF2"))).alias("relation"), "dim_a", "dim_b")
+    return rows.hint("merge").join(got, "k", "left").select("k.*", F.when(F.col("fine"), F.coalesce("relation", F.lit("FFFFFFFF2"))).alias("relation"), "dim_a", "dim_b")
 
 
 def _at_nodes(noded: Noded, rows: DataFrame, shapes: DataFrame) -> DataFrame:
     """(k, m): at every node, its places in both shapes."""
-    n = noded.nodes.join(rows.select("k", "dim_a", "dim_b"), "k")
+    n = noded.nodes.hint("merge").join(rows.select("k", "dim_a", "dim_b"), "k")
     bare = noded.bare
     # nodes of an area that its edges leave again on both sides of the same course are no boundary
     rims = bare.select("k", F.explode(F.expr("array(struct(lx as x, ly as y), struct(hx as x, hy as y))")).alias("p"), F.expr("w0 <> 0").alias("rim0"), F.expr("w1 <> 0").alias("rim1")).groupBy("k", "p.x", "p.y").agg(F.bool_or("rim0").alias("rim0"), F.bool_or("rim1").alias("rim1"))
@@ -470,11 +473,11 @@ def _at_nodes(noded: Noded, rows: DataFrame, shapes: DataFrame) -> DataFrame:
     ends = lists.select("k", "side", F.explode(F.expr("array(r[0], element_at(r, -1))")).alias("p")).select("k", "side", whole("p.x").alias("x"), whole("p.y").alias("y"))
     ends = ends.groupBy("k", "x", "y").agg(*[F.expr(f"sum(if(side = {s}, 1, 0)) % 2 = 1").alias(f"end{s}") for s in (0, 1)])
     on = [F.expr(f"bool_or(side = {s} and dim < 2)").alias(f"on{s}") for s in (0, 1)]
-    n = n.groupBy("k", "x", "y", "dim_a", "dim_b").agg(*on).join(rims, ["k", "x", "y"], "left").join(ends, ["k", "x", "y"], "left").na.fill(False, ["rim0", "rim1", "end0", "end1"])
+    n = n.groupBy("k", "x", "y", "dim_a", "dim_b").agg(*on).hint("merge").join(rims, ["k", "x", "y"], "left").hint("merge").join(ends, ["k", "x", "y"], "left").na.fill(False, ["rim0", "rim1", "end0", "end1"])
     n = saved(n)
     lone = noded.bare.select("k").distinct()
-    probes = n.join(lone, "k", "left_semi").where("dim_a = 2 and not rim0 or dim_b = 2 and not rim1").selectExpr("k", "x", "y", "double(x) as mx", "double(y) as my")
-    n = n.join(noded.covered(probes, ["x", "y"]), ["k", "x", "y"], "left").na.fill(0, ["c0", "c1"])
+    probes = n.hint("merge").join(lone, "k", "left_semi").where("dim_a = 2 and not rim0 or dim_b = 2 and not rim1").selectExpr("k", "x", "y", "double(x) as mx", "double(y) as my")
+    n = n.hint("merge").join(noded.covered(probes, ["x", "y"]), ["k", "x", "y"], "left").na.fill(0, ["c0", "c1"])
 
     def place(s: int, dim: str) -> str:
         return f"if({dim} = 2, if(rim{s}, 1, if(c{s} <> 0, 0, 2)), if(end{s}, 1, if(on{s}, 0, 2)))"
@@ -523,7 +526,7 @@ def simple(shapes: DataFrame, keys: list[str], geometry: str, grid: float = GRID
     bad = ends.union(again).distinct().withColumn("bad", F.lit(True))
     spots = F.size(F.array_distinct(geo.points(F.col("g")))) == F.size(geo.points(F.col("g")))
     own = F.when(dimension(F.col("g")) == 0, spots).otherwise(F.col("bad").isNull())
-    return rows.join(bad, "k", "left").select("k.*", F.when(F.coalesce(sound(F.col("g"), grid), F.lit(False)), own).alias("simple"))
+    return rows.hint("merge").join(bad, "k", "left").select("k.*", F.when(F.coalesce(sound(F.col("g"), grid), F.lit(False)), own).alias("simple"))
 
 
 # buffers
@@ -603,11 +606,11 @@ def buffer(shapes: DataFrame, keys: list[str], geometry: str, distance: float, p
     sides = parts.select("k", (F.lit(1) if inner else F.lit(0)).alias("side"), F.col("part").cast("long").alias("part"), geo.polygon(F.col("r")).alias("g"))
     # the area itself is a part of what is around it; a negative distance takes its rim away
     own = fine.where(geo.is_areal(g)).select("k", F.lit(0).alias("side"), F.lit(-1).cast("long").alias("part"), "g")
-    rim = sides.join(own.select("k"), "k", "left_anti") if inner else None
+    rim = sides.hint("merge").join(own.select("k"), "k", "left_anti") if inner else None
     noded = Noded(sides.union(own), grid).sided()
     found = areas(_bounds(noded, "difference" if inner else "union").drop("how"), grid, block)
     if inner:  # lines and points have no inside: the distance counts as positive
         alone = areas(_bounds(Noded(rim.withColumn("side", F.lit(0)), grid).sided(), "union").drop("how"), grid, block)
-        found = found.join(own.select("k"), "k", "left_semi").union(alone)
-    out = _parts_of(rows.join(found, "k", "left"))
+        found = found.hint("merge").join(own.select("k"), "k", "left_semi").union(alone)
+    out = _parts_of(rows.hint("merge").join(found, "k", "left"))
     return out.select("k.*", F.when(F.coalesce(sound(g, grid), F.lit(False)), F.struct(F.lit("multipolygon").alias("kind"), "parts")).alias("geometry"))

@@ -196,3 +196,12 @@ def test_holes_of_any_form(spark):
     got = {r.k: shape_of(r.geometry) for r in noding.Pairs(d, ["k"], "a", "b").overlay("difference").collect()}
     assert area(got[1]) == 400 - abs(planar._ring_area(hook)) and [len(m) for m in got[1][1]] == [2] and planar.invalid(got[1]) == ""
     assert area(got[2]) == area(c) and sorted(len(m) for m in got[2][1]) == [2, 2, 2] and planar.invalid(got[2]) == ""
+
+
+def test_joins_of_pieces_are_not_broadcast(spark):
+    """What grows with the shapes never goes through the driver."""
+    d = spark.range(3).select("id", g.box(F.lit(0.0), F.lit(0.0), F.col("id") + 2.0, F.lit(2.0)).alias("a"), g.box(F.lit(1.0), F.lit(1.0), F.lit(5.0), F.lit(5.0)).alias("b"))
+    p = noding.Pairs(d, ["id"], "a", "b")
+    for made in (p.noded.sided(), p.overlay("union"), p.area(), p.relations(), noding.dissolve(d, ["id"], "a")):
+        plan = made._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
