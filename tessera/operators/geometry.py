@@ -420,34 +420,49 @@ def intersects(a: Column, b: Column) -> Column:
 
 def spatial_join(a: DataFrame, b: DataFrame, left: str, right: str, name: str = "intersects", tile: float | None = None) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` whose geometries ``left`` and ``right`` fulfil a predicate (any
-    but disjoint), with the columns of both. Both sides are dealt to the tiles that their boxes
-    meet, as wide as the mean box unless ``tile`` is given; a pair is taken in the first tile that
-    it shares. Empty and NULL geometries join with nothing."""
+    but disjoint), with the columns of both. Equal geometries of a side are related once. Each geometry
+    has a level, the least power of two that its box does not exceed, and two meet in the tiles of the
+    higher of their levels, so none is dealt to more than four tiles of a level; with ``tile`` all meet
+    in tiles of that width. A pair is taken in the first tile that it shares. Empty and NULL geometries,
+    and those with a coordinate that is not finite, join with nothing."""
     if name not in planar.PREDICATES or name == "disjoint":
         raise ValueError(f"no join by {name!r}")
+    from . import noding  # which works on these columns
 
-    def boxed(df: DataFrame, g: str, side: str) -> DataFrame:
-        return df.select(F.struct("*").alias(side), bounds(F.col(g)).alias(f"{side}b")).where(F.col(f"{side}b.xmin").isNotNull())
+    def distinct(df: DataFrame, g: str) -> DataFrame:
+        d = df.select(F.col(g).alias("g")).distinct().withColumn("b", bounds(F.col("g")))
+        d = d.where(F.forall(F.array(*[F.col(f"b.{c}") for c in ("xmin", "xmax", "ymin", "ymax")]), lambda x: F.coalesce(F.abs(x) < math.inf, F.lit(False))))
+        return saved(d.withColumn("size", F.greatest(F.col("b.xmax") - F.col("b.xmin"), F.col("b.ymax") - F.col("b.ymin"))).withColumn("id", F.monotonically_increasing_id()))
 
-    p, q = boxed(a, left, "p"), boxed(b, right, "q")
-    if tile is None:
-        size = lambda s: F.greatest(F.col(f"{s}b.xmax") - F.col(f"{s}b.xmin"), F.col(f"{s}b.ymax") - F.col(f"{s}b.ymin"))
-        mean = p.select(size("p").alias("s")).union(q.select(size("q").alias("s"))).agg(F.avg("s")).first()[0]
-        tile = float(mean or 1.0)
+    p, q = distinct(a, left), distinct(b, right)
+    far = p.select("b").union(q.select("b")).agg(F.max(F.greatest(*[F.abs(F.col(f"b.{c}")) for c in ("xmin", "xmax", "ymin", "ymax")]))).first()[0]
+    least = math.floor(math.log2(far or 1.0)) - 40  # indices of tiles stay below 2 ** 41
+    level = F.lit(0) if tile is not None else F.greatest(F.ceil(F.log2(F.when(F.col("size") > 0, F.col("size")))).cast("int"), F.lit(least))
+    p, q = p.withColumn("level", level), q.withColumn("level", level)
+    levels = lambda df: [r[0] for r in df.select("level").distinct().collect()]
+    every = {"p": levels(p), "q": levels(q)}
 
     def dealt(df: DataFrame, s: str) -> DataFrame:
-        span = lambda c: F.sequence(F.floor(F.col(f"{s}b.{c}min") / tile).cast("long"), F.floor(F.col(f"{s}b.{c}max") / tile).cast("long"))
-        return df.withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
-
-    first = lambda c: F.floor(F.greatest(F.col(f"pb.{c}min"), F.col(f"qb.{c}min")) / tile)
-    from . import noding  # which works on these columns
-
-    met = dealt(p, "p").join(dealt(q, "q"), ["tx", "ty"]).where((F.col("tx") == first("x")) & (F.col("ty") == first("y")))
+        """In its own level, and in those of the other side that are higher; of equal levels p is the higher."""
+        own, other = (0, 1) if s == "p" else (1, 0)
+        higher = F.filter(F.array(*[F.lit(x) for x in every["q" if s == "p" else "p"]]).cast("array<int>"), lambda x: (x > F.col("level")) if s == "p" else (x >= F.col("level")))
+        ways = F.concat(F.array(F.struct(F.lit(own).alias("side"), F.col("level").alias("at"))), F.transform(higher, lambda x: F.struct(F.lit(other).alias("side"), x.alias("at"))))
+        d = df.select(F.col("id").alias(f"{s}id"), F.col("b").alias(f"{s}b"), F.explode(ways).alias("way")).select("*", "way.*")
+        d = d.withColumn("width", F.lit(float(tile)) if tile is not None else F.pow(F.lit(2.0), F.col("at")))
+        span = lambda c: F.sequence(F.floor(F.col(f"{s}b.{c}min") / F.col("width")).cast("long"), F.floor(F.col(f"{s}b.{c}max") / F.col("width")).cast("long"))
+        d = d.withColumn("tx", F.explode(span("x"))).withColumn("ty", F.explode(span("y")))
+        return d.drop("way", "width") if s == "q" else d.drop("way")
+
+    first = lambda c: F.floor(F.greatest(F.col(f"pb.{c}min"), F.col(f"qb.{c}min")) / F.col("width"))
     meets = lambda c: (F.col(f"pb.{c}min") <= F.col(f"qb.{c}max")) & (F.col(f"qb.{c}min") <= F.col(f"pb.{c}max"))
-    met = saved(met.where(meets("x") & meets("y")).select("p", "q", F.monotonically_increasing_id().alias("pair")))
-    found = noding.relations(met.select("pair", F.col(f"p.{left}").alias("a"), F.col(f"q.{right}").alias("b")), ["pair"], "a", "b")
+    met = dealt(p, "p").hint("merge").join(dealt(q, "q"), ["side", "at", "tx", "ty"]).where((F.col("tx") == first("x")) & (F.col("ty") == first("y")) & meets("x") & meets("y"))
+    met = saved(met.select("pid", "qid", F.monotonically_increasing_id().alias("pair")))
+    shape = lambda df, s: df.select(F.col("id").alias(f"{s}id"), F.col("g").alias("a" if s == "p" else "b"))
+    found = noding.relations(met.hint("merge").join(shape(p, "p"), "pid").join(shape(q, "q"), "qid").select("pair", "a", "b"), ["pair"], "a", "b")
     fits = found.where(noding.predicate(name, F.col("relation"), F.col("dim_a"), F.col("dim_b"))).select("pair")
-    return met.join(fits, "pair", "left_semi").select("p.*", "q.*")
+    fits = met.hint("merge").join(fits, "pair", "left_semi").select("pid", "qid")
+    rows = lambda df, g, d, s: df.select(F.struct("*").alias(s), F.col(g).alias("g")).hint("merge").join(d.select("g", F.col("id").alias(f"{s}id")), "g").select(s, f"{s}id")
+    return rows(a, left, p, "p").hint("merge").join(fits, "pid").hint("merge").join(rows(b, right, q, "q"), "qid").select("p.*", "q.*")
 
 
 def _sides(g: Column) -> Column:

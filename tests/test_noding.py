@@ -205,3 +205,17 @@ def test_joins_of_pieces_are_not_broadcast(spark):
     for made in (p.noded.sided(), p.overlay("union"), p.area(), p.relations(), noding.dissolve(d, ["id"], "a")):
         plan = made._jdf.queryExecution().sparkPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_spatial_join_of_all_sizes(spark, monkeypatch):
+    """Boxes of sizes from none to 2000 and copies of them, against brute force; equal pairs are related once."""
+    rng = random.Random(5)
+    made = [(rng.uniform(-50, 50), rng.uniform(-50, 50), rng.choice([0.0, 0.01, 0.7, 4.0, 8.0, 60.0, 2000.0])) for _ in range(40)]
+    rows = lambda n, shift: [(i, x + shift, y, s) for i in range(n) for x, y, s in [made[i % 40]]]
+    boxed = lambda r: spark.createDataFrame(r, "i int, x double, y double, s double").select("i", F.when(F.col("s") == 0, g.point(F.col("x"), F.col("y"))).otherwise(g.box(F.col("x"), F.col("y"), F.col("x") + F.col("s"), F.col("y") + F.col("s"))).alias("g"))
+    a, b = rows(120, 0.0), rows(80, 0.5)
+    related, real = [], noding.relations
+    monkeypatch.setattr(noding, "relations", lambda pairs, *r: related.append(pairs.count()) or real(pairs, *r))
+    got = sorted((r[0], r[1]) for r in g.spatial_join(boxed(a).toDF("i", "p"), boxed(b).toDF("j", "q"), "p", "q").select("i", "j").collect())
+    want = sorted((i, j) for i, x, y, s in a for j, u, v, t in b if x <= u + t and u <= x + s and y <= v + t and v <= y + s)
+    assert got == want and related[0] * 6 == len(want)
