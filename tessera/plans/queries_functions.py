@@ -35,11 +35,16 @@ def geohash_encode(spark, sf_dir):
     return points(spark, sf_dir).select("c_custkey", geohash.encode_int(lon, lat, 6).alias("code"), geohash.encode(lon, lat, 6).alias("hash"))
 
 
+def _once(c):
+    """The fields of a struct as columns; a struct that is only selected from is worked out for each of them."""
+    return F.inline(F.array(c))
+
+
 @register("WITH p AS (SELECT c_custkey, " + SQL_POINT + """ FROM customer)
 SELECT c_custkey, round((floor((lon + 180) / (360.0 / 8388608)) + 0.5) * (360.0 / 8388608) - 180, 9) AS lon, round((floor((lat + 90) / (180.0 / 4194304)) + 0.5) * (180.0 / 4194304) - 90, 9) AS lat FROM p""")
 def geohash_decode(spark, sf_dir):
-    c = geohash.decode(geohash.encode(F.col("lon"), F.col("lat"), 9))
-    return points(spark, sf_dir).select("c_custkey", F.round(c["lon"], 9).alias("lon"), F.round(c["lat"], 9).alias("lat"))
+    c = points(spark, sf_dir).select("c_custkey", _once(geohash.decode(geohash.encode(F.col("lon"), F.col("lat"), 9))))
+    return c.select("c_custkey", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
 
 
 @register("WITH p AS (SELECT c_custkey, " + SQL_POINT + """ FROM customer), g AS (SELECT c_custkey, floor((lon + 180) / 11.25)::BIGINT AS i, floor((lat + 90) / 5.625)::BIGINT AS j FROM p)
@@ -69,8 +74,8 @@ def geohash_area(spark, sf_dir):
 SELECT c_custkey, d.k::INT AS k, ((i + dx + 256) % 256)::BIGINT AS i, greatest(least(j + dy, 127), 0)::BIGINT AS j FROM g, (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1), (4, 0, -1), (5, -1, -1), (6, -1, 0), (7, -1, 1)) d(k, dx, dy)""")
 def geohash_neighbors(spark, sf_dir):
     n = points(spark, sf_dir).select("c_custkey", F.posexplode(geohash.neighbors(geohash.encode(F.col("lon"), F.col("lat"), 3), 3)).alias("k", "code"))
-    c = geohash.decode(F.col("code"))
-    return n.select("c_custkey", "k", F.floor((c["lon"] + 180) / 1.40625).cast("long").alias("i"), F.floor((c["lat"] + 90) / 1.40625).cast("long").alias("j"))
+    c = n.select("c_custkey", "k", _once(geohash.decode(F.col("code"))))
+    return c.select("c_custkey", "k", F.floor((F.col("lon") + 180) / 1.40625).cast("long").alias("i"), F.floor((F.col("lat") + 90) / 1.40625).cast("long").alias("j"))
 
 
 @register("WITH p AS (SELECT c_custkey, c_acctbal AS h, " + SQL_POINT + """ FROM customer), q AS (SELECT *, 6378137.0 / sqrt(1 - 0.006694379990141316 * sin(radians(lat)) ** 2) AS n FROM p)
