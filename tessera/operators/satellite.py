@@ -151,15 +151,16 @@ def calculate_swath(t: DataFrame, by: list[str], across_km: float = 2.0, half_km
     p = p.withColumns({f"d{c}": ahead(c) - behind(c) for c in "xyz"})
     size = F.sqrt(sum((F.col(f"d{c}") * F.col(f"d{c}") for c in "xyz"), F.lit(0.0)))
     p = p.withColumn("size", size).where("size > 0").withColumns({f"d{c}": F.col(f"d{c}") / F.col("size") for c in "xyz"})
+    # what all pixels of a line share: the parts of its turn along the point, across and along the flight
+    p = p.withColumns({"r": spheroid.geocentric_radius(F.col("lat")), "dot": F.col("x") * F.col("dx") + F.col("y") * F.col("dy") + F.col("z") * F.col("dz")})
+    p = p.withColumns({f"v{a}": F.col(f"d{b}") * F.col(c) - F.col(f"d{c}") * F.col(b) for a, b, c in ("xyz", "yzx", "zxy")} | {f"u{a}": F.col(f"d{a}") * F.col("dot") for a in "xyz"})
     steps = [j for j in range(-half, half + 1) if j or central]
     pix = F.array(*[F.struct(F.lit(i).alias("pixel"), F.lit((abs(j) - 1) * across_km + gap_km if j else 0.0).alias("ac"), F.lit(float((j > 0) - (j < 0))).alias("side")) for i, j in enumerate(steps)])
-    p = p.withColumn("k", F.explode(pix)).withColumn("x_ac", F.col("k.ac") * F.col("k.side"))
-    angle = F.col("x_ac") * 1000.0 / spheroid.geocentric_radius(F.col("lat"))
-    p = p.withColumns({"c": F.cos(angle), "s": F.sin(angle), "dot": F.col("x") * F.col("dx") + F.col("y") * F.col("dy") + F.col("z") * F.col("dz")})
-    turn = lambda a, b, c: F.col(a) * F.col("c") + (F.col(f"d{b}") * F.col(c) - F.col(f"d{c}") * F.col(b)) * F.col("s") + F.col(f"d{a}") * F.col("dot") * (1 - F.col("c"))
-    q = p.select(*by, "idx", "lon", "lat", F.col("k.pixel").alias("pixel"), "x_ac", turn("x", "y", "z").alias("qx"), turn("y", "z", "x").alias("qy"), turn("z", "x", "y").alias("qz"))
-    back = spheroid.ecef_to_lla(F.col("qx"), F.col("qy"), F.col("qz"))
-    return q.withColumn("b", back).select(*by, "idx", "pixel", "x_ac", F.col("b.lon").alias("swath_lon"), F.col("b.lat").alias("swath_lat"))
+    line = [*by, "idx", *[f"{m}{c}" for m in ("", "v", "u") for c in "xyz"]]
+    q = p.select(*line, "r", F.explode(pix).alias("k")).select(*line, "r", F.col("k.pixel").alias("pixel"), (F.col("k.ac") * F.col("k.side")).alias("x_ac"))
+    q = q.withColumn("angle", F.col("x_ac") * 1000.0 / F.col("r")).withColumns({"c": F.cos("angle"), "s": F.sin("angle")})
+    q = q.select(*by, "idx", "pixel", "x_ac", *[(F.col(a) * F.col("c") + F.col(f"v{a}") * F.col("s") + F.col(f"u{a}") * (1 - F.col("c"))).alias(f"q{a}") for a in "xyz"])
+    return spheroid.with_lla(q, "qx", "qy", "qz", "swath_lon", "swath_lat").select(*by, "idx", "pixel", "x_ac", "swath_lon", "swath_lat")
 
 
 def mask_swath(swath: DataFrame, inner_km: float, outer_km: float) -> DataFrame:
@@ -276,8 +277,8 @@ def _resampled(t: DataFrame, axis: str, step: float, spheroid: Spheroid, carry:
         return pd.DataFrame(out, columns=["x", "y", "z"])
 
     f = (F.col("at") - F.col("s")) / (F.col("next") - F.col("s"))
-    d = d.withColumn("q", spline("w", "at")).withColumn("b", spheroid.ecef_to_lla(F.col("q.x"), F.col("q.y"), F.col("q.z")))
-    return d.select("track", "k", "at", F.col("b.lon").alias("lon"), F.col("b.lat").alias("lat"), *[(F.col(c) + f * (F.col(f"{c}1") - F.col(c))).alias(c) for c in carry])
+    d = spheroid.with_lla(d.withColumn("q", spline("w", "at")), "q.x", "q.y", "q.z")
+    return d.select("track", "k", "at", "lon", "lat", *[(F.col(c) + f * (F.col(f"{c}1") - F.col(c))).alias(c) for c in carry])
 
 
 def interpolate_orbit(t: DataFrame, every_us: int, spheroid: Spheroid = WGS84) -> DataFrame:

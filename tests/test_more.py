@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import digest, grid, knn, period, planar, scattered, stats, windowed
+from tessera.functions import geodesy
+from tessera.operators import digest, grid, knn, period, planar, satellite, scattered, stats, windowed
 from tessera.operators.axis import Axis, TemporalAxis
 
 
@@ -232,3 +233,18 @@ def test_window_supports(spark):
     parzen = {r.qid: r for r in scattered.window_mean(d, "parzen", 1.0, 2.0).collect()}
     assert parzen[0].value == pytest.approx((1 + 3 * 2 * (1 - 1.5) ** 3) / (1 + 2 * (1 - 1.5) ** 3))
     assert {r.qid: r.value for r in scattered.window_mean(d, "boxcar", 1.0).collect()}[0] == 1.0
+
+
+def test_swath_is_compiled(spark):
+    """Its pixels are plain columns, without lambdas that are interpreted, and those of the struct's closed form."""
+    ball = geodesy.WGS84
+    p = spark.range(2000).selectExpr("id", "(id * 37 % 3600) / 10D - 180 as a", "(id * 53 % 1800) / 10D - 90 as b", "(id % 7) * 1000D as h")
+    p = p.withColumn("e", ball.lla_to_ecef(F.col("a"), F.col("b"), F.col("h"))).select("id", "a", "b", "e.x", "e.y", "e.z")
+    both = ball.with_lla(p.withColumn("s", ball.ecef_to_lla(F.col("x"), F.col("y"), F.col("z"))), "x", "y", "z").select("a", "b", "lon", "lat", "s.*").toDF("a", "b", "lon", "lat", "lon0", "lat0", "alt0").collect()
+    assert len(both) == 2000 and all((r.lon, r.lat) == (r.lon0, r.lat0) and r.lat == pytest.approx(r.b, abs=1e-9) for r in both)
+    t = spark.range(30).selectExpr("id div 10 as track", "id % 10 as idx", "(id % 10) * 0.05D as lon", "(id % 10) * 0.3D + id div 10 as lat")
+    sw = satellite.calculate_swath(t, ["track"])
+    assert sw.count() == 30 * 70 and "lambda" not in sw._jdf.queryExecution().executedPlan().toString()
+    one = sw.where("track = 0 and idx = 5").orderBy("x_ac").collect()
+    far = [geodesy.haversine(F.lit(0.25), F.lit(1.5), F.lit(r.swath_lon), F.lit(r.swath_lat)).alias(f"d{i}") for i, r in enumerate(one)]
+    assert [abs(r.x_ac) * 1000 for r in one] == pytest.approx(list(spark.range(1).select(*far).first()), rel=0.01)
