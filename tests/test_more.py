@@ -248,3 +248,18 @@ def test_swath_is_compiled(spark):
     one = sw.where("track = 0 and idx = 5").orderBy("x_ac").collect()
     far = [geodesy.haversine(F.lit(0.25), F.lit(1.5), F.lit(r.swath_lon), F.lit(r.swath_lat)).alias(f"d{i}") for i, r in enumerate(one)]
     assert [abs(r.x_ac) * 1000 for r in one] == pytest.approx(list(spark.range(1).select(*far).first()), rel=0.01)
+
+
+def test_universal_kriging_of_flat_neighbours(spark):
+    """Neighbours at one place, at two places and on a plane leave drift terms open: least squares."""
+    sets = {"place": [(3.1, 4.7, 2.3)] * 6, "places": [(3.1, 4.7, 2.3)] * 3 + [(3.3, 4.6, 2.2)] * 3, "plane": [(x / 3, y / 7, 2.0) for x in range(3) for y in range(2)]}
+    for at in sets.values():
+        o = np.array(at)
+        v, q = np.arange(6) * 10.0 + 5, np.array([3.0, 4.5, 2.0])
+        n = spark.createDataFrame([(1, float(np.linalg.norm(p - q)), *map(float, p), float(x)) for p, x in zip(o, v, strict=True)], "qid int, distance double, x double, y double, z double, value double")
+        d = np.linalg.norm(o[:, None] - o, axis=2)
+        f = np.c_[np.ones(6), o]
+        a = np.block([[np.exp(-d) + 0.05 * np.eye(6), f], [f.T, np.zeros((4, 4))]])
+        w = np.linalg.lstsq(a, np.r_[np.exp(-np.linalg.norm(o - q, axis=1)), 1, q], rcond=1e-12)[0][:6]
+        got = scattered.kriging(n, spark.createDataFrame([(1, *map(float, q))], "qid int, x double, y double, z double"), ["x", "y", "z"], "matern_12", 1.0, 1.0, 0.05, drift="linear").first()
+        assert (got.value, got.neighbours) == (pytest.approx(w @ v, rel=1e-8), 6)
