@@ -63,7 +63,7 @@ def _edges(shapes: DataFrame, grid: float) -> DataFrame:
     lone = F.transform(geo.points(g), lambda p: F.struct(p.alias("p"), p.alias("q")))
     d = shapes.select("k", "side", "part", dimension(F.col("g")).alias("dim"), F.posexplode(F.when(dimension(F.col("g")) == 0, lone).otherwise(along)).alias("i", "e"))
     whole = lambda c: F.round(F.col(c) / grid).cast("long")
-    d = d.select("k", "side", "part", "dim", "i", whole("e.p.x").alias("ax"), whole("e.p.y").alias("ay"), whole("e.q.x").alias("bx"), whole("e.q.y").alias("by"))
+    d = d.select("k", "side", "part", "dim", "i", whole("e.p.x").alias("ax"), whole("e.p.y").alias("ay"), whole("e.q.x").alias("bx"), whole("e.q.y").alias("by"), F.lit(1).cast("long").alias("d"))
     return d.where("dim = 0 or ax <> bx or ay <> by")
 
 
@@ -77,7 +77,15 @@ def _tiled(edges: DataFrame) -> DataFrame:
     return d.withColumn("ty", F.explode(F.expr(f"sequence(floor((least({lo}, {hi}) - 1) / tile), floor((greatest({lo}, {hi}) + 1) / tile))"))).drop("tile")
 
 
-_EDGE = ["side", "part", "dim", "i", "ax", "ay", "bx", "by"]
+_EDGE = ["side", "part", "dim", "i", "ax", "ay", "bx", "by", "d"]
+
+
+def _merged(edges: DataFrame) -> DataFrame:
+    """Equal edges of areas of a side as one that runs upwards, ``d`` times; those that cancel out bound nothing."""
+    up = edges.withColumn("up", F.expr("ax < bx or (ax = bx and ay < by)"))
+    up = up.selectExpr("k", "side", "dim", "if(up, ax, bx) as ax", "if(up, ay, by) as ay", "if(up, bx, ax) as bx", "if(up, by, ay) as by", "if(up, d, -d) as d")
+    one = up.groupBy("k", "side", "dim", "ax", "ay", "bx", "by").agg(F.sum("d").alias("d")).where("d <> 0")
+    return one.withColumn("part", F.lit(0).cast("long")).withColumn("i", F.monotonically_increasing_id()).select("k", *_EDGE)
 
 
 def _cuts(edges: DataFrame) -> DataFrame:
@@ -103,21 +111,22 @@ def _cuts(edges: DataFrame) -> DataFrame:
 
 class Noded:
     """The noded edges of shapes (k, side, part, g), as written tables: ``edges``, ``nodes``, the course of each edge
-    from node to node, and ``bare``, the distinct pieces."""
+    from node to node, and ``bare``, the distinct pieces. With ``merge`` (areas only) equal edges are noded once."""
 
-    def __init__(self, shapes: DataFrame, grid: float = GRID):
+    def __init__(self, shapes: DataFrame, grid: float = GRID, merge: bool = False):
         self.grid = grid
-        self.edges = saved(_edges(shapes, grid))
+        edges = _edges(shapes, grid)
+        self.edges = saved(_merged(edges) if merge else edges)
         own = ["k", *_EDGE]
         cuts = _cuts(self.edges).select(*own, "x", "y")
         ends = self.edges.select(*own, F.explode(F.expr("array(struct(ax as x, ay as y), struct(bx as x, by as y))")).alias("p")).select(*own, "p.x", "p.y")
         w = Window.partitionBy("k", "side", "part", "i").orderBy("far", "x", "y")
         far = F.expr("double(x - ax) * double(bx - ax) + double(y - ay) * double(by - ay)")
         run = ends.union(cuts).withColumn("far", far).select("*", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"))
-        self.nodes = saved(run.select("k", "side", "part", "dim", "i", "far", "x", "y", "nx", "ny"))
+        self.nodes = saved(run.select("k", "side", "part", "dim", "i", "far", "x", "y", "nx", "ny", "d"))
         run = self.nodes.where("dim > 0 and nx is not null and (x <> nx or y <> ny)")
         run = run.withColumn("up", F.expr("x < nx or (x = nx and y < ny)"))
-        run = run.selectExpr("k", "side", "dim", "if(up, x, nx) as lx", "if(up, y, ny) as ly", "if(up, nx, x) as hx", "if(up, ny, y) as hy", "if(up, 1, -1) as d")
+        run = run.selectExpr("k", "side", "dim", "if(up, x, nx) as lx", "if(up, y, ny) as ly", "if(up, nx, x) as hx", "if(up, ny, y) as hy", "if(up, d, -d) as d")
         sums = [F.expr(f"sum(if(side = {s} and dim = 2, d, 0))").alias(f"w{s}") for s in (0, 1)]
         flags = [F.expr(f"bool_or(side = {s} and dim = {dim})").alias(f"{n}{s}") for s in (0, 1) for n, dim in (("area", 2), ("line", 1))]
         self.bare = saved(run.groupBy("k", *PIECE).agg(*sums, *flags))
@@ -420,10 +429,11 @@ def _lines(noded: Noded, pieces: DataFrame, mixed: DataFrame, how: str) -> DataF
 
 def dissolve(shapes: DataFrame, keys: list[str], geometry: str, grid: float = GRID, block: int = BLOCK) -> DataFrame:
     """(keys, geometry): the union of all areas of each key, a multipolygon. NULL shapes and those that
-    are not sound are left out."""
-    d = saved(shapes.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("k"), F.col(f"`{geometry}`").alias("g"), F.monotonically_increasing_id().alias("part")))
+    are not sound are left out; equal shapes of a key count once."""
+    d = shapes.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("k"), F.col(f"`{geometry}`").alias("g")).distinct()
+    d = saved(d.withColumn("part", F.monotonically_increasing_id()))
     sides = d.where(F.coalesce(sound(F.col("g"), grid), F.lit(False)) & geo.is_areal(F.col("g"))).select("k", F.lit(0).alias("side"), "part", "g")
-    found = areas(_bounds(Noded(sides, grid).sided(), "union").drop("how"), grid, block)
+    found = areas(_bounds(Noded(sides, grid, merge=True).sided(), "union").drop("how"), grid, block)
     out = _parts_of(d.select("k").distinct().hint("merge").join(found, "k", "left"))
     return out.select("k.*", F.struct(F.lit("multipolygon").alias("kind"), "parts").alias("geometry"))
 
@@ -607,10 +617,10 @@ def buffer(shapes: DataFrame, keys: list[str], geometry: str, distance: float, p
     # the area itself is a part of what is around it; a negative distance takes its rim away
     own = fine.where(geo.is_areal(g)).select("k", F.lit(0).alias("side"), F.lit(-1).cast("long").alias("part"), "g")
     rim = sides.hint("merge").join(own.select("k"), "k", "left_anti") if inner else None
-    noded = Noded(sides.union(own), grid).sided()
+    noded = Noded(sides.union(own), grid, merge=True).sided()
     found = areas(_bounds(noded, "difference" if inner else "union").drop("how"), grid, block)
     if inner:  # lines and points have no inside: the distance counts as positive
-        alone = areas(_bounds(Noded(rim.withColumn("side", F.lit(0)), grid).sided(), "union").drop("how"), grid, block)
+        alone = areas(_bounds(Noded(rim.withColumn("side", F.lit(0)), grid, merge=True).sided(), "union").drop("how"), grid, block)
         found = found.hint("merge").join(own.select("k"), "k", "left_semi").union(alone)
     out = _parts_of(rows.hint("merge").join(found, "k", "left"))
     return out.select("k.*", F.when(F.coalesce(sound(g, grid), F.lit(False)), F.struct(F.lit("multipolygon").alias("kind"), "parts")).alias("geometry"))

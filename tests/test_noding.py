@@ -219,3 +219,15 @@ def test_spatial_join_of_all_sizes(spark, monkeypatch):
     got = sorted((r[0], r[1]) for r in g.spatial_join(boxed(a).toDF("i", "p"), boxed(b).toDF("j", "q"), "p", "q").select("i", "j").collect())
     want = sorted((i, j) for i, x, y, s in a for j, u, v, t in b if x <= u + t and u <= x + s and y <= v + t and v <= y + s)
     assert got == want and related[0] * 6 == len(want)
+
+
+def test_equal_shapes_and_edges_are_dissolved_once(spark, monkeypatch):
+    """50 copies of a row of four unit squares and of a box over it, in either order of points, as of one each."""
+    unit = lambda i: ring((i, 0), (i + 1, 0), (i + 1, 1), (i, 1))
+    shapes = [("polygon", [[unit(i)[::s]]]) for i in range(4) for s in (1, -1)] + [("polygon", [[ring((1, 0), (3, 0), (3, 2), (1, 2))]])]
+    d = spark.createDataFrame([(n % 2, row(s)) for n in range(100) for s in shapes], f"k long, s {GEOM}")
+    noded, real = [], noding._cuts
+    monkeypatch.setattr(noding, "_cuts", lambda edges: noded.append(edges.count()) or real(edges))
+    got = {r.k: shape_of(r.geometry) for r in noding.dissolve(d, ["k"], "s").collect()}
+    assert [area(got[k]) for k in (0, 1)] == [6, 6] and all(len(s[1]) == 1 and len(s[1][0]) == 1 and not planar.invalid(s) for s in got.values())
+    assert noded[0] == 2 * (8 + 2 + 4)  # no border between squares
