@@ -158,9 +158,6 @@ HOW = {
 }
 
 
-_RINGS = "struct<ax:bigint,ay:bigint,bx:bigint,by:bigint>"
-
-
 def _stitched(bounds: DataFrame, block: int) -> DataFrame:
     """bounds: k, ax, ay, bx, by, the wanted area on their left. (k, e, ring, place): each piece with the
     least piece of its ring, and its order along it."""
@@ -171,11 +168,12 @@ def _stitched(bounds: DataFrame, block: int) -> DataFrame:
     def run(frames):
         for pdf in _whole_keys(frames):
             ring, place = rings_of(*(pdf[c].to_numpy(np.int64) for c in ("id", "ax", "ay", "bx", "by")))
-            piece = lambda at, pdf=pdf: [dict(zip(("ax", "ay", "bx", "by"), v, strict=True)) for v in pdf[["ax", "ay", "bx", "by"]].to_numpy(np.int64)[at].tolist()]
-            yield pd.DataFrame({"k": pdf["k"], "e": piece(slice(None)), "ring": piece(ring), "place": place})
+            first = {f"r{c}": pdf[c].to_numpy(np.int64)[ring] for c in ("ax", "ay", "bx", "by")}
+            yield pdf[["k", "ax", "ay", "bx", "by"]].assign(**first, place=place)
 
     near = sized.where(F.col("count") <= block).select("k", "ax", "ay", "bx", "by").repartition("k").sortWithinPartitions("k")
-    out = near.mapInPandas(run, f"k {kind}, e {_RINGS}, ring {_RINGS}, place bigint")
+    out = near.mapInPandas(run, f"k {kind}, ax bigint, ay bigint, bx bigint, by bigint, rax bigint, ray bigint, rbx bigint, rby bigint, place bigint")
+    out = out.selectExpr("k", "struct(ax, ay, bx, by) as e", "struct(rax as ax, ray as ay, rbx as bx, rby as by) as ring", "place")
     wide = sized.where(F.col("count") > block)
     if not wide.isEmpty():
         out = out.union(_stitched_wide(wide.drop("count")))
@@ -188,11 +186,9 @@ def _whole_keys(frames):
     for pdf in frames:
         if not len(pdf):
             continue
-        ids = np.empty(len(pdf), np.int64)
-        for i, k in enumerate(pdf["k"]):
-            if last is None or k != last:
-                n, last = n + 1, k
-            ids[i] = n
+        k = pdf["k"].to_numpy()
+        ids = n + np.cumsum(np.r_[last is None or k[0] != last, k[1:] != k[:-1]])
+        n, last = ids[-1], k[-1]
         pdf = pdf.assign(id=ids)
         if rows > 100_000 and ids[0] != held[-1]["id"].iloc[-1]:
             yield pd.concat(held, ignore_index=True)
@@ -334,12 +330,24 @@ def areas(bounds: DataFrame, grid: float, block: int = BLOCK) -> DataFrame:
     return full.groupBy("k").agg(F.expr("transform(sort_array(collect_list(struct(ring, member))), m -> m.member)").alias("parts"))
 
 
-def _pairs(df: DataFrame, keys: list[str], a: str, b: str, grid: float) -> tuple[DataFrame, DataFrame]:
-    """All keys with whether both shapes are sound, and the sound shapes by side."""
-    d = saved(df.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("k"), F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b")))
+def _digest(*shapes: Column) -> Column:
+    return F.xxhash64(*shapes, *[g.isNull() for g in shapes])
+
+
+def _pairs(df: DataFrame, keys: list[str], a: str, b: str, grid: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All keys with the number ``k`` of their pair of shapes, equal pairs having one; all pairs with whether
+    both shapes are sound; and the sound shapes by side."""
+    d = df.select(F.struct(*[F.col(f"`{c}`") for c in keys]).alias("key"), F.col(f"`{a}`").alias("a"), F.col(f"`{b}`").alias("b"))
+    d = saved(d.withColumn("digest", _digest(F.col("a"), F.col("b"))))
+    one = saved(d.select("digest", "a", "b").distinct().withColumn("k", F.monotonically_increasing_id()))
+    if one.groupBy("digest").count().where("count > 1").isEmpty():
+        given = d.select("key", "digest").hint("merge").join(one.select("digest", "k"), "digest")
+    else:  # digests that collide do not decide
+        given = d.toDF("key", "ka", "kb", "told").hint("merge").join(one, F.expr("told = digest and ka <=> a and kb <=> b"))
     fine = F.coalesce(sound(F.col("a"), grid) & sound(F.col("b"), grid), F.lit(False))
-    shapes = d.where(fine).select("k", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("g")), F.struct(F.lit(1).alias("side"), F.col("b").alias("g")))).alias("s"))
-    return d.select("k", fine.alias("fine"), *[dimension(F.col(s)).alias(f"dim_{s}") for s in "ab"]), shapes.select("k", "s.side", F.lit(0).cast("long").alias("part"), "s.g")
+    shapes = one.where(fine).select("k", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("g")), F.struct(F.lit(1).alias("side"), F.col("b").alias("g")))).alias("s"))
+    rows = one.select("k", fine.alias("fine"), *[dimension(F.col(s)).alias(f"dim_{s}") for s in "ab"])
+    return saved(given.select("key", "k")), saved(rows), shapes.select("k", "s.side", F.lit(0).cast("long").alias("part"), "s.g")
 
 
 def _bounds(pieces: DataFrame, *hows: str) -> DataFrame:
@@ -355,14 +363,18 @@ def _parts_of(df: DataFrame) -> DataFrame:
 
 
 class Pairs:
-    """Two shapes a row, noded once for all that is asked of them."""
+    """Two shapes a row, noded once for all that is asked of them; rows of equal shapes share it."""
 
     def __init__(self, pairs: DataFrame, keys: list[str], a: str, b: str, grid: float = GRID, block: int = BLOCK):
         self.grid, self.block = grid, block
-        self.rows, self.shapes = _pairs(pairs, keys, a, b, grid)
+        self.keys, self.rows, self.shapes = _pairs(pairs, keys, a, b, grid)
         self.noded = Noded(self.shapes, grid)
         self.pieces = saved(self.noded.sided())
 
+    def each(self, found: DataFrame) -> DataFrame:
+        """What was found of the pairs ``k``, for the keys of all rows."""
+        return self.keys.hint("merge").join(found, "k").select("key.*", *[F.col(f"`{c}`") for c in found.columns if c != "k"])
+
     def overlay(self, how: str = "intersection") -> DataFrame:
         """(keys, geometry): a multipolygon of two areas for each row; of a line and an area or line,
         what is within (intersection) or outside (difference) as a multilinestring; else NULL."""
@@ -373,9 +385,10 @@ class Pairs:
         for how in hows:
             if how not in HOW:
                 raise ValueError(f"no overlay {how!r}")
+        names = F.array(*[F.lit(how) for how in HOW])
         flat = self.pieces.hint("merge").join(self.rows.where("dim_a = 2 and dim_b = 2").select("k"), "k", "left_semi")
-        found = areas(_bounds(flat, *hows).selectExpr("struct(k, how) as k", "ax", "ay", "bx", "by"), self.grid, self.block)
-        found = found.selectExpr("k.k as k", "k.how as how", "'multipolygon' as kind", "parts")
+        found = areas(_bounds(flat, *hows).select((F.col("k") * len(HOW) + F.array_position(names, F.col("how")) - 1).alias("k"), "ax", "ay", "bx", "by"), self.grid, self.block)
+        found = found.select(F.expr(f"k div {len(HOW)}").alias("k"), F.get(names, (F.col("k") % len(HOW)).cast("int")).alias("how"), F.lit("multipolygon").alias("kind"), "parts")
         lines = {how: F.expr("dim_a = 1 and dim_b > 0" + (" or dim_a = 2 and dim_b = 1" if how == "intersection" else "")) for how in hows if how in ("intersection", "difference")}
         for how, on in lines.items():
             mixed = self.rows.where("fine").where(on).select("k", F.expr("if(dim_a = 1, 0, 1)").alias("own"))
@@ -385,7 +398,7 @@ class Pairs:
         out = self.rows.hint("merge").join(found.groupBy("k").agg(*each), "k", "left")
         none = F.struct(F.when(F.expr("dim_a = 2 and dim_b = 2"), "multipolygon").otherwise("multilinestring").alias("kind"), F.array().cast(geo.PARTS_T).alias("parts"))
         made = {how: F.col("fine") & (F.expr("dim_a = 2 and dim_b = 2") | lines.get(how, F.lit(False))) for how in hows}
-        return out.select("k.*", *[F.when(made[how], F.coalesce(F.col(how), none)).alias(how) for how in hows])
+        return self.each(out.select("k", *[F.when(made[how], F.coalesce(F.col(how), none)).alias(how) for how in hows]))
 
     def area(self, how: str = "intersection") -> DataFrame:
         """(keys, area) of an overlay of areas, from its pieces, without rings."""
@@ -393,7 +406,7 @@ class Pairs:
         first = b.groupBy("k").agg(F.min("ax").alias("x"), F.min("ay").alias("y"))
         cross = "double(ax - x) * double(by - y) - double(bx - x) * double(ay - y)"
         got = b.hint("merge").join(first, "k").groupBy("k").agg((F.sum(F.expr(cross)) / 2 * self.grid**2).alias("area"))
-        return self.rows.hint("merge").join(got, "k", "left").select("k.*", F.when(F.col("fine"), F.coalesce("area", F.lit(0.0))).alias("area"))
+        return self.each(self.rows.hint("merge").join(got, "k", "left").select("k", F.when(F.col("fine"), F.coalesce("area", F.lit(0.0))).alias("area")))
 
     def relations(self) -> DataFrame:
         """(keys, relation, dim_a, dim_b): the nine characters of the DE-9IM matrix of two shapes of any
@@ -468,7 +481,7 @@ def _related(p: Pairs) -> DataFrame:
     cells = [F.coalesce(F.max(F.when((F.col("m.i") == i) & (F.col("m.j") == j), F.col("m.d"))).cast("string"), F.lit("F")) for i in range(3) for j in range(3)]
     cells[8] = F.lit("2")
     got = m.groupBy("k").agg(F.concat(*cells).alias("relation"))
-    return rows.hint("merge").join(got, "k", "left").select("k.*", F.when(F.col("fine"), F.coalesce("relation", F.lit("FFFFFFFF2"))).alias("relation"), "dim_a", "dim_b")
+    return p.each(rows.hint("merge").join(got, "k", "left").select("k", F.when(F.col("fine"), F.coalesce("relation", F.lit("FFFFFFFF2"))).alias("relation"), "dim_a", "dim_b"))
 
 
 def _at_nodes(noded: Noded, rows: DataFrame, shapes: DataFrame) -> DataFrame:

@@ -231,3 +231,24 @@ def test_equal_shapes_and_edges_are_dissolved_once(spark, monkeypatch):
     got = {r.k: shape_of(r.geometry) for r in noding.dissolve(d, ["k"], "s").collect()}
     assert [area(got[k]) for k in (0, 1)] == [6, 6] and all(len(s[1]) == 1 and len(s[1][0]) == 1 and not planar.invalid(s) for s in got.values())
     assert noded[0] == 2 * (8 + 2 + 4)  # no border between squares
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_equal_pairs_are_noded_once(spark, monkeypatch, collide):
+    """40 rows each of five pairs, one of them with a missing shape, also where all digests are equal."""
+    box = lambda x, y, w: ("box", [[ring((x, y), (x + w, y), (x + w, y + w), (x, y + w))]])
+    pairs = [(box(0, 0, 4), box(2, 2, 4)), (box(2, 2, 4), box(0, 0, 3)), (box(0, 0, 4), box(1, 1, 1)), (None, box(0, 0, 4)), (box(0, 0, 4), None)]
+    d = spark.createDataFrame([(n, str(n), row(a), row(b)) for n in range(200) for a, b in [pairs[n % 5]]], f"id long, name string, a {GEOM}, b {GEOM}")
+    if collide:
+        monkeypatch.setattr(noding, "_digest", lambda *shapes: F.lit(1).cast("long"))
+    p = noding.Pairs(d, ["id", "name"], "a", "b")
+    assert p.rows.count() == 5 and p.noded.edges.count() == 3 * 8
+    cut, sizes, found = ({r.id: r for r in x.collect()} for x in (p.overlay(), p.area("union"), p.relations()))
+    assert len(cut) == len(sizes) == len(found) == 200
+    for n in range(200):
+        a, b = pairs[n % 5]
+        assert cut[n].name == str(n)
+        if a is None or b is None:
+            assert cut[n].geometry is None and sizes[n].area is None and found[n].relation is None
+        else:
+            assert area(shape_of(cut[n].geometry)) == (4, 1, 1)[n % 5] and sizes[n].area == (28, 24, 16)[n % 5] and found[n].relation == planar.relation(a, b)
