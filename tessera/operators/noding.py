@@ -123,8 +123,9 @@ class Noded:
         w = Window.partitionBy("k", "side", "part", "i").orderBy("far", "x", "y")
         far = F.expr("double(x - ax) * double(bx - ax) + double(y - ay) * double(by - ay)")
         run = ends.union(cuts).withColumn("far", far).select("*", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"))
+        run = run.where("nx is null or x <> nx or y <> ny")  # edges that share several tiles meet in each
         self.nodes = saved(run.select("k", "side", "part", "dim", "i", "far", "x", "y", "nx", "ny", "d"))
-        run = self.nodes.where("dim > 0 and nx is not null and (x <> nx or y <> ny)")
+        run = self.nodes.where("dim > 0 and nx is not null")
         run = run.withColumn("up", F.expr("x < nx or (x = nx and y < ny)"))
         run = run.selectExpr("k", "side", "dim", "if(up, x, nx) as lx", "if(up, y, ny) as ly", "if(up, nx, x) as hx", "if(up, ny, y) as hy", "if(up, d, -d) as d")
         sums = [F.expr(f"sum(if(side = {s} and dim = 2, d, 0))").alias(f"w{s}") for s in (0, 1)]

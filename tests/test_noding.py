@@ -252,3 +252,11 @@ def test_equal_pairs_are_noded_once(spark, monkeypatch, collide):
             assert cut[n].geometry is None and sizes[n].area is None and found[n].relation is None
         else:
             assert area(shape_of(cut[n].geometry)) == (4, 1, 1)[n % 5] and sizes[n].area == (28, 24, 16)[n % 5] and found[n].relation == planar.relation(a, b)
+
+
+def test_nodes_are_written_once(spark):
+    """Edges that meet in several tiles have each node once."""
+    a, b = ("polygon", [[ring((0, 0), (9, 1), (1, 9))]]), ("polygon", [[ring((0, 0), (9, 1), (9, 9))]])
+    p = noding.Pairs(spark.createDataFrame([(1, row(a), row(b))], f"k long, a {GEOM}, b {GEOM}"), ["k"], "a", "b")
+    assert p.noded.nodes.count() == p.noded.nodes.select("side", "i", "x", "y").distinct().count() == 6 * 2 + 2
+    assert p.relations().first().relation == planar.relation(a, b)
