@@ -381,8 +381,9 @@ class Pairs:
         what is within (intersection) or outside (difference) as a multilinestring; else NULL."""
         return self.overlays(how).withColumnRenamed(how, "geometry")
 
-    def overlays(self, *hows: str) -> DataFrame:
-        """(keys, a column for each of ``hows``): several overlays, stitched at once."""
+    def overlays(self, *hows: str, of=lambda g: g) -> DataFrame:
+        """(keys, a column for each of ``hows``): several overlays, stitched at once, or what ``of`` makes of
+        them, once for equal pairs."""
         for how in hows:
             if how not in HOW:
                 raise ValueError(f"no overlay {how!r}")
@@ -399,7 +400,7 @@ class Pairs:
         out = self.rows.hint("merge").join(found.groupBy("k").agg(*each), "k", "left")
         none = F.struct(F.when(F.expr("dim_a = 2 and dim_b = 2"), "multipolygon").otherwise("multilinestring").alias("kind"), F.array().cast(geo.PARTS_T).alias("parts"))
         made = {how: F.col("fine") & (F.expr("dim_a = 2 and dim_b = 2") | lines.get(how, F.lit(False))) for how in hows}
-        return self.each(out.select("k", *[F.when(made[how], F.coalesce(F.col(how), none)).alias(how) for how in hows]))
+        return self.each(out.select("k", *[of(F.when(made[how], F.coalesce(F.col(how), none))).alias(how) for how in hows]))
 
     def area(self, how: str = "intersection") -> DataFrame:
         """(keys, area) of an overlay of areas, from its pieces, without rings."""

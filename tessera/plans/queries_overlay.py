@@ -36,9 +36,8 @@ def overlay_layers(spark, sf_dir):
     """Areas of the four overlays of a polygon and a diamond, from stitched rings; one also from pieces."""
     d = shapes(spark, sf_dir)
     both = noding.Pairs(d, ["id"], "poly", "diamond")
-    size = lambda c: F.round(g.area(F.col(c)), 6)
-    out = both.overlays("intersection", "union", "difference", "symmetric_difference")
-    out = out.select("id", size("intersection").alias("common"), size("union").alias("both_"), size("difference").alias("rest"), size("symmetric_difference").alias("apart"))
+    out = both.overlays("intersection", "union", "difference", "symmetric_difference", of=lambda c: F.round(g.area(c), 6))
+    out = out.toDF("id", "common", "both_", "rest", "apart")
     return out.join(both.area().select("id", F.round("area", 6).alias("measured")), "id")
 
 
